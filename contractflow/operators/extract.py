@@ -11,10 +11,13 @@ from contractflow.operators.fence import fenced
 from contractflow.operators.registry import Alias, Aliases, position_literal
 from contractflow.sources.identity import ORD_TYPE
 
-NO_NAMES = F.array().cast("array<string>")
 HIT_TYPE = f"struct<pos:{ORD_TYPE},key:string,text:string>"
 
 
+def no_names() -> Column:
+    return F.array().cast("array<string>")
+
+
 def slot(field: str) -> Column:
     return F.col(f"slots.`{field}`")
 
@@ -147,7 +150,7 @@ def missing_fields(contract: Contract, moment: str = "after") -> Column:
     """Required fields without a value, in contract order."""
     return F.concat(
         *[
-            F.when(resolved_text(n, moment).isNull(), F.array(F.lit(n))).otherwise(NO_NAMES)
+            F.when(resolved_text(n, moment).isNull(), F.array(F.lit(n))).otherwise(no_names())
             for n in contract.required
         ]
     )

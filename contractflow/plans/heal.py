@@ -11,7 +11,7 @@ from contractflow.contract import Contract
 from contractflow.operators.checks import VIOLATION_TYPE, conforms, values_in, violation_list
 from contractflow.operators.discover import UNIQUE, missing_matches
 from contractflow.operators.fence import fenced
-from contractflow.operators.extract import NO_NAMES, any_missing, missing_fields, values_struct, via_struct, with_hits
+from contractflow.operators.extract import no_names, any_missing, missing_fields, values_struct, via_struct, with_hits
 from contractflow.operators.learning import REPLAY_LIMIT, learn_aliases
 from contractflow.operators.policy import Policy, may_teach, with_trust
 from contractflow.operators.registry import Aliases, alias_rows, as_aliases
@@ -63,9 +63,9 @@ def judge(events: DataFrame, aliases: Aliases, policy: Policy | None, contract:
         "received_at",
         values_struct(contract).alias("values"),
         via_struct(contract).alias("resolved_via"),
-        F.when(breach, missing_fields(contract, "before")).otherwise(NO_NAMES).alias("missing_before"),
+        F.when(breach, missing_fields(contract, "before")).otherwise(no_names()).alias("missing_before"),
         F.when(breach, repairs).otherwise(F.array().cast(REPAIR_TYPE)).alias("repairs"),
-        F.when(breach, missing_fields(contract, "after")).otherwise(NO_NAMES).alias("missing_required"),
+        F.when(breach, missing_fields(contract, "after")).otherwise(no_names()).alias("missing_required"),
     )
     value_of = values_in("values")
     verdict = resolved.withColumn("conforms", (F.size("missing_required") == 0) & conforms(contract, value_of))
