@@ -12,8 +12,9 @@ Duplicate keys resolve to the last one; that needs the session option set by
 
 from __future__ import annotations
 
-from pyspark.sql import Column, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
+
+from contractflow.functions.text import lit, names
 
 # Variant kinds that are scalars and whose text is already canonical.
 SIMPLE_KINDS = ("STRING", "BOOLEAN", "BIGINT")
@@ -24,118 +25,109 @@ def enable_duplicate_keys(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
 
 
-def _tag(payload: Column) -> Column:
-    return F.xxhash64(payload).cast("string")
-
-
-def parsed(payload: Column) -> Column:
+def parsed(payload: str) -> str:
     """Array of zero or one variant ``[payload, hash]``; empty when the payload is not strict JSON."""
-    doc = F.try_parse_json(F.concat(F.lit("["), payload, F.lit(',"'), _tag(payload), F.lit('"]')))
-    return F.filter(F.array(doc), lambda d: F.try_variant_get(d, "$[1]", "string") == _tag(payload))
+    tag = f"cast(xxhash64({payload}) as string)"
+    doc = f"""try_parse_json(concat('[', {payload}, ',"', {tag}, '"]'))"""
+    return f"filter(array({doc}), d -> try_variant_get(d, '$[1]', 'string') = {tag})"
 
 
-def is_valid_json(payload: Column) -> Column:
+def is_valid_json(payload: str) -> str:
     """Exactly one JSON value and nothing after it."""
-    return F.coalesce(F.size(parsed(payload)) > 0, F.lit(False))
+    return f"coalesce(size({parsed(payload)}) > 0, false)"
 
 
-def doc_root(doc: Column) -> Column:
-    """The payload inside the variant made by :func:`parsed`."""
-    return F.try_variant_get(doc, "$[0]", "variant")
-
-
-def canonical_text(doc: Column) -> Column:
+def canonical_text(doc: str) -> str:
     """Compact text with sorted keys."""
-    return F.to_json(doc_root(doc))
+    return f"to_json(try_variant_get({doc}, '$[0]', 'variant'))"
 
 
-def canonical_json(payload: Column) -> Column:
+def canonical_json(payload: str) -> str:
     """Canonical text straight from a payload; null when it is not strict JSON."""
-    return F.try_element_at(F.transform(parsed(payload), canonical_text), F.lit(1))
+    return f"try_element_at(transform({parsed(payload)}, v -> {canonical_text('v')}), 1)"
 
 
-def selected_members(doc: Column, keys: list[str]) -> Column:
+def selected_members(doc: str, keys: list[str]) -> str:
     """Some top-level members as a struct of variants, in one pass; null unless an object."""
     inner = ",".join(f"`{k}`:variant" for k in keys)
-    return F.try_variant_get(doc, "$[0]", f"struct<{inner}>")
+    return f"try_variant_get({doc}, '$[0]', {lit(f'struct<{inner}>')})"
 
 
-def members(doc: Column) -> Column:
+def members(doc: str) -> str:
     """All top-level members as ``array<struct<key, value variant>>``; null unless an object."""
-    return F.map_entries(F.try_variant_get(doc, "$[0]", "map<string,variant>"))
+    return f"map_entries(try_variant_get({doc}, '$[0]', 'map<string,variant>'))"
 
 
-def object_keys(payload: Column) -> Column:
+def object_keys(payload: str) -> str:
     """Top-level keys of canonical payload text."""
-    return F.json_object_keys(payload)
+    return f"json_object_keys({payload})"
 
 
-def plain_scalar(value: Column) -> Column:
+def plain_scalar(value: str) -> str:
     """Text of a string, boolean or integer variant, otherwise null."""
-    text = value.cast("string")
+    text = f"cast({value} as string)"
     # only these first characters leave the kind open: numbers, objects, arrays
-    unclear = F.left(text, F.lit(1)).isin(*"-0123456789{[")
-    return F.when(~unclear, text).when(F.schema_of_variant(value).isin(*SIMPLE_KINDS), text)
+    return (
+        f"case when left({text}, 1) not in ({names(tuple('-0123456789{['))}) then {text} "
+        f"when schema_of_variant({value}) in ({names(SIMPLE_KINDS)}) then {text} end"
+    )
 
 
-def is_scalar(kind: Column) -> Column:
-    return kind.isin(*SIMPLE_KINDS, "DOUBLE") | kind.startswith("DECIMAL")
+def is_scalar(value: str) -> str:
+    kind = f"schema_of_variant({value})"
+    return f"({kind} in ({names(SIMPLE_KINDS)}, 'DOUBLE') or startswith({kind}, 'DECIMAL'))"
 
 
-def scalar_text(value: Column) -> Column:
+def scalar_text(value: str) -> str:
     """Text of any scalar variant; null for null, object and array."""
-    kind = F.schema_of_variant(value)
-    whole = (kind.startswith("DECIMAL(2")) & kind.endswith(",0)")
+    kind = f"schema_of_variant({value})"
+    # whole numbers of the unsigned 64-bit range keep their digits, larger ones become doubles
+    wide = (
+        f"startswith({kind}, 'DECIMAL(2') and endswith({kind}, ',0)') "
+        f"and abs(cast({value} as decimal(38,0))) < 18446744073709551616"
+    )
     return (
-        F.when(kind.isin(*SIMPLE_KINDS), value.cast("string"))
-        .when(whole & (F.abs(value.cast("decimal(38,0)")) < F.lit("18446744073709551616").cast("decimal(38,0)")),
-              value.cast("string"))
-        .when(is_scalar(kind), float_text(value.cast("double")))
+        f"case when {kind} in ({names(SIMPLE_KINDS)}) then cast({value} as string) "
+        f"when {wide} then cast({value} as string) "
+        f"when {is_scalar(value)} then {float_text(f'cast({value} as double)')} end"
     )
 
 
-def member_text(value: Column) -> Column:
+def member_text(value: str) -> str:
     """Scalar text, JSON text of an object or array, null for JSON null."""
-    return F.coalesce(scalar_text(value), F.when(F.schema_of_variant(value) != "VOID", F.to_json(value)))
+    return f"coalesce({scalar_text(value)}, if(schema_of_variant({value}) <> 'VOID', to_json({value}), null))"
 
 
-def float_text(value: Column) -> Column:
+def float_text(value: str) -> str:
     """Shortest text of a double: plain notation from 1e-5 up to 1e16, otherwise ``d.ddde<n>``."""
-    text = F.abs(value).cast("string")
-    mantissa = F.substring_index(text, "E", 1)
-    exponent = F.coalesce(F.nullif(F.regexp_extract(text, "E(-?[0-9]+)$", 1), F.lit("")).cast("int"), F.lit(0))
-    whole = F.substring_index(mantissa, ".", 1)
-    raw = F.concat(whole, F.substring_index(mantissa, ".", -1))
-    digits = F.regexp_replace(F.regexp_replace(raw, "^0+", ""), "0+$", "")
-    lead = F.length(raw) - F.length(F.regexp_replace(raw, "^0+", ""))
-    parts = F.array(F.struct(digits.alias("d"), (F.length(whole) + exponent - lead).alias("p")))
-
-    def render(x: Column) -> Column:
-        d, p, n = x["d"], x["p"], F.length(x["d"])
-        return (
-            F.when(d == "", F.lit("0.0"))
-            .when((p > 0) & (p <= 16) & (n <= p), F.concat(d, F.repeat(F.lit("0"), p - n), F.lit(".0")))
-            .when((p > 0) & (p <= 16), F.concat(F.substring(d, F.lit(1), p), F.lit("."), F.substring(d, p + 1, n)))
-            .when((p > -5) & (p <= 0), F.concat(F.lit("0."), F.repeat(F.lit("0"), -p), d))
-            .otherwise(
-                F.concat(
-                    F.substring(d, F.lit(1), F.lit(1)),
-                    F.when(n > 1, F.concat(F.lit("."), F.substring(d, F.lit(2), n))).otherwise(F.lit("")),
-                    F.lit("e"),
-                    (p - 1).cast("string"),
-                )
-            )
-        )
-
-    return F.concat(F.when(value < 0, F.lit("-")).otherwise(F.lit("")), F.transform(parts, render)[0])
-
-
-def json_string(payload: Column, key: str) -> Column:
+    text = f"cast(abs({value}) as string)"
+    mantissa = f"substring_index({text}, 'E', 1)"
+    exponent = f"coalesce(cast(nullif(regexp_extract({text}, 'E(-?[0-9]+)$', 1), '') as int), 0)"
+    whole = f"substring_index({mantissa}, '.', 1)"
+    raw = f"concat({whole}, substring_index({mantissa}, '.', -1))"
+    bare = f"regexp_replace({raw}, '^0+', '')"
+    # d: significant digits, p: how many of them stand before the decimal point
+    parts = (
+        f"array(named_struct('d', regexp_replace({bare}, '0+$', ''), "
+        f"'p', length({whole}) + {exponent} - length({raw}) + length({bare})))"
+    )
+    shown = (
+        "case when x.d = '' then '0.0' "
+        "when x.p > 0 and x.p <= 16 and length(x.d) <= x.p then concat(x.d, repeat('0', x.p - length(x.d)), '.0') "
+        "when x.p > 0 and x.p <= 16 then concat(left(x.d, x.p), '.', substring(x.d, x.p + 1)) "
+        "when x.p > -5 and x.p <= 0 then concat('0.', repeat('0', -x.p), x.d) "
+        "else concat(left(x.d, 1), if(length(x.d) > 1, concat('.', substring(x.d, 2)), ''), 'e', x.p - 1) end"
+    )
+    return f"concat(if({value} < 0, '-', ''), transform({parts}, x -> {shown})[0])"
+
+
+def json_string(payload: str, key: str) -> str:
     """Text of one top-level member of canonical payload text (nested values as JSON text)."""
     escaped = key.replace("'", "\\'")
-    return F.get_json_object(payload, f"$['{escaped}']")
+    path = f"$['{escaped}']"
+    return f"get_json_object({payload}, {lit(path)})"
 
 
-def rounded_bigint(text: Column) -> Column:
+def rounded_bigint(text: str) -> str:
     """Text to BIGINT with decimals rounded half away from zero; null when not a number."""
-    return F.round(text.try_cast("decimal(38,10)"), 0).try_cast("bigint")
+    return f"try_cast(round(try_cast({text} as decimal(38,10)), 0) as bigint)"

@@ -1,62 +1,74 @@
-"""String helpers as Column expressions (all JVM-side)."""
+"""String helpers as SQL expressions (all JVM-side)."""
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 # Character classes and fallbacks.
 NON_ALNUM = "[^A-Za-z0-9]"
-SAFE_KEY = "^[A-Za-z_][A-Za-z0-9_]*$"
+SAFE_KEY = r"^[A-Za-z_][A-Za-z0-9_]*\z"
 IRI_UNSAFE = "[^A-Za-z0-9._-]"
 UNKNOWN = "unknown"
 
 
+def lit(text: str | None) -> str:
+    """A string as a SQL literal."""
+    if text is None:
+        return "cast(null as string)"
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def names(items: list[str] | tuple[str, ...]) -> str:
+    """Strings as a list of SQL literals."""
+    return ", ".join(lit(i) for i in items)
+
+
+def string_array(items: list[str] | tuple[str, ...] = ()) -> str:
+    return f"cast(array({names(items)}) as array<string>)"
+
+
 def normalized(text: str) -> str:
     """Driver-side twin of :func:`normalize_key`, for contract metadata."""
     return re.sub(NON_ALNUM, "", text).lower()
 
 
-def normalize_key(key: Column) -> Column:
+def normalize_key(key: str) -> str:
     """Keep ASCII letters and digits, lower-case."""
-    return F.lower(F.regexp_replace(key, NON_ALNUM, ""))
+    return f"lower(regexp_replace({key}, {lit(NON_ALNUM)}, ''))"
 
 
-def is_safe_key(key: Column) -> Column:
+def is_safe_key(key: str) -> str:
     """Keys the healed view may read: plain identifiers."""
-    # `$` also matches before a trailing newline, hence the explicit test
-    return key.rlike(SAFE_KEY) & ~key.contains("\n")
+    return f"({key} rlike {lit(SAFE_KEY)})"
 
 
-def iri_part(text: Column) -> Column:
+def iri_part(text: str) -> str:
     """Keep the characters that are safe in an IRI; ``unknown`` if none is left."""
-    kept = F.regexp_replace(text, IRI_UNSAFE, "")
-    return F.when(kept == "", F.lit(UNKNOWN)).otherwise(kept)
+    kept = f"regexp_replace({text}, {lit(IRI_UNSAFE)}, '')"
+    return f"if({text} is null, null, coalesce(nullif({kept}, ''), {lit(UNKNOWN)}))"
 
 
-def escape_literal(text: Column) -> Column:
+def escape_literal(text: str) -> str:
     """Escape backslash, double quote, line feed and carriage return."""
-    out = F.replace(text, F.lit("\\"), F.lit("\\\\"))
-    out = F.replace(out, F.lit('"'), F.lit('\\"'))
-    out = F.replace(out, F.lit("\n"), F.lit("\\n"))
-    return F.replace(out, F.lit("\r"), F.lit("\\r"))
+    out = text
+    for char, escaped in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r")):
+        out = f"replace({out}, {lit(char)}, {lit(escaped)})"
+    return out
 
 
-def file_stem(file_name: Column) -> Column:
+def file_stem(file_name: str) -> str:
     """File name without its last suffix; a leading dot does not start a suffix."""
-    stem = F.regexp_extract(file_name, r"^(.+?)(\.[^.]*)?$", 1)
-    return F.coalesce(F.nullif(stem, F.lit("")), F.lit(UNKNOWN))
+    stem = f"regexp_extract({file_name}, {lit(r'^(.+?)([.][^.]*)?$')}, 1)"
+    return f"coalesce(nullif({stem}, ''), {lit(UNKNOWN)})"
 
 
-def event_key(event_id: Column, fallback_id: Column) -> Column:
-    return F.coalesce(event_id, fallback_id)
+def event_key(event_id: str, fallback_id: str) -> str:
+    return f"coalesce({event_id}, {fallback_id})"
 
 
-def timestamp_text(ts: Column) -> Column:
-    return ts.cast("string")
+def timestamp_text(ts: str) -> str:
+    return f"cast({ts} as string)"
 
 
-def wrap_total(total: Column, modulus: int) -> Column:
-    return F.pmod(total, F.lit(modulus))
+def wrap_total(total: str, modulus: int) -> str:
+    return f"pmod({total}, {modulus})"

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contractflow.contract import Constraint, Contract
+from contractflow.functions.text import lit
 from contractflow.operators.bounded import BROADCAST_LIMIT, is_small
 
 # Lexical forms of the contract datatypes.  Month lengths are part of the pattern,
@@ -22,123 +23,117 @@ NONNEG_RE = r"^(\+?[0-9]+|-0+)\z"
 
 VIOLATION_TYPE = "array<struct<shape:string,path:string,constraint:string,value:string>>"
 
-ValueOf = Callable[[str], Column]
+# SQL expression of a field's text
+ValueOf = Callable[[str], str]
 
+NOTHING = "cast(null as string)"
 
-def is_datetime(text: Column) -> Column:
+
+def is_datetime(text: str) -> str:
     """Lexically an xsd:dateTime, with a day that exists in its month."""
     # the last four digits decide about leap years
-    year = F.right(F.regexp_extract(text, "([0-9]+)-02-29T", 1), F.lit(4)).cast("int")
-    leap = (year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0))
-    return F.when(~text.rlike(DATETIME_RE), F.lit(False)).when(text.contains("-02-29T"), leap).otherwise(F.lit(True))
+    year = f"cast(right(regexp_extract({text}, '([0-9]+)-02-29T', 1), 4) as int)"
+    leap = f"({year} % 4 = 0 and ({year} % 100 <> 0 or {year} % 400 = 0))"
+    return f"case when not ({text} rlike {lit(DATETIME_RE)}) then false when contains({text}, '-02-29T') then {leap} else true end"
 
 
-def is_non_negative_integer(text: Column) -> Column:
-    return text.rlike(NONNEG_RE)
+def is_non_negative_integer(text: str) -> str:
+    return f"({text} rlike {lit(NONNEG_RE)})"
 
 
-def datatype_holds(text: Column, datatype: str) -> Column:
+def datatype_holds(text: str, datatype: str) -> str:
     if datatype == "dateTime":
         return is_datetime(text)
     if datatype == "nonNegativeInteger":
         return is_non_negative_integer(text)
-    return F.lit(True)
+    return "true"
 
 
-def constraint_fails(c: Constraint, value: Column) -> Column:
-    """Whether a single-valued path breaks a constraint (minCount and maxCount count 0 or 1 here)."""
+def constraint_fails(c: Constraint, value: str) -> str:
+    """Whether a single-valued path breaks a constraint; never null."""
     if c.constraint == "minCount":
-        return value.isNull() & F.lit(int(c.value) >= 1) if int(c.value) <= 1 else F.lit(True)
+        return f"({value} is null)" if int(c.value) == 1 else str(int(c.value) > 1).lower()
     if c.constraint == "maxCount":
-        return value.isNotNull() if int(c.value) < 1 else F.lit(False)
+        return "false" if int(c.value) >= 1 else f"({value} is not null)"
     if c.constraint == "minLength":
-        return F.coalesce(F.char_length(value) < int(c.value), F.lit(False))
+        return f"coalesce(char_length({value}) < {int(c.value)}, false)"
     if c.constraint == "datatype":
-        return F.coalesce(~datatype_holds(value, c.value), F.lit(False))
+        return "false" if c.value == "string" else f"coalesce(not {datatype_holds(value, c.value)}, false)"
     raise ValueError(f"{c.constraint} is not a value constraint")
 
 
-def _entries(contract: Contract, value_of: ValueOf) -> list[tuple[Constraint, Column, Column]]:
+def _any(tests: list[str]) -> str:
+    return "(" + " or ".join(tests or ["false"]) + ")"
+
+
+def _entries(contract: Contract, value_of: ValueOf) -> list[tuple[Constraint, str, str]]:
     """(constraint, failed, offending value) for the root shape and every linked shape."""
-    out: list[tuple[Constraint, Column, Column]] = []
     fields = {(f.node_class, f.path): f.name for f in contract.fields}
     links = {f.link_path: f for f in contract.fields if f.link_path}
+
+    def at(node_class: str, path: str) -> str:
+        name = fields.get((node_class, path))
+        return value_of(name) if name else NOTHING
+
+    out: list[tuple[Constraint, str, str]] = []
     for c in contract.constraints:
-        if c.target_class == contract.root_class:
-            if c.path in links:
-                linked = links[c.path]
-                value = value_of(linked.name)
-                if c.constraint == "class":
-                    # a linked node is always built with the class of its field
-                    failed = value.isNotNull() if c.value != linked.node_class else F.lit(False)
-                elif c.constraint == "node":
-                    failed = F.lit(False)
-                    for inner in contract.of(c.value):
-                        inner_field = fields.get((linked.node_class, inner.path))
-                        inner_value = value_of(inner_field) if inner_field else F.lit(None).cast("string")
-                        failed = failed | constraint_fails(inner, inner_value)
-                    failed = value.isNotNull() & failed
-                else:
-                    failed = constraint_fails(c, value)
-            else:
-                name = fields.get((c.target_class, c.path))
-                value = value_of(name) if name else F.lit(None).cast("string")
-                failed = constraint_fails(c, value)
-        else:
+        if c.target_class != contract.root_class:
             # shapes of linked nodes apply where the node exists
-            name = fields.get((c.target_class, c.path))
-            value = value_of(name) if name else F.lit(None).cast("string")
             owner = next((f.name for f in contract.fields if f.node_class == c.target_class), None)
-            exists = value_of(owner).isNotNull() if owner else F.lit(False)
-            failed = exists & constraint_fails(c, value)
-        out.append((c, failed, value))
-    return out
+            value = at(c.target_class, c.path)
+            exists = f"{value_of(owner)} is not null" if owner else "false"
+            out.append((c, f"({exists} and {constraint_fails(c, value)})", value))
+        elif c.path not in links:
+            value = at(c.target_class, c.path)
+            out.append((c, constraint_fails(c, value), value))
+        else:
+            linked = links[c.path]
+            value = value_of(linked.name)
+            if c.constraint == "class":
+                # a linked node is always built with the class of its field
+                failed = "false" if c.value == linked.node_class else f"({value} is not null)"
+            elif c.constraint == "node":
+                inner = [constraint_fails(i, at(linked.node_class, i.path)) for i in contract.of(c.value)]
+                failed = f"({value} is not null and {_any(inner)})"
+            else:
+                failed = constraint_fails(c, value)
+            out.append((c, failed, value))
+    return [(c, failed, value) for c, failed, value in out if failed != "false"]
 
 
-def conforms(contract: Contract, value_of: ValueOf) -> Column:
+def conforms(contract: Contract, value_of: ValueOf) -> str:
     """All constraints hold."""
-    ok = F.lit(True)
-    for _, failed, _ in _entries(contract, value_of):
-        ok = ok & ~failed
-    return ok
+    return f"not {_any([failed for _, failed, _ in _entries(contract, value_of)])}"
 
 
-def violation_list(contract: Contract, value_of: ValueOf) -> Column:
+def violation_list(contract: Contract, value_of: ValueOf) -> str:
     """Array of the constraints that fail."""
     found = [
-        F.when(
-            failed,
-            F.struct(
-                F.lit(c.shape).alias("shape"),
-                F.lit(c.path).alias("path"),
-                F.lit(c.constraint).alias("constraint"),
-                value.cast("string").alias("value"),
-            ),
-        )
+        f"if({failed}, named_struct('shape', {lit(c.shape)}, 'path', {lit(c.path)}, "
+        f"'constraint', {lit(c.constraint)}, 'value', cast({value} as string)), null)"
         for c, failed, value in _entries(contract, value_of)
-        if not (c.constraint == "maxCount" and int(c.value) >= 1)
     ]
-    return F.array_compact(F.array(*found)).cast(VIOLATION_TYPE)
+    return f"cast(array_compact(array({', '.join(found)})) as {VIOLATION_TYPE})"
 
 
 def columns_as_values(mapping: dict[str, str]) -> ValueOf:
     """Read fields from plain table columns."""
-    return lambda field: F.col(mapping[field]).cast("string")
+    return lambda field: f"cast(`{mapping[field]}` as string)"
 
 
 def values_in(column: str = "values") -> ValueOf:
     """Read fields from a struct column with one member per field."""
-    return lambda field: F.col(f"{column}.`{field}`")
+    return lambda field: f"`{column}`.`{field}`"
 
 
 def validate(df: DataFrame, contract: Contract, value_of: ValueOf) -> DataFrame:
     """Add ``conforms``."""
-    return df.withColumn("conforms", conforms(contract, value_of))
+    return df.selectExpr("*", f"{conforms(contract, value_of)} as conforms")
 
 
 def violations(df: DataFrame, contract: Contract, value_of: ValueOf, keep: list[str]) -> DataFrame:
     """Report: one row per failed constraint with the ``keep`` columns of its row."""
-    return df.select(*keep, F.inline(violation_list(contract, value_of)))
+    return df.selectExpr(*keep, f"inline({violation_list(contract, value_of)})")
 
 
 def reference_violations(

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contractflow.functions.crypto import MODULUS
 from contractflow.functions.json import enable_duplicate_keys, is_valid_json
+from contractflow.functions.text import lit
 from contractflow.operators.metrics import metric_value
 from contractflow.sources.identity import ORD_TYPE
 
@@ -18,19 +19,17 @@ DECISION_SCHEMA = (
     "fields map<string,string>"
 )
 LINE_SCHEMA = "ts_ms bigint, level string, target string, message string, fields map<string,string>"
-ENTRY_TYPE = "struct<level:string,stage:string,message:string,fields:map<string,string>>"
 
 
-def _entry(level: str, stage: str, message: str, **fields: Column) -> Column:
-    pairs = [x for name, value in fields.items() for x in (F.lit(name), value.cast("string"))]
-    return F.struct(
-        F.lit(level).alias("level"), F.lit(stage).alias("stage"), F.lit(message).alias("message"),
-        F.create_map(*pairs).alias("fields"),
-    ).cast(ENTRY_TYPE)
+def _entry(level: str, stage: str, message: str, **fields: str) -> str:
+    pairs = ", ".join(f"{lit(name)}, {value}" for name, value in fields.items())
+    return (
+        f"named_struct('level', {lit(level)}, 'stage', {lit(stage)}, 'message', {lit(message)}, 'fields', map({pairs}))"
+    )
 
 
-def _joined(keys: Column) -> Column:
-    return F.array_join(keys, ",")
+def _joined(keys: str) -> str:
+    return f"array_join({keys}, ',')"
 
 
 def decision_log(judged: DataFrame, encrypting: bool = True, modulus: int = MODULUS) -> DataFrame:
@@ -38,48 +37,30 @@ def decision_log(judged: DataFrame, encrypting: bool = True, modulus: int = MODU
 
     Stages: breach, healed, denied, ambiguous, metric_failed, conforms, not_conforming.
     """
-    source = F.col("source")
-    missing_before = F.col("missing_before")
-
-    def repair(r: Column) -> Column:
-        return (
-            F.when(
-                r["outcome"] == "healed",
-                _entry("INFO", "healed", "renamed field recognised", source=source, canonical=r["canonical"], raw_key=r["raw_key"]),
-            )
-            .when(
-                r["outcome"] == "denied",
-                _entry("WARN", "denied", "policy refused the renamed field", origin=F.col("origin"), canonical=r["canonical"], raw_key=r["raw_key"]),
-            )
-            .when(
-                r["outcome"] == "ambiguous",
-                _entry("WARN", "ambiguous", "several keys disagree, none taken", source=source, canonical=r["canonical"], candidates=_joined(r["candidates"])),
-            )
-        )
-
-    value = metric_value(F.col("values.msPlayed"))
-    owner = F.col("values.userId")
-    failed = owner.isNotNull() & (value >= modulus) if encrypting else F.lit(False)
-    verdict = F.when(F.col("conforms"), _entry("INFO", "conforms", "event conforms to the contract", source=source)).otherwise(
-        _entry("WARN", "not_conforming", "event does not conform, kept for audit", source=source, missing=_joined(F.col("missing_required")))
+    breach = _entry("WARN", "breach", "required fields are missing", source="source", missing=_joined("missing_before"))
+    field = {"canonical": "r.canonical", "raw_key": "r.raw_key"}
+    healed = _entry("INFO", "healed", "renamed field recognised", source="source", **field)
+    denied = _entry("WARN", "denied", "policy refused the renamed field", origin="origin", **field)
+    ambiguous = _entry(
+        "WARN", "ambiguous", "several keys disagree, none taken",
+        source="source", canonical="r.canonical", candidates=_joined("r.candidates"),
     )
-    entries = F.concat(
-        F.array(
-            F.when(
-                F.size(missing_before) > 0,
-                _entry("WARN", "breach", "required fields are missing", source=source, missing=_joined(missing_before)),
-            )
-        ),
-        F.transform(F.col("repairs"), repair),
-        F.array(
-            F.when(failed, _entry("WARN", "metric_failed", "value cannot be encrypted", source=source)),
-            verdict,
-        ),
+    repair = (
+        f"case r.outcome when 'healed' then {healed} when 'denied' then {denied} when 'ambiguous' then {ambiguous} end"
     )
-    return (
-        judged.select("ord", F.col("received_at").alias("ts"), F.posexplode(F.array_compact(entries)).alias("seq", "entry"))
-        .select("ord", "seq", "ts", "entry.*")
+    failed = f"values.userId is not null and {metric_value('values.msPlayed')} >= {modulus}" if encrypting else "false"
+    metric = _entry("WARN", "metric_failed", "value cannot be encrypted", source="source")
+    good = _entry("INFO", "conforms", "event conforms to the contract", source="source")
+    bad = _entry(
+        "WARN", "not_conforming", "event does not conform, kept for audit",
+        source="source", missing=_joined("missing_required"),
+    )
+    entries = (
+        f"array_compact(concat(if(size(missing_before) > 0, array({breach}), array()), "
+        f"transform(repairs, r -> {repair}), array(if({failed}, {metric}, null), if(conforms, {good}, {bad}))))"
     )
+    log = judged.selectExpr("ord", "received_at as ts", f"posexplode({entries}) as (seq, entry)")
+    return log.selectExpr("ord", "seq", "ts", "entry.level", "entry.stage", "entry.message", "entry.fields")
 
 
 def level_filter(log: DataFrame, minimum: str) -> DataFrame:
@@ -107,20 +88,14 @@ def to_lines(log: DataFrame) -> DataFrame:
     )
 
 
-def parse_decision_lines(lines: DataFrame, received_at: Column | None = None) -> DataFrame:
+def parse_decision_lines(lines: DataFrame, received_at: str = "current_timestamp()") -> DataFrame:
     """Decision rows from text lines; a line that is no JSON object becomes an ERROR row with its text."""
     enable_duplicate_keys(lines.sparkSession)
-    moment = F.current_timestamp() if received_at is None else received_at
-    line = F.col("value")
-    good = is_valid_json(line) & F.ltrim(line).startswith("{")
-    entry = F.when(good, F.from_json(line, LINE_SCHEMA)).otherwise(
-        F.struct(
-            F.unix_millis(moment).alias("ts_ms"),
-            F.lit("ERROR").alias("level"),
-            F.lit("console").alias("target"),
-            F.concat(F.lit("failed to parse decision line: "), line).alias("message"),
-            F.create_map().cast("map<string,string>").alias("fields"),
-        )
+    good = f"{is_valid_json('value')} and startswith(ltrim(value), '{{')"
+    broken = (
+        f"named_struct('ts_ms', unix_millis({received_at}), 'level', 'ERROR', 'target', 'console', "
+        "'message', concat('failed to parse decision line: ', value), 'fields', cast(map() as map<string,string>))"
     )
     keep = [c for c in lines.columns if c != "value"]
-    return lines.select(*keep, entry.alias("e")).select(*keep, "e.*")
+    entry = f"if({good}, from_json(value, {lit(LINE_SCHEMA)}), {broken}) as e"
+    return lines.selectExpr(*keep, entry).select(*keep, "e.*")

@@ -2,87 +2,70 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from contractflow.contract import Contract
+from contractflow.functions.text import lit
 from contractflow.operators.extract import resolved_text, slot, with_hits
 from contractflow.operators.registry import Aliases
 
 # Match outcomes.
 NONE, UNIQUE, AMBIGUOUS = "none", "unique", "ambiguous"
 
-MATCH_TYPE = "struct<outcome:string,raw_key:string,candidates:array<string>>"
+CANDIDATE_TYPE = "struct<canonical:string,outcome:string,raw_key:string,candidates:array<string>>"
 
 
-def alias_match(others: Column, used: Column | None = None) -> Column:
-    """Match a missing field against the event's keys of the same normal form.
+def unclaimed(others: str, used: str) -> str:
+    """Entries whose key is not claimed by another field."""
+    return f"filter({others}, o -> not array_contains({used}, o.key))"
 
-    One key is taken without a look at its value.  Several are taken (alphabetically first) only
-    if their scalar texts agree, where a value without scalar text counts as "none".  Keys in
-    ``used`` are claimed by another field and do not take part.
+
+def agreeing(others: str) -> str:
+    """One entry, or several with the same scalar text (where no scalar text counts as a text)."""
+    return f"size(array_distinct(transform({others}, o -> if(o.scalar, o.text, null)))) = 1"
+
+
+def alias_match(canonical: str, others: str) -> str:
+    """Match a missing field against the event's keys of the same normal form, which are sorted.
+
+    One key is taken without a look at its value, several (the first one) only if they agree.
     """
-    free = F.coalesce(others, F.array())
-    if used is not None:
-        free = F.filter(free, lambda o: ~F.array_contains(used, o["key"]))
-    count = F.size(free)
-    texts = F.transform(free, lambda o: F.when(o["scalar"], o["text"]))
-    agree = (count == 1) | (F.size(F.array_distinct(texts)) == 1)
-    keys = F.transform(free, lambda o: o["key"])
-    outcome = F.when(count == 0, NONE).when(agree, UNIQUE).otherwise(AMBIGUOUS)
-    return F.struct(
-        outcome.alias("outcome"),
-        F.when((count > 0) & agree, F.array_min(keys)).alias("raw_key"),
-        keys.alias("candidates"),
-    ).cast(MATCH_TYPE)
-
-
-def missing_matches(contract: Contract, moment: str = "before") -> Column:
+    found = f"coalesce(size({others}), 0)"
+    outcome = f"case when {found} <= 0 then '{NONE}' when {agreeing(others)} then '{UNIQUE}' else '{AMBIGUOUS}' end"
+    raw_key = f"if({found} > 0 and {agreeing(others)}, {others}[0].key, null)"
+    keys = f"coalesce(transform({others}, o -> o.key), array())"
+    return (
+        f"cast(named_struct('canonical', {lit(canonical)}, 'outcome', {outcome}, 'raw_key', {raw_key}, "
+        f"'candidates', {keys}) as {CANDIDATE_TYPE})"
+    )
+
+
+def missing_matches(contract: Contract, moment: str = "before") -> str:
     """Array of struct<canonical, outcome, raw_key, candidates>, one per missing required field."""
-    found = []
-    for n in contract.required:
-        m = alias_match(slot(n)["others"])
-        found.append(
-            F.when(
-                resolved_text(n, moment).isNull(),
-                F.struct(
-                    F.lit(n).alias("canonical"),
-                    m["outcome"].alias("outcome"),
-                    m["raw_key"].alias("raw_key"),
-                    m["candidates"].alias("candidates"),
-                ),
-            )
-        )
-    return F.array_compact(F.array(*found))
+    parts = [
+        f"if({resolved_text(n, moment)} is null, array({alias_match(n, slot(n, 'others'))}), "
+        f"cast(array() as array<{CANDIDATE_TYPE}>))"
+        for n in contract.required
+    ]
+    return f"concat({', '.join(parts)})"
 
 
 def rename_candidates(
     events: DataFrame, aliases: Aliases, contract: Contract, timeless: bool = True
 ) -> DataFrame:
     """One row per event and missing required field: ``canonical, outcome, raw_key, candidates``."""
-    keep = [c for c in events.columns if c != "slots"]
-    return with_hits(events, aliases, contract, timeless).select(*keep, F.inline(missing_matches(contract)))
+    keep = [f"`{c}`" for c in events.columns if c != "slots"]
+    return with_hits(events, aliases, contract, timeless).selectExpr(*keep, f"inline({missing_matches(contract)})")
 
 
 def event_keys(events: DataFrame, contract: Contract) -> DataFrame:
     """Exploded keys of the event's slots: ``canonical, raw_key, text, scalar``."""
     rows = [
-        F.when(
-            slot(n)["text"].isNotNull(),
-            F.array(
-                F.struct(
-                    F.lit(n).alias("canonical"), F.lit(n).alias("raw_key"), slot(n)["text"].alias("text"), F.lit(True).alias("scalar")
-                )
-            ),
-        ).otherwise(
-            F.transform(
-                F.coalesce(slot(n)["others"], F.array()),
-                lambda o, n=n: F.struct(
-                    F.lit(n).alias("canonical"), o["key"].alias("raw_key"), o["text"].alias("text"), o["scalar"].alias("scalar")
-                ),
-            )
-        )
+        f"if({slot(n, 'text')} is not null, "
+        f"array(named_struct('canonical', {lit(n)}, 'raw_key', {lit(n)}, 'text', {slot(n, 'text')}, 'scalar', true)), "
+        f"transform(coalesce({slot(n, 'others')}, array()), "
+        f"o -> named_struct('canonical', {lit(n)}, 'raw_key', o.key, 'text', o.text, 'scalar', o.scalar)))"
         for n in contract.names
     ]
-    keep = [c for c in events.columns if c != "slots"]
-    return events.select(*keep, F.inline(F.flatten(F.array(*rows))))
+    keep = [f"`{c}`" for c in events.columns if c != "slots"]
+    return events.selectExpr(*keep, f"inline(flatten(array({', '.join(rows)})))")

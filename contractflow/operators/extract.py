@@ -2,51 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contractflow.contract import Contract
+from contractflow.functions.text import lit, string_array
 from contractflow.operators.bounded import lookup_join
 from contractflow.operators.fence import fenced
-from contractflow.operators.registry import Alias, Aliases, position_literal
+from contractflow.operators.registry import Alias, Aliases, position_sql
 from contractflow.sources.identity import ORD_TYPE
 
 HIT_TYPE = f"struct<pos:{ORD_TYPE},key:string,text:string>"
 
 
-def no_names() -> Column:
-    return F.array().cast("array<string>")
+def slot(field: str, part: str) -> str:
+    """``text`` or ``others`` of a field's slot."""
+    return f"slots.`{field}`.{part}"
 
 
-def slot(field: str) -> Column:
-    return F.col(f"slots.`{field}`")
-
-
-def positions(aliases: list[Alias], field: str) -> Column:
+def positions(aliases: list[Alias], field: str) -> str:
     """Literal map of a field's raw keys to the positions they were learned at."""
-    pairs: list[Column] = []
-    for a in aliases:
-        if a.canonical == field:
-            pairs += [F.lit(a.raw_key), position_literal(a.pos)]
-    return F.create_map(*pairs)
-
+    pairs = [f"{lit(a.raw_key)}, {position_sql(a.pos)}" for a in aliases if a.canonical == field]
+    return f"map({', '.join(pairs)})" if pairs else f"cast(map() as map<string,{ORD_TYPE}>)"
 
-def _first_known(others: Column, known: Column, seen: Column | None) -> Column:
-    """The earliest learned alias among the scalar entries, limited to positions in ``seen``."""
 
-    def usable(o: Column) -> Column:
-        pos = F.try_element_at(known, o["key"])
-        ok = o["scalar"] & pos.isNotNull()
-        return ok if seen is None else ok & seen(pos)
-
-    return F.array_min(
-        F.transform(
-            F.filter(others, usable),
-            lambda o: F.struct(
-                F.try_element_at(known, o["key"]).alias("pos"), o["key"].alias("key"), o["text"].alias("text")
-            ),
-        )
-    ).cast(HIT_TYPE)
+def entry_rows(contract: Contract, condition: str = "true") -> str:
+    """All ``others`` entries of an event as array<struct<canonical, raw_key, text>>."""
+    per_field = [
+        f"coalesce(transform(filter({slot(n, 'others')}, o -> {condition}), "
+        f"o -> named_struct('canonical', {lit(n)}, 'raw_key', o.key, 'text', o.text)), array())"
+        for n in contract.names
+    ]
+    return f"flatten(array({', '.join(per_field)}))"
 
 
 def with_hits(events: DataFrame, aliases: Aliases, contract: Contract, timeless: bool = False) -> DataFrame:
@@ -60,100 +47,79 @@ def with_hits(events: DataFrame, aliases: Aliases, contract: Contract, timeless:
     return _hits_joined(events, aliases, contract, timeless)
 
 
+def _moments(timeless: bool, pos: str) -> dict[str, str]:
+    if timeless:
+        return {"before": f"{pos} is not null", "after": f"{pos} is not null"}
+    return {"before": f"{pos} < ord", "after": f"{pos} <= ord"}
+
+
 def _hits_inline(events: DataFrame, aliases: list[Alias], contract: Contract, timeless: bool) -> DataFrame:
-    def pair(field: str) -> Column:
-        others, known = slot(field)["others"], positions(aliases, field)
-        worth = F.size(others) > 0
-        if timeless:
-            hit = F.when(worth, _first_known(others, known, None))
-            return F.struct(hit.alias("before"), hit.alias("after")).alias(field)
-        ord_ = F.col("ord")
-        return F.struct(
-            F.when(worth, _first_known(others, known, lambda p: p < ord_)).alias("before"),
-            F.when(worth, _first_known(others, known, lambda p: p <= ord_)).alias("after"),
-        ).alias(field)
+    def placed(field: str) -> str:
+        others, known = slot(field, "others"), positions(aliases, field)
+        entry = f"named_struct('pos', if(o.scalar, try_element_at({known}, o.key), null), 'key', o.key, 'text', o.text)"
+        return f"if(size({others}) > 0, transform({others}, o -> {entry}), null) as `__at_{field}`"
+
+    def hit(field: str) -> str:
+        parts = [
+            f"'{moment}', array_min(filter(`__at_{field}`, a -> {test}))"
+            for moment, test in _moments(timeless, "a.pos").items()
+        ]
+        return f"{lit(field)}, named_struct({', '.join(parts)})"
 
-    return fenced(events, {"hits": F.struct(*[pair(n) for n in contract.names])})
+    columns = events.columns
+    ready = events.selectExpr("*", *[placed(n) for n in contract.names])
+    hits = f"named_struct({', '.join(hit(n) for n in contract.names)})"
+    return fenced(ready, {"hits": hits}).select(*columns, "hits")
 
 
 def _hits_joined(events: DataFrame, registry: DataFrame, contract: Contract, timeless: bool) -> DataFrame:
     """The same through a join, for registries too large to inline.  ``ord`` identifies the event."""
-    entries = F.flatten(
-        F.array(
-            *[
-                F.transform(
-                    F.coalesce(F.filter(slot(n)["others"], lambda o: o["scalar"]), F.array()),
-                    lambda o, n=n: F.struct(
-                        F.lit(n).alias("canonical"), o["key"].alias("raw_key"), o["text"].alias("text")
-                    ),
-                )
-                for n in contract.names
-            ]
-        )
-    )
-    keyed = events.select("ord", F.inline(entries))
-    known = registry.select("canonical", "raw_key", F.col("learned_pos").alias("pos"))
+    keyed = events.selectExpr("ord", f"inline({entry_rows(contract, 'o.scalar')})")
+    known = registry.selectExpr("canonical", "raw_key", "learned_pos as pos")
     found = lookup_join(keyed, known, ["canonical", "raw_key"], "inner", spread=F.col("ord"))
-    hit = F.struct(F.col("pos"), F.col("raw_key").alias("key"), F.col("text"))
     aggs = []
     for n in contract.names:
-        mine = F.col("canonical") == n
-        before = F.lit(True) if timeless else F.col("pos") < F.col("ord")
-        after = F.lit(True) if timeless else F.col("pos") <= F.col("ord")
-        aggs.append(
-            F.struct(
-                F.min(F.when(mine & before, hit)).cast(HIT_TYPE).alias("before"),
-                F.min(F.when(mine & after, hit)).cast(HIT_TYPE).alias("after"),
-            ).alias(n)
-        )
-    hits = found.groupBy("ord").agg(F.struct(*aggs).alias("hits"))
+        parts = [
+            f"'{moment}', min(if(canonical = {lit(n)} and {test}, named_struct('pos', pos, 'key', raw_key, 'text', text), null))"
+            for moment, test in _moments(timeless, "pos").items()
+        ]
+        aggs.append(f"{lit(n)}, named_struct({', '.join(parts)})")
+    hits = found.groupBy("ord").agg(F.expr(f"named_struct({', '.join(aggs)}) as hits"))
     return events.join(hits, "ord", "left")
 
 
-def resolved_text(field: str, moment: str = "after") -> Column:
-    return F.coalesce(slot(field)["text"], F.col(f"hits.`{field}`.{moment}.text"))
+def resolved_text(field: str, moment: str = "after") -> str:
+    return f"coalesce({slot(field, 'text')}, hits.`{field}`.{moment}.text)"
 
 
-def resolved_key(field: str, moment: str = "after") -> Column:
-    return F.when(slot(field)["text"].isNotNull(), F.lit(field)).otherwise(F.col(f"hits.`{field}`.{moment}.key"))
+def resolved_key(field: str, moment: str = "after") -> str:
+    return f"if({slot(field, 'text')} is not null, {lit(field)}, hits.`{field}`.{moment}.key)"
 
 
-def values_struct(contract: Contract) -> Column:
-    return F.struct(*[resolved_text(n).alias(n) for n in contract.names])
+def values_struct(contract: Contract) -> str:
+    return f"named_struct({', '.join(f'{lit(n)}, {resolved_text(n)}' for n in contract.names)})"
 
 
-def via_struct(contract: Contract) -> Column:
-    return F.struct(*[resolved_key(n).alias(n) for n in contract.names])
+def via_struct(contract: Contract) -> str:
+    return f"named_struct({', '.join(f'{lit(n)}, {resolved_key(n)}' for n in contract.names)})"
 
 
-def any_missing(contract: Contract, moment: str = "after") -> Column:
-    found = F.lit(False)
-    for n in contract.required:
-        found = found | resolved_text(n, moment).isNull()
-    return found
+def any_missing(contract: Contract, moment: str = "after") -> str:
+    return "(" + " or ".join(f"{resolved_text(n, moment)} is null" for n in contract.required) + ")"
 
 
-def _present(pairs: list[tuple[str, Column]]) -> Column:
-    entries = F.array(*[F.struct(F.lit(n).alias("key"), c.alias("value")) for n, c in pairs])
-    return F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
-
-
-def values_map(contract: Contract) -> Column:
-    return _present([(n, resolved_text(n)) for n in contract.names])
+def missing_fields(contract: Contract, moment: str = "after") -> str:
+    """Required fields without a value, in contract order."""
+    parts = [
+        f"if({resolved_text(n, moment)} is null, {string_array([n])}, {string_array()})" for n in contract.required
+    ]
+    return f"concat({', '.join(parts)})"
 
 
-def via_map(contract: Contract) -> Column:
-    return _present([(n, resolved_key(n)) for n in contract.names])
-
-
-def missing_fields(contract: Contract, moment: str = "after") -> Column:
-    """Required fields without a value, in contract order."""
-    return F.concat(
-        *[
-            F.when(resolved_text(n, moment).isNull(), F.array(F.lit(n))).otherwise(no_names())
-            for n in contract.required
-        ]
-    )
+def _present(struct: str, contract: Contract) -> str:
+    """A struct of fields as a map of those that are not null."""
+    entries = ", ".join(f"named_struct('key', {lit(n)}, 'value', {struct}.`{n}`)" for n in contract.names)
+    return f"map_from_entries(filter(array({entries}), e -> e.value is not null))"
 
 
 def extract_canonical(events: DataFrame, aliases: Aliases, contract: Contract, timeless: bool = True) -> DataFrame:
@@ -162,12 +128,17 @@ def extract_canonical(events: DataFrame, aliases: Aliases, contract: Contract, t
     The canonical name is tried first, then aliases in the order they were learned; only scalar
     values count.
     """
-    via = via_map(contract)
-    return (
-        with_hits(events, aliases, contract, timeless)
-        .withColumns(
-            {"values": values_map(contract), "resolved_via": via, "missing_required": missing_fields(contract)}
-        )
-        .withColumn("used_raw_keys", F.map_values("resolved_via"))
-        .drop("hits")
+    columns = events.columns
+    found = with_hits(events, aliases, contract, timeless).selectExpr(
+        *[f"`{c}`" for c in columns],
+        f"{values_struct(contract)} as __values",
+        f"{via_struct(contract)} as __via",
+        f"{missing_fields(contract)} as missing_required",
+    )
+    maps = found.selectExpr(
+        *[f"`{c}`" for c in columns],
+        f"{_present('__values', contract)} as values",
+        f"{_present('__via', contract)} as resolved_via",
+        "missing_required",
     )
+    return maps.selectExpr("*", "map_values(resolved_via) as used_raw_keys")

@@ -8,13 +8,12 @@ finished columns through a generator of exactly one row pins them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 
-def fenced(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """Add or replace columns that are computed once per row, whatever follows."""
-    keep = [F.col(f"`{c}`") for c in df.columns if c not in columns]
-    ready = df.select(*keep, *[c.alias(f"__{name}") for name, c in columns.items()])
-    pinned = F.inline(F.array(F.struct(*[F.col(f"`__{name}`").alias(name) for name in columns])))
-    return ready.select(*keep, pinned)
+def fenced(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Add or replace columns, given as SQL expressions, that are computed once per row."""
+    keep = [f"`{c}`" for c in df.columns if c not in columns]
+    ready = df.selectExpr(*keep, *[f"{e} as `__{name}`" for name, e in columns.items()])
+    pinned = ", ".join(f"'{name}', `__{name}`" for name in columns)
+    return ready.selectExpr(*keep, f"inline(array(named_struct({pinned})))")

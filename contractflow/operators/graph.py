@@ -6,11 +6,11 @@ so it spreads evenly whatever users or tracks the events mention.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contractflow.contract import Contract
-from contractflow.functions.text import escape_literal, event_key, iri_part
+from contractflow.contract import Constraint, Contract
+from contractflow.functions.text import escape_literal, event_key, iri_part, lit, names
 from contractflow.operators.checks import ValueOf, datatype_holds
 
 # Standard vocabularies.
@@ -26,37 +26,31 @@ def vocabulary(base: str = DEFAULT_BASE) -> str:
     return f"{base}ontology#"
 
 
-def _triple(s: Column, p: str, o: Column, kind: str, datatype: str | None = None) -> Column:
-    return F.when(
-        o.isNotNull(),
-        F.struct(
-            s.alias("s"),
-            F.lit(p).alias("p"),
-            o.alias("o"),
-            F.lit(kind).alias("o_kind"),
-            F.lit(datatype).cast("string").alias("datatype"),
-        ),
+def _triple(s: str, p: str, o: str, kind: str, datatype: str | None = None) -> str:
+    return (
+        f"if({o} is null, null, named_struct('s', {s}, 'p', {lit(p)}, 'o', {o}, "
+        f"'o_kind', {lit(kind)}, 'datatype', {lit(datatype)}))"
     )
 
 
-def triples_of(contract: Contract, value_of: ValueOf, fallback_id: Column, base: str = DEFAULT_BASE) -> Column:
+def triples_of(contract: Contract, value_of: ValueOf, fallback_id: str, base: str = DEFAULT_BASE) -> str:
     """The triples of one event; fields without a value are left out, the root node never is."""
     ns = vocabulary(base)
     root_field = next(f for f in contract.fields if f.node_class == contract.root_class)
-    root = F.concat(F.lit(f"{base}event/"), iri_part(event_key(value_of(root_field.name), fallback_id)))
+    root = f"concat({lit(f'{base}event/')}, {iri_part(event_key(value_of(root_field.name), fallback_id))})"
     declared = {(c.target_class, c.path): c.value for c in contract.constraints if c.constraint == "datatype"}
-    out = [_triple(root, RDF_TYPE, F.lit(ns + contract.root_class), "iri")]
+    out = [_triple(root, RDF_TYPE, lit(ns + contract.root_class), "iri")]
     for f in contract.fields:
         value = value_of(f.name)
         datatype = XSD + declared.get((f.node_class, f.path), "string")
         if f.node_class == contract.root_class:
             out.append(_triple(root, ns + f.path, value, "literal", datatype))
         else:
-            node = F.concat(F.lit(f"{base}{f.node_class.lower()}/"), iri_part(value))
+            node = f"concat({lit(f'{base}{f.node_class.lower()}/')}, {iri_part(value)})"
             out.append(_triple(root, ns + f.link_path, node, "iri"))
-            out.append(_triple(node, RDF_TYPE, F.when(value.isNotNull(), F.lit(ns + f.node_class)), "iri"))
+            out.append(_triple(node, RDF_TYPE, f"if({value} is null, null, {lit(ns + f.node_class)})", "iri"))
             out.append(_triple(node, ns + f.path, value, "literal", datatype))
-    return F.array_compact(F.array(*out)).cast(TRIPLE_TYPE)
+    return f"cast(array_compact(array({', '.join(out)})) as {TRIPLE_TYPE})"
 
 
 def to_triples(
@@ -64,21 +58,22 @@ def to_triples(
 ) -> DataFrame:
     """``s, p, o, o_kind, datatype`` of every event next to the ``keep`` columns."""
     keep = ["ord"] if keep is None else keep
-    return events.select(*keep, F.inline(triples_of(contract, value_of, F.col("fallback_id"), base)))
+    return events.selectExpr(*keep, f"inline({triples_of(contract, value_of, 'fallback_id', base)})")
 
 
-def ntriples_line() -> Column:
+def ntriples_line() -> str:
     """One triple as an N-Triples line; plain strings carry no datatype."""
-    literal = F.concat(F.lit('"'), escape_literal(F.col("o")), F.lit('"'))
-    typed = F.when(
-        F.col("datatype").isNull() | (F.col("datatype") == XSD + "string"), literal
-    ).otherwise(F.concat(literal, F.lit("^^<"), F.col("datatype"), F.lit(">")))
-    target = F.when(F.col("o_kind") == "iri", F.concat(F.lit("<"), F.col("o"), F.lit(">"))).otherwise(typed)
-    return F.concat(F.lit("<"), F.col("s"), F.lit("> <"), F.col("p"), F.lit("> "), target, F.lit(" ."))
+    literal = f"""concat('"', {escape_literal('o')}, '"')"""
+    plain = f"datatype is null or datatype = {lit(XSD + 'string')}"
+    target = (
+        f"case when o_kind = 'iri' then concat('<', o, '>') when {plain} then {literal} "
+        f"else concat({literal}, '^^<', datatype, '>') end"
+    )
+    return f"concat('<', s, '> <', p, '> ', {target}, ' .')"
 
 
 def ntriples(triples: DataFrame) -> DataFrame:
-    return triples.select(ntriples_line().alias("value"))
+    return triples.selectExpr(f"{ntriples_line()} as value")
 
 
 def export_ntriples(triples: DataFrame, path: str, mode: str = "error") -> None:
@@ -103,85 +98,70 @@ def graph_violations(
     so partial aggregation applies before the shuffle.
     """
     ns = vocabulary(base)
-    literal = F.col("o_kind") == "literal"
-    facts: dict[str, Column] = {}
+    facts: dict[str, str] = {}
     valued = [c for c in contract.constraints if c.constraint not in ("class", "node")]
-    for cls in {c.target_class for c in contract.constraints}:
-        facts[f"is_{cls}"] = F.max(
-            F.when((F.col("p") == RDF_TYPE) & (F.col("o") == ns + cls), F.lit(1)).otherwise(F.lit(0))
-        )
+    linked = [c for c in contract.constraints if c.constraint in ("class", "node")]
+    classes = sorted({c.target_class for c in contract.constraints} | {c.value for c in linked if c.constraint == "class"})
+    for cls in classes:
+        facts[f"is_{cls}"] = f"max(if(p = {lit(RDF_TYPE)} and o = {lit(ns + cls)}, 1, 0))"
     for c in valued:
-        on_path = F.col("p") == ns + c.path
+        on_path = f"p = {lit(ns + c.path)}"
         if c.constraint in ("minCount", "maxCount"):
-            facts[f"count_{c.path}"] = F.count(F.when(on_path, F.lit(1)))
+            facts[f"count_{c.path}"] = f"count_if({on_path})"
         elif c.constraint == "minLength":
-            short = F.char_length("o") < int(c.value)
-            facts[f"minLength_{c.shape}_{c.path}"] = F.count(F.when(on_path & short, F.lit(1)))
-        elif c.constraint == "datatype":
-            wrong = ~(literal & (F.col("datatype") == XSD + c.value) & datatype_holds(F.col("o"), c.value))
-            facts[f"datatype_{c.shape}_{c.path}"] = F.count(F.when(on_path & F.coalesce(wrong, F.lit(True)), F.lit(1)))
+            facts[f"minLength_{c.shape}_{c.path}"] = f"count_if({on_path} and char_length(o) < {int(c.value)})"
+        else:
+            right = f"o_kind = 'literal' and datatype = {lit(XSD + c.value)} and {datatype_holds('o', c.value)}"
+            facts[f"datatype_{c.shape}_{c.path}"] = f"count_if({on_path} and not coalesce({right}, false))"
     unique = triples.select(graph, "s", "p", "o", "o_kind", "datatype")
     if deduplicate:
         unique = unique.distinct()
-    nodes = unique.groupBy(graph, "s").agg(*[v.alias(k) for k, v in facts.items()])
+    nodes = unique.groupBy(graph, "s").agg(*[F.expr(f"{e} as `{name}`") for name, e in facts.items()])
 
-    def fails(c) -> Column:
+    def fails(c: Constraint) -> str:
         if c.constraint == "minCount":
-            return F.col(f"count_{c.path}") < int(c.value)
+            return f"`count_{c.path}` < {int(c.value)}"
         if c.constraint == "maxCount":
-            return F.col(f"count_{c.path}") > int(c.value)
-        return F.col(f"{c.constraint}_{c.shape}_{c.path}") > 0
-
-    def shape_fails(shape: str) -> Column:
-        bad = F.lit(False)
-        for c in valued:
-            if c.shape == shape:
-                bad = bad | fails(c)
-        return bad
-
-    def row(c) -> Column:
-        return F.struct(F.lit(c.shape).alias("shape"), F.lit(c.path).alias("path"), F.lit(c.constraint).alias("constraint"))
-
-    own = nodes.select(
-        graph,
-        F.col("s").alias("focus"),
-        F.inline(
-            F.array_compact(
-                F.array(*[F.when((F.col(f"is_{c.target_class}") == 1) & fails(c), row(c)) for c in valued])
-            )
-        ),
-    )
-    linked = [c for c in contract.constraints if c.constraint in ("class", "node")]
+            return f"`count_{c.path}` > {int(c.value)}"
+        return f"`{c.constraint}_{c.shape}_{c.path}` > 0"
+
+    def report(tests: list[tuple[Constraint, str]]) -> str:
+        rows = [
+            f"if({test}, named_struct('shape', {lit(c.shape)}, 'path', {lit(c.path)}, 'constraint', {lit(c.constraint)}), null)"
+            for c, test in tests
+        ]
+        return f"inline(array_compact(array({', '.join(rows)})))"
+
+    columns = [graph, "shape", "focus", "path", "constraint"]
+    own = nodes.selectExpr(
+        graph, "s as focus", report([(c, f"`is_{c.target_class}` = 1 and {fails(c)}") for c in valued])
+    ).select(columns)
     if not linked:
-        return own.select(graph, "shape", "focus", "path", "constraint")
-    state = nodes.select(
-        graph,
-        F.col("s").alias("o"),
-        *[F.col(f"is_{c.value}").alias(f"__ok_{i}") if c.constraint == "class" else (~shape_fails(c.value)).cast("int").alias(f"__ok_{i}")
-          for i, c in enumerate(linked)],
-    )
-    roots = nodes.where(" or ".join(f"is_{cls} = 1" for cls in {c.target_class for c in linked})).select(graph, "s")
-    links = unique.where(F.col("p").isin(*{ns + c.path for c in linked})).select(graph, "s", "p", "o")
+        return own
+
+    def sound(c: Constraint) -> str:
+        """Whether a node may stand at the far end of a link."""
+        if c.constraint == "class":
+            return f"`is_{c.value}` = 1"
+        inner = [fails(v) for v in valued if v.shape == c.value]
+        return f"not ({' or '.join(inner)})" if inner else "true"
+
+    ends = nodes.selectExpr(graph, "s as o", *[f"{sound(c)} as __ok_{i}" for i, c in enumerate(linked)])
+    owners = " or ".join(f"`is_{cls}` = 1" for cls in sorted({c.target_class for c in linked}))
+    links = unique.where(f"p in ({names(sorted({ns + c.path for c in linked}))})").select(graph, "s", "p", "o")
     broken = (
-        links.join(roots, [graph, "s"], "left_semi")
-        .join(state, [graph, "o"], "left")
-        .select(
+        links.join(nodes.where(owners).select(graph, "s"), [graph, "s"], "left_semi")
+        .join(ends, [graph, "o"], "left")
+        .selectExpr(
             graph,
-            F.col("s").alias("focus"),
-            F.inline(
-                F.array_compact(
-                    F.array(
-                        *[
-                            F.when((F.col("p") == ns + c.path) & (F.coalesce(f"__ok_{i}", F.lit(0)) == 0), row(c))
-                            for i, c in enumerate(linked)
-                        ]
-                    )
-                )
+            "s as focus",
+            report(
+                [(c, f"p = {lit(ns + c.path)} and not coalesce(__ok_{i}, false)") for i, c in enumerate(linked)]
             ),
         )
+        .select(columns)
     )
-    columns = [graph, "shape", "focus", "path", "constraint"]
-    return own.select(columns).unionByName(broken.select(columns))
+    return own.unionByName(broken)
 
 
 def graph_conforms(

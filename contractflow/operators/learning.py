@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from contractflow.contract import Contract
 from contractflow.operators.bounded import lookup_join, small_rows
-from contractflow.operators.discover import UNIQUE, alias_match
+from contractflow.functions.text import lit, string_array
+from contractflow.operators.discover import agreeing
 from contractflow.operators.extract import slot
 from contractflow.operators.policy import Policy, may_teach, with_trust
 from contractflow.operators.registry import Alias, Aliases, as_aliases, position_key
@@ -32,30 +33,25 @@ def lessons(events: DataFrame, aliases: Aliases, policy: Policy | None, contract
     Lone keys and sets of values without scalar text are sets of one; other sets list every key
     that would have resolved the field had it been known.
     """
-    required = contract.required
-    some = F.lit(False)
-    for n in required:
-        some = some | (F.size(slot(n)["others"]) > 0)
     offers = []
-    for n in required:
-        others = slot(n)["others"]
-        match = alias_match(others)
-        scalar = F.exists(others, lambda o: o["scalar"])
-        keys = F.when((F.size(others) > 1) & scalar, match["candidates"]).otherwise(F.array(match["raw_key"]))
-        allowed = may_teach(policy, F.lit(n))
+    for n in contract.required:
+        others = slot(n, "others")
+        keys = (
+            f"if(exists({others}, o -> o.scalar), transform({others}, o -> o.key), array({others}[0].key))"
+        )
+        allowed = may_teach(policy, lit(n))
         if isinstance(aliases, list):
-            known = F.array(*[F.lit(a.raw_key) for a in aliases if a.canonical == n])
-            allowed = allowed & ~F.arrays_overlap(keys, known)
+            known = string_array([a.raw_key for a in aliases if a.canonical == n])
+            allowed = f"{allowed} and not arrays_overlap({keys}, {known})"
         offers.append(
-            F.when(
-                (F.size(others) > 0) & (match["outcome"] == UNIQUE) & allowed,
-                F.struct(F.lit(n).alias("canonical"), keys.alias("keys")),
-            )
+            f"if(size({others}) > 0 and {agreeing(others)} and {allowed}, "
+            f"array(named_struct('canonical', {lit(n)}, 'keys', {keys})), "
+            "cast(array() as array<struct<canonical:string,keys:array<string>>>))"
         )
+    some = " or ".join(f"size({slot(n, 'others')}) > 0" for n in contract.required)
     slim = events.where(some).select("ord", "received_at", "origin", "slots")
-    offered = with_trust(slim, policy).select(
-        F.struct(F.col("ord"), F.col("received_at").alias("at")).alias("arrival"),
-        F.inline(F.array_compact(F.array(*offers))),
+    offered = with_trust(slim, policy).selectExpr(
+        "named_struct('ord', ord, 'at', received_at) as arrival", f"inline(concat({', '.join(offers)}))"
     )
     first = (
         offered.groupBy("canonical", "keys")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contractflow.functions.crypto import MODULUS, PublicKey, encrypt_metric
-from contractflow.functions.text import event_key
+from contractflow.functions.text import event_key, lit
 from contractflow.sources.identity import ORD_TYPE
 
 # Fixed value: text accepted as a whole number (no blanks, no decimals).
@@ -15,25 +15,22 @@ WHOLE_NUMBER = r"^[+-]?[0-9]+\z"
 METRIC_SCHEMA = f"event_id string, user_id string, ciphertext binary, encrypted_at timestamp, ord {ORD_TYPE}"
 
 
-def metric_value(text: Column) -> Column:
+def metric_value(text: str) -> str:
     """Non-negative 64-bit value of the text, null otherwise."""
-    number = F.when(text.rlike(WHOLE_NUMBER), text.try_cast("bigint"))
-    return F.when(number >= 0, number)
+    return (
+        f"if({text} rlike {lit(WHOLE_NUMBER)} and try_cast({text} as bigint) >= 0, try_cast({text} as bigint), null)"
+    )
 
 
 def eligible_metrics(judged: DataFrame, user: str = "userId", metric: str = "msPlayed", event: str = "eventId") -> DataFrame:
     """``event_id, user_id, ms_played, ord, received_at`` of events with an owner and a usable value."""
-
-    def value(field: str) -> Column:
-        return F.col(f"values.`{field}`")
-
-    return judged.select(
-        event_key(value(event), F.col("fallback_id")).alias("event_id"),
-        value(user).alias("user_id"),
-        metric_value(value(metric)).alias("ms_played"),
+    return judged.selectExpr(
+        f"{event_key(f'values.`{event}`', 'fallback_id')} as event_id",
+        f"values.`{user}` as user_id",
+        f"{metric_value(f'values.`{metric}`')} as ms_played",
         "ord",
         "received_at",
-    ).where(F.col("user_id").isNotNull() & F.col("ms_played").isNotNull())
+    ).where("user_id is not null and ms_played is not null")
 
 
 def encryptable(metrics: DataFrame, modulus: int = MODULUS) -> DataFrame:
@@ -68,13 +65,13 @@ def upsert_metrics(rows: DataFrame, path: str, batch_id: int) -> None:
     rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
-def read_metrics(spark, path: str) -> DataFrame:
+def read_metrics(spark: SparkSession, path: str) -> DataFrame:
     """Current rows of the metric table."""
     schema = METRIC_SCHEMA + ", batch_id bigint"
     return latest_per_event(spark.read.schema(schema).parquet(path).drop("batch_id"))
 
 
-def compact_metrics(spark, path: str, target: str) -> None:
+def compact_metrics(spark: SparkSession, path: str, target: str) -> None:
     """Rewrite the table with one row per event under a new path."""
     read_metrics(spark, path).write.mode("error").parquet(f"{target}/batch_id=0")
 

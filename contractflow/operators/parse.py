@@ -13,12 +13,11 @@ never parse the payload again.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from contractflow.contract import Contract
 from contractflow.functions import json as J
-from contractflow.functions.text import normalize_key
+from contractflow.functions.text import lit, normalize_key, string_array
 from contractflow.operators.fence import fenced
 
 OTHERS_TYPE = "array<struct<key:string,text:string,scalar:boolean>>"
@@ -29,76 +28,55 @@ def slots_type(contract: Contract) -> str:
     return f"struct<{inner}>"
 
 
-def _hits(doc: Column, wanted: Column) -> Column:
+def _hits(doc: str, wanted: str) -> str:
     """Members whose normal form is wanted: struct<norm, key, text, scalar>."""
-    named = F.transform(
-        J.members(doc), lambda m: F.struct(normalize_key(m["key"]).alias("norm"), m["key"].alias("key"), m["value"].alias("value"))
+    named = (
+        f"transform({J.members(doc)}, "
+        f"m -> named_struct('norm', {normalize_key('m.key')}, 'key', m.key, 'value', m.value))"
     )
-    return F.transform(
-        F.filter(named, lambda m: F.array_contains(wanted, m["norm"])),
-        lambda m: F.struct(
-            m["norm"].alias("norm"),
-            m["key"].alias("key"),
-            J.member_text(m["value"]).alias("text"),
-            J.is_scalar(F.schema_of_variant(m["value"])).alias("scalar"),
-        ),
+    return (
+        f"transform(filter({named}, m -> array_contains({wanted}, m.norm)), m -> named_struct("
+        f"'norm', m.norm, 'key', m.key, 'text', {J.member_text('m.value')}, 'scalar', {J.is_scalar('m.value')}))"
     )
 
 
+def _slot(name: str, norm: str) -> str:
+    text = f"__direct.`{name}`"
+    others = (
+        f"sort_array(transform(filter(__hits, h -> h.norm = {lit(norm)}), "
+        "h -> named_struct('key', h.key, 'text', h.text, 'scalar', h.scalar)))"
+    )
+    return f"named_struct('text', {text}, 'others', cast(if({text} is null, {others}, null) as {OTHERS_TYPE}))"
+
+
 def parse_events(events: DataFrame, contract: Contract, keep_malformed: bool = False) -> DataFrame:
     """Canonicalise ``payload`` and add ``slots``.
 
     Malformed payloads are dropped, or kept verbatim with null slots and ``malformed = true``.
     """
     J.enable_duplicate_keys(events.sparkSession)
-    explode = F.explode_outer if keep_malformed else F.explode
+    explode = "explode_outer" if keep_malformed else "explode"
     keep = [c for c in events.columns if c != "payload"]
     # the generator both parses and drops, so no filter can be pushed below it and parse twice
-    docs = events.withColumn("__doc", explode(J.parsed(F.col("payload"))))
-    picked = docs.withColumn("__picked", J.selected_members(F.col("__doc"), contract.names))
-    texts = {n: J.plain_scalar(F.col(f"__picked.`{n}`")).alias(n) for n in contract.names}
-    direct = picked.withColumn("__direct", F.when(F.col("__picked").isNotNull(), F.struct(*texts.values())))
+    docs = events.selectExpr("*", f"{explode}({J.parsed('payload')}) as __doc")
+    picked = docs.selectExpr("*", f"{J.selected_members('__doc', contract.names)} as __picked")
+    texts = ", ".join(f"{lit(n)}, {J.plain_scalar(f'__picked.`{n}`')}" for n in contract.names)
+    direct = picked.selectExpr("*", f"if(__picked is not null, named_struct({texts}), null) as __direct")
     # normal forms of the fields that need a look at the other keys; none for most events
-    open_forms = F.concat(
-        *[
-            F.when(F.col(f"__direct.`{n}`").isNull(), F.array(F.lit(norm))).otherwise(F.array().cast("array<string>"))
-            for n, norm in contract.normal_forms.items()
-        ]
-    )
-    wanted = direct.withColumn("__wanted", F.when(F.col("__picked").isNotNull(), open_forms))
-    hits = wanted.withColumn(
-        "__hits", F.when(F.size("__wanted") > 0, _hits(F.col("__doc"), F.col("__wanted")))
+    missing = ", ".join(
+        f"if(__direct.`{n}` is null, {string_array([norm])}, {string_array()})"
+        for n, norm in contract.normal_forms.items()
     )
-
-    def slot(name: str, norm: str) -> Column:
-        text = F.col(f"__direct.`{name}`")
-        found = F.filter(F.col("__hits"), lambda h: h["norm"] == norm)
-        others = F.sort_array(
-            F.transform(
-                found, lambda h: F.struct(h["key"].alias("key"), h["text"].alias("text"), h["scalar"].alias("scalar"))
-            )
-        )
-        return F.struct(
-            text.alias("text"),
-            F.when(text.isNull(), others).cast(OTHERS_TYPE).alias("others"),
-        ).alias(name)
-
-    slots = F.when(
-        F.col("__doc").isNotNull(), F.struct(*[slot(n, norm) for n, norm in contract.normal_forms.items()])
-    )
-    text = J.canonical_text(F.col("__doc"))
-    out = {"payload": text, "slots": slots}
+    wanted = direct.selectExpr("*", f"if(__picked is not null, concat({missing}), null) as __wanted")
+    hits = wanted.selectExpr("*", f"if(size(__wanted) > 0, {_hits('__doc', '__wanted')}, null) as __hits")
+    slots = ", ".join(f"{lit(n)}, {_slot(n, norm)}" for n, norm in contract.normal_forms.items())
+    text = J.canonical_text("__doc")
+    out = {"payload": text, "slots": f"if(__doc is not null, named_struct({slots}), null)"}
     if keep_malformed:
-        out = {
-            "payload": F.coalesce(text, F.col("payload")),
-            "slots": slots,
-            "malformed": F.col("__doc").isNull(),
-        }
+        out |= {"payload": f"coalesce({text}, payload)", "malformed": "__doc is null"}
     return fenced(hits, out).select(*keep, *out)
 
 
 def split_malformed(events: DataFrame, contract: Contract) -> tuple[DataFrame, DataFrame]:
     """Well-formed events with slots, and the quarantined rest with its text untouched."""
-    bad = events.where(~J.is_valid_json(F.col("payload")))
-    J.enable_duplicate_keys(events.sparkSession)
-    return parse_events(events, contract), bad
+    return parse_events(events, contract), events.where(f"not {J.is_valid_json('payload')}")

@@ -5,9 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from contractflow.functions.text import names
 from contractflow.operators.bounded import INLINE_LIMIT, lookup_join, small_rows
 
 # The default policy.
@@ -63,28 +64,27 @@ def with_trust(events: DataFrame, policy: Policy | None) -> DataFrame:
     if policy is None or policy.deny_all:
         return events.withColumn("trusted", F.lit(policy is None))
     if isinstance(policy.trusted, tuple):
-        known = F.col("origin").isin(*policy.trusted) if policy.trusted else F.lit(False)
-        return events.withColumn("trusted", F.coalesce(known, F.lit(False)))
+        known = f"coalesce(origin in ({names(policy.trusted)}), false)" if policy.trusted else "false"
+        return events.selectExpr("*", f"{known} as trusted")
     side = policy.trusted.select("origin").distinct().withColumn("__t", F.lit(True))
     spread = F.col("ord") if "ord" in events.columns else None
     joined = lookup_join(events, side, ["origin"], "left", spread=spread)
     return joined.withColumn("trusted", F.coalesce("__t", F.lit(False))).drop("__t")
 
 
-def may_teach(policy: Policy | None, field: Column) -> Column:
+def may_teach(policy: Policy | None, field: str) -> str:
     """Decision for one field of an event carrying ``trusted``; default is to deny."""
     if policy is None:
-        return F.lit(True)
+        return "true"
     if policy.deny_all:
-        return F.lit(False)
-    open_field = ~field.isin(*policy.protected) if policy.protected else F.lit(True)
-    return F.coalesce(open_field | F.col("trusted"), F.lit(False))
+        return "false"
+    return f"coalesce({field} not in ({names(policy.protected)}) or trusted, false)" if policy.protected else "true"
 
 
 def policy_gate(candidates: DataFrame, policy: Policy | None) -> DataFrame:
     """Add ``allow`` to candidate rows that carry ``origin`` and ``canonical``."""
     return (
         with_trust(candidates, policy)
-        .withColumn("allow", may_teach(policy, F.col("canonical")))
+        .withColumn("allow", F.expr(may_teach(policy, "canonical")))
         .drop("trusted")
     )

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contractflow.contract import Contract, ContractError
-from contractflow.functions.text import normalize_key, timestamp_text
+from contractflow.functions.text import lit, normalize_key, timestamp_text
 from contractflow.operators.bounded import INLINE_LIMIT, lookup_join, small_rows
 from contractflow.sources.identity import ORD_TYPE
 
@@ -43,12 +43,8 @@ class Alias:
 Aliases = list[Alias] | DataFrame
 
 
-def position_literal(pos: Position) -> Column:
-    return F.struct(
-        F.lit(pos[0]).cast("bigint").alias("batch"),
-        F.lit(pos[1]).cast("bigint").alias("seq"),
-        F.lit(pos[2]).alias("tie"),
-    )
+def position_sql(pos: Position) -> str:
+    return f"named_struct('batch', {pos[0]}L, 'seq', {pos[1]}L, 'tie', {lit(pos[2])})"
 
 
 def position_key(pos: Position) -> tuple[int, int, bytes]:
@@ -110,15 +106,15 @@ def as_aliases(registry: Aliases | None, contract: Contract, limit: int = INLINE
 
 
 def _checked(registry: DataFrame, contract: Contract) -> DataFrame:
-    forms = F.create_map(*[F.lit(x) for pair in contract.normal_forms.items() for x in pair])
-    expected = F.try_element_at(forms, F.col("canonical"))
-    bad = registry.where(~normalize_key(F.col("raw_key")).eqNullSafe(expected)).limit(1).collect()
+    pairs = ", ".join(f"{lit(name)}, {lit(norm)}" for name, norm in contract.normal_forms.items())
+    belongs = f"{normalize_key('raw_key')} <=> try_element_at(map({pairs}), canonical)"
+    bad = registry.where(f"not ({belongs})").limit(1).collect()
     if bad:
         raise ContractError(f"alias {bad[0]['raw_key']!r} does not belong to field {bad[0]['canonical']!r}")
-    named = default_registry(registry.sparkSession, contract)
+    named = default_registry(registry.sparkSession, contract).select("canonical", "raw_key", "learned_pos")
     extra = registry.join(F.broadcast(named), ["canonical", "raw_key"], "left_anti")
-    return named.unionByName(extra.select(named.columns)).withColumn(
-        "learned_pos", F.coalesce("learned_pos", position_literal(SEED_POS))
+    return named.unionByName(
+        extra.selectExpr("canonical", "raw_key", f"coalesce(learned_pos, {position_sql(SEED_POS)}) as learned_pos")
     )
 
 
@@ -152,8 +148,8 @@ def alias_audit(registry: DataFrame) -> DataFrame:
         .select(
             "canonical",
             "raw_key",
-            timestamp_text(F.col("learned_at")).alias("learned_at"),
-            timestamp_text(F.col("last_used_at")).alias("last_used_at"),
+            F.expr(timestamp_text("learned_at")).alias("learned_at"),
+            F.expr(timestamp_text("last_used_at")).alias("last_used_at"),
         )
         .orderBy("canonical", "raw_key")
     )

@@ -5,14 +5,15 @@ The view is evaluated at read time, so an alias learned today also repairs rows
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contractflow.contract import Contract, default_contract
 from contractflow.functions.json import json_string, rounded_bigint
-from contractflow.functions.text import is_safe_key
-from contractflow.operators.extract import HIT_TYPE, positions, slot
+from contractflow.functions.text import is_safe_key, lit
 from contractflow.operators.bounded import lookup_join
+from contractflow.operators.extract import entry_rows, positions, slot
+from contractflow.operators.fence import fenced
 from contractflow.operators.parse import parse_events
 from contractflow.operators.registry import Alias, Aliases
 
@@ -20,43 +21,30 @@ VIEW_NAME = "streaming_events"
 VIEW_PREFIX = ("id", "source", "received_at")
 
 
-def coalesce_aliases(keys: list[str], as_bigint: bool = False, payload: Column | None = None) -> Column:
-    """First non-null member of a canonical payload among the usable keys, in order.
+def _safe(key: str) -> bool:
+    return key.isascii() and not key[:1].isdigit() and key.replace("_", "a").isalnum()
 
-    This reads the payload text once per key; :func:`healed_view` works on parsed slots instead.
-    """
-    payload = F.col("payload") if payload is None else payload
-    target = "bigint" if as_bigint else "string"
-    safe = [k for k in keys if _safe(k)]
-    if not safe:
-        return F.lit(None).cast(target)
-    texts = [json_string(payload, k) for k in safe]
-    return F.coalesce(*[rounded_bigint(t) if as_bigint else t for t in texts])
 
+def _typed(text: str, view_type: str) -> str:
+    return rounded_bigint(text) if view_type == "bigint" else text
 
-def _safe(key: str) -> bool:
-    return key.isascii() and not key[:1].isdigit() and key.replace("_", "a").isalnum()
 
+def coalesce_aliases(keys: list[str], as_bigint: bool = False, payload: str = "payload") -> str:
+    """First non-null member of a canonical payload among the usable keys, in order.
 
-def _view_hit(field: str, known: Column, as_bigint: bool) -> Column:
-    """Text of the earliest known key that has any non-null value, nested values as JSON text."""
-    others = slot(field)["others"]
+    This reads the payload text once per key; :func:`healed_view` works on parsed slots instead.
+    """
+    view_type = "bigint" if as_bigint else "string"
+    texts = [_typed(json_string(payload, k), view_type) for k in keys if _safe(k)]
+    return f"coalesce({', '.join(texts)})" if texts else f"cast(null as {view_type})"
 
-    def usable(o: Column) -> Column:
-        text = rounded_bigint(o["text"]) if as_bigint else o["text"]
-        return text.isNotNull() & F.try_element_at(known, o["key"]).isNotNull()
 
-    return F.when(
-        F.size(others) > 0,
-        F.array_min(
-            F.transform(
-                F.filter(others, usable),
-                lambda o: F.struct(
-                    F.try_element_at(known, o["key"]).alias("pos"), o["key"].alias("key"), o["text"].alias("text")
-                ),
-            )
-        ).cast(HIT_TYPE),
-    )
+def _first_value(field: str, view_type: str, known: str) -> str:
+    """Value of the earliest known key that has one, nested values as JSON text."""
+    others = slot(field, "others")
+    entry = f"named_struct('pos', try_element_at({known}, o.key), 'value', {_typed('o.text', view_type)})"
+    usable = f"filter(transform({others}, o -> {entry}), v -> v.pos is not null and v.value is not null)"
+    return f"if(size({others}) > 0, array_min({usable}).value, null)"
 
 
 def healed_view(
@@ -77,22 +65,15 @@ def healed_view(
         raw = parse_events(raw, contract)
     if isinstance(aliases, list):
         used = [a for a in aliases if not safe_keys_only or _safe(a.raw_key)]
-        hit = {
-            f.name: _view_hit(f.name, positions(used, f.name), f.view_type == "bigint")["text"]
-            if any(a.canonical == f.name for a in used)
-            else F.lit(None).cast("string")
-            for f in contract.fields
-        }
+        hits = {f.name: _first_value(f.name, f.view_type, positions(used, f.name)) for f in contract.fields}
     else:
         raw = _view_joined(raw, aliases, contract, safe_keys_only)
-        hit = {f.name: F.col(f"__hit.`{f.name}`.text") for f in contract.fields}
-    columns = []
-    for f in contract.fields:
-        text = F.coalesce(slot(f.name)["text"], hit[f.name])
-        if f.view_type == "bigint":
-            text = F.coalesce(rounded_bigint(slot(f.name)["text"]), rounded_bigint(hit[f.name]))
-        columns.append(text.alias(f.view_column))
-    view = raw.select(*[c for c in VIEW_PREFIX if c in raw.columns], *columns)
+        hits = {f.name: f"__hit.`{f.name}`.value" for f in contract.fields}
+    prefix = [c for c in VIEW_PREFIX if c in raw.columns]
+    columns = {
+        f.view_column: f"coalesce({_typed(slot(f.name, 'text'), f.view_type)}, {hits[f.name]})" for f in contract.fields
+    }
+    view = fenced(raw, columns).select(*prefix, *columns)
     if name:
         view.createOrReplaceTempView(name)
     return view
@@ -100,32 +81,19 @@ def healed_view(
 
 def _view_joined(raw: DataFrame, registry: DataFrame, contract: Contract, safe_keys_only: bool) -> DataFrame:
     """Hits through a join, for registries too large to inline.  ``id`` identifies the row."""
-    known = registry.select("canonical", "raw_key", F.col("learned_pos").alias("pos"))
+    known = registry.selectExpr("canonical", "raw_key", "learned_pos as pos")
     if safe_keys_only:
-        known = known.where(is_safe_key(F.col("raw_key")))
-    entries = F.flatten(
-        F.array(
-            *[
-                F.transform(
-                    F.coalesce(slot(f.name)["others"], F.array()),
-                    lambda o, n=f.name: F.struct(
-                        F.lit(n).alias("canonical"), o["key"].alias("raw_key"), o["text"].alias("text")
-                    ),
-                )
-                for f in contract.fields
-            ]
-        )
-    )
-    keyed = raw.select("id", F.inline(entries))
+        known = known.where(is_safe_key("raw_key"))
+    keyed = raw.selectExpr("id", f"inline({entry_rows(contract)})")
     found = lookup_join(keyed, known, ["canonical", "raw_key"], "inner", spread=F.col("id"))
-    hit = F.struct(F.col("pos"), F.col("raw_key").alias("key"), F.col("text"))
-    per_field = []
+    parts = []
     for f in contract.fields:
-        value = rounded_bigint(F.col("text")) if f.view_type == "bigint" else F.col("text")
-        per_field.append(
-            F.min(F.when((F.col("canonical") == f.name) & value.isNotNull(), hit)).cast(HIT_TYPE).alias(f.name)
+        value = _typed("text", f.view_type)
+        parts.append(
+            f"{lit(f.name)}, min(if(canonical = {lit(f.name)} and {value} is not null, "
+            f"named_struct('pos', pos, 'value', {value}), null))"
         )
-    hits = found.groupBy("id").agg(F.struct(*per_field).alias("__hit"))
+    hits = found.groupBy("id").agg(F.expr(f"named_struct({', '.join(parts)}) as __hit"))
     return raw.join(hits, "id", "left")
 
 

@@ -83,7 +83,7 @@ def missing_required(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def used_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    free = F.array_except(J.object_keys(F.col("payload")), F.col("used_raw_keys"))
+    free = F.array_except(F.expr(J.object_keys("payload")), F.col("used_raw_keys"))
     return _extracted(spark, sf_dir).select(
         _n(),
         _joined(F.sort_array("used_raw_keys")).alias("used"),
@@ -92,10 +92,10 @@ def used_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def normalized_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = parsed_events(spark, sf_dir).select(F.explode(J.object_keys(F.col("payload"))).alias("raw_key"))
+    keys = parsed_events(spark, sf_dir).select(F.explode(F.expr(J.object_keys("payload"))).alias("raw_key"))
     forms = F.create_map(*[F.lit(x) for name, norm in CONTRACT.normal_forms.items() for x in (norm, name)])
     counted = keys.groupBy("raw_key").agg(F.count("*").alias("n"))
-    norm = T.normalize_key(F.col("raw_key"))
+    norm = F.expr(T.normalize_key("raw_key"))
     return counted.select("raw_key", norm.alias("norm"), F.try_element_at(forms, norm).alias("canonical"), "n")
 
 
@@ -103,9 +103,7 @@ def normalized_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rename_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = discover.rename_candidates(
-        parsed_events(spark, sf_dir), registry.as_aliases(None, CONTRACT), CONTRACT
-    )
+    found = discover.rename_candidates(parsed_events(spark, sf_dir), registry.as_aliases(None, CONTRACT), CONTRACT)
     return found.select(_n(), "canonical", "outcome", "raw_key", _joined(F.col("candidates")).alias("candidates"))
 
 
@@ -129,9 +127,7 @@ def policy_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def policy_disabled_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = discover.rename_candidates(
-        parsed_events(spark, sf_dir), registry.as_aliases(None, CONTRACT), CONTRACT
-    ).where(F.col("outcome") == discover.UNIQUE)
+    found = discover.rename_candidates(parsed_events(spark, sf_dir), registry.as_aliases(None, CONTRACT), CONTRACT).where(F.col("outcome") == discover.UNIQUE)
     return policy.policy_gate(found, None).groupBy("origin", "canonical", "raw_key", "allow").agg(F.count("*").alias("n"))
 
 
@@ -204,9 +200,9 @@ def healed_view_from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = _raw_with_id(spark, sf_dir)
     keys = registry.alias_map(heal(raw, None, POLICY, CONTRACT).aliases)
     columns = [
-        shim.coalesce_aliases(keys[f.name], f.view_type == "bigint").alias(f.view_column) for f in CONTRACT.fields
+        f"{shim.coalesce_aliases(keys[f.name], f.view_type == 'bigint')} as {f.view_column}" for f in CONTRACT.fields
     ]
-    return raw.select("id", "source", "received_at", *columns)
+    return raw.selectExpr("id", "source", "received_at", *columns)
 
 
 def healed_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -383,7 +379,7 @@ def canonical_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical text of the events' own JSON column."""
     J.enable_duplicate_keys(spark)
     events = table(spark, sf_dir, "events")
-    return events.select("event_id", J.canonical_json(F.col("props")).alias("props"))
+    return events.select("event_id", F.expr(J.canonical_json("props")).alias("props"))
 
 
 def envelope_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -400,8 +396,8 @@ def envelope_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def file_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    name = F.substring_index("url", "/", -1)
-    return pages.select("page_id", T.file_stem(name).alias("stem"))
+    name = "substring_index(url, '/', -1)"
+    return pages.selectExpr("page_id", f"{T.file_stem(name)} as stem")
 
 
 # ---- scalar functions over whole texts ----------------------------------------------------------
@@ -411,21 +407,21 @@ def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return docs.select(
         "doc_id",
-        F.md5(T.normalize_key(F.col("text"))).alias("normal_form"),
-        F.md5(T.iri_part(F.col("text"))).alias("iri_part"),
-        F.md5(T.escape_literal(F.col("text"))).alias("escaped"),
+        F.md5(F.expr(T.normalize_key("text"))).alias("normal_form"),
+        F.md5(F.expr(T.iri_part("text"))).alias("iri_part"),
+        F.md5(F.expr(T.escape_literal("text"))).alias("escaped"),
     )
 
 
 def number_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text to BIGINT over the price column, as written and with an exponent."""
-    orders = table(spark, sf_dir, "orders")
-    cents = F.col("o_totalprice").cast("decimal(18,2)").cast("string")
-    return orders.select(
+    cents = "cast(cast(o_totalprice as decimal(18,2)) as string)"
+    hundreds = "concat(o_orderkey, 'e2')"
+    return table(spark, sf_dir, "orders").selectExpr(
         "o_orderkey",
-        J.rounded_bigint(cents).alias("rounded"),
-        J.rounded_bigint(F.concat(F.col("o_orderkey").cast("string"), F.lit("e2"))).alias("hundreds"),
-        J.rounded_bigint(F.col("o_orderpriority")).alias("not_a_number"),
+        f"{J.rounded_bigint(cents)} as rounded",
+        f"{J.rounded_bigint(hundreds)} as hundreds",
+        f"{J.rounded_bigint('o_orderpriority')} as not_a_number",
     )
 
 
@@ -458,7 +454,7 @@ def parsed_decision_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("origin"), F.lit('"}'), F.when(F.col("ord.seq") % 17 == 16, F.lit("")).otherwise(F.lit("}")),
     )
     lines = raw.select(F.col("ord.seq").alias("n"), line.alias("value"))
-    parsed = decisions.parse_decision_lines(lines, F.lit(datetime(2024, 1, 1)).cast("timestamp"))
+    parsed = decisions.parse_decision_lines(lines, "timestamp'2024-01-01 00:00:00'")
     return parsed.select("n", "ts_ms", "level", "target", "message", F.try_element_at("fields", F.lit("origin")).alias("origin"))
 
 

@@ -6,67 +6,73 @@ several fields, conflicting and agreeing spellings, missing fields, wrong types
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from contractflow.sources.identity import arrival
+from contractflow.functions.text import names
 
 ORIGINS = ("partner-feed", "internal-batch", "untrusted-source", "unknown-app")
 
 
-def _text(key: str, value: Column) -> Column:
-    return F.concat(F.lit(f'"{key}":"'), value, F.lit('"'))
+def _member(key: str, value: str) -> str:
+    return f"""concat('"{key}":', {value})"""
 
 
-def _raw(key: str, value: Column | str) -> Column:
-    value = F.lit(value) if isinstance(value, str) else value.cast("string")
-    return F.concat(F.lit(f'"{key}":'), value)
+def _quoted(value: str) -> str:
+    return f"""concat('"', {value}, '"')"""
 
 
-def payload_column() -> Column:
-    n = F.col("event_id")
-    event, user = F.concat(F.lit("evt-"), n), F.concat(F.lit("u"), F.col("user_id"))
-    track = F.concat(F.lit("t"), n % 97)
-    moment = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
-    e, u, k, t = _text("eventId", event), _text("userId", user), _text("trackId", track), _text("timestamp", moment)
-    m = _raw("msPlayed", F.floor(F.col("value") * 1000))
+def payload_text() -> str:
+    """SQL expression of the payload over the columns of the ``events`` table."""
+    event, user = _quoted("concat('evt-', event_id)"), _quoted("concat('u', user_id)")
+    track = _quoted("concat('t', event_id % 97)")
+    moment = _quoted("""date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")""")
+    e, u = _member("eventId", event), _member("userId", user)
+    k, t = _member("trackId", track), _member("timestamp", moment)
+    m = _member("msPlayed", "floor(value * 1000)")
     plain = [e, m, t, k, u]
-    untrusted = n % 4 >= 2
-    forms: dict[int, list[Column]] = {
-        3: [e, m, t, k, _text("userID", user)],
-        5: [e, m, t, k, _text("user_id", user)],
-        6: [e, m, t, _text("track_id", track), u],
-        7: [_text("event_id", event), m, _text("time_stamp", moment), k, u],
-        8: [_text("User.Id", user), e, m, t, k],
-        9: [_text("USERID", user), e, m, t, k, _raw("user.id", '"other"')],
-        10: [_text("TRACKID", track), e, m, _text("timestamp", moment), _text("track-id", track), u],
+    forms = {
+        3: [e, m, t, k, _member("userID", user)],
+        4: [e, m, t, k, f"if(event_id % 4 >= 2, {_member('UserId', user)}, {u})"],
+        5: [e, m, t, k, _member("user_id", user)],
+        6: [e, m, t, _member("track_id", track), u],
+        7: [_member("event_id", event), m, _member("time_stamp", moment), k, u],
+        8: [_member("User.Id", user), e, m, t, k],
+        9: [_member("USERID", user), e, m, t, k, _member("user.id", _quoted("'other'"))],
+        10: [_member("TRACKID", track), e, m, t, _member("track-id", track), u],
         11: [e, m, t, u],
-        12: [e, m, _raw("timestamp", n + 1700000000), k, u],
-        13: [e, _raw("msPlayed", '"three minutes"'), t, k, u],
-        14: [_text("USER_ID", user), e, m, t, k, _raw("userId", "null")],
-        15: [e, _raw("msPlayed", "-1"), t, k, _raw("userId", '""')],
+        12: [e, m, _member("timestamp", "event_id + 1700000000"), k, u],
+        13: [e, _member("msPlayed", _quoted("'three minutes'")), t, k, u],
+        14: [_member("USER_ID", user), e, m, t, k, _member("userId", "'null'")],
+        15: [e, _member("msPlayed", "'-1'"), t, k, _member("userId", _quoted("''"))],
     }
-
-    def joined(parts: list[Column]) -> Column:
-        return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
-
-    out = F.when(n % 17 == 16, F.concat(F.lit("{"), e, F.lit(",")))
-    out = out.when((n % 17 == 4) & untrusted, joined([e, m, t, k, _text("UserId", user)]))
-    for form, parts in forms.items():
-        out = out.when(n % 17 == form, joined(parts))
-    return out.otherwise(joined(plain))
+    whens = " ".join(
+        f"when {form} then concat('{{', concat_ws(',', {', '.join(parts)}), '}}')" for form, parts in forms.items()
+    )
+    broken = f"concat('{{', {e}, ',')"
+    return (
+        f"case event_id % 17 {whens} when 16 then {broken} "
+        f"else concat('{{', concat_ws(',', {', '.join(plain)}), '}}') end"
+    )
 
 
 def derived_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw events, with the table's ``event_id`` as arrival number."""
-    n = F.col("event_id")
-    origin = F.element_at(F.array(*[F.lit(o) for o in ORIGINS]), (n % 4 + 1).cast("int"))
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select(
-        F.concat(F.lit("events/input/"), n, F.lit(".json")).alias("source"),
-        origin.alias("origin"),
-        F.concat(F.lit("evt-file-"), n).alias("fallback_id"),
-        payload_column().alias("payload"),
-        arrival(n).alias("ord"),
-        F.col("ts").cast("timestamp").alias("received_at"),
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "value")
+    return spread(events).selectExpr(
+        "concat('events/input/', event_id, '.json') as source",
+        f"element_at(array({names(ORIGINS)}), cast(event_id % 4 + 1 as int)) as origin",
+        "concat('evt-file-', event_id) as fallback_id",
+        f"{payload_text()} as payload",
+        "named_struct('batch', 0L, 'seq', event_id, 'tie', '') as ord",
+        "cast(ts as timestamp) as received_at",
     )
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a table that comes in fewer splits than there are cores one split per core.
+
+    Inputs of any size worth the name have more splits than that and are left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

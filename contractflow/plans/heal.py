@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contractflow.contract import Contract
+from contractflow.functions.text import lit, string_array
 from contractflow.operators.checks import VIOLATION_TYPE, conforms, values_in, violation_list
 from contractflow.operators.discover import UNIQUE, missing_matches
 from contractflow.operators.fence import fenced
-from contractflow.operators.extract import no_names, any_missing, missing_fields, values_struct, via_struct, with_hits
+from contractflow.operators.extract import any_missing, missing_fields, values_struct, via_struct, with_hits
 from contractflow.operators.learning import REPLAY_LIMIT, learn_aliases
 from contractflow.operators.policy import Policy, may_teach, with_trust
 from contractflow.operators.registry import Aliases, alias_rows, as_aliases
@@ -27,15 +28,6 @@ class Healed:
     aliases: Aliases
 
 
-def _outcome(policy: Policy | None, match: Column) -> Column:
-    unique = match["outcome"] == UNIQUE
-    return (
-        F.when(unique & may_teach(policy, match["canonical"]), F.lit("healed"))
-        .when(unique, F.lit("denied"))
-        .otherwise(match["outcome"])
-    )
-
-
 def judge(events: DataFrame, aliases: Aliases, policy: Policy | None, contract: Contract) -> DataFrame:
     """Verdict of every event with the aliases known at its arrival.
 
@@ -46,32 +38,31 @@ def judge(events: DataFrame, aliases: Aliases, policy: Policy | None, contract:
     """
     known = with_trust(with_hits(events, aliases, contract), policy)
     breach = any_missing(contract, "before")
-    repairs = F.transform(
-        missing_matches(contract, "before"),
-        lambda m: F.struct(
-            m["canonical"].alias("canonical"),
-            _outcome(policy, m).alias("outcome"),
-            m["raw_key"].alias("raw_key"),
-            m["candidates"].alias("candidates"),
-        ),
+    outcome = (
+        f"case when m.outcome <> '{UNIQUE}' then m.outcome "
+        f"when {may_teach(policy, 'm.canonical')} then 'healed' else 'denied' end"
+    )
+    repairs = (
+        f"transform({missing_matches(contract, 'before')}, m -> named_struct("
+        f"'canonical', m.canonical, 'outcome', {outcome}, 'raw_key', m.raw_key, 'candidates', m.candidates))"
     )
-    resolved = known.select(
+    resolved = known.selectExpr(
         "ord",
         "source",
         "origin",
         "fallback_id",
         "received_at",
-        values_struct(contract).alias("values"),
-        via_struct(contract).alias("resolved_via"),
-        F.when(breach, missing_fields(contract, "before")).otherwise(no_names()).alias("missing_before"),
-        F.when(breach, repairs).otherwise(F.array().cast(REPAIR_TYPE)).alias("repairs"),
-        F.when(breach, missing_fields(contract, "after")).otherwise(no_names()).alias("missing_required"),
+        f"{values_struct(contract)} as values",
+        f"{via_struct(contract)} as resolved_via",
+        f"if({breach}, {missing_fields(contract, 'before')}, {string_array()}) as missing_before",
+        f"if({breach}, {repairs}, cast(array() as {REPAIR_TYPE})) as repairs",
+        f"if({breach}, {missing_fields(contract, 'after')}, {string_array()}) as missing_required",
     )
     value_of = values_in("values")
-    verdict = resolved.withColumn("conforms", (F.size("missing_required") == 0) & conforms(contract, value_of))
-    report = F.when(F.col("conforms"), F.array().cast(VIOLATION_TYPE)).otherwise(violation_list(contract, value_of))
+    verdict = resolved.selectExpr("*", f"size(missing_required) = 0 and {conforms(contract, value_of)} as conforms")
+    report = f"if(conforms, cast(array() as {VIOLATION_TYPE}), {violation_list(contract, value_of)})"
     pinned = ["values", "resolved_via", "missing_before", "repairs", "missing_required", "conforms"]
-    return fenced(verdict, {**{c: F.col(c) for c in pinned}, "violations": report})
+    return fenced(verdict, {**{c: f"`{c}`" for c in pinned}, "violations": report})
 
 
 def _widen(aliases: Aliases, learned: Aliases, contract: Contract, events: DataFrame) -> Aliases:
@@ -110,23 +101,14 @@ def heal(
 
 def used_pairs(judged: DataFrame, contract: Contract) -> DataFrame:
     """Learned aliases that resolved a field, with the last moment they did."""
-    pairs = F.array_compact(
-        F.array(
-            *[
-                F.when(
-                    F.col(f"resolved_via.`{n}`") != n,
-                    F.struct(F.lit(n).alias("canonical"), F.col(f"resolved_via.`{n}`").alias("raw_key")),
-                )
-                for n in contract.names
-            ]
-        )
-    )
-    renamed = F.lit(False)
-    for n in contract.names:
-        renamed = renamed | F.coalesce(F.col(f"resolved_via.`{n}`") != n, F.lit(False))
+    renamed = {n: f"resolved_via.`{n}` <> {lit(n)}" for n in contract.names}
+    pairs = [
+        f"if({test}, named_struct('canonical', {lit(n)}, 'raw_key', resolved_via.`{n}`), null)"
+        for n, test in renamed.items()
+    ]
     return (
-        judged.where(renamed)
-        .select(F.inline(pairs), "received_at")
+        judged.where(" or ".join(renamed.values()))
+        .selectExpr(f"inline(array_compact(array({', '.join(pairs)})))", "received_at")
         .groupBy("canonical", "raw_key")
         .agg(F.max("received_at").alias("used_at"))
     )

@@ -36,7 +36,7 @@ def with_identity(df: DataFrame, kind: str, stream_id: str | None = None) -> Dat
     ``stream_id`` may be worked into the fallback id to keep ids of different runs apart.
     """
     if kind == "file":
-        stem = file_stem(F.col("file_name"))
+        stem = F.expr(file_stem("file_name"))
         return df.withColumns({"source": F.col("path"), "origin": stem, "fallback_id": stem})
     if kind == "envelope":
         tag = F.col("delivery_tag").cast("string")
