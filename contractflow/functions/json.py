@@ -122,9 +122,13 @@ def float_text(value: str) -> str:
 
 
 def json_string(payload: str, key: str) -> str:
-    """Text of one top-level member of canonical payload text (nested values as JSON text)."""
-    escaped = key.replace("'", "\\'")
-    path = f"$['{escaped}']"
+    """Text of one top-level member of canonical payload text (nested values as JSON text).
+
+    JSON paths cannot quote an apostrophe, so keys with one are refused.
+    """
+    if "'" in key:
+        raise ValueError(f"key {key!r} cannot be written as a JSON path")
+    path = f"$['{key}']"
     return f"get_json_object({payload}, {lit(path)})"
 
 

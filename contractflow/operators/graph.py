@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from contractflow.contract import Constraint, Contract
 from contractflow.functions.text import escape_literal, event_key, iri_part, lit, names
 from contractflow.operators.checks import ValueOf, datatype_holds
+from contractflow.operators.fence import fenced
 
 # Standard vocabularies.
 RDF_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
@@ -85,26 +86,27 @@ def path_counts(triples: DataFrame, graph: str = "ord") -> DataFrame:
     return triples.where(F.col("p") != RDF_TYPE).groupBy(graph, "s", "p").agg(F.count("*").alias("n"))
 
 
-def graph_violations(
-    triples: DataFrame, contract: Contract, base: str = DEFAULT_BASE, graph: str = "ord", deduplicate: bool = False
-) -> DataFrame:
-    """Report over triples: ``graph, shape, focus, path, constraint``.
+def _valued(contract: Contract) -> list[Constraint]:
+    return [c for c in contract.constraints if c.constraint not in ("class", "node")]
 
-    A graph is a set of triples; :func:`to_triples` repeats none, other inputs that may should set
-    ``deduplicate``.
 
-    One aggregation per (graph, node) counts values and faulty values of every path; the links of
-    a node are then checked against the linked nodes' class and own result.  Sums and counts only,
-    so partial aggregation applies before the shuffle.
+def _linked(contract: Contract) -> list[Constraint]:
+    return [c for c in contract.constraints if c.constraint in ("class", "node")]
+
+
+def node_facts(triples: DataFrame, contract: Contract, base: str = DEFAULT_BASE, graph: str = "ord") -> DataFrame:
+    """Per (graph, node): its classes, and how many values and faulty values each path has.
+
+    Counts and flags only, so partial aggregation applies before the shuffle.  The facts are pinned
+    as a whole: every use then asks for the same columns and the shuffle is done once.
     """
     ns = vocabulary(base)
     facts: dict[str, str] = {}
-    valued = [c for c in contract.constraints if c.constraint not in ("class", "node")]
-    linked = [c for c in contract.constraints if c.constraint in ("class", "node")]
+    linked = _linked(contract)
     classes = sorted({c.target_class for c in contract.constraints} | {c.value for c in linked if c.constraint == "class"})
     for cls in classes:
         facts[f"is_{cls}"] = f"max(if(p = {lit(RDF_TYPE)} and o = {lit(ns + cls)}, 1, 0))"
-    for c in valued:
+    for c in _valued(contract):
         on_path = f"p = {lit(ns + c.path)}"
         if c.constraint in ("minCount", "maxCount"):
             facts[f"count_{c.path}"] = f"count_if({on_path})"
@@ -113,10 +115,30 @@ def graph_violations(
         else:
             right = f"o_kind = 'literal' and datatype = {lit(XSD + c.value)} and {datatype_holds('o', c.value)}"
             facts[f"datatype_{c.shape}_{c.path}"] = f"count_if({on_path} and not coalesce({right}, false))"
+    nodes = triples.groupBy(graph, "s").agg(*[F.expr(f"{e} as `{name}`") for name, e in facts.items()])
+    return fenced(nodes, {name: f"`{name}`" for name in facts})
+
+
+def graph_violations(
+    triples: DataFrame, contract: Contract, base: str = DEFAULT_BASE, graph: str = "ord", deduplicate: bool = False
+) -> DataFrame:
+    """Report over triples: ``graph, shape, focus, path, constraint``.
+
+    A graph is a set of triples; :func:`to_triples` repeats none, other inputs that may should set
+    ``deduplicate``.
+
+    Value constraints are read off :func:`node_facts`; links are then checked against the class
+    and the own result of the node they lead to.
+    """
     unique = triples.select(graph, "s", "p", "o", "o_kind", "datatype")
     if deduplicate:
         unique = unique.distinct()
-    nodes = unique.groupBy(graph, "s").agg(*[F.expr(f"{e} as `{name}`") for name, e in facts.items()])
+    return _report(unique, node_facts(unique, contract, base, graph), contract, base, graph)
+
+
+def _report(unique: DataFrame, nodes: DataFrame, contract: Contract, base: str, graph: str) -> DataFrame:
+    ns = vocabulary(base)
+    valued, linked = _valued(contract), _linked(contract)
 
     def fails(c: Constraint) -> str:
         if c.constraint == "minCount":
@@ -165,13 +187,18 @@ def graph_violations(
 
 
 def graph_conforms(
-    triples: DataFrame, contract: Contract, base: str = DEFAULT_BASE, graph: str = "ord"
+    triples: DataFrame, contract: Contract, base: str = DEFAULT_BASE, graph: str = "ord", deduplicate: bool = False
 ) -> DataFrame:
     """``graph, conforms`` for every graph that has triples."""
-    bad = graph_violations(triples, contract, base, graph).select(graph).distinct()
+    unique = triples.select(graph, "s", "p", "o", "o_kind", "datatype")
+    if deduplicate:
+        unique = unique.distinct()
+    nodes = node_facts(unique, contract, base, graph)
+    faults = _report(unique, nodes, contract, base, graph).selectExpr(graph, "1 as bad")
+    # one more aggregation instead of a join: graphs with and without faults meet in a union
     return (
-        triples.select(graph)
-        .distinct()
-        .join(bad.withColumn("__bad", F.lit(True)), graph, "left")
-        .select(graph, F.col("__bad").isNull().alias("conforms"))
+        nodes.selectExpr(graph, "0 as bad")
+        .unionByName(faults)
+        .groupBy(graph)
+        .agg(F.expr("max(bad) = 0 as conforms"))
     )

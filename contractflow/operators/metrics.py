@@ -49,9 +49,14 @@ def latest_per_event(metrics: DataFrame) -> DataFrame:
 
 
 def encrypt_metrics(metrics: DataFrame, key: PublicKey | None, modulus: int = MODULUS) -> DataFrame:
-    """Rows of the metric table; values out of range are left out before the UDF sees them."""
+    """Rows of the metric table; values out of range are left out before the UDF sees them.
+
+    The rows are small but each costs an encryption, so they are laid out over as many tasks as
+    the session uses for shuffles, which adaptive execution would merge by size.
+    """
     rows = encryptable(metrics, modulus) if key is not None else metrics.where(F.lit(False))
-    return rows.select(
+    tasks = int(metrics.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, "event_id").select(
         "event_id",
         "user_id",
         encrypt_metric(F.col("ms_played"), key, modulus).alias("ciphertext"),

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contractflow.functions.crypto import PublicKey, SecretKey, product, reveal
+from contractflow.functions.crypto import PublicKey, SecretKey, combine, reveal
 from contractflow.operators.bounded import SALTS
 
 
@@ -29,38 +29,53 @@ def encrypted_sum(metrics: DataFrame, by: list[str], key: PublicKey | None, colu
     types = dict(metrics.select(*by).dtypes)
     schema = ", ".join([*[f"`{b}` {types[b]}" for b in by], "ciphertext binary", "n bigint", "__salt int"])
 
-    def fold(pdf: pd.DataFrame, salt: int) -> Iterator[pd.DataFrame]:
-        groups = pdf.groupby(by, sort=False, dropna=False)
-        rows = groups.agg(ciphertext=("ciphertext", lambda s: product(s, key)), n=("n", "sum")).reset_index()
-        yield rows.assign(__salt=salt)
-
-    def per_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def emit(sums: dict[tuple, tuple[int, int]], like: pa.RecordBatch, salt: int) -> pa.RecordBatch:
+        groups, totals = list(sums), list(sums.values())
+        columns = [pa.array([g[i] for g in groups], like.schema.field(i).type) for i in range(len(by))]
+        columns += [
+            pa.array([t[0].to_bytes(key.width, "big") for t in totals], pa.binary()),
+            pa.array([t[1] for t in totals], pa.int64()),
+            pa.array([salt] * len(groups), pa.int32()),
+        ]
+        return pa.RecordBatch.from_arrays(columns, [*by, "ciphertext", "n", "__salt"])
+
+    def add(sums: dict[tuple, tuple[int, int]], batch: pa.RecordBatch) -> None:
+        groups = zip(*[batch.column(i).to_pylist() for i in range(len(by))])
+        rows = zip(groups, batch.column("ciphertext").to_pylist(), batch.column("n").to_pylist())
+        for group, ciphertext, n in rows:
+            total, count = sums.pop(group, (1, 0))
+            # popped and put back, so that the group seen last stays last
+            sums[group] = (combine(total, ciphertext, key), count + n)
+
+    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # the task number spreads a hot group, and stays the same when the task is run again
         salt = TaskContext.get().partitionId() % SALTS
-        for pdf in batches:
-            if len(pdf):
-                yield from fold(pdf, salt)
+        for batch in batches:
+            sums: dict[tuple, tuple[int, int]] = {}
+            add(sums, batch)
+            if sums:
+                yield emit(sums, batch, salt)
 
-    def per_group(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def per_group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # rows arrive sorted by group, so only the last group of a batch can go on in the next
-        tail: pd.DataFrame | None = None
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            rows = pdf if tail is None else pd.concat([tail, pdf], ignore_index=True)
-            folded = next(fold(rows, 0))
-            tail = folded.iloc[-1:]
-            if len(folded) > 1:
-                yield folded.iloc[:-1]
-        if tail is not None:
-            yield tail
+        sums: dict[tuple, tuple[int, int]] = {}
+        batch = None
+        for batch in batches:
+            add(sums, batch)
+            if len(sums) > 1:
+                last = next(reversed(sums))
+                tail = sums.pop(last)
+                yield emit(sums, batch, 0)
+                sums = {last: tail}
+        if sums:
+            yield emit(sums, batch, 0)
 
     values = metrics.where(F.col(column).isNotNull()).select(
         *by, F.col(column).alias("ciphertext"), F.lit(1).cast("bigint").alias("n"), F.lit(0).alias("__salt")
     )
-    partial = values.mapInPandas(per_batch, schema)
-    salted = partial.repartition(*by, "__salt").sortWithinPartitions(*by).mapInPandas(per_group, schema)
-    total = salted.repartition(*by).sortWithinPartitions(*by).mapInPandas(per_group, schema)
+    partial = values.mapInArrow(per_batch, schema)
+    salted = partial.repartition(*by, "__salt").sortWithinPartitions(*by).mapInArrow(per_group, schema)
+    total = salted.repartition(*by).sortWithinPartitions(*by).mapInArrow(per_group, schema)
     return total.drop("__salt")
 
 

@@ -330,8 +330,11 @@ def metric_latest_per_track(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.latest_per_event(rows).select("event_id", "user_id", "ms_played", F.col("ord.seq").alias("n"))
 
 
-def _encrypted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.encrypt_metrics(metrics.latest_per_event(_eligible(spark, sf_dir)), demo_keys()[0])
+def _encrypted(spark: SparkSession, sf_dir: str, user_id: str | None = None) -> DataFrame:
+    rows = metrics.latest_per_event(_eligible(spark, sf_dir))
+    if user_id is not None:
+        rows = rows.where(F.col("user_id") == user_id)
+    return metrics.encrypt_metrics(rows, demo_keys()[0])
 
 
 def encrypted_user_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -339,14 +342,13 @@ def encrypted_user_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def encrypted_one_user(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return private_sum.user_total(_encrypted(spark, sf_dir), "u7", *demo_keys())
+    return private_sum.user_total(_encrypted(spark, sf_dir, "u7"), "u7", *demo_keys())
 
 
 def user_ciphertexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ciphertexts differ with every run, so only their number of bytes is shown."""
-    key = demo_keys()[0]
-    rows = metrics.ciphertexts_for_user(_encrypted(spark, sf_dir), "u7")
-    return rows.select("event_id", (F.octet_length("ciphertext") == key.width).alias("full_width"))
+    """Ciphertexts differ with every run, so only whether they have their full width is shown."""
+    rows = metrics.ciphertexts_for_user(_encrypted(spark, sf_dir, "u7"), "u7")
+    return rows.select("event_id", (F.octet_length("ciphertext") == demo_keys()[0].width).alias("full_width"))
 
 
 # ---- raw log, identity, quarantine --------------------------------------------------------------
