@@ -44,3 +44,14 @@ def lookup_join(
     salted = big.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
     copies = side.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return salted.join(copies, [*on, "__salt"], how).drop("__salt")
+
+
+def over_all_tasks(df: DataFrame, *keys: str) -> DataFrame:
+    """Lay out few bytes with much work per row over as many tasks as the session shuffles into.
+
+    Adaptive execution merges partitions by size and knows nothing of the work.  The hash of the
+    keys is used because a layout by the keys themselves may already be in place, in which case
+    the planner would drop this one.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(tasks, F.xxhash64(*keys))

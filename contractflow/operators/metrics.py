@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from contractflow.functions.crypto import MODULUS, PublicKey, encrypt_metric
 from contractflow.functions.text import event_key, lit
+from contractflow.operators.bounded import over_all_tasks
 from contractflow.sources.identity import ORD_TYPE
 
 # Fixed value: text accepted as a whole number (no blanks, no decimals).
@@ -51,12 +52,10 @@ def latest_per_event(metrics: DataFrame) -> DataFrame:
 def encrypt_metrics(metrics: DataFrame, key: PublicKey | None, modulus: int = MODULUS) -> DataFrame:
     """Rows of the metric table; values out of range are left out before the UDF sees them.
 
-    The rows are small but each costs an encryption, so they are laid out over as many tasks as
-    the session uses for shuffles, which adaptive execution would merge by size.
+    The rows are small but each costs an encryption, so they are laid out over many tasks first.
     """
     rows = encryptable(metrics, modulus) if key is not None else metrics.where(F.lit(False))
-    tasks = int(metrics.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(tasks, "event_id").select(
+    return over_all_tasks(rows, "event_id").select(
         "event_id",
         "user_id",
         encrypt_metric(F.col("ms_played"), key, modulus).alias("ciphertext"),

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contractflow.functions.crypto import PublicKey, SecretKey, combine, reveal
-from contractflow.operators.bounded import SALTS
+from contractflow.operators.bounded import SALTS, over_all_tasks
+from contractflow.storage import ship_package
 
 
 class EncryptionDisabled(RuntimeError):
@@ -26,6 +27,7 @@ def encrypted_sum(metrics: DataFrame, by: list[str], key: PublicKey | None, colu
     """
     if key is None:
         raise EncryptionDisabled("cannot total encrypted values: no key is configured")
+    ship_package(metrics.sparkSession)
     types = dict(metrics.select(*by).dtypes)
     schema = ", ".join([*[f"`{b}` {types[b]}" for b in by], "ciphertext binary", "n bigint", "__salt int"])
 
@@ -84,7 +86,7 @@ def user_totals(metrics: DataFrame, key: PublicKey | None, secret: SecretKey | N
     summed = encrypted_sum(metrics, ["user_id"], key)
     if secret is None:
         raise EncryptionDisabled("cannot reveal totals: no secret key is configured")
-    return summed.select("user_id", "n", reveal(F.col("ciphertext"), secret).alias("total"))
+    return over_all_tasks(summed, "user_id").select("user_id", "n", reveal(F.col("ciphertext"), secret).alias("total"))
 
 
 def user_total(metrics: DataFrame, user_id: str, key: PublicKey | None, secret: SecretKey | None) -> DataFrame:

@@ -1,8 +1,11 @@
-"""Shared scratch folder and lineage cuts that survive the loss of executors."""
+"""Shared scratch folder, lineage cuts that survive the loss of executors, code for the workers."""
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,5 +27,29 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """Write the rows to the shared folder and go on from there.
+
+    A written table rather than an RDD checkpoint: later steps read the columns they need, and its
+    size is known to the planner.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package, once per application.
+
+    Workers do not see the driver's import path, so operators with Python functions call this first.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="contractflow-code-"), "contractflow")
+    sc.addPyFile(shutil.make_archive(target, "zip", os.path.dirname(package), os.path.basename(package)))
+    _shipped.add(sc.applicationId)
