@@ -5,22 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-# Side tables up to this many narrow rows are inlined as literals.
+# Side tables up to this many rows and bytes are inlined as literals.
 INLINE_LIMIT = 512
-# Side tables up to this many narrow rows are broadcast.
+INLINE_BYTES = 256 * 1024
+# Side tables up to this many rows and bytes are broadcast.
 BROADCAST_LIMIT = 500_000
+BROADCAST_BYTES = 64 * 1024 * 1024
 # Copies of the small side when it is too large to broadcast.
 SALTS = 16
 
 
-def small_rows(df: DataFrame, limit: int = INLINE_LIMIT) -> list[Row] | None:
-    """The rows of a small table, or None when it has more than ``limit`` rows."""
-    rows = df.limit(limit + 1).collect()
-    return rows if len(rows) <= limit else None
+def is_small(df: DataFrame, limit: int = BROADCAST_LIMIT, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether a table has at most ``limit`` rows and ``max_bytes`` bytes of text.
+
+    Only row widths come to the driver, and reading stops soon after the limit is passed.  The
+    table is evaluated for this, so derived tables are better stored first.
+    """
+    width = " + ".join(f"coalesce(octet_length(cast(`{c}` as string)), 0)" for c in df.columns)
+    widths = df.selectExpr(f"{width} as w").limit(limit + 1).collect()
+    return len(widths) <= limit and sum(r["w"] for r in widths) <= max_bytes
 
 
-def is_small(df: DataFrame, limit: int = BROADCAST_LIMIT) -> bool:
-    return df.limit(limit + 1).count() <= limit
+def small_rows(df: DataFrame, limit: int = INLINE_LIMIT, max_bytes: int = INLINE_BYTES) -> list[Row] | None:
+    """The rows of a stored table if it is small, otherwise None."""
+    return df.collect() if is_small(df, limit, max_bytes) else None
 
 
 def lookup_join(

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from contractflow.contract import Constraint, Contract
 from contractflow.functions.text import lit
-from contractflow.operators.bounded import BROADCAST_LIMIT, is_small
+from contractflow.operators.bounded import BROADCAST_LIMIT, is_small, lookup_join
+from contractflow.storage import cut_lineage
 
 # Lexical forms of the contract datatypes.  Month lengths are part of the pattern,
 # only the 29th of February needs the year.
@@ -141,14 +142,12 @@ def reference_violations(
 ) -> DataFrame:
     """Rows whose reference points to no row of ``parent`` (null references do not count).
 
-    Parent keys are reduced to distinct ones first.  If they are too many to broadcast, the
-    distinct dangling keys are found before the rows are, so that no hot key meets the parent table.
+    Parent keys are broadcast while they are few.  Beyond that the distinct dangling keys are found
+    first, so that no hot key meets the parent table, and then their rows.
     """
-    keys = parent.select(F.col(parent_key).alias(key)).where(F.col(key).isNotNull()).distinct()
+    keys = parent.select(F.col(parent_key).alias(key)).where(F.col(key).isNotNull())
     rows = df.where(F.col(key).isNotNull())
     if is_small(keys, limit):
         return rows.join(F.broadcast(keys), key, "left_anti")
-    dangling = rows.select(key).distinct().join(keys, key, "left_anti")
-    if is_small(dangling, limit):
-        return rows.join(F.broadcast(dangling), key, "left_semi")
-    return rows.join(dangling, key, "left_semi")
+    dangling = cut_lineage(rows.select(key).distinct().join(keys, key, "left_anti"))
+    return lookup_join(rows, dangling, [key], "left_semi", limit=limit)

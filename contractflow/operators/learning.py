@@ -25,6 +25,7 @@ from contractflow.storage import cut_lineage
 
 # Up to this many distinct key sets are replayed on the driver, more are resolved by joins.
 REPLAY_LIMIT = 20_000
+REPLAY_BYTES = 16 * 1024 * 1024
 
 
 def lessons(events: DataFrame, aliases: Aliases, policy: Policy | None, contract: Contract) -> DataFrame:
@@ -95,9 +96,10 @@ def resolve_by_joins(first: DataFrame) -> DataFrame:
     while not pending.isEmpty():
         member = pending.select("canonical", "ord", F.explode("keys").alias("raw_key"))
         front = pending.groupBy("canonical", F.col("head").alias("raw_key")).agg(F.min("ord").alias("front"))
+        pair, spread = ["canonical", "raw_key"], F.col("ord")
+        known = lookup_join(member, learned.select(*pair, "learned_pos"), pair, spread=spread)
         state = (
-            member.join(learned, ["canonical", "raw_key"], "left")
-            .join(front, ["canonical", "raw_key"], "left")
+            lookup_join(known, cut_lineage(front), pair, spread=spread)
             .groupBy("canonical", "ord")
             .agg(F.min("learned_pos").alias("known"), F.min("front").alias("front"))
         )
@@ -120,8 +122,8 @@ def learn_aliases(
     replay_limit: int = REPLAY_LIMIT,
 ) -> list[Alias] | DataFrame:
     """Aliases this batch adds to ``registry``, with the position each was learned at."""
-    first = lessons(events, as_aliases(registry, contract), policy, contract)
-    rows = small_rows(first, replay_limit)
+    first = cut_lineage(lessons(events, as_aliases(registry, contract), policy, contract))
+    rows = small_rows(first, replay_limit, REPLAY_BYTES)
     if rows is not None:
         return replay([(r["canonical"], r["keys"], tuple(r["ord"]), r["at"]) for r in rows])
     return resolve_by_joins(first)

@@ -135,7 +135,10 @@ def learn(registry: DataFrame, learned: DataFrame) -> tuple[DataFrame, DataFrame
 
 
 def touch(registry: DataFrame, used: DataFrame) -> DataFrame:
-    """Advance ``last_used_at`` of known pairs; ``used(canonical, raw_key, used_at)`` may repeat pairs."""
+    """Advance ``last_used_at`` of known pairs; ``used(canonical, raw_key, used_at)`` may repeat pairs.
+
+    ``used`` is read more than once and had better be a stored table.
+    """
     latest = used.groupBy("canonical", "raw_key").agg(F.max("used_at").alias("used_at"))
     joined = lookup_join(registry, latest, ["canonical", "raw_key"])
     return joined.withColumn("last_used_at", F.greatest("last_used_at", "used_at")).select(registry.columns)

@@ -38,6 +38,7 @@ def demo_keys() -> tuple[PublicKey, SecretKey]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -134,7 +135,7 @@ def policy_disabled_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     healed = healed_events(spark, sf_dir)
     table, _ = registry.learn(registry.default_registry(spark, CONTRACT), alias_table(spark, healed.learned))
-    return registry.touch(table, used_pairs(healed.judged, CONTRACT))
+    return registry.touch(table, cut_lineage(used_pairs(healed.judged, CONTRACT)))
 
 
 def learned_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:

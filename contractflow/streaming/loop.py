@@ -21,6 +21,7 @@ from contractflow.operators.registry import Aliases, REGISTRY_SCHEMA, as_aliases
 from contractflow.operators.shim import healed_view
 from contractflow.plans.heal import alias_table, heal, used_pairs
 from contractflow.sources.identity import with_batch
+from contractflow.storage import cut_lineage
 from contractflow.tables import read_version, write_version
 
 
@@ -74,7 +75,8 @@ def heal_batch(events: DataFrame, batch_id: int, store: Store) -> None:
     upsert_metrics(encrypt_metrics(metrics, store.key), f"{store.root}/metrics", batch_id)
 
     widened, _ = learn(registry, alias_table(spark, healed.learned))
-    write_version(touch(widened, used_pairs(healed.judged, store.contract)), f"{store.root}/registry", batch_id)
+    used = cut_lineage(used_pairs(healed.judged, store.contract))
+    write_version(touch(widened, used), f"{store.root}/registry", batch_id)
 
 
 def run_stream(

@@ -86,7 +86,7 @@ def test_large_registry_and_large_policy_paths(spark, tmp_path, monkeypatch):
     save_policy(spark, str(tmp_path), ["userId"], ["partner-feed", "internal-batch"])
     policy = load_policy(spark, str(tmp_path), limit=0)
     assert not isinstance(policy.trusted, tuple)
-    monkeypatch.setattr(bounded, "is_small", lambda df, limit=0: False)
+    monkeypatch.setattr(bounded, "is_small", lambda *args: False)
     healed = heal(events, None, Policy(), CONTRACT)
     table = _checked(spark.createDataFrame(alias_table(spark, healed.learned).collect(), REGISTRY_SCHEMA), CONTRACT)
     same(judge(events, table, policy, CONTRACT), want)
