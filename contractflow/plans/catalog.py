@@ -16,7 +16,7 @@ from contractflow.functions import text as T
 from contractflow.functions.crypto import PublicKey, SecretKey, generate_keys
 from contractflow.operators import checks, decisions, discover, extract, graph, metrics, parse, policy, private_sum
 from contractflow.operators import raw_log, registry, shim
-from contractflow.plans.derived_events import derived_events
+from contractflow.plans.derived_events import derived_events, spread
 from contractflow.plans.heal import Healed, alias_table, heal, used_pairs
 from contractflow.sources.envelope import from_envelope
 from contractflow.storage import checkpoint_dir, cut_lineage
@@ -39,7 +39,7 @@ def demo_keys() -> tuple[PublicKey, SecretKey]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def parsed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
