@@ -46,8 +46,15 @@ def parsed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse.parse_events(derived_events(spark, sf_dir), CONTRACT)
 
 
+def stored_events(spark: SparkSession, sf_dir: str, payload: bool = False) -> DataFrame:
+    """Parsed events as a stored table: learning and judging read them one after the other, and
+    reading slots again is far cheaper than parsing payloads again."""
+    events = parsed_events(spark, sf_dir)
+    return cut_lineage(events if payload else events.drop("payload"))
+
+
 def healed_events(spark: SparkSession, sf_dir: str) -> Healed:
-    return heal(parsed_events(spark, sf_dir), None, POLICY, CONTRACT)
+    return heal(stored_events(spark, sf_dir), None, POLICY, CONTRACT)
 
 
 def _joined(keys: Column) -> Column:
@@ -65,7 +72,7 @@ def canonical_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = parsed_events(spark, sf_dir)
+    events = stored_events(spark, sf_dir, payload=True)
     return extract.extract_canonical(events, heal(events, None, POLICY, CONTRACT).aliases, CONTRACT, timeless=False)
 
 
@@ -116,7 +123,7 @@ def ambiguous_breaches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _candidates_at_arrival(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = parsed_events(spark, sf_dir)
+    events = stored_events(spark, sf_dir)
     aliases = heal(events, None, POLICY, CONTRACT).aliases
     found = discover.rename_candidates(events, aliases, CONTRACT, timeless=False)
     return found.where(F.col("outcome") == discover.UNIQUE)
@@ -146,7 +153,7 @@ def learned_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def learned_aliases_without_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    healed = heal(parsed_events(spark, sf_dir), None, None, CONTRACT)
+    healed = heal(stored_events(spark, sf_dir), None, None, CONTRACT)
     return alias_table(spark, healed.learned).select(
         "canonical", "raw_key", F.col("learned_pos.seq").alias("learned_from")
     )
@@ -154,7 +161,7 @@ def learned_aliases_without_policy(spark: SparkSession, sf_dir: str) -> DataFram
 
 def learned_aliases_by_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same result through the path for very many key spellings."""
-    healed = heal(parsed_events(spark, sf_dir), None, POLICY, CONTRACT, replay_limit=0)
+    healed = heal(stored_events(spark, sf_dir), None, POLICY, CONTRACT, replay_limit=0)
     return alias_table(spark, healed.learned).select(
         "canonical", "raw_key", F.col("learned_pos.seq").alias("learned_from"), "learned_at"
     )
@@ -179,8 +186,8 @@ def stale_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- healed view --------------------------------------------------------------------------------
 
 
-def _raw_with_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parsed_events(spark, sf_dir).withColumn("id", F.col("ord.seq"))
+def _raw_with_id(spark: SparkSession, sf_dir: str, payload: bool = False) -> DataFrame:
+    return stored_events(spark, sf_dir, payload).withColumn("id", F.col("ord.seq"))
 
 
 def _view(spark: SparkSession, sf_dir: str, safe_keys_only: bool = True) -> DataFrame:
@@ -198,7 +205,7 @@ def healed_view_all_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def healed_view_from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The view as plain COALESCE expressions over the payload text."""
-    raw = _raw_with_id(spark, sf_dir)
+    raw = _raw_with_id(spark, sf_dir, payload=True)
     keys = registry.alias_map(heal(raw, None, POLICY, CONTRACT).aliases)
     columns = [
         f"{shim.coalesce_aliases(keys[f.name], f.view_type == 'bigint')} as {f.view_column}" for f in CONTRACT.fields
