@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from contractflow.contract import default_contract, make_contract
 from contractflow.functions import json as J
 from contractflow.functions import text as T
-from contractflow.functions.crypto import PublicKey, SecretKey, generate_keys
+from contractflow.functions.crypto import MODULUS, PublicKey, SecretKey, generate_keys
 from contractflow.operators import checks, decisions, discover, extract, graph, metrics, parse, policy, private_sum
 from contractflow.operators import raw_log, registry, shim
 from contractflow.plans.derived_events import derived_events, spread
@@ -110,6 +110,12 @@ def normalized_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- discovery, policy, learning ----------------------------------------------------------------
 
 
+def matching_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every key that takes part in extraction or discovery."""
+    keys = discover.event_keys(parsed_events(spark, sf_dir), CONTRACT)
+    return keys.select(_n(), "canonical", "raw_key", "text", "scalar")
+
+
 def rename_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = discover.rename_candidates(parsed_events(spark, sf_dir), registry.as_aliases(None, CONTRACT), CONTRACT)
     return found.select(_n(), "canonical", "outcome", "raw_key", _joined(F.col("candidates")).alias("candidates"))
@@ -424,6 +430,14 @@ def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def wrapped_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals per customer in cents, wrapped at the modulus of the encrypted totals."""
+    orders = table(spark, sf_dir, "orders").selectExpr(
+        "o_custkey", "cast(cast(o_totalprice as decimal(18,2)) * 100 as bigint) as cents"
+    )
+    return orders.groupBy("o_custkey").agg(F.expr(f"{T.wrap_total('sum(cents)', MODULUS)} as total"))
+
+
 def number_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text to BIGINT over the price column, as written and with an exponent."""
     cents = "cast(cast(o_totalprice as decimal(18,2)) as string)"
@@ -472,7 +486,7 @@ def parsed_decision_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def catalog() -> dict[str, Query]:
     listed = (
         canonical_extract, resolved_via, missing_required, used_keys, normalized_keys,
-        rename_candidates, ambiguous_breaches, policy_decisions, policy_disabled_decisions,
+        matching_keys, rename_candidates, ambiguous_breaches, policy_decisions, policy_disabled_decisions,
         learned_aliases, learned_aliases_without_policy, learned_aliases_by_joins, registry_union,
         alias_audit, stale_aliases,
         healed_view, healed_view_all_keys, healed_view_from_text, healed_lookup, played_per_user,
@@ -480,7 +494,7 @@ def catalog() -> dict[str, Query]:
         event_triples, ntriples_lines, orders_reference_check, nested_reference_check, contract_on_orders,
         metric_latest, metric_latest_per_track, encrypted_user_totals, encrypted_one_user, user_ciphertexts,
         raw_audit_count, raw_log_ids, quarantine, canonical_payload, canonical_properties,
-        envelope_identity, file_identity, text_functions, number_texts,
+        envelope_identity, file_identity, text_functions, wrapped_totals, number_texts,
         decision_log_counts, decision_tail, decision_level_filter, parsed_decision_lines,
     )
     return {q.__name__: q for q in listed}

@@ -256,6 +256,11 @@ def oracles() -> dict[str, str]:
             "SELECT k AS raw_key, lower(regexp_replace(k, '[^A-Za-z0-9]', '', 'g')) AS norm, any_value(field) AS canonical, count(*) AS n "
             "FROM keys LEFT JOIN fields ON lower(regexp_replace(k, '[^A-Za-z0-9]', '', 'g')) = norm GROUP BY k",
         ),
+        "matching_keys": _sql(
+            KEYS,
+            "SELECT ks.n, field AS canonical, k AS raw_key, txt AS text, txt IS NOT NULL AS scalar "
+            "FROM ks JOIN (SELECT n, field, direct FROM prop) d USING (n, field) WHERE k = field OR NOT direct",
+        ),
         "rename_candidates": _sql(
             KEYS,
             "SELECT g.n, f.field AS canonical, coalesce(outcome, 'none') AS outcome, "
@@ -359,6 +364,8 @@ def oracles() -> dict[str, str]:
         "text_functions": "SELECT doc_id, md5(lower(regexp_replace(text, '[^A-Za-z0-9]', '', 'g'))) AS normal_form, "
         "md5(coalesce(nullif(regexp_replace(text, '[^A-Za-z0-9._-]', '', 'g'), ''), 'unknown')) AS iri_part, "
         "md5(replace(replace(replace(replace(text, '\\', '\\\\'), '\"', '\\\"'), chr(10), '\\n'), chr(13), '\\r')) AS escaped FROM documents",
+        "wrapped_totals": "SELECT o_custkey, CAST(sum(CAST(CAST(o_totalprice AS DECIMAL(18,2)) * 100 AS BIGINT)) % 100000000 AS BIGINT) AS total "
+        "FROM orders GROUP BY o_custkey",
         "number_texts": "SELECT o_orderkey, try_cast(CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS BIGINT) AS rounded, "
         "try_cast(o_orderkey || 'e2' AS BIGINT) AS hundreds, try_cast(o_orderpriority AS BIGINT) AS not_a_number FROM orders",
         "decision_log_counts": _sql(LOG, "SELECT level, stage, count(*) AS n FROM log GROUP BY ALL"),

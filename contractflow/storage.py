@@ -6,9 +6,14 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+from contractflow.tables import delete
+
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``; a temporary one only in local mode."""
@@ -26,6 +31,23 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+# paths written inside the innermost temporary_tables block
+_open_tables: ContextVar[list[str]] = ContextVar("open_tables", default=[])
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables written by :func:`cut_lineage` inside the block are deleted at its end."""
+    written: list[str] = []
+    token = _open_tables.set(written)
+    try:
+        yield
+    finally:
+        _open_tables.reset(token)
+        for path in written:
+            delete(spark, path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the rows to the shared folder and go on from there.
 
@@ -35,6 +57,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _open_tables.get().append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -21,7 +21,7 @@ from contractflow.operators.registry import Aliases, REGISTRY_SCHEMA, as_aliases
 from contractflow.operators.shim import healed_view
 from contractflow.plans.heal import alias_table, heal, used_pairs
 from contractflow.sources.identity import with_batch
-from contractflow.storage import cut_lineage
+from contractflow.storage import cut_lineage, temporary_tables
 from contractflow.tables import read_version, write_version
 
 
@@ -62,6 +62,11 @@ class Store:
 
 def heal_batch(events: DataFrame, batch_id: int, store: Store) -> None:
     """Process one batch of raw events and write all its tables."""
+    with temporary_tables(events.sparkSession):
+        _heal_batch(events, batch_id, store)
+
+
+def _heal_batch(events: DataFrame, batch_id: int, store: Store) -> None:
     spark = events.sparkSession
     append_raw(with_batch(events, batch_id), store.root, batch_id, store.contract, store.arrival_order)
     stored = batch_rows(spark, store.root, batch_id, store.contract)

@@ -15,6 +15,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(target)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    fs, target = _path(spark, path)
+    fs.delete(target, True)
+
+
 def versions(spark: SparkSession, path: str) -> list[int]:
     """Completely written versions, ascending."""
     fs, target = _path(spark, path)

@@ -7,6 +7,7 @@ from contractflow.operators.private_sum import user_totals
 from contractflow.operators.raw_log import last_id
 from contractflow.sources.envelope import from_envelope
 from contractflow.sources.files import read_event_files, stream_event_files
+from contractflow.storage import checkpoint_dir, cut_lineage, temporary_tables
 from contractflow.streaming.loop import Store, heal_batch, run_stream
 
 KEY, SECRET = generate_keys(512)
@@ -86,6 +87,16 @@ def test_running_a_batch_again_changes_nothing(spark, tmp_path):
     assert store.decisions(spark).count() == 12 + 2
     assert user_totals(store.metrics(spark), KEY, SECRET).first()["n"] == 12
 
+    # intermediate tables are gone
+    with temporary_tables(spark):
+        kept = cut_lineage(spark.range(3))
+        path = kept.inputFiles()[0]
+        before = os.listdir(f"{checkpoint_dir(spark)}/tables")
+        heal_batch(events.where("fallback_id >= 'f06'"), 1, store)
+        assert os.listdir(f"{checkpoint_dir(spark)}/tables") == before
+        assert kept.count() == 3
+    assert not os.path.exists(path.removeprefix("file://"))
+
     unordered = Store(str(tmp_path / "bulk"), arrival_order=False)
     heal_batch(events, 0, unordered)
     assert sorted(r[0] for r in state(spark, unordered)[0]) == list(range(1, 13))
