@@ -6,14 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from contractflow.llm import op02_token_counts, op05_exact_dedup, op07_packing, op10_kd_sharding
+from contractflow.llm import (
+    op02_token_counts,
+    op03_secrets,
+    op04_language,
+    op05_exact_dedup,
+    op06_decontamination,
+    op07_packing,
+    op09_quality,
+    op10_kd_sharding,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     listed = (
         op02_token_counts.op2_token_counts,
+        op03_secrets.op3_secrets,
+        op04_language.op4_language,
         op05_exact_dedup.op5_exact_dedup,
+        op06_decontamination.op6_decontamination,
         op07_packing.op7_packing,
+        op09_quality.op9_quality,
         op10_kd_sharding.op10_kd_sharding,
     )
     return {q.__name__: q for q in listed}

@@ -27,6 +27,17 @@ def ascii_lower(text: Column) -> Column:
     )
 
 
+# Columns by which a decision finds its document again: the id as text and a hash of the text.
+KEY = ["__key_id", "__key_text"]
+
+
+def with_key(docs: DataFrame) -> DataFrame:
+    """Add the columns of KEY; rows that share both are copies, and decisions treat them alike."""
+    return docs.withColumns(
+        {KEY[0]: F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), KEY[1]: F.xxhash64(text_of())}
+    )
+
+
 def crc32_of_id(column: str = "doc_id") -> Column:
     """CRC-32 of the id as text; the id's split is taken from it.  A null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
