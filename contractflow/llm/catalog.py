@@ -13,6 +13,7 @@ from contractflow.llm import (
     op05_exact_dedup,
     op06_decontamination,
     op07_packing,
+    op08_ngram_join,
     op09_quality,
     op10_kd_sharding,
 )
@@ -26,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op05_exact_dedup.op5_exact_dedup,
         op06_decontamination.op6_decontamination,
         op07_packing.op7_packing,
+        op08_ngram_join.op8_ngram_join,
         op09_quality.op9_quality,
         op10_kd_sharding.op10_kd_sharding,
     )
