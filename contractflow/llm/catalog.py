@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from contractflow.llm import (
+    op01_substring_dedup,
     op02_token_counts,
     op03_secrets,
     op04_language,
@@ -21,6 +22,7 @@ from contractflow.llm import (
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     listed = (
+        op01_substring_dedup.op1_substring_dedup,
         op02_token_counts.op2_token_counts,
         op03_secrets.op3_secrets,
         op04_language.op4_language,

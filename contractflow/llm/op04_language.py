@@ -178,34 +178,43 @@ def sql_text(value: str) -> str:
 _parsers: dict[str, Parser] = {}
 
 
-def identify(docs: DataFrame, learn, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of the documents with lang_pred and score; ``learn`` selects training rows."""
+def identify(docs: DataFrame, learn, keep: list[str], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns ``keep`` of the documents with language and score; ``learn`` selects training rows.
+
+    ``names`` are the names of the new columns, which must differ from those kept.
+    """
     ship_package(docs.sparkSession)
     training = training_sample(docs, learn)
-    name = repr(sorted(training.items()))
+    model = repr(sorted(training.items()))
     read = docs.select(*keep, text_of().alias("__text"))
-    schema = read.drop("__text").schema.add("lang_pred", "string").add("score", "double")
+    schema = read.drop("__text").schema.add(names[0], "string").add(names[1], "double")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if training and name not in _parsers:
+        if training and model not in _parsers:
             _parsers.clear()
-            _parsers[name] = Parser(training)
+            _parsers[model] = Parser(training)
         for batch in batches:
             for first, end in slices(batch.column("__text"), 4 << 20):
                 part = batch.slice(first, end - first)
                 texts = part.column("__text").to_pylist()
                 if training:
-                    names, scores = _parsers[name].predict(texts)
+                    languages, scores = _parsers[model].predict(texts)
                 else:
-                    names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+                    languages, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
                 columns = [part.column(i) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays(
-                    [*columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"]
+                    [*columns, pa.array(languages, pa.string()), pa.array(scores, pa.float64())], [*keep, *names]
                 )
 
     return read.mapInArrow(score, schema)
 
 
+def keep_identified(docs: DataFrame, learn) -> DataFrame:
+    """The documents that are in some language, with all their columns."""
+    found = identify(docs, learn, docs.columns, ("__language", "__score"))
+    return found.where(F.col("__language") != UNKNOWN).drop("__language", "__score")
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     remainder = F.pmod(crc32_of_id(), F.lit(4))

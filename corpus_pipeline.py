@@ -3,17 +3,37 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from contractflow.llm.common import crc32_of_id
+from contractflow.llm.op04_language import keep_identified
 from contractflow.llm.op05_exact_dedup import keep_distinct
+from contractflow.llm.op06_decontamination import drop_contaminated
 from contractflow.llm.op07_packing import pack
+from contractflow.llm.op08_ngram_join import keep_one_of_each
 from contractflow.storage import cut_lineage
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no language can be found go: null texts and texts without a letter."""
+    return keep_identified(docs, F.pmod(crc32_of_id(), F.lit(4)) != 2)
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts (A-Z lower-cased) the document with the largest id stays."""
     return keep_distinct(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near copies (five-word n-grams, similarity 0.8) the document with the smallest id stays."""
+    return keep_one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, be it with other numbers or names, go."""
+    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token pieces of all documents, one sequence each."""
     import public_tokenizers
@@ -21,7 +41,13 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("exact dedup", exact_dedup), ("packing", packing)]
+STAGES = [
+    ("language ID", language_id),
+    ("exact dedup", exact_dedup),
+    ("n-gram Jaccard join", near_dedup),
+    ("benchmark decontamination", decontamination),
+    ("packing", packing),
+]
 
 # the tokenizer's ids cannot be had in SQL
 ORACLE_SQL = None
