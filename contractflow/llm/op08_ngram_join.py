@@ -4,13 +4,16 @@ Documents with the same set of n-grams are one node, however many they are.  The
 from the threshold and the recall wanted for a pair right at it; nodes are shuffled on their band hashes,
 and nodes that share a band hash are a bucket.  Candidates of a bucket of up to SMALL nodes are all its pairs.
 In a larger one every node is compared with the bucket's hub, the node that shares most buckets with
-others.  Pairs are verified on the full sets, and links make classes.  A larger bucket that still has
-nodes of different classes gets further rounds with other hubs, and finally all its pairs across classes
-whose sizes allow the similarity; so no two linked nodes that share a bucket end in different classes,
-while the pairs of a family of thousands of near copies are never listed.
+others.  Pairs are verified on the full sets, and links make classes.  What is then still open, larger buckets
+that hold nodes of different classes, is compared exactly, in units of two blocks of BLOCK nodes: a unit counts
+common n-grams over postings, in its task, and sends only links that join classes.  So no two linked nodes
+that share a bucket end in different classes, and the pairs of a family of thousands of near copies are never
+listed.
 
-The class of a document is the smallest doc_id of its connected component.  n_links counts the links
-verified for its node; inside a large bucket, pairs whose class is settled are not counted one by one.
+The class of a document is the smallest doc_id of its connected component.  n_links is the number of other
+nodes, that is of different texts, with the similarity; it is counted in the same kind of units over each class,
+so also where two members share no bucket.  Counting all links takes work with the square of a family's size,
+spread over units of bounded memory; what is shuffled grows with its size times its number of blocks.
 
 Words are runs without white space, unchanged.  A text of fewer than five words has one n-gram, all of
 it; a text without words has none, and is a class of its own.  Null is empty.  Null ids sort last.  An empty
@@ -38,7 +41,7 @@ THRESHOLD = 0.8
 RECALL = 0.999
 MAX_HASHES = 160
 SMALL = 16
-HUB_ROUNDS = 3
+BLOCK = 512
 MAX_WORDS = 500_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -167,22 +170,88 @@ def ordered_pairs(x: str, y: str) -> list:
 
 
 def crossing(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of large buckets that hold nodes of different classes, with their class ``label``."""
+    """node, label, cluster: nodes of buckets that hold different classes, and what such buckets connect."""
     named = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    split = named.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-    return cut_lineage(named.join(split.select("band"), "band", "left_semi"))
+    split = named.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("node").alias("first"))
+    held = cut_lineage(named.join(split.where("low < high").select("band", "first"), "band").select("node", "label", "first"))
+    clusters = components(held.where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct())
+    return cut_lineage(held.select("node", "label").distinct().join(clusters.withColumnRenamed("label", "cluster"), "node"))
+
+
+def similar_pairs(table: pa.Table, threshold: float, n: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Of one unit (i, j) every row with the rows before it that are similar; if i and j differ, across blocks only.
+
+    Common n-grams are counted over postings, row by row, so memory is that of the sets.
+    """
+    codes = Codes()
+    sets = [ngrams(t.as_py(), codes, n) for t in table.column("text")]
+    blocks = table.column("block").to_numpy()
+    across = table.column("i")[0].as_py() != table.column("j")[0].as_py()
+    sizes = np.array([len(x) for x in sets])
+    grams, place = np.unique(np.concatenate(sets), return_inverse=True)
+    postings = np.repeat(np.arange(len(sets)), sizes)[np.argsort(place, kind="stable")]
+    ends = np.cumsum(np.bincount(place, minlength=len(grams)))
+    starts = np.concatenate(([0], ends[:-1]))
+    for x, own in enumerate(np.split(place, np.cumsum(sizes)[:-1])):
+        length = ends[own] - starts[own]
+        skip = starts[own] - np.cumsum(length) + length
+        common = np.bincount(postings[np.repeat(skip, length) + np.arange(length.sum())], minlength=len(sets))[:x]
+        similar = common >= threshold * (sizes[x] + sizes[:x] - common) - 1e-9
+        if across:
+            similar &= blocks[:x] != blocks[x]
+        if similar.any():
+            yield x, np.flatnonzero(similar)
+
+
+def joining_links(table: pa.Table, threshold: float, n: int) -> pa.Table:
+    """Links between different classes of one unit; enough of them to join all that are linked."""
+    nodes, root = table.column("node").to_pylist(), table.column("label").to_pylist()
+    above: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while x in above:
+            above[x] = above.get(above[x], above[x])
+            x = above[x]
+        return x
+
+    out = []
+    for x, similar in similar_pairs(table, threshold, n):
+        for y in similar.tolist():
+            p, q = find(root[x]), find(root[y])
+            if p != q:
+                above[max(p, q)] = min(p, q)
+                out.append(sorted((nodes[x], nodes[y])))
+    return pa.table({c: pa.array([r[k] for r in out], pa.int64()) for k, c in enumerate("ab")})
+
+
+def link_counts(table: pa.Table, threshold: float, n: int) -> pa.Table:
+    """Number of links of every node inside one unit."""
+    counts = np.zeros(table.num_rows, dtype=np.int64)
+    for x, similar in similar_pairs(table, threshold, n):
+        counts[x] += len(similar)
+        counts[similar] += 1
+    return pa.table({"node": table.column("node"), "n_links": counts})
+
+
+def units(nodes: DataFrame, cluster: str, texts: DataFrame):
+    """Rows (node, label, block, text) grouped into units (i, j) of one or two blocks of a cluster."""
+    sizes = nodes.groupBy(cluster).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    block = nodes.join(sizes, cluster).withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
+    placed = block.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
+        F.col(cluster).alias("of"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "label"
+    )
+    return placed.join(texts, "node").groupBy("of", "i", "j")
 
 
 def size_allows(x: str, y: str, threshold: float) -> str:
     return f"least({x}, {y}) >= {threshold} * greatest({x}, {y})"
 
 
-def hub_pairs(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs of every member with its bucket's hub, and the members without the hubs."""
+def hub_pairs(members: DataFrame) -> DataFrame:
+    """Pairs of every member with its bucket's hub."""
     best = members.groupBy("band").agg(F.max(F.struct("shared", "node")).alias("hub"))
-    hubs = best.select("band", F.col("hub.node").alias("hub"))
-    joined = members.join(hubs, "band")
-    return joined.where("node <> hub").select(*ordered_pairs("node", "hub")), joined.where("node <> hub").drop("hub")
+    joined = members.join(best.select("band", F.col("hub.node").alias("hub")), "band")
+    return joined.where("node <> hub").select(*ordered_pairs("node", "hub"))
 
 
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, n: int = N) -> DataFrame:
@@ -206,9 +275,8 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     others = small.select("band", F.col("node").alias("other"), F.col("n_grams").alias("other_grams"))
     listed = small.join(others, "band").where(f"node < other and {size_allows('n_grams', 'other_grams', threshold)}")
     large = cut_lineage(members.where(F.col("size") > SMALL).join(shared, "node"))
-    starred, rest = hub_pairs(large)
     pairs = cut_lineage(
-        listed.select(F.col("node").alias("a"), F.col("other").alias("b")).unionByName(starred.select("a", "b")).distinct()
+        listed.select(F.col("node").alias("a"), F.col("other").alias("b")).unionByName(hub_pairs(large)).distinct()
     )
 
     # the text of every node in a bucket, found again by its key
@@ -218,30 +286,14 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     )
     links = verified(pairs, texts, threshold, n)
     labels = components(links)
-    for _ in range(HUB_ROUNDS):
-        rest = crossing(rest, labels).drop("label")
-        if rest.isEmpty():
-            break
-        starred, rest = hub_pairs(rest)
-        new = cut_lineage(starred.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"))
-        pairs = pairs.unionByName(new)
-        links = links.unionByName(verified(new, texts, threshold, n))
-        labels = components(links)
-    open_members = crossing(large, labels)
-    if not open_members.isEmpty():
-        theirs = open_members.select("band", F.col("node").alias("other"), F.col("label").alias("other_label"), F.col("n_grams").alias("other_grams"))
-        last = (
-            open_members.join(theirs, "band")
-            .where(f"node < other and label <> other_label and {size_allows('n_grams', 'other_grams', threshold)}")
-            .select(F.col("node").alias("a"), F.col("other").alias("b"))
-            .distinct()
-            .join(pairs, ["a", "b"], "left_anti")
-        )
-        links = links.unionByName(verified(cut_lineage(last), texts, threshold, n))
+    open_nodes = crossing(large, labels)
+    if not open_nodes.isEmpty():
+        found = units(open_nodes, "cluster", texts).applyInArrow(lambda t: joining_links(t, threshold, n), "a long, b long")
+        links = links.unionByName(cut_lineage(found.distinct()))
         labels = components(links)
 
-    ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
-    degree = ends.groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    counted = units(labels, "label", texts).applyInArrow(lambda t: link_counts(t, threshold, n), "node long, n_links long")
+    degree = counted.groupBy("node").agg(F.sum("n_links").alias("n_links"))
     named = cut_lineage(nodes.join(labels, "node", "left").join(degree, "node", "left").withColumn("label", F.coalesce("label", "node")))
     classes = named.groupBy("label").agg(F.min("least_id").alias("class_id"), F.count(F.lit(1)).alias("in_class"))
     by_digest = look_up(named, classes, "label", "in_class", total).select(
