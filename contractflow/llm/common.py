@@ -43,14 +43,15 @@ def crc32_of_id(column: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
 
 
-def number_within(df: DataFrame, group: str, name: str, spread: Column, rows: int) -> DataFrame:
+def number_within(df: DataFrame, group: str, name: str, spread: Column, rows: int, per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Number the rows of every group from 0 without gaps, in bounded tasks.
 
     A group may hold any share of the rows, so it is cut into cells by a hash of ``spread``; the sizes
     of the cells are added up first, and rows are numbered inside their cell.  ``df`` is read twice
-    and must give the same rows each time: pass a stored table.  ``rows`` is its row count.
+    and must give the same rows each time: pass a stored table.  ``rows`` is its row
+    count; wide rows want a smaller ``per_task``.
     """
-    cells = max(1, math.ceil(rows / ROWS_PER_TASK))
+    cells = max(1, math.ceil(rows / per_task))
     celled = df.withColumn("__cell", F.pmod(F.xxhash64(spread), F.lit(cells)).cast("int"))
     sizes = celled.groupBy(group, "__cell").agg(F.count(F.lit(1)).alias("__n"))
     # one row per group and cell here

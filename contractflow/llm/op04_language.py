@@ -98,11 +98,11 @@ class Parser:
             for state, moves in enumerate(nexts):
                 if moves:
                     table[state, list(moves)] = list(moves.values())
-            # no move: the phrase ends and the next one begins with this symbol, or is just it
-            start = np.broadcast_to(table[0], table.shape)
-            ended = table == 0
-            moved = np.where(ended, start, table)
-            self.tables.append(((moved * self.width) << 2 | ended + (ended & (start == 0))).astype(np.int32).ravel())
+            # no move: the next phrase begins with this symbol, or is just it; at the start one always begins
+            begins = table == 0
+            begins[0] = True
+            moved = np.where(table == 0, table[0], table)
+            self.tables.append(((moved * self.width) << 1 | begins).astype(np.int32).ravel())
             self.cost.append(math.log2(len(columns) + 1))
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
@@ -125,12 +125,12 @@ class Parser:
         owners = np.array(owner)[order]
         for k, table in enumerate(self.tables):
             state = np.zeros(len(blocks), dtype=np.int32)
-            total = np.ones(len(blocks), dtype=np.int64)
+            total = np.zeros(len(blocks), dtype=np.int64)
             for step in range(sizes[0]):
                 n = active[step]
                 move = table[state[:n] + lanes[step, :n]]
-                total[:n] += move & 3
-                state[:n] = move >> 2
+                total[:n] += move & 1
+                state[:n] = move >> 1
             counts[:, k] = np.bincount(owners, weights=total, minlength=len(texts))
         return counts
 

@@ -79,7 +79,7 @@ def pack(docs: DataFrame, path: str, longest: int = LENGTH, end_id: int = END_ID
     """
     pieces = cut_lineage(split_documents(docs, path, longest, end_id, with_ids).withColumn("row", F.monotonically_increasing_id()))
     buckets = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    numbered = number_within(pieces, "length", "in_bucket", F.col("row"), sum(buckets.values()))
+    numbered = number_within(pieces, "length", "in_bucket", F.col("row"), sum(buckets.values()), 5_000 if with_ids else 100_000)
     first, cases = 0, []
     for length in sorted(buckets, reverse=True):
         cases.append(f"when {length} then {first}L")
