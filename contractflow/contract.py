@@ -58,7 +58,7 @@ KNOWN_DATATYPES = {"string", "dateTime", "nonNegativeInteger"}
 
 FIELD_SCHEMA = (
     "name string, required boolean, view_column string, view_type string, "
-    "node_class string, path string, link_path string"
+    "node_class string, path string, link_path string, position int"
 )
 CONSTRAINT_SCHEMA = "shape string, target_class string, path string, `constraint` string, value string"
 
@@ -157,8 +157,8 @@ def default_contract() -> Contract:
 def contract_tables(spark: SparkSession, contract: Contract) -> tuple[DataFrame, DataFrame]:
     fields = spark.createDataFrame(
         [
-            (f.name, f.required, f.view_column, f.view_type, f.node_class, f.path, f.link_path)
-            for f in contract.fields
+            (f.name, f.required, f.view_column, f.view_type, f.node_class, f.path, f.link_path, i)
+            for i, f in enumerate(contract.fields)
         ],
         FIELD_SCHEMA,
     )
@@ -191,12 +191,16 @@ def load_contract(
             raise ContractError(f"{path}/{name} is not a contract table (too many rows)")
         return found
 
+    # tables without positions: the default fields in their order, then the others by name
+    order = {f[0]: i for i, f in enumerate(DEFAULT_FIELDS)}
+    found = sorted(
+        rows("fields", FIELD_SCHEMA),
+        key=lambda r: (order.get(r["name"], len(order)) if r["position"] is None else r["position"], r["name"]),
+    )
     fields = [
         (r["name"], r["required"], r["view_column"], r["view_type"], r["node_class"], r["path"], r["link_path"] or "")
-        for r in rows("fields", FIELD_SCHEMA)
+        for r in found
     ]
-    order = {f[0]: i for i, f in enumerate(DEFAULT_FIELDS)}
-    fields.sort(key=lambda f: (order.get(f[0], len(order)), f[0]))
     constraints = [
         (r["shape"], r["target_class"], r["path"], r["constraint"], r["value"])
         for r in rows("constraints", CONSTRAINT_SCHEMA)

@@ -133,5 +133,10 @@ def json_string(payload: str, key: str) -> str:
 
 
 def rounded_bigint(text: str) -> str:
-    """Text to BIGINT with decimals rounded half away from zero; null when not a number."""
-    return f"try_cast(round(try_cast({text} as decimal(38,10)), 0) as bigint)"
+    """Text to BIGINT with decimals rounded half away from zero; null when not a number.
+
+    The first decimal alone decides, so the others of a number without exponent are dropped before
+    the cast, which would round them.
+    """
+    short = f"regexp_replace({text}, '^( *[+-]?[0-9]*[.][0-9])[0-9]+( *)$', '$1$2')"
+    return f"try_cast(round(try_cast({short} as decimal(38,18)), 0) as bigint)"

@@ -73,10 +73,15 @@ def _hits_inline(events: DataFrame, aliases: list[Alias], contract: Contract, ti
 
 
 def _hits_joined(events: DataFrame, registry: DataFrame, contract: Contract, timeless: bool) -> DataFrame:
-    """The same through a join, for registries too large to inline.  ``ord`` identifies the event."""
-    keyed = events.selectExpr("ord", f"inline({entry_rows(contract, 'o.scalar')})")
+    """The same through a join, for registries too large to inline.
+
+    Positions repeat when a broker reconnects, so an event is found again by its position and what it
+    holds.  Events that agree in both have the same hits.
+    """
+    events = events.withColumn("__held", F.expr("sha2(to_json(slots), 256)"))
+    keyed = events.selectExpr("ord", "__held", f"inline({entry_rows(contract, 'o.scalar')})")
     known = registry.selectExpr("canonical", "raw_key", "learned_pos as pos")
-    found = lookup_join(keyed, known, ["canonical", "raw_key"], "inner", spread=F.col("ord"))
+    found = lookup_join(keyed, known, ["canonical", "raw_key"], "inner", spread=F.struct("ord", "__held"))
     aggs = []
     for n in contract.names:
         parts = [
@@ -84,8 +89,8 @@ def _hits_joined(events: DataFrame, registry: DataFrame, contract: Contract, tim
             for moment, test in _moments(timeless, "pos").items()
         ]
         aggs.append(f"{lit(n)}, named_struct({', '.join(parts)})")
-    hits = found.groupBy("ord").agg(F.expr(f"named_struct({', '.join(aggs)}) as hits"))
-    return events.join(hits, "ord", "left")
+    hits = found.groupBy("ord", "__held").agg(F.expr(f"named_struct({', '.join(aggs)}) as hits"))
+    return events.join(hits, ["ord", "__held"], "left").drop("__held")
 
 
 def resolved_text(field: str, moment: str = "after") -> str:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,13 +45,15 @@ def save_policy(spark: SparkSession, path: str, protected: list[str], trusted: l
 def load_policy(spark: SparkSession, path: str, limit: int = INLINE_LIMIT) -> Policy:
     """Read ``<path>/protected_fields`` and ``<path>/trusted_origins``.
 
-    A policy that cannot be read, or that holds no row at all, denies everything.
+    A policy that cannot be read, for whatever reason, or that holds no row at all, denies everything.
     """
     try:
         fields = small_rows(spark.read.schema("field string").parquet(f"{path}/protected_fields").distinct(), MAX_PROTECTED)
         origins = spark.read.schema("origin string").parquet(f"{path}/trusted_origins").distinct()
         few = small_rows(origins, limit)
-    except AnalysisException:
+    except (PySparkException, Py4JError) as error:
+        # missing, damaged or out of reach: nobody may teach
+        logging.getLogger(__name__).warning("policy %s cannot be read: %s", path, type(error).__name__)
         return Policy(deny_all=True)
     if fields is None:
         raise ValueError(f"{path}/protected_fields lists more fields than any contract can have")

@@ -34,7 +34,7 @@ def _n() -> Column:
 @functools.cache
 def demo_keys() -> tuple[PublicKey, SecretKey]:
     """One key pair per process, as the keys of the catalogue's metrics."""
-    return generate_keys(1024)
+    return generate_keys()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -442,11 +442,16 @@ def number_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text to BIGINT over the price column, as written and with an exponent."""
     cents = "cast(cast(o_totalprice as decimal(18,2)) as string)"
     hundreds = "concat(o_orderkey, 'e2')"
+    below = "concat(o_orderkey, '.49999999999999')"
+    half = "concat('-', o_orderkey, '.5000000000000001')"
+    mixed = "if(o_orderkey % 3 = 0, o_orderpriority, concat(o_orderkey, '.9'))"
     return table(spark, sf_dir, "orders").selectExpr(
         "o_orderkey",
         f"{J.rounded_bigint(cents)} as rounded",
         f"{J.rounded_bigint(hundreds)} as hundreds",
-        f"{J.rounded_bigint('o_orderpriority')} as not_a_number",
+        f"{J.rounded_bigint(below)} as below_half",
+        f"{J.rounded_bigint(half)} as negative_half",
+        f"{J.rounded_bigint(mixed)} as not_always_a_number",
     )
 
 

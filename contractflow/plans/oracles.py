@@ -367,7 +367,9 @@ def oracles() -> dict[str, str]:
         "wrapped_totals": "SELECT o_custkey, CAST(sum(CAST(CAST(o_totalprice AS DECIMAL(18,2)) * 100 AS BIGINT)) % 100000000 AS BIGINT) AS total "
         "FROM orders GROUP BY o_custkey",
         "number_texts": "SELECT o_orderkey, try_cast(CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS BIGINT) AS rounded, "
-        "try_cast(o_orderkey || 'e2' AS BIGINT) AS hundreds, try_cast(o_orderpriority AS BIGINT) AS not_a_number FROM orders",
+        "try_cast(o_orderkey || 'e2' AS BIGINT) AS hundreds, try_cast(o_orderkey || '.49999999999999' AS BIGINT) AS below_half, "
+        "try_cast('-' || o_orderkey || '.5000000000000001' AS BIGINT) AS negative_half, "
+        "try_cast(CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority ELSE o_orderkey || '.9' END AS BIGINT) AS not_always_a_number FROM orders",
         "decision_log_counts": _sql(LOG, "SELECT level, stage, count(*) AS n FROM log GROUP BY ALL"),
         "decision_tail": _sql(LOG, "SELECT n, seq, level, stage FROM log ORDER BY ts DESC, n DESC, seq DESC LIMIT 500"),
         "decision_level_filter": _sql(LOG, "SELECT n, stage, missing FROM log WHERE level IN ('ERROR', 'WARN')"),
