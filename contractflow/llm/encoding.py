@@ -71,13 +71,16 @@ class Units:
     def piece(self, text: str):
         found = self.pieces.get(text)
         if found is None:
-            found = self.value([t.id for t in self.merge(text.encode().decode("latin-1").translate(self.alphabet))])
+            mapped = text.replace(" ", self.alphabet[32]) if text.isascii() else text.encode().decode("latin-1").translate(self.alphabet)
+            found = self.value([t.id for t in self.merge(mapped)])
             if len(self.pieces) >= MAX_UNITS:
                 self.pieces.clear()
             self.pieces[text] = found
         return found
 
     def unit(self, text: str):
+        if text.isascii() and text.isalpha():
+            return self.piece(self.lead + self.fold(text))
         if PLAIN.fullmatch(text) and "<|" not in text:
             return self.join(map(self.piece, self.cut.findall(self.lead + self.fold(text))))
         return self.encode(self.lead + text)
