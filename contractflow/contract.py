@@ -23,6 +23,8 @@ DEFAULT_FIELDS = (
     ("msPlayed", False, "ms_played", "bigint", "StreamingEvent", "msPlayed", ""),
 )
 
+DEFAULT_ROLES = {"event": "eventId", "owner": "userId", "metric": "msPlayed"}
+
 # The constraints of the default contract.
 # shape, target class, path, constraint, value
 DEFAULT_CONSTRAINTS = (
@@ -58,7 +60,7 @@ KNOWN_DATATYPES = {"string", "dateTime", "nonNegativeInteger"}
 
 FIELD_SCHEMA = (
     "name string, required boolean, view_column string, view_type string, "
-    "node_class string, path string, link_path string, position int"
+    "node_class string, path string, link_path string, position int, role string"
 )
 CONSTRAINT_SCHEMA = "shape string, target_class string, path string, `constraint` string, value string"
 
@@ -94,8 +96,15 @@ class Contract:
     fields: tuple[Field, ...]
     constraints: tuple[Constraint, ...]
     root_class: str
+    # fields that name an event, its owner and its metric; empty if the contract has none
+    event: str = ""
+    owner: str = ""
+    metric: str = ""
 
     def __post_init__(self) -> None:
+        for role in (self.event, self.owner, self.metric):
+            if role and role not in self.names:
+                raise ContractError(f"{role!r} has a role but is no field")
         classes: dict[str, str] = {}
         for f in self.fields:
             norm = normalized(f.name)
@@ -143,21 +152,22 @@ class Contract:
 
 
 def make_contract(
-    fields: Sequence[Sequence], constraints: Sequence[Sequence], root_class: str
+    fields: Sequence[Sequence], constraints: Sequence[Sequence], root_class: str, **roles: str
 ) -> Contract:
     return Contract(
-        tuple(Field(*f) for f in fields), tuple(Constraint(*c) for c in constraints), root_class
+        tuple(Field(*f) for f in fields), tuple(Constraint(*c) for c in constraints), root_class, **roles
     )
 
 
 def default_contract() -> Contract:
-    return make_contract(DEFAULT_FIELDS, DEFAULT_CONSTRAINTS, "StreamingEvent")
+    return make_contract(DEFAULT_FIELDS, DEFAULT_CONSTRAINTS, "StreamingEvent", **DEFAULT_ROLES)
 
 
 def contract_tables(spark: SparkSession, contract: Contract) -> tuple[DataFrame, DataFrame]:
+    roles = {getattr(contract, role): role for role in DEFAULT_ROLES}
     fields = spark.createDataFrame(
         [
-            (f.name, f.required, f.view_column, f.view_type, f.node_class, f.path, f.link_path, i)
+            (f.name, f.required, f.view_column, f.view_type, f.node_class, f.path, f.link_path, i, roles.get(f.name))
             for i, f in enumerate(contract.fields)
         ],
         FIELD_SCHEMA,
@@ -205,4 +215,8 @@ def load_contract(
         (r["shape"], r["target_class"], r["path"], r["constraint"], r["value"])
         for r in rows("constraints", CONSTRAINT_SCHEMA)
     ]
-    return make_contract(fields, sorted(constraints), root_class)
+    # tables without roles: those of the default fields, by name
+    roles = {r["role"]: r["name"] for r in found if r["role"]}
+    if not roles:
+        roles = {role: name for role, name in DEFAULT_ROLES.items() if any(name == r["name"] for r in found)}
+    return make_contract(fields, sorted(constraints), root_class, **roles)

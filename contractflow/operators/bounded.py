@@ -18,12 +18,13 @@ SALTS = 16
 def is_small(df: DataFrame, limit: int = BROADCAST_LIMIT, max_bytes: int = BROADCAST_BYTES) -> bool:
     """Whether a table has at most ``limit`` rows and ``max_bytes`` bytes of text.
 
-    Only row widths come to the driver, and reading stops soon after the limit is passed.  The
+    One row comes to the driver, and reading stops soon after the limit is passed.  The
     table is evaluated for this, so derived tables are better stored first.
     """
     width = " + ".join(f"coalesce(octet_length(cast(`{c}` as string)), 0)" for c in df.columns)
-    widths = df.selectExpr(f"{width} as w").limit(limit + 1).collect()
-    return len(widths) <= limit and sum(r["w"] for r in widths) <= max_bytes
+    widths = df.selectExpr(f"cast({width} as bigint) as w").limit(limit + 1)
+    found = widths.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("w"), F.lit(0)).alias("bytes")).first()
+    return found["rows"] <= limit and found["bytes"] <= max_bytes
 
 
 def small_rows(df: DataFrame, limit: int = INLINE_LIMIT, max_bytes: int = INLINE_BYTES) -> list[Row] | None:

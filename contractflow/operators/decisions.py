@@ -32,9 +32,13 @@ def _joined(keys: str) -> str:
     return f"array_join({keys}, ',')"
 
 
-def decision_log(judged: DataFrame, encrypting: bool = True, modulus: int = MODULUS) -> DataFrame:
+def decision_log(
+    judged: DataFrame, encrypting: bool = True, modulus: int = MODULUS, owner: str = "userId", metric: str = "msPlayed"
+) -> DataFrame:
     """``ord, seq, ts, level, stage, message, fields`` from the result of the heal plan.
 
+    ``owner`` and ``metric`` are the contract's fields with these roles; with ``encrypting`` off they are not read.
+
     Stages: breach, healed, denied, ambiguous, metric_failed, conforms, not_conforming.
     """
     breach = _entry("WARN", "breach", "required fields are missing", source="source", missing=_joined("missing_before"))
@@ -48,8 +52,9 @@ def decision_log(judged: DataFrame, encrypting: bool = True, modulus: int = MODU
     repair = (
         f"case r.outcome when 'healed' then {healed} when 'denied' then {denied} when 'ambiguous' then {ambiguous} end"
     )
-    failed = f"values.userId is not null and {metric_value('values.msPlayed')} >= {modulus}" if encrypting else "false"
-    metric = _entry("WARN", "metric_failed", "value cannot be encrypted", source="source")
+    value = metric_value(f"values.`{metric}`")
+    failed = f"values.`{owner}` is not null and {value} >= {modulus}" if encrypting else "false"
+    refused = _entry("WARN", "metric_failed", "value cannot be encrypted", source="source")
     good = _entry("INFO", "conforms", "event conforms to the contract", source="source")
     bad = _entry(
         "WARN", "not_conforming", "event does not conform, kept for audit",
@@ -57,7 +62,7 @@ def decision_log(judged: DataFrame, encrypting: bool = True, modulus: int = MODU
     )
     entries = (
         f"array_compact(concat(if(size(missing_before) > 0, array({breach}), array()), "
-        f"transform(repairs, r -> {repair}), array(if({failed}, {metric}, null), if(conforms, {good}, {bad}))))"
+        f"transform(repairs, r -> {repair}), array(if({failed}, {refused}, null), if(conforms, {good}, {bad}))))"
     )
     log = judged.selectExpr("ord", "received_at as ts", f"posexplode({entries}) as (seq, entry)")
     return log.selectExpr("ord", "seq", "ts", "entry.level", "entry.stage", "entry.message", "entry.fields")
@@ -94,7 +99,7 @@ def parse_decision_lines(lines: DataFrame, received_at: str = "current_timestamp
     good = f"{is_valid_json('value')} and startswith(ltrim(value), '{{')"
     broken = (
         f"named_struct('ts_ms', unix_millis({received_at}), 'level', 'ERROR', 'target', 'console', "
-        "'message', concat('failed to parse decision line: ', value), 'fields', cast(map() as map<string,string>))"
+        "'message', concat('unreadable decision line: ', value), 'fields', cast(map() as map<string,string>))"
     )
     keep = [c for c in lines.columns if c != "value"]
     entry = f"if({good}, from_json(value, {lit(LINE_SCHEMA)}), {broken}) as e"

@@ -25,8 +25,9 @@ def metric_value(text: str) -> str:
 
 def eligible_metrics(judged: DataFrame, user: str = "userId", metric: str = "msPlayed", event: str = "eventId") -> DataFrame:
     """``event_id, user_id, ms_played, ord, received_at`` of events with an owner and a usable value."""
+    named = f"values.`{event}`" if event else "cast(null as string)"
     return judged.selectExpr(
-        f"{event_key(f'values.`{event}`', 'fallback_id')} as event_id",
+        f"{event_key(named, 'fallback_id')} as event_id",
         f"values.`{user}` as user_id",
         f"{metric_value(f'values.`{metric}`')} as ms_played",
         "ord",
@@ -69,10 +70,21 @@ def upsert_metrics(rows: DataFrame, path: str, batch_id: int) -> None:
     rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
+def _written(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(METRIC_SCHEMA + ", batch_id bigint").parquet(path).drop("batch_id")
+
+
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
     """Current rows of the metric table."""
-    schema = METRIC_SCHEMA + ", batch_id bigint"
-    return latest_per_event(spark.read.schema(schema).parquet(path).drop("batch_id"))
+    return latest_per_event(_written(spark, path))
+
+
+def read_user_metrics(spark: SparkSession, path: str, user_id: str) -> DataFrame:
+    """Current rows of one user.  Only events that ever had this user are resolved, so the filter
+    reaches the scan and the ciphertexts of other events are not shuffled."""
+    rows = _written(spark, path)
+    ids = rows.where(F.col("user_id") == user_id).select("event_id").distinct()
+    return latest_per_event(rows.join(ids, "event_id", "left_semi")).where(F.col("user_id") == user_id)
 
 
 def compact_metrics(spark: SparkSession, path: str, target: str) -> None:

@@ -92,7 +92,3 @@ def quarantine(spark: SparkSession, root: str, contract: Contract) -> DataFrame:
     """Events whose payload is not JSON, with the text as received."""
     schema = raw_schema(contract) + ", batch_id bigint, malformed boolean"
     return spark.read.schema(schema).parquet(f"{root}/raw_events").where("malformed").drop("malformed", "slots")
-
-
-def raw_event_count(raw: DataFrame) -> DataFrame:
-    return raw.agg(F.count("*").alias("n"))

@@ -20,6 +20,7 @@ from contractflow.contract import Contract, ContractError
 from contractflow.functions.text import lit, normalize_key, timestamp_text
 from contractflow.operators.bounded import INLINE_LIMIT, lookup_join, small_rows
 from contractflow.sources.identity import ORD_TYPE
+from contractflow.tables import read_version
 
 REGISTRY_SCHEMA = (
     f"canonical string, raw_key string, learned_pos {ORD_TYPE}, learned_at timestamp, last_used_at timestamp"
@@ -78,9 +79,10 @@ def merge_registries(*tables: DataFrame) -> DataFrame:
 
 
 def load_registry(spark: SparkSession, contract: Contract, path: str | None = None) -> DataFrame:
-    """Canonical names plus the learned aliases stored under ``path``."""
+    """Canonical names plus the newest version of the learned aliases that the loop keeps under ``path``."""
     defaults = default_registry(spark, contract)
-    return defaults if path is None else merge_registries(defaults, spark.read.parquet(path))
+    stored = None if path is None else read_version(spark, path, REGISTRY_SCHEMA)
+    return defaults if stored is None else merge_registries(defaults, stored)
 
 
 def default_aliases(contract: Contract) -> list[Alias]:

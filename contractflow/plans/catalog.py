@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 import uuid
 from collections.abc import Callable
-from datetime import datetime, timedelta
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 from contractflow.contract import default_contract, make_contract
 from contractflow.functions import json as J
 from contractflow.functions import text as T
-from contractflow.functions.crypto import MODULUS, PublicKey, SecretKey, generate_keys
+from contractflow.functions.crypto import MODULUS, PublicKey, SecretKey, generate_keys, reveal
 from contractflow.operators import checks, decisions, discover, extract, graph, metrics, parse, policy, private_sum
 from contractflow.operators import raw_log, registry, shim
 from contractflow.plans.derived_events import derived_events, spread
 from contractflow.plans.heal import Healed, alias_table, heal, used_pairs
 from contractflow.sources.envelope import from_envelope
-from contractflow.storage import checkpoint_dir, cut_lineage
+from contractflow.storage import checkpoint_dir, cut_lineage, ship_package
+from contractflow.streaming.loop import Store, heal_batch
 
 CONTRACT = default_contract()
 POLICY = policy.Policy()
@@ -184,9 +185,10 @@ def alias_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stale_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return registry.stale_aliases(
-        _registry(spark, sf_dir), F.lit(datetime(2024, 1, 30)).cast("timestamp"), timedelta(days=1)
-    )
+    """Aliases not used during the last second before the newest use of any."""
+    table = cut_lineage(_registry(spark, sf_dir))
+    newest = table.agg(F.max("last_used_at").alias("at")).first()["at"]
+    return registry.stale_aliases(table, F.lit(newest).cast("timestamp"), timedelta(seconds=1))
 
 
 # ---- healed view --------------------------------------------------------------------------------
@@ -325,6 +327,39 @@ def contract_on_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.violations(orders, ORDERS_CONTRACT, value_of, ["o_orderkey"])
 
 
+def _orders_loop(spark: SparkSession, sf_dir: str) -> Store:
+    """Orders as events of a contract of their own, every third under another key, healed in two batches."""
+    payload = (
+        """concat('{"', if(o_orderkey % 3 = 0, 'order_key', 'orderKey'), '":', o_orderkey, ',"placed":"', """
+        """date_format(o_orderdate, "yyyy-MM-dd'T'HH:mm:ss"), '","priority":"', o_orderpriority, '","status":"', o_orderstatus, '"}')"""
+    )
+    events = table(spark, sf_dir, "orders").selectExpr(
+        "concat('orders/', o_orderkey) as source",
+        "'partner-feed' as origin",
+        "concat('order-', o_orderkey) as fallback_id",
+        f"{payload} as payload",
+        "named_struct('batch', 0L, 'seq', cast(o_orderkey as bigint), 'tie', '') as ord",
+        "cast(o_orderdate as timestamp) as received_at",
+    )
+    store = Store(f"{checkpoint_dir(spark)}/orders-loop-{uuid.uuid4().hex}", ORDERS_CONTRACT)
+    for batch in (0, 1):
+        heal_batch(events.where(F.col("ord.seq") % 2 == batch), batch, store)
+    return store
+
+
+def orders_loop_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _orders_loop(spark, sf_dir).view(spark).select("order_key", "status", "priority", "placed")
+
+
+def orders_loop_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _orders_loop(spark, sf_dir).decisions(spark).groupBy("batch_id", "level", "stage").agg(F.count("*").alias("n"))
+
+
+def orders_loop_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    learned = _orders_loop(spark, sf_dir).registry(spark)
+    return learned.select("canonical", "raw_key", F.col("learned_pos.seq").alias("learned_from"))
+
+
 # ---- metrics and private totals -----------------------------------------------------------------
 
 
@@ -361,9 +396,10 @@ def encrypted_one_user(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def user_ciphertexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ciphertexts differ with every run, so only whether they have their full width is shown."""
+    """Ciphertexts differ with every run, so what they reveal is shown."""
+    ship_package(spark)
     rows = metrics.ciphertexts_for_user(_encrypted(spark, sf_dir, "u7"), "u7")
-    return rows.select("event_id", (F.octet_length("ciphertext") == demo_keys()[0].width).alias("full_width"))
+    return rows.select("event_id", reveal(F.col("ciphertext"), demo_keys()[1]).alias("revealed"))
 
 
 # ---- raw log, identity, quarantine --------------------------------------------------------------
@@ -497,6 +533,7 @@ def catalog() -> dict[str, Query]:
         healed_view, healed_view_all_keys, healed_view_from_text, healed_lookup, played_per_user,
         verdicts, violation_report, shape_counts_graph, graph_verdicts, graph_violation_counts,
         event_triples, ntriples_lines, orders_reference_check, nested_reference_check, contract_on_orders,
+        orders_loop_view, orders_loop_log, orders_loop_registry,
         metric_latest, metric_latest_per_track, encrypted_user_totals, encrypted_one_user, user_ciphertexts,
         raw_audit_count, raw_log_ids, quarantine, canonical_payload, canonical_properties,
         envelope_identity, file_identity, text_functions, wrapped_totals, number_texts,

@@ -297,8 +297,18 @@ def oracles() -> dict[str, str]:
             "FROM audit ORDER BY canonical, raw_key",
         ),
         "stale_aliases": _sql(
-            AUDIT, "SELECT * FROM audit WHERE last_used_at < TIMESTAMP '2024-01-29 00:00:00' ORDER BY last_used_at"
+            AUDIT,
+            "SELECT * FROM audit WHERE last_used_at < (SELECT max(last_used_at) FROM audit) - INTERVAL 1 SECOND ORDER BY last_used_at",
         ),
+        "orders_loop_view": "SELECT CAST(o_orderkey AS VARCHAR) AS order_key, o_orderstatus AS status, o_orderpriority AS priority, "
+        "strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS placed FROM orders",
+        "orders_loop_log": "WITH o AS (SELECT o_orderkey % 2 AS batch_id, length(o_orderpriority) >= 6 AS good FROM orders) "
+        "SELECT batch_id, CASE WHEN good THEN 'INFO' ELSE 'WARN' END AS level, CASE WHEN good THEN 'conforms' ELSE 'not_conforming' END AS stage, "
+        "count(*) AS n FROM o GROUP BY ALL "
+        "UNION ALL SELECT 0, 'WARN', 'breach', 1 FROM orders HAVING count(*) FILTER (WHERE o_orderkey % 6 = 0) > 0 "
+        "UNION ALL SELECT 0, 'INFO', 'healed', 1 FROM orders HAVING count(*) FILTER (WHERE o_orderkey % 6 = 0) > 0",
+        "orders_loop_registry": "SELECT 'orderKey' AS canonical, 'order_key' AS raw_key, min(o_orderkey) AS learned_from FROM orders "
+        "WHERE o_orderkey % 6 = 0",
         "healed_view": _sql(SAFE_VIEW, VIEW_SELECT),
         "healed_view_all_keys": _sql(FULL_VIEW, VIEW_SELECT),
         "healed_view_from_text": _sql(SAFE_VIEW, VIEW_SELECT),
@@ -350,7 +360,9 @@ def oracles() -> dict[str, str]:
             METRICS,
             "SELECT user_id, count(*) AS n, CAST(sum(ms_played) % 100000000 AS BIGINT) AS total FROM metrics WHERE ms_played < 100000000 AND user_id = 'u7' GROUP BY user_id",
         ),
-        "user_ciphertexts": _sql(METRICS, "SELECT event_id, true AS full_width FROM metrics WHERE user_id = 'u7' ORDER BY event_id"),
+        "user_ciphertexts": _sql(
+            METRICS, "SELECT event_id, ms_played AS revealed FROM metrics WHERE user_id = 'u7' AND ms_played < 100000000 ORDER BY event_id"
+        ),
         "raw_audit_count": _sql(RAW, "SELECT count(*) AS n, count(*) AS last_id FROM good"),
         "raw_log_ids": _sql(RAW, f"SELECT row_number() OVER (ORDER BY n) AS id, source, {CANONICAL} AS payload, ts AS received_at FROM good"),
         "quarantine": _sql(RAW, "SELECT n, source, payload FROM raw WHERE NOT json_valid(payload)"),
@@ -377,7 +389,7 @@ def oracles() -> dict[str, str]:
             RAW,
             "SELECT n, CASE WHEN n % 17 = 16 THEN 1704067200000 ELSE n END AS ts_ms, CASE WHEN n % 17 = 16 THEN 'ERROR' ELSE 'WARN' END AS level, "
             "CASE WHEN n % 17 = 16 THEN 'console' ELSE 'ingest' END AS target, CASE WHEN n % 17 = 16 THEN "
-            "'failed to parse decision line: {\"ts_ms\":' || n || ',\"level\":\"WARN\",\"target\":\"ingest\",\"message\":\"seen\",\"fields\":{\"origin\":\"' || origin || '\"}' "
+            "'unreadable decision line: {\"ts_ms\":' || n || ',\"level\":\"WARN\",\"target\":\"ingest\",\"message\":\"seen\",\"fields\":{\"origin\":\"' || origin || '\"}' "
             "ELSE 'seen' END AS message, CASE WHEN n % 17 <> 16 THEN origin END AS origin FROM raw",
         ),
     }

@@ -14,7 +14,9 @@ from pyspark.sql.streaming import StreamingQuery
 from contractflow.contract import Contract, default_contract
 from contractflow.functions.crypto import PublicKey
 from contractflow.operators.decisions import DECISION_SCHEMA, decision_log, write_decisions
-from contractflow.operators.metrics import eligible_metrics, encrypt_metrics, latest_per_event, read_metrics, upsert_metrics
+from contractflow.operators.metrics import (
+    METRIC_SCHEMA, eligible_metrics, encrypt_metrics, latest_per_event, read_metrics, read_user_metrics, upsert_metrics,
+)
 from contractflow.operators.policy import Policy
 from contractflow.operators.raw_log import append_raw, batch_rows, quarantine, raw_log
 from contractflow.operators.registry import Aliases, REGISTRY_SCHEMA, as_aliases, empty_registry, learn, touch
@@ -49,8 +51,16 @@ class Store:
     def quarantined(self, spark: SparkSession) -> DataFrame:
         return quarantine(spark, self.root, self.contract)
 
-    def metrics(self, spark: SparkSession) -> DataFrame:
-        return read_metrics(spark, f"{self.root}/metrics")
+    @property
+    def has_metric(self) -> bool:
+        return bool(self.contract.owner and self.contract.metric)
+
+    def metrics(self, spark: SparkSession, user_id: str | None = None) -> DataFrame:
+        """Current metrics, of one user or of all; empty for a contract without owner or metric."""
+        if not self.has_metric:
+            return spark.createDataFrame([], METRIC_SCHEMA)
+        path = f"{self.root}/metrics"
+        return read_metrics(spark, path) if user_id is None else read_user_metrics(spark, path, user_id)
 
     def decisions(self, spark: SparkSession) -> DataFrame:
         schema = f"{DECISION_SCHEMA}, batch_id bigint"
@@ -74,10 +84,15 @@ def _heal_batch(events: DataFrame, batch_id: int, store: Store) -> None:
     registry = store.registry(spark, before=batch_id)
     healed = heal(stored, registry, store.policy, store.contract)
 
-    write_decisions(decision_log(healed.judged, store.key is not None), f"{store.root}/decisions", batch_id)
-    # repeated ids within the batch are dropped before they cost an encryption
-    metrics = latest_per_event(eligible_metrics(healed.judged))
-    upsert_metrics(encrypt_metrics(metrics, store.key), f"{store.root}/metrics", batch_id)
+    roles = store.contract
+    log = decision_log(
+        healed.judged, store.key is not None and store.has_metric, owner=roles.owner, metric=roles.metric
+    )
+    write_decisions(log, f"{store.root}/decisions", batch_id)
+    if store.has_metric:
+        # repeated ids within the batch are dropped before they cost an encryption
+        metrics = latest_per_event(eligible_metrics(healed.judged, roles.owner, roles.metric, roles.event))
+        upsert_metrics(encrypt_metrics(metrics, store.key), f"{store.root}/metrics", batch_id)
 
     widened, _ = learn(registry, alias_table(spark, healed.learned))
     used = cut_lineage(used_pairs(healed.judged, store.contract))

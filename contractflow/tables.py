@@ -20,24 +20,20 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(target, True)
 
 
-def versions(spark: SparkSession, path: str) -> list[int]:
-    """Completely written versions, ascending."""
+def read_version(spark: SparkSession, path: str, schema: str, before: int | None = None) -> DataFrame | None:
+    """The newest complete version (older than ``before``), or None.
+
+    The folder is listed once, and only versions newer than the one found are looked into.
+    """
     fs, target = _path(spark, path)
     if not fs.exists(target):
-        return []
-    found = []
-    for status in fs.listStatus(target):
-        name = status.getPath().getName()
-        done = spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
-        if name.startswith("version=") and fs.exists(done):
-            found.append(int(name.removeprefix("version=")))
-    return sorted(found)
-
-
-def read_version(spark: SparkSession, path: str, schema: str, before: int | None = None) -> DataFrame | None:
-    """The newest complete version (older than ``before``), or None."""
-    usable = [v for v in versions(spark, path) if before is None or v < before]
-    return spark.read.schema(schema).parquet(f"{path}/version={usable[-1]}") if usable else None
+        return None
+    names = [status.getPath().getName() for status in fs.listStatus(target)]
+    written = sorted((int(n.removeprefix("version=")) for n in names if n.startswith("version=")), reverse=True)
+    for version in written:
+        if (before is None or version < before) and exists(spark, f"{path}/version={version}/_SUCCESS"):
+            return spark.read.schema(schema).parquet(f"{path}/version={version}")
+    return None
 
 
 def write_version(df: DataFrame, path: str, version: int) -> None:

@@ -1,13 +1,17 @@
 """Repeated positions, numbers rounded once, field order and damaged policies."""
 
-from contractflow.contract import default_contract, load_contract, make_contract, save_contract
+import pytest
+
+from contractflow.contract import ContractError, default_contract, load_contract, make_contract, save_contract
 from contractflow.functions.json import rounded_bigint
 from contractflow.operators.extract import extract_canonical
+from contractflow.operators.metrics import METRIC_SCHEMA, read_user_metrics, upsert_metrics
 from contractflow.operators.parse import parse_events
 from contractflow.operators.policy import load_policy
-from contractflow.operators.registry import as_aliases
+from contractflow.operators.registry import REGISTRY_SCHEMA, alias_rows, as_aliases, load_registry
 from contractflow.sources.envelope import from_envelope
 from contractflow.sources.identity import ORD_TYPE
+from contractflow.tables import read_version, write_version
 
 CONTRACT = default_contract()
 
@@ -45,3 +49,34 @@ def test_damaged_policy_denies(spark, tmp_path):
         (tmp_path / name).mkdir()
         (tmp_path / name / "part-0.parquet").write_bytes(b"PAR1 this is no table PAR1")
     assert load_policy(spark, str(tmp_path)).deny_all
+
+
+def test_newest_complete_version_is_read(spark, tmp_path):
+    path = str(tmp_path / "registry")
+    assert read_version(spark, path, REGISTRY_SCHEMA) is None
+    for version, key in ((3, "user_id"), (12, "userID")):
+        write_version(alias_rows(spark, [("userId", key, (0, version, ""), None, None)]), path, version)
+    (tmp_path / "registry" / "version=40").mkdir()
+    assert read_version(spark, path, REGISTRY_SCHEMA).first()["raw_key"] == "userID"
+    assert read_version(spark, path, REGISTRY_SCHEMA, before=12).first()["raw_key"] == "user_id"
+    assert read_version(spark, path, REGISTRY_SCHEMA, before=3) is None
+    loaded = {r["raw_key"] for r in load_registry(spark, CONTRACT, path).collect()}
+    assert loaded == {*CONTRACT.names, "userID"}
+
+
+def test_one_users_metrics_follow_the_last_write(spark, tmp_path):
+    path = str(tmp_path / "metrics")
+    writes = [[("e1", "ann", 1), ("e2", "ann", 2), ("e3", "bob", 3)], [("e1", "bob", 4), ("e3", "ann", 5)]]
+    for batch, rows in enumerate(writes):
+        table = spark.createDataFrame([(e, u, bytearray([c]), None, (batch, c, "")) for e, u, c in rows], METRIC_SCHEMA)
+        upsert_metrics(table, path, batch)
+    got = read_user_metrics(spark, path, "ann").collect()
+    assert sorted((r["event_id"], bytes(r["ciphertext"])) for r in got) == [("e2", b"\x02"), ("e3", b"\x05")]
+
+
+def test_roles_survive_saving(spark, tmp_path):
+    save_contract(spark, CONTRACT, str(tmp_path / "c"))
+    loaded = load_contract(spark, str(tmp_path / "c"))
+    assert (loaded.event, loaded.owner, loaded.metric) == ("eventId", "userId", "msPlayed")
+    with pytest.raises(ContractError):
+        make_contract([("a", True, "a", "string", "E", "a", "")], [], "E", owner="b")
