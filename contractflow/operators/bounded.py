@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 # Side tables up to this many rows and bytes are inlined as literals.
@@ -11,8 +11,6 @@ INLINE_BYTES = 256 * 1024
 # Side tables up to this many rows and bytes are broadcast.
 BROADCAST_LIMIT = 500_000
 BROADCAST_BYTES = 64 * 1024 * 1024
-# Copies of the small side when it is too large to broadcast.
-SALTS = 16
 
 
 def is_small(df: DataFrame, limit: int = BROADCAST_LIMIT, max_bytes: int = BROADCAST_BYTES) -> bool:
@@ -37,22 +35,15 @@ def lookup_join(
     side: DataFrame,
     on: list[str],
     how: str = "left",
-    spread: Column | None = None,
     limit: int = BROADCAST_LIMIT,
 ) -> DataFrame:
     """Join a fact table with a side table that has at most one row per key.
 
-    A side table below ``limit`` rows is broadcast.  Beyond that both sides are shuffled, and as
-    one key may carry a large share of the fact rows, every key is spread over ``SALTS`` tasks;
-    ``spread`` is a per-row expression that tells rows of one key apart.
+    A side table below ``limit`` rows is broadcast.  Beyond that both sides are shuffled.  One key may
+    carry a large share of the fact rows: adaptive execution splits such partitions by their measured
+    size and repeats only the one partition of the side table, so nothing is copied for the other keys.
     """
-    if is_small(side, limit):
-        return big.join(F.broadcast(side), on, how)
-    if spread is None:
-        spread = F.struct(*[F.col(f"`{c}`") for c in big.columns])
-    salted = big.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
-    copies = side.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies, [*on, "__salt"], how).drop("__salt")
+    return big.join(F.broadcast(side) if is_small(side, limit) else side, on, how)
 
 
 def over_all_tasks(df: DataFrame, *keys: str) -> DataFrame:

@@ -81,7 +81,7 @@ def _hits_joined(events: DataFrame, registry: DataFrame, contract: Contract, tim
     events = events.withColumn("__held", F.expr("sha2(to_json(slots), 256)"))
     keyed = events.selectExpr("ord", "__held", f"inline({entry_rows(contract, 'o.scalar')})")
     known = registry.selectExpr("canonical", "raw_key", "learned_pos as pos")
-    found = lookup_join(keyed, known, ["canonical", "raw_key"], "inner", spread=F.struct("ord", "__held"))
+    found = lookup_join(keyed, known, ["canonical", "raw_key"], "inner")
     aggs = []
     for n in contract.names:
         parts = [

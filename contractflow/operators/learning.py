@@ -96,10 +96,10 @@ def resolve_by_joins(first: DataFrame) -> DataFrame:
     while not pending.isEmpty():
         member = pending.select("canonical", "ord", F.explode("keys").alias("raw_key"))
         front = pending.groupBy("canonical", F.col("head").alias("raw_key")).agg(F.min("ord").alias("front"))
-        pair, spread = ["canonical", "raw_key"], F.col("ord")
-        known = lookup_join(member, learned.select(*pair, "learned_pos"), pair, spread=spread)
+        pair = ["canonical", "raw_key"]
+        known = lookup_join(member, learned.select(*pair, "learned_pos"), pair)
         state = (
-            lookup_join(known, cut_lineage(front), pair, spread=spread)
+            lookup_join(known, cut_lineage(front), pair)
             .groupBy("canonical", "ord")
             .agg(F.min("learned_pos").alias("known"), F.min("front").alias("front"))
         )

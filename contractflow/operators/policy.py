@@ -71,8 +71,7 @@ def with_trust(events: DataFrame, policy: Policy | None) -> DataFrame:
         known = f"coalesce(origin in ({names(policy.trusted)}), false)" if policy.trusted else "false"
         return events.selectExpr("*", f"{known} as trusted")
     side = policy.trusted.select("origin").distinct().withColumn("__t", F.lit(True))
-    spread = F.col("ord") if "ord" in events.columns else None
-    joined = lookup_join(events, side, ["origin"], "left", spread=spread)
+    joined = lookup_join(events, side, ["origin"], "left")
     return joined.withColumn("trusted", F.coalesce("__t", F.lit(False))).drop("__t")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contractflow.functions.crypto import PublicKey, SecretKey, combine, reveal
-from contractflow.operators.bounded import SALTS, over_all_tasks
+from contractflow.operators.bounded import over_all_tasks
 from contractflow.storage import ship_package
 
 
@@ -22,8 +23,8 @@ def encrypted_sum(metrics: DataFrame, by: list[str], key: PublicKey | None, colu
     """``by..., ciphertext, n``: the encrypted total and the number of values per group.
 
     Three folds, each with bounded memory whatever the group sizes: within every Arrow batch
-    before the first shuffle, then per (group, salt) over sorted rows, then per group over at most
-    ``SALTS`` rows.
+    before the first shuffle, then per (group, salt) over sorted rows, then per group over one row
+    per salt.  There are as many salts as the square root of the tasks, so both steps add up about alike.
     """
     if key is None:
         raise EncryptionDisabled("cannot total encrypted values: no key is configured")
@@ -51,7 +52,7 @@ def encrypted_sum(metrics: DataFrame, by: list[str], key: PublicKey | None, colu
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # the task number spreads a hot group, and stays the same when the task is run again
-        salt = TaskContext.get().partitionId() % SALTS
+        salt = TaskContext.get().partitionId() % salts
         for batch in batches:
             sums: dict[tuple, tuple[int, int]] = {}
             add(sums, batch)
@@ -72,6 +73,7 @@ def encrypted_sum(metrics: DataFrame, by: list[str], key: PublicKey | None, colu
         if sums:
             yield emit(sums, batch, 0)
 
+    salts = math.isqrt(int(metrics.sparkSession.conf.get("spark.sql.shuffle.partitions"))) + 1
     values = metrics.where(F.col(column).isNotNull()).select(
         *by, F.col(column).alias("ciphertext"), F.lit(1).cast("bigint").alias("n"), F.lit(0).alias("__salt")
     )

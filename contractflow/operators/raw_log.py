@@ -84,7 +84,7 @@ def raw_log(spark: SparkSession, root: str, contract: Contract, with_id: bool =
         {"file_name": F.col("_metadata.file_name"), "__row": F.col("_metadata.row_index")}
     )
     files = _files(spark, root).select("batch_id", "file_name", "first_id")
-    joined = lookup_join(numbered, files, ["batch_id", "file_name"], "inner", spread=F.col("ord"))
+    joined = lookup_join(numbered, files, ["batch_id", "file_name"], "inner")
     return joined.withColumn("id", F.col("first_id") + F.col("__row")).drop("file_name", "first_id", "__row")
 
 

@@ -85,7 +85,7 @@ def _view_joined(raw: DataFrame, registry: DataFrame, contract: Contract, safe_k
     if safe_keys_only:
         known = known.where(is_safe_key("raw_key"))
     keyed = raw.selectExpr("id", f"inline({entry_rows(contract)})")
-    found = lookup_join(keyed, known, ["canonical", "raw_key"], "inner", spread=F.col("id"))
+    found = lookup_join(keyed, known, ["canonical", "raw_key"], "inner")
     parts = []
     for f in contract.fields:
         value = _typed("text", f.view_type)

@@ -10,13 +10,13 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contractflow.contract import default_contract, make_contract
+from contractflow.contract import Contract, default_contract, load_contract, make_contract, save_contract
 from contractflow.functions import json as J
 from contractflow.functions import text as T
-from contractflow.functions.crypto import MODULUS, PublicKey, SecretKey, generate_keys, reveal
+from contractflow.functions.crypto import MODULUS, PublicKey, SecretKey, from_text, generate_keys, reveal, to_text
 from contractflow.operators import checks, decisions, discover, extract, graph, metrics, parse, policy, private_sum
 from contractflow.operators import raw_log, registry, shim
-from contractflow.plans.derived_events import derived_events, spread
+from contractflow.plans.derived_events import derived_events
 from contractflow.plans.heal import Healed, alias_table, heal, used_pairs
 from contractflow.sources.envelope import from_envelope
 from contractflow.storage import checkpoint_dir, cut_lineage, ship_package
@@ -38,9 +38,13 @@ def demo_keys() -> tuple[PublicKey, SecretKey]:
     return generate_keys()
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def parsed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,6 +150,21 @@ def policy_disabled_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.policy_gate(found, None).groupBy("origin", "canonical", "raw_key", "allow").agg(F.count("*").alias("n"))
 
 
+def policy_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same decisions under a policy that was saved and loaded."""
+    path = _folder(spark, "policy")
+    policy.save_policy(spark, path, list(POLICY.protected), list(POLICY.trusted))
+    gated = policy.policy_gate(_candidates_at_arrival(spark, sf_dir), policy.load_policy(spark, path))
+    return gated.select(_n(), "origin", "canonical", "raw_key", "allow")
+
+
+def policy_unreadable_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without a readable policy nobody may teach."""
+    nowhere = policy.load_policy(spark, _folder(spark, "no-policy"))
+    found = discover.rename_candidates(parsed_events(spark, sf_dir), registry.as_aliases(None, CONTRACT), CONTRACT).where(F.col("outcome") == discover.UNIQUE)
+    return policy.policy_gate(found, nowhere).groupBy("origin", "canonical", "raw_key", "allow").agg(F.count("*").alias("n"))
+
+
 def _registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     healed = healed_events(spark, sf_dir)
     table, _ = registry.learn(registry.default_registry(spark, CONTRACT), alias_table(spark, healed.learned))
@@ -270,6 +289,39 @@ def graph_violation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.groupBy("shape", "path", "constraint").agg(F.count("*").alias("n"))
 
 
+def _order_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as graphs, some with two ids, a date for a moment, no track, or users of no class or with odd ids."""
+    ns, base = graph.vocabulary(), graph.DEFAULT_BASE
+    event, user = f"concat('{base}event/', o_orderkey)", f"concat('{base}user/', o_custkey)"
+    track = f"concat('{base}track/', o_orderkey % 97)"
+    moment = """date_format(o_orderdate, if(o_orderkey % 4 = 0, 'yyyy-MM-dd', "yyyy-MM-dd'T'HH:mm:ss"))"""
+
+    def triple(s: str, p: str, o: str, datatype: str = "null", when: str = "true") -> str:
+        kind = "iri" if datatype == "null" else "literal"
+        return f"if({when}, named_struct('s', {s}, 'p', '{p}', 'o', {o}, 'o_kind', '{kind}', 'datatype', {datatype}), null)"
+
+    text = f"'{graph.XSD}string'"
+    triples = (
+        triple(event, graph.RDF_TYPE, f"'{ns}StreamingEvent'"),
+        triple(event, f"{ns}eventId", "cast(o_orderkey as string)", text),
+        triple(event, f"{ns}eventId", "concat(o_orderkey, '-again')", text, "o_orderkey % 3 = 0"),
+        triple(event, f"{ns}eventTimestamp", moment, f"'{graph.XSD}dateTime'"),
+        triple(event, f"{ns}performedBy", user),
+        triple(user, graph.RDF_TYPE, f"'{ns}User'", when="o_custkey % 5 <> 0"),
+        triple(user, f"{ns}userId", "cast(o_custkey as string)", f"if(o_custkey % 7 = 0, '{graph.XSD}integer', {text})"),
+        triple(event, f"{ns}involvesTrack", track, when="o_orderkey % 11 <> 0"),
+        triple(track, graph.RDF_TYPE, f"'{ns}Track'"),
+        triple(track, f"{ns}trackId", "cast(o_orderkey % 97 as string)", text),
+    )
+    return table(spark, sf_dir, "orders").selectExpr("o_orderkey as g", f"inline(array_compact(array({', '.join(triples)})))")
+
+
+def order_graph_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Triples that break maxCount, datatype (string as well), class, node and minCount."""
+    report = graph.graph_violations(cut_lineage(_order_triples(spark, sf_dir)), CONTRACT, graph="g")
+    return report.select("g", "shape", "path", "constraint")
+
+
 def event_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _triples(spark, sf_dir)
 
@@ -313,6 +365,17 @@ ORDERS_CONTRACT = make_contract(
 
 
 def contract_on_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _orders_report(spark, sf_dir, ORDERS_CONTRACT)
+
+
+def contract_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same report under a contract that was saved and loaded."""
+    path = _folder(spark, "contract")
+    save_contract(spark, ORDERS_CONTRACT, path)
+    return _orders_report(spark, sf_dir, load_contract(spark, path, "Order"))
+
+
+def _orders_report(spark: SparkSession, sf_dir: str, contract: Contract) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select(
         "o_orderkey",
         F.nullif("o_orderstatus", F.lit("P")).alias("status"),
@@ -324,11 +387,14 @@ def contract_on_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     value_of = checks.columns_as_values(
         {"orderKey": "o_orderkey", "status": "status", "priority": "o_orderpriority", "placed": "placed"}
     )
-    return checks.violations(orders, ORDERS_CONTRACT, value_of, ["o_orderkey"])
+    return checks.violations(orders, contract, value_of, ["o_orderkey"])
 
 
 def _orders_loop(spark: SparkSession, sf_dir: str) -> Store:
-    """Orders as events of a contract of their own, every third under another key, healed in two batches."""
+    """Orders as events of a contract of their own, every third under another key, healed in two batches.
+
+    The second batch is run twice, as after a failure, which must not show in any table.
+    """
     payload = (
         """concat('{"', if(o_orderkey % 3 = 0, 'order_key', 'orderKey'), '":', o_orderkey, ',"placed":"', """
         """date_format(o_orderdate, "yyyy-MM-dd'T'HH:mm:ss"), '","priority":"', o_orderpriority, '","status":"', o_orderstatus, '"}')"""
@@ -341,8 +407,8 @@ def _orders_loop(spark: SparkSession, sf_dir: str) -> Store:
         "named_struct('batch', 0L, 'seq', cast(o_orderkey as bigint), 'tie', '') as ord",
         "cast(o_orderdate as timestamp) as received_at",
     )
-    store = Store(f"{checkpoint_dir(spark)}/orders-loop-{uuid.uuid4().hex}", ORDERS_CONTRACT)
-    for batch in (0, 1):
+    store = Store(_folder(spark, "orders-loop"), ORDERS_CONTRACT)
+    for batch in (0, 1, 1):
         heal_batch(events.where(F.col("ord.seq") % 2 == batch), batch, store)
     return store
 
@@ -406,7 +472,7 @@ def user_ciphertexts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stored_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = f"{checkpoint_dir(spark)}/raw-log-{uuid.uuid4().hex}"
+    root = _folder(spark, "raw-log")
     raw_log.append_raw(derived_events(spark, sf_dir), root, 0, CONTRACT)
     return raw_log.raw_log(spark, root, CONTRACT)
 
@@ -466,6 +532,12 @@ def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def base64_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes as text and back, as ciphertexts are written where only text can be."""
+    coded = table(spark, sf_dir, "documents").select("doc_id", to_text(F.col("text").cast("binary")).alias("coded"))
+    return coded.select("doc_id", F.md5("coded").alias("coded"), F.md5(from_text(F.col("coded"))).alias("back"))
+
+
 def wrapped_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals per customer in cents, wrapped at the modulus of the encrypted totals."""
     orders = table(spark, sf_dir, "orders").selectExpr(
@@ -502,6 +574,23 @@ def decision_log_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _log(spark, sf_dir).groupBy("level", "stage").agg(F.count("*").alias("n"))
 
 
+def stored_decision_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log as written and read again, the batch written twice."""
+    log, path = cut_lineage(_log(spark, sf_dir)), _folder(spark, "decisions")
+    for _ in range(2):
+        decisions.write_decisions(log, path, 3)
+    stored = spark.read.schema(f"{decisions.DECISION_SCHEMA}, batch_id bigint").parquet(path)
+    return stored.groupBy("batch_id", "level", "stage").agg(F.count("*").alias("n"))
+
+
+def decisions_without_encryption(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With encryption disabled no metric can fail, and none is stored."""
+    judged = healed_events(spark, sf_dir).judged
+    log = decisions.decision_log(judged, encrypting=False).select("stage")
+    ciphertexts = metrics.encrypt_metrics(metrics.eligible_metrics(judged), None).select(F.lit("ciphertext").alias("stage"))
+    return log.unionByName(ciphertexts).groupBy("stage").agg(F.count("*").alias("n"))
+
+
 def decision_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     tail = decisions.decision_tail(_log(spark, sf_dir), 500)
     return tail.select(_n(), "seq", "level", "stage")
@@ -527,16 +616,16 @@ def parsed_decision_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def catalog() -> dict[str, Query]:
     listed = (
         canonical_extract, resolved_via, missing_required, used_keys, normalized_keys,
-        matching_keys, rename_candidates, ambiguous_breaches, policy_decisions, policy_disabled_decisions,
+        matching_keys, rename_candidates, ambiguous_breaches, policy_decisions, policy_disabled_decisions, policy_from_tables, policy_unreadable_decisions,
         learned_aliases, learned_aliases_without_policy, learned_aliases_by_joins, registry_union,
         alias_audit, stale_aliases,
         healed_view, healed_view_all_keys, healed_view_from_text, healed_lookup, played_per_user,
-        verdicts, violation_report, shape_counts_graph, graph_verdicts, graph_violation_counts,
-        event_triples, ntriples_lines, orders_reference_check, nested_reference_check, contract_on_orders,
+        verdicts, violation_report, shape_counts_graph, graph_verdicts, graph_violation_counts, order_graph_violations,
+        event_triples, ntriples_lines, orders_reference_check, nested_reference_check, contract_on_orders, contract_from_tables,
         orders_loop_view, orders_loop_log, orders_loop_registry,
         metric_latest, metric_latest_per_track, encrypted_user_totals, encrypted_one_user, user_ciphertexts,
         raw_audit_count, raw_log_ids, quarantine, canonical_payload, canonical_properties,
-        envelope_identity, file_identity, text_functions, wrapped_totals, number_texts,
-        decision_log_counts, decision_tail, decision_level_filter, parsed_decision_lines,
+        envelope_identity, file_identity, text_functions, base64_texts, wrapped_totals, number_texts,
+        decision_log_counts, stored_decision_counts, decisions_without_encryption, decision_tail, decision_level_filter, parsed_decision_lines,
     )
     return {q.__name__: q for q in listed}

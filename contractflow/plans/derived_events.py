@@ -59,7 +59,7 @@ def derived_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw events, with the table's ``event_id`` as arrival number."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "value")
-    return spread(events).selectExpr(
+    return events.selectExpr(
         "concat('events/input/', event_id, '.json') as source",
         f"element_at(array({names(ORIGINS)}), cast(event_id % 4 + 1 as int)) as origin",
         "concat('evt-file-', event_id) as fallback_id",
@@ -67,12 +67,3 @@ def derived_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         "named_struct('batch', 0L, 'seq', event_id, 'tie', '') as ord",
         "cast(ts as timestamp) as received_at",
     )
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give a table that comes in fewer splits than there are cores one split per core.
-
-    Inputs of any size worth the name have more splits than that and are left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

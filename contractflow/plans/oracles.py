@@ -236,7 +236,7 @@ _LIST = "coalesce((SELECT string_agg(field, ',' ORDER BY nr) FROM {0} x WHERE x.
 
 
 def oracles() -> dict[str, str]:
-    return {
+    found = {
         "canonical_extract": _sql(KEYS, f"SELECT good.n, {_DIRECT} FROM good LEFT JOIN ks USING (n) GROUP BY good.n"),
         "resolved_via": _sql(HITS, f"SELECT good.n, {_VIA} FROM good LEFT JOIN after_hits USING (n) GROUP BY good.n"),
         "missing_required": _sql(
@@ -392,4 +392,25 @@ def oracles() -> dict[str, str]:
             "'unreadable decision line: {\"ts_ms\":' || n || ',\"level\":\"WARN\",\"target\":\"ingest\",\"message\":\"seen\",\"fields\":{\"origin\":\"' || origin || '\"}' "
             "ELSE 'seen' END AS message, CASE WHEN n % 17 <> 16 THEN origin END AS origin FROM raw",
         ),
+        "stored_decision_counts": _sql(LOG, "SELECT CAST(3 AS BIGINT) AS batch_id, level, stage, count(*) AS n FROM log GROUP BY ALL"),
+        "decisions_without_encryption": _sql(
+            LOG, "SELECT stage, count(*) AS n FROM log WHERE stage <> 'metric_failed' GROUP BY stage"
+        ),
+        "policy_unreadable_decisions": _sql(
+            KEYS,
+            "SELECT origin, field AS canonical, first_key AS raw_key, false AS allow, count(*) AS n FROM prop "
+            "WHERE NOT direct AND outcome = 'unique' AND field <> 'msPlayed' GROUP BY ALL",
+        ),
+        "base64_texts": "SELECT doc_id, md5(base64(encode(text))) AS coded, md5(encode(text)) AS back FROM documents",
+        "order_graph_violations": "SELECT o_orderkey AS g, f.shape, f.path, f.\"constraint\" FROM orders, "
+        "(VALUES ('StreamingEventShape', 'eventId', 'maxCount'), ('StreamingEventShape', 'eventTimestamp', 'datatype'), "
+        "('StreamingEventShape', 'performedBy', 'class'), ('StreamingEventShape', 'performedBy', 'node'), "
+        "('UserShape', 'userId', 'datatype'), ('StreamingEventShape', 'involvesTrack', 'minCount')) f(shape, path, \"constraint\") "
+        "WHERE CASE WHEN f.\"constraint\" = 'maxCount' THEN o_orderkey % 3 = 0 WHEN f.path = 'eventTimestamp' THEN o_orderkey % 4 = 0 "
+        "WHEN f.\"constraint\" = 'class' THEN o_custkey % 5 = 0 WHEN f.\"constraint\" = 'node' THEN o_custkey % 7 = 0 "
+        "WHEN f.path = 'userId' THEN o_custkey % 7 = 0 AND o_custkey % 5 <> 0 ELSE o_orderkey % 11 = 0 END",
     }
+    # saved and loaded, the policy and the contract say the same
+    found["policy_from_tables"] = found["policy_decisions"]
+    found["contract_from_tables"] = found["contract_on_orders"]
+    return found
