@@ -4,10 +4,17 @@ Words are canonicalised: numbers, names and units become typed placeholders, all
 stripped of punctuation.  Windows of WINDOW canonical words, at least LITERALS of them no placeholder, are
 joined with the windows of the benchmark on their hash and then their text.  What stood in the
 placeholders are the slots.  Matches of a document and an item on the same diagonal (distance of their
-positions) are one occurrence; it counts only if its slots are consistent, that is, if everywhere one
-value in the item is one value in the document, be it the same or another.  A document is contaminated
-by an item if consistent occurrences hold at least COVERAGE of the item's windows; the match is exact if
-all slots are equal, otherwise re-parameterised.
+positions) are one occurrence.  Its slots are consistent if everywhere one value in the item is one value
+in the document, be it the same or another; windows that hold a value for which this fails do not count.
+A document is contaminated by an item, however long, if one of these holds:
+
+* the windows that count are at least COVERAGE of the item's windows;
+* in one occurrence they cover RUN_WORDS words in a row;
+* in one occurrence VERBATIM_WORDS words in a row (two windows side by side) stand as in the item, whatever
+  other slots hold.
+
+The match is exact if all slots of an occurrence are equal, otherwise re-parameterised.  What is left out: a
+copy with a plain word changed every few words, so that no run is long enough and under COVERAGE is left.
 
 Documents send only windows that pass a bitmap of fixed size made from the benchmark, which lets every true
 match through.  Items shorter than a window are searched as one shorter window; items of fewer than LITERALS
@@ -33,6 +40,8 @@ from contractflow.storage import cut_lineage, ship_package
 WINDOW = 8
 LITERALS = 4
 COVERAGE = 0.5
+RUN_WORDS = 13
+VERBATIM_WORDS = 2 * WINDOW
 BITMAP_BITS = 23
 MAX_WORDS = 500_000
 
@@ -199,6 +208,13 @@ def document_windows(docs: DataFrame, lengths: list[int], bits: np.ndarray) -> D
     return cut_lineage(read.mapInArrow(cut, f"`{KEY[0]}` string, `{KEY[1]}` long, doc_id long, {WINDOW_SCHEMA}"))
 
 
+def has_run(positions: str, words: int) -> str:
+    """SQL: whether the distinct window positions hold a run of windows that covers so many words."""
+    n = words - WINDOW + 1
+    ordered = f"array_sort({positions})"
+    return f"exists(transform(slice({ordered}, {n}, size({positions})), (p, i) -> p - get({ordered}, i)), d -> d = {n - 1})"
+
+
 def contaminations(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """One row per document: key, doc_id, contaminated, items (ids, ascending), reparameterised (ids among them)."""
     ship_package(docs.sparkSession)
@@ -210,19 +226,31 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, coverage: float = COVE
     )
     matched = windows.where("hash is not null").join(theirs, ["hash", "template"])
     # an occurrence is as long as its item, so these groups are small
-    pairs = F.expr("flatten(collect_set(arrays_zip(item_slots, slots)))")
     occurrences = (
         matched.withColumn("diagonal", F.col("at") - F.col("item_at"))
         .groupBy(*KEY, "doc_id", "item_id", "n_windows", "diagonal")
-        .agg(F.array_distinct(pairs).alias("pairs"), F.collect_set("item_at").alias("found"))
-        .where("size(array_distinct(transform(pairs, p -> p.item_slots))) = size(pairs)")
+        .agg(F.expr("collect_set(struct(item_at, arrays_zip(item_slots, slots) as pairs))").alias("windows"))
+        .withColumn("pairs", F.expr("array_sort(array_distinct(flatten(windows.pairs)))"))
+        # sorted, so the values of one slot are neighbours
+        .withColumn(
+            "conflicts", F.expr("filter(pairs, (p, i) -> p.item_slots <=> get(pairs, i - 1).item_slots).item_slots")
+        )
+        .withColumn("verbatim", F.expr("filter(windows, w -> forall(w.pairs, p -> p.item_slots = p.slots)).item_at"))
+        .withColumn("kept", F.expr("filter(windows, w -> not arrays_overlap(conflicts, w.pairs.item_slots)).item_at"))
+        .withColumn("found", F.expr(f"if({has_run('verbatim', VERBATIM_WORDS)}, array_union(kept, verbatim), kept)"))
+        .withColumn("long", F.expr(f"{has_run('kept', RUN_WORDS)} or {has_run('verbatim', VERBATIM_WORDS)}"))
+        .where("size(found) > 0")
     )
     exact = F.expr("bool_or(forall(pairs, p -> p.item_slots = p.slots))")
     # the union is made of distinct positions of one item
     hits = (
         occurrences.groupBy(*KEY, "doc_id", "item_id", "n_windows")
-        .agg(F.array_distinct(F.flatten(F.collect_set("found"))).alias("found"), exact.alias("exact"))
-        .where(F.size("found") >= F.lit(coverage) * F.col("n_windows"))
+        .agg(
+            F.array_distinct(F.flatten(F.collect_set("found"))).alias("found"),
+            F.bool_or("long").alias("long"),
+            exact.alias("exact"),
+        )
+        .where(F.col("long") | (F.size("found") >= F.lit(coverage) * F.col("n_windows")))
         .groupBy(*KEY)
         .agg(
             F.sort_array(F.collect_set("item_id")).alias("items"),

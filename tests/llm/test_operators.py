@@ -194,6 +194,30 @@ def test_decontamination(spark, docs, none):
     assert op6.contaminations(none, bench).count() == 0
 
 
+def test_decontamination_of_passages(spark):
+    """Long passages, changed words and one altered number do not hide an item."""
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(57)]
+    words[10] = words[50] = "12"
+    item, other = " ".join(words), "nothing of it stands here, as far as we know."
+
+    def changed(at, to="altered"):
+        return " ".join(to if i in at else w for i, w in enumerate(words))
+
+    rows = [
+        (1, f"{other} {' '.join(words[15:40])} {other}"),  # 25 words of 57
+        (2, changed({7, 14, 21, 28, 49})),  # one run left, under half of the windows
+        (3, changed({50}, "13")),  # a repeated number that differs
+        (4, changed(set(range(0, 57, 7)))),  # no window left
+        (5, f"{other} {' '.join(words[15:27])} {other}"),  # a run too short
+        (6, f"{' '.join(words[:18])} {other}"),
+    ]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    found = {r["doc_id"]: r for r in op6.contaminations(table, bench).collect()}
+    assert [d for d, r in sorted(found.items()) if r["contaminated"]] == [1, 2, 3, 6]
+    assert [d for d, r in sorted(found.items()) if r["reparameterised"]] == [3]
+
+
 def test_packing_round_trip(docs, none):
     path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
