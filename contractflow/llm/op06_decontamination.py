@@ -1,14 +1,16 @@
 """Benchmark decontamination by templates, which also finds re-parameterised questions.
 
 Words are canonicalised: numbers, names and units become typed placeholders, all else is lower-cased and
-stripped of punctuation.  Windows of WINDOW canonical words, at least LITERALS of them no placeholder, are
-joined with the windows of the benchmark on their hash and then their text.  What stood in the
-placeholders are the slots.  Matches of a document and an item on the same diagonal (distance of their
+stripped of punctuation.  A letter of a script without spaces is a word.  Windows of WINDOW canonical words, at
+least LITERALS of them no placeholder, are joined with the windows of the benchmark on their hash and then
+their text.  What stood in the placeholders are the slots.  Every window is joined in the same way also as it
+stands, without placeholders, so verbatim copies need no literals and no equal reading of capitals; only
+re-parameterised ones do.  Matches of a document and an item on the same diagonal (distance of their
 positions) are one occurrence.  Its slots are consistent if everywhere one value in the item is one value
 in the document, be it the same or another; windows that hold a value for which this fails do not count.
 A document is contaminated by an item, however long, if one of these holds:
 
-* the windows that count are at least COVERAGE of the item's windows;
+* the windows that count are at least COVERAGE of the item's windows, or of those with enough literals;
 * in one occurrence they cover RUN_WORDS words in a row;
 * in one occurrence VERBATIM_WORDS words in a row (two windows side by side) stand as in the item, whatever
   other slots hold.
@@ -17,8 +19,9 @@ The match is exact if all slots of an occurrence are equal, otherwise re-paramet
 copy with a plain word changed every few words, so that no run is long enough and under COVERAGE is left.
 
 Documents send only windows that pass a bitmap of fixed size made from the benchmark, which lets every true
-match through.  Items shorter than a window are searched as one shorter window; items of fewer than LITERALS
-literal words cannot be told from chance and match nothing.  Null texts have no words.  Equal rows get equal
+match through.  Items shorter than a window are searched as one shorter window, those of fewer than LITERALS
+literal words verbatim only.  Items without any letter or digit match nothing.  Null
+texts have no words.  Equal rows get equal
 answers.  An empty benchmark contaminates nothing; an empty table gives an empty result.
 """
 
@@ -51,6 +54,10 @@ UNITS = frozenset(
     " year years cent cents dollar dollars euro euros percent liter liters litre litres meter meters metre metres"
     " mile miles gram grams".split()
 )
+# letters of scripts written without spaces
+SPACELESS = re.compile(
+    "[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]"
+)
 NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*%?")
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 PLAIN, NUM, UNIT, NAME, NOTHING = range(5)
@@ -106,6 +113,8 @@ class Canonical:
     """The canonical words of a text: codes, which are slots, and the words themselves."""
 
     def __init__(self, text: str, words: Words):
+        if not text.isascii():
+            text = SPACELESS.sub(r" \g<0> ", text)
         raw = text.split()
         at = words.places(raw)
         kinds, ends = words.kinds[at], words.ends[at]
@@ -114,25 +123,34 @@ class Canonical:
         kinds[(kinds == NAME) & starts] = PLAIN
         codes = np.where(kinds == PLAIN, words.plain[at], words.codes[at])
         there = np.flatnonzero(kinds != NOTHING)
-        self.codes, self.kinds, self.raw, self.there = codes[there], kinds[there], raw, there
+        # with and without placeholders
+        self.codes, self.kinds, self.raw, self.there = np.stack([codes, words.plain[at]])[:, there], kinds[there], raw, there
+
+    def __len__(self) -> int:
+        return len(self.kinds)
 
     def hashes(self, n: int) -> np.ndarray:
-        """Hash of every window of n words; windows with too few literals have hash 0."""
-        if len(self.codes) < n:
-            return np.zeros(0, dtype=np.uint64)
-        size = len(self.codes) - n + 1
-        total = np.full(size, n, dtype=np.uint64)
+        """Hashes of every window of n words, with placeholders (0 if literals are too few) and as it stands."""
+        if len(self) < n:
+            return np.zeros((2, 0), dtype=np.uint64)
+        size = len(self) - n + 1
+        total = np.full((2, size), [[n], [n + WINDOW]], dtype=np.uint64)
         for k in range(n):
-            total = total * MULTIPLIER + self.codes[k : k + size]
+            total *= MULTIPLIER
+            total += self.codes[:, k : k + size]
         total ^= total >> np.uint64(29)
         total *= MULTIPLIER
         literal = np.concatenate(([0], np.cumsum(self.kinds == PLAIN)))
-        total[literal[n:] - literal[:-n] < LITERALS] = 0
+        total[0, literal[n:] - literal[:-n] < LITERALS] = 0
         return total
 
     def word(self, i: int) -> str:
         return EDGES.sub("", self.raw[self.there[i]]).lower()
 
+    def verbatim(self, start: int, n: int) -> str:
+        """The words as they stand; no template begins like this."""
+        return " ".join(["=", *(self.word(start + i) for i in range(n))])
+
     def template(self, start: int, n: int) -> str:
         kinds = self.kinds[start : start + n]
         return " ".join(PLACEHOLDERS.get(int(k)) or self.word(start + i) for i, k in enumerate(kinds))
@@ -148,26 +166,34 @@ WINDOW_SCHEMA = "hash long, template string, at long, slots array<string>"
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, n_windows, n (words in a window) and the windows of all benchmark items, stored."""
+    """item_id, n_windows, n_rich (those with enough literals), n (words in a window) and the windows of all benchmark items, stored.
+
+    ``rich`` says whether a window is one with enough literals; it is there with placeholders and as it stands.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
-        types = pa.schema([("item_id", pa.int64()), ("n", pa.int32()), ("n_windows", pa.int64()), *WINDOW_TYPES])
+        types = pa.schema(
+            [("item_id", pa.int64()), ("n", pa.int32()), ("n_windows", pa.int64()), ("n_rich", pa.int64()), ("rich", pa.bool_()), *WINDOW_TYPES]
+        )
         for batch in batches:
             out = []
             for item, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist()):
                 c = Canonical(text, words)
-                n = min(WINDOW, len(c.codes))
-                hashes = c.hashes(n) if n else np.zeros(0, dtype=np.uint64)
-                used = np.flatnonzero(hashes)
-                for at in used.tolist():
-                    out.append(
-                        {"item_id": item, "n": n, "n_windows": len(used), "hash": int(hashes[at].astype(np.int64)), "template": c.template(at, n), "at": at, "slots": c.slots(at, n)}
-                    )
+                n = min(WINDOW, len(c))
+                typed, plain = c.hashes(n) if n else np.zeros((2, 0), dtype=np.uint64)
+                own = {"item_id": item, "n": n, "n_windows": len(plain), "n_rich": int(np.count_nonzero(typed))}
+                for at in range(len(plain)):
+                    own |= {"at": at, "slots": c.slots(at, n), "rich": bool(typed[at])}
+                    out.append(own | {"hash": int(plain[at].astype(np.int64)), "template": c.verbatim(at, n)})
+                    if typed[at]:
+                        out.append(own | {"hash": int(typed[at].astype(np.int64)), "template": c.template(at, n)})
             yield pa.RecordBatch.from_pylist(out, schema=types)
 
     read = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    return cut_lineage(read.mapInArrow(cut, f"item_id long, n int, n_windows long, {WINDOW_SCHEMA}"))
+    return cut_lineage(
+        read.mapInArrow(cut, f"item_id long, n int, n_windows long, n_rich long, rich boolean, {WINDOW_SCHEMA}")
+    )
 
 
 def bitmap(windows: DataFrame) -> np.ndarray:
@@ -183,7 +209,10 @@ def bitmap(windows: DataFrame) -> np.ndarray:
 
 
 def document_windows(docs: DataFrame, lengths: list[int], bits: np.ndarray) -> DataFrame:
-    """The key of every document once, and its windows that may be in the benchmark, stored."""
+    """The key of every document once, and its windows that may be in the benchmark, stored.
+
+    Windows as they stand have null for slots, as they are those of the item.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(bits)
     names = [*KEY, "doc_id"]
     types = pa.schema([(KEY[0], pa.string()), (KEY[1], pa.int64()), ("doc_id", pa.int64()), *WINDOW_TYPES])
@@ -200,8 +229,18 @@ def document_windows(docs: DataFrame, lengths: list[int], bits: np.ndarray) -> D
                         hashes = c.hashes(n)
                         low = hashes & np.uint64((1 << BITMAP_BITS) - 1)
                         hit = (held[low >> np.uint64(6)] >> (low & np.uint64(63))) & np.uint64(1)
-                        for at in np.flatnonzero(hit.astype(bool) & (hashes != 0)).tolist():
-                            out.append(own | {"hash": int(hashes[at].astype(np.int64)), "template": c.template(at, n), "at": at, "slots": c.slots(at, n)})
+                        typed, plain = hit.astype(bool) & (hashes != 0)
+                        for at in np.flatnonzero(typed).tolist():
+                            out.append(own | {"hash": int(hashes[0, at].astype(np.int64)), "template": c.template(at, n), "at": at, "slots": c.slots(at, n)})
+                        seen = set()
+                        for at in np.flatnonzero(plain).tolist():
+                            # short windows are whole items, for which one place is enough
+                            if n < WINDOW and hashes[1, at] in seen and c.verbatim(at, n) in seen:
+                                continue
+                            row = {"hash": int(hashes[1, at].astype(np.int64)), "template": c.verbatim(at, n), "at": at, "slots": None}
+                            if n < WINDOW:
+                                seen |= {hashes[1, at], row["template"]}
+                            out.append(own | row)
                 yield pa.RecordBatch.from_pylist(out, schema=types)
 
     read = with_key(docs).select(*names, text_of().alias("text"))
@@ -222,14 +261,22 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, coverage: float = COVE
     lengths = sorted(r["n"] for r in items.select("n").distinct().collect())
     windows = document_windows(docs, lengths, bitmap(items))
     theirs = items.select(
-        "item_id", "n_windows", "hash", "template", F.col("at").alias("item_at"), F.col("slots").alias("item_slots")
+        "item_id", "n_windows", "n_rich", "rich", "hash", "template", F.col("at").alias("item_at"), F.col("slots").alias("item_slots")
+    )
+    matched = (
+        windows.where("hash is not null")
+        .join(theirs, ["hash", "template"])
+        .withColumn("slots", F.coalesce("slots", "item_slots"))
     )
-    matched = windows.where("hash is not null").join(theirs, ["hash", "template"])
+    item = ["item_id", "n_windows", "n_rich"]
     # an occurrence is as long as its item, so these groups are small
     occurrences = (
         matched.withColumn("diagonal", F.col("at") - F.col("item_at"))
-        .groupBy(*KEY, "doc_id", "item_id", "n_windows", "diagonal")
-        .agg(F.expr("collect_set(struct(item_at, arrays_zip(item_slots, slots) as pairs))").alias("windows"))
+        .groupBy(*KEY, "doc_id", *item, "diagonal")
+        .agg(
+            F.expr("collect_set(struct(item_at, arrays_zip(item_slots, slots) as pairs))").alias("windows"),
+            F.collect_set(F.when(F.col("rich"), F.col("item_at"))).alias("rich"),
+        )
         .withColumn("pairs", F.expr("array_sort(array_distinct(flatten(windows.pairs)))"))
         # sorted, so the values of one slot are neighbours
         .withColumn(
@@ -244,13 +291,18 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, coverage: float = COVE
     exact = F.expr("bool_or(forall(pairs, p -> p.item_slots = p.slots))")
     # the union is made of distinct positions of one item
     hits = (
-        occurrences.groupBy(*KEY, "doc_id", "item_id", "n_windows")
+        occurrences.groupBy(*KEY, "doc_id", *item)
         .agg(
             F.array_distinct(F.flatten(F.collect_set("found"))).alias("found"),
+            F.array_distinct(F.flatten(F.collect_set(F.array_intersect("found", "rich")))).alias("rich"),
             F.bool_or("long").alias("long"),
             exact.alias("exact"),
         )
-        .where(F.col("long") | (F.size("found") >= F.lit(coverage) * F.col("n_windows")))
+        .where(
+            F.col("long")
+            | (F.size("found") >= F.lit(coverage) * F.col("n_windows"))
+            | ((F.col("n_rich") > 0) & (F.size("rich") >= F.lit(coverage) * F.col("n_rich")))
+        )
         .groupBy(*KEY)
         .agg(
             F.sort_array(F.collect_set("item_id")).alias("items"),

@@ -218,6 +218,28 @@ def test_decontamination_of_passages(spark):
     assert [d for d, r in sorted(found.items()) if r["reparameterised"]] == [3]
 
 
+def test_decontamination_of_verbatim_items(spark):
+    """Items with few plain words are found as they stand, also where capitals are read otherwise."""
+    items = [
+        "Compute 12 7 3 99 4 5 16 23 42 8 and 1",
+        "Anna Bert Clara Dora Emil Frida Gustav Hanna Ida Jonas",
+        "What Is The Capital City Of The Old Kingdom",
+        "too short",
+        "Zanzibar",
+        "Name four plain words 7",
+        "请问十二个苹果减去五个苹果以后还剩多少个苹果",
+        "5 kg 12 kg",
+    ]
+    table = spark.createDataFrame(
+        [(k, f"it was followed by {text} without a mark") for k, text in enumerate(items)]
+        + [(6, f"前面的文字{items[6]}后面的文字"), (20, "Compute 1 2 3 44 5 6 77 88 9 10 and 2"), (21, "short too"), (22, None)],
+        "doc_id long, text string",
+    )
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = [(r["doc_id"], r["items"], r["reparameterised"]) for r in op6.contaminations(table, bench).collect()]
+    assert sorted(found) == sorted([(k, [k], []) for k in [*range(len(items)), 6]] + [(k, [], []) for k in (20, 21, 22)])
+
+
 def test_packing_round_trip(docs, none):
     path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
