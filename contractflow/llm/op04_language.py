@@ -5,8 +5,8 @@ left to right into phrases, each the longest match that the automaton still foll
 text the document's phrases are long needs few of them.  Each phrase costs the logarithm of the training
 text's length, and the language with the least cost per byte wins; ties go to the first name.
 
-Training text is a bounded sample: of each language the labelled documents with the least hash,
-SAMPLE_DOCS at most, SAMPLE_CHARS characters of each.  Scoring reads every text to its end.  Texts are
+Training text is a bounded sample: of each language the different beginnings (SAMPLE_CHARS characters) of
+labelled documents with the least hash, SAMPLE_DOCS at most; ids play no part.  Scoring reads every text to its end.  Texts are
 lower-cased; letters a-z and the bytes of other letters are symbols, everything else is one separator.
 For the sake of bounded memory a phrase ends at every BLOCK bytes, for all languages alike.
 
@@ -31,7 +31,6 @@ from contractflow.storage import ship_package
 
 SAMPLE_DOCS = 40
 SAMPLE_CHARS = 1000
-MAX_LANGUAGES = 64
 BLOCK = 2048
 UNKNOWN = "und"
 
@@ -49,6 +48,10 @@ def symbols_of(text: str) -> np.ndarray:
     return found
 
 
+def lettered(texts: list[str]) -> list[bool]:
+    return [any(map(str.isalpha, t)) for t in texts]
+
+
 def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
     """Transitions of the states of the suffix automaton; state 0 is the start."""
     nexts: list[dict[int, int]] = [{}]
@@ -143,51 +146,55 @@ class Parser:
             score = np.ones(len(texts))
         else:
             score = ranked[:, 1] / np.maximum(ranked[:, 0] + ranked[:, 1], 1e-9)
-        lettered = [any(map(str.isalpha, t)) for t in texts]
+        has_letter = lettered(texts)
         return (
-            [self.names[b] if has else UNKNOWN for b, has in zip(best, lettered)],
-            [float(s) if has else 0.0 for s, has in zip(score, lettered)],
+            [self.names[b] if has else UNKNOWN for b, has in zip(best, has_letter)],
+            [float(s) if has else 0.0 for s, has in zip(score, has_letter)],
         )
 
 
 def training_sample(docs: DataFrame, learn) -> dict[str, list[str]]:
     """Language -> excerpts of its documents with the least hash among those that ``learn`` selects."""
     labelled = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    if not sizes:
-        return {}
-    # a thin slice by hash first, about four times what is needed, so that little is ranked
-    hashed = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1_000_000))
-    quota = " ".join(f"when {sql_text(n)} then {math.ceil(4e6 * SAMPLE_DOCS / c)}" for n, c in sizes.items())
-    thin = labelled.select("lang", hashed.alias("h"), F.substring("text", 1, SAMPLE_CHARS).alias("t")).where(
-        F.expr(f"h < case lang {quota} end")
-    )
-    ranked = thin.dropDuplicates(["lang", "t"]).withColumn("n", F.expr("row_number() over (partition by lang order by h, t)"))
+    begins = labelled.select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("t")).withColumn("h", F.xxhash64("t", F.lit("language")))
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+        for batch in batches:
+            langs = batch.column("lang").dictionary_encode()
+            codes = langs.indices.to_numpy()
+            parts = np.split(batch.column("h").to_numpy()[np.argsort(codes)], np.cumsum(np.bincount(codes))[:-1])
+            for lang, part in zip(langs.dictionary.to_pylist(), parts):
+                held[lang] = np.unique(np.concatenate([held.get(lang, part[:0]), part]))[:SAMPLE_DOCS]
+        for lang, found in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found, pa.int64())], ["lang", "h"])
+
+    ranked = begins.select("lang", "h").mapInArrow(least, "lang string, h long").distinct()
+    picked = ranked.withColumn("n", F.expr("row_number() over (partition by lang order by h)")).where(F.col("n") <= SAMPLE_DOCS)
+    # the driver holds the texts picked, so their hashes are small
+    rows = begins.join(F.broadcast(picked.select("lang", "h")), ["lang", "h"]).dropDuplicates(["lang", "h", "t"])
     out: dict[str, list[str]] = {}
-    for r in ranked.where(F.col("n") <= SAMPLE_DOCS).orderBy("lang", "n").collect():
+    for r in rows.orderBy("lang", "h", "t").collect():
         out.setdefault(r["lang"], []).append(r["t"])
     return out
 
 
-def sql_text(value: str) -> str:
-    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 _parsers: dict[str, Parser] = {}
 
 
-def identify(docs: DataFrame, learn, keep: list[str], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+def identify(docs: DataFrame, learn, keep: list[str], names: tuple[str, ...] = ("lang_pred", "score")) -> DataFrame:
     """The columns ``keep`` of the documents with language and score; ``learn`` selects training rows.
 
-    ``names`` are the names of the new columns, which must differ from those kept.
+    ``names`` are the names of the new columns, which must differ from those kept; a third one says whether the
+    text has a letter.
     """
     ship_package(docs.sparkSession)
     training = training_sample(docs, learn)
     model = repr(sorted(training.items()))
     read = docs.select(*keep, text_of().alias("__text"))
     schema = read.drop("__text").schema.add(names[0], "string").add(names[1], "double")
+    if len(names) > 2:
+        schema = schema.add(names[2], "boolean")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if training and model not in _parsers:
@@ -202,17 +209,18 @@ def identify(docs: DataFrame, learn, keep: list[str], names: tuple[str, str] = (
                 else:
                     languages, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
                 columns = [part.column(i) for i in range(len(keep))]
-                yield pa.RecordBatch.from_arrays(
-                    [*columns, pa.array(languages, pa.string()), pa.array(scores, pa.float64())], [*keep, *names]
-                )
+                columns += [pa.array(languages, pa.string()), pa.array(scores, pa.float64())]
+                if len(names) > 2:
+                    columns.append(pa.array(lettered(texts), pa.bool_()))
+                yield pa.RecordBatch.from_arrays(columns, [*keep, *names])
 
     return read.mapInArrow(score, schema)
 
 
 def keep_identified(docs: DataFrame, learn) -> DataFrame:
-    """The documents that are in some language, with all their columns."""
-    found = identify(docs, learn, docs.columns, ("__language", "__score"))
-    return found.where(F.col("__language") != UNKNOWN).drop("__language", "__score")
+    """The documents that are in some language, learnt or not, with all their columns: those with a letter."""
+    found = identify(docs, learn, docs.columns, ("__language", "__score", "__lettered"))
+    return found.where("__lettered").drop("__language", "__score", "__lettered")
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -145,6 +145,23 @@ def test_language(docs, none, spark):
     assert out.where("lang_pred = lang").count() >= 0.95 * out.count()
 
 
+def test_language_without_ids(spark):
+    """Null or repeated ids hide no training row, and the pipeline keeps texts where nothing is learnt."""
+    words = {"aa": ["bado", "miru", "tosa"], "bb": ["zwelk", "knorf", "pfint"]}
+    text = "concat_ws(' ', transform(sequence(1, 20), i -> element_at(array({}), cast(pmod(xxhash64(id, i), 3) as int) + 1)))"
+    parts = [
+        spark.range(3000).selectExpr(f"{i} as doc_id", text.format(", ".join(f"'{w}'" for w in ws)) + " as text", f"'{lang}' as lang")
+        for (lang, ws), i in zip(words.items(), ("cast(null as long)", "7L"))
+    ]
+    docs = parts[0].unionByName(parts[1])
+    out = op4.identify(docs, F.lit(True), ["lang"])
+    assert out.where("lang_pred = lang").count() == 6000
+    sample = op4.training_sample(docs, F.lit(True))
+    assert {k: len(set(v)) for k, v in sample.items()} == {"aa": op4.SAMPLE_DOCS, "bb": op4.SAMPLE_DOCS}
+    odd = docs.limit(5).unionByName(spark.createDataFrame([(1, "12 !", "aa"), (2, None, "aa")], "doc_id long, text string, lang string"))
+    assert op4.keep_identified(odd.withColumn("lang", F.lit(None).cast("string")), F.lit(True)).count() == 5
+
+
 def test_parser_counts_longest_matches():
     parser = op4.Parser({"a": ["the cat sat on the mat", "abab"], "b": ["xyz"]})
 
