@@ -8,7 +8,9 @@ text's length, and the language with the least cost per byte wins; ties go to th
 Training text is a bounded sample: of each language the different beginnings (SAMPLE_CHARS characters) of
 labelled documents with the least hash, SAMPLE_DOCS at most; ids play no part.  Scoring reads every text to its end.  Texts are
 lower-cased; letters a-z and the bytes of other letters are symbols, everything else is one separator.
-For the sake of bounded memory a phrase ends at every BLOCK bytes, for all languages alike.
+For the sake of bounded memory a phrase ends at every BLOCK bytes, for all languages alike.  There may be any
+number of languages: a worker holds the tables of RESIDENT in memory, those of further languages in an unnamed
+temporary file, read one at a time; of all costs only the two least of each document are kept.
 
 Text that is null, or has no letter, gets ``und`` and score 0.  With no labelled document every text
 does.  The score compares the two best languages: 0.5 when they cost the same, towards 1 when the second
@@ -17,7 +19,9 @@ costs much more; it is 1 if only one language was learnt.  An empty table gives
 
 from __future__ import annotations
 
+import hashlib
 import math
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +35,7 @@ from contractflow.storage import ship_package
 
 SAMPLE_DOCS = 40
 SAMPLE_CHARS = 1000
+RESIDENT = 16
 BLOCK = 2048
 UNKNOWN = "und"
 
@@ -93,7 +98,8 @@ class Parser:
         self.columns = np.full(256, len(seen), dtype=np.uint8)
         self.columns[seen] = np.arange(len(seen))
         self.width = len(seen) + 1
-        self.tables, self.cost = [], []
+        self.resident, self.spilled, self.cost = [], [], []
+        self.file = tempfile.TemporaryFile() if len(self.names) > RESIDENT else None
         for n in self.names:
             columns = self.columns[texts[n]]
             nexts = suffix_automaton(columns.tolist())
@@ -105,19 +111,35 @@ class Parser:
             begins = table == 0
             begins[0] = True
             moved = np.where(table == 0, table[0], table)
-            self.tables.append(((moved * self.width) << 1 | begins).astype(np.int32).ravel())
+            table = ((moved * self.width) << 1 | begins).astype(np.int32).ravel()
+            if len(self.resident) < RESIDENT:
+                self.resident.append(table)
+            else:
+                self.spilled.append((self.file.tell(), len(table)))
+                table.tofile(self.file)
             self.cost.append(math.log2(len(columns) + 1))
 
+    def tables(self) -> Iterator[np.ndarray]:
+        """The tables in the order of the names."""
+        yield from self.resident
+        for start, size in self.spilled:
+            self.file.seek(start)
+            yield np.fromfile(self.file, dtype=np.int32, count=size)
+
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """Phrases of each text by language."""
+        return np.stack(list(self.counts(texts)), axis=1)
+
+    def counts(self, texts: list[np.ndarray]) -> Iterator[np.ndarray]:
+        """Phrases of each text, one language after the other."""
         owner, blocks = [], []
         for i, t in enumerate(texts):
             for at in range(0, len(t), BLOCK):
                 owner.append(i)
                 blocks.append(t[at : at + BLOCK])
-        counts = np.zeros((len(texts), len(self.names)))
         if not blocks:
-            return counts
+            yield from (np.zeros(len(texts)) for _ in self.names)
+            return
         sizes = np.array([len(b) for b in blocks])
         order = np.argsort(-sizes, kind="stable")
         sizes = sizes[order]
@@ -126,7 +148,7 @@ class Parser:
             lanes[: sizes[lane], lane] = self.columns[blocks[i]]
         active = np.searchsorted(-sizes, -np.arange(sizes[0]), side="left")
         owners = np.array(owner)[order]
-        for k, table in enumerate(self.tables):
+        for table in self.tables():
             state = np.zeros(len(blocks), dtype=np.int32)
             total = np.zeros(len(blocks), dtype=np.int64)
             for step in range(sizes[0]):
@@ -134,18 +156,22 @@ class Parser:
                 move = table[state[:n] + lanes[step, :n]]
                 total[:n] += move & 1
                 state[:n] = move >> 1
-            counts[:, k] = np.bincount(owners, weights=total, minlength=len(texts))
-        return counts
+            yield np.bincount(owners, weights=total, minlength=len(texts))
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         symbols = [symbols_of(t) for t in texts]
-        entropy = self.phrases(symbols) * self.cost / np.maximum(1, [[len(s)] for s in symbols])
-        best = entropy.argmin(axis=1)
-        ranked = np.sort(entropy, axis=1)
+        sizes = np.maximum(1, [len(s) for s in symbols])
+        best = np.zeros(len(texts), dtype=np.int64)
+        least, second = np.full(len(texts), np.inf), np.full(len(texts), np.inf)
+        for k, (count, cost) in enumerate(zip(self.counts(symbols), self.cost)):
+            entropy = count * cost / sizes
+            less = entropy < least
+            second = np.where(less, least, np.minimum(second, entropy))
+            best[less], least[less] = k, entropy[less]
         if len(self.names) == 1:
             score = np.ones(len(texts))
         else:
-            score = ranked[:, 1] / np.maximum(ranked[:, 0] + ranked[:, 1], 1e-9)
+            score = second / np.maximum(least + second, 1e-9)
         has_letter = lettered(texts)
         return (
             [self.names[b] if has else UNKNOWN for b, has in zip(best, has_letter)],
@@ -190,7 +216,7 @@ def identify(docs: DataFrame, learn, keep: list[str], names: tuple[str, ...] = (
     """
     ship_package(docs.sparkSession)
     training = training_sample(docs, learn)
-    model = repr(sorted(training.items()))
+    model = hashlib.sha256(repr(sorted(training.items())).encode("utf-8", "replace")).hexdigest()
     read = docs.select(*keep, text_of().alias("__text"))
     schema = read.drop("__text").schema.add(names[0], "string").add(names[1], "double")
     if len(names) > 2:

@@ -162,6 +162,25 @@ def test_language_without_ids(spark):
     assert op4.keep_identified(odd.withColumn("lang", F.lit(None).cast("string")), F.lit(True)).count() == 5
 
 
+def test_many_languages(spark):
+    """More languages than are held in memory give the same best two."""
+    rng = np.random.default_rng(4)
+    words = {f"l{k:02}": ["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(6)] for k in range(70)}
+    rows = [(k, " ".join(rng.choice(ws, 30)), lang) for k, (lang, ws) in enumerate(words.items())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {r["doc_id"]: r for r in op4.identify(docs, F.lit(True), ["doc_id", "lang"]).collect()}
+    assert all(r["lang_pred"] == r["lang"] for r in found.values()) and len(found) == 70
+    parser = op4.Parser({lang: [text] for _, text, lang in rows})
+    assert len(parser.spilled) == 70 - op4.RESIDENT
+    texts = [rows[3][1] + " " + rows[60][1], rows[65][1], "", "abc"]
+    symbols = [op4.symbols_of(t) for t in texts]
+    cost = parser.phrases(symbols) * parser.cost / np.maximum(1, [[len(s)] for s in symbols])
+    ranked, (languages, scores) = np.sort(cost, axis=1), parser.predict(texts)
+    want = [op4.UNKNOWN if not t else parser.names[b] for t, b in zip(texts, cost.argmin(axis=1))]
+    assert languages == want
+    assert scores == pytest.approx([r[1] / (r[0] + r[1]) if t else 0 for t, r in zip(texts, ranked)])
+
+
 def test_parser_counts_longest_matches():
     parser = op4.Parser({"a": ["the cat sat on the mat", "abab"], "b": ["xyz"]})
 
