@@ -6,8 +6,9 @@ them make a prefix tree; states whose continuations are statistically compatible
 down to all successors) are merged, which gives a probabilistic automaton of the format.  The other half
 sets the threshold: the likelihood per character that QUANTILE of unseen credentials reach.
 
-Then every candidate of every text is scored: a run of credential characters of at least LEAST_LENGTH, with
-letters and digits mixed, outside all base spans.  One that reaches the threshold of a kind, and is MARGIN
+Then every candidate of every text is scored: a run of credential characters outside all base spans, as short as
+the shortest learnt credential.  Where the run as a whole is none, its pieces between ``=`` are tried, then
+theirs between ``/`` and between ``.`` (``:`` ends a run).  One that reaches the threshold of a kind, and is MARGIN
 bits per character likelier under the automaton than under the one for common words, becomes a span of
 kind ``like_<kind>``.  Base spans always stay.
 
@@ -34,7 +35,7 @@ from contractflow.storage import ship_package
 SAMPLE_DOCS = 10_000
 SAMPLE_PER_KIND = 400
 LEAST_EXAMPLES = 10
-LEAST_LENGTH = 16
+MAX_FORMS = 200_000
 ALPHA = 0.05
 QUANTILE = 0.05
 MARGIN = 1.0
@@ -49,9 +50,7 @@ ACCESS = re.compile("AKIA[A-Z0-9]+")
 ACCESS_LEAST = 20
 HEX = re.compile("[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex")
-CANDIDATE = re.compile(rf"[A-Za-z0-9+/_.=-]{{{LEAST_LENGTH},}}")
-DIGIT = re.compile("[0-9]")
-LETTER = re.compile("[A-Za-z]")
+SEPARATORS = "=/."
 
 Span = tuple[int, int, int]  # start, place in KINDS (added kinds follow), end
 
@@ -171,6 +170,11 @@ class Grammar:
     def __init__(self, credentials: dict[str, list[str]], words: list[str]):
         self.words = Automaton([symbols(w) for w in words])
         self.kinds: dict[str, tuple[Automaton, float]] = {}
+        # kind by form; forgets all when it holds MAX_FORMS
+        self.known: dict[str, str | None] = {}
+        learnt = [x for found in credentials.values() if len(found) >= LEAST_EXAMPLES for x in found]
+        self.least = min(map(len, learnt), default=ASSIGN_LEAST)
+        self.candidate = re.compile(rf"[A-Za-z0-9+/_.=-]{{{self.least},}}")
         for kind, found in credentials.items():
             if len(found) < LEAST_EXAMPLES:
                 continue
@@ -180,8 +184,18 @@ class Grammar:
             self.kinds[kind] = (automaton, scores[int(QUANTILE * len(scores))])
 
     def kind_of(self, candidate: str) -> str | None:
-        best = None
         form = symbols(candidate)
+        if form in self.known:
+            return self.known[form]
+        if len(self.known) >= MAX_FORMS:
+            self.known.clear()
+        found = self.decide(form)
+        if len(form) <= 64:
+            self.known[form] = found
+        return found
+
+    def decide(self, form: str) -> str | None:
+        best = None
         for kind, (automaton, threshold) in self.kinds.items():
             bits = automaton.bits(form)
             if bits >= threshold and (best is None or bits > best[0]):
@@ -190,16 +204,28 @@ class Grammar:
 
 
 def added_spans(text: str, base: list[Span], grammar: Grammar) -> list[Span]:
-    found = []
-    for m in CANDIDATE.finditer(text):
-        piece = m[0].rstrip(".=-")
-        start, end = m.start(), m.start() + len(piece)
-        if len(piece) < LEAST_LENGTH or not DIGIT.search(piece) or not LETTER.search(piece):
-            continue
-        if any(s < end and start < e for s, _, e in base):
-            continue
-        if kind := grammar.kind_of(piece):
+    found: list[Span] = []
+    if not grammar.kinds:
+        return found
+
+    def search(start: int, piece: str, level: int) -> None:
+        bare = piece.rstrip(".=-")
+        if len(bare) < grammar.least:
+            return
+        end = start + len(bare)
+        free = not any(s < end and start < e for s, _, e in base)
+        if free and (kind := grammar.kind_of(bare)):
             found.append((start, len(KINDS) + KINDS.index(kind), end))
+            return
+        for k in range(level, len(SEPARATORS)):
+            if SEPARATORS[k] in bare:
+                for part in bare.split(SEPARATORS[k]):
+                    search(start, part, k + 1)
+                    start += len(part) + 1
+                return
+
+    for m in grammar.candidate.finditer(text):
+        search(m.start(), m[0], 0)
     return found
 
 

@@ -135,6 +135,21 @@ def test_grammar_finds_formats():
     assert grammar.kind_of("section-4.2-of-the-manual") is None
 
 
+def test_candidates_are_pieces_of_any_length():
+    rng = np.random.default_rng(3)
+    letters = list("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
+    keys = ["AKIA" + "".join(rng.choice(letters, 16)) for _ in range(200)]
+    short = ["".join(rng.choice(list("GHJKLMNP"), 7)) for _ in range(200)]
+    common = "ordinary words of a text that says nothing".split() * 10
+    grammar = op3.Grammar({"access": keys, "assign": short}, common)
+    form = next(f for f in ("ASIA" + "".join(rng.choice(letters, 16)) for _ in range(200)) if grammar.kind_of(f) == "access")
+    for before in ("id=", "https://host/path/", "KEY=a/", "x.y="):
+        text = f"see {before}{form} there"
+        assert op3.added_spans(text, [], grammar) == [(4 + len(before), 4, 4 + len(before) + 20)]
+    assert op3.added_spans("then GHJKLMN follows", [], grammar) == [(5, 3, 12)]
+    assert op3.added_spans("ordinary words of nothing", [], grammar) == []
+
+
 def test_language(docs, none, spark):
     found = {r["doc_id"]: r for r in op4.identify(docs, F.lit(True), ["doc_id"]).collect()}
     assert found[5]["lang_pred"] == found[7]["lang_pred"] == found[8]["lang_pred"] == "und"
