@@ -17,6 +17,9 @@ from contractflow.llm import (
     op08_ngram_join,
     op09_quality,
     op10_kd_sharding,
+    op11_collocations,
+    op12_simhash,
+    op13_periodic_runs,
 )
 
 
@@ -32,9 +35,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op08_ngram_join.op8_ngram_join,
         op09_quality.op9_quality,
         op10_kd_sharding.op10_kd_sharding,
+        op11_collocations.op11_collocations,
+        op12_simhash.op12_simhash,
+        op13_periodic_runs.op13_periodic_runs,
     )
     return {q.__name__: q for q in listed}
 
 
 def oracles() -> dict[str, str]:
-    return {"op5_exact_dedup": op05_exact_dedup.ORACLE_SQL}
+    return {"op5_exact_dedup": op05_exact_dedup.ORACLE_SQL, "op11_collocations": op11_collocations.ORACLE_SQL}
