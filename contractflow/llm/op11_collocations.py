@@ -4,18 +4,18 @@ Per language, all phrases of up to LONGEST words that occur LEAST times or more
 words or more are scored by how much oftener they occur than their two parts would by chance, at the cut for which this
 is least.
 
-Sample.  RATE per cent of the documents, chosen by a hash of id and text, are counted with a threshold lowered by two
-standard deviations.  The phrases over it are the proposal.
+Sample.  RATE per cent of the documents, chosen by a hash of id and text, are counted with a threshold lowered by a
+standard deviation.  The phrases over it are the proposal.
 
 Full pass.  A phrase is counted in all documents if both its parts, without the last and without the first word, are in
 the proposal (single words always are); so the proposal and its negative border, as far as it occurs, are counted
 exactly.  A proposal that was too large only costs time.
 
 Expansion.  A frequent phrase outside the proposal is a failure of the border: longer phrases with it have not been counted.
-Further passes count those whose parts are all known to be frequent by now, as far as no pass before has, until no
-failure is left.  As a phrase cannot be more frequent than its parts, all frequent phrases are known then, whatever
-the sample was; the result does not depend on it.  Failures of k words can only bring phrases of more, so LONGEST passes
-are enough.
+A further pass counts what has not been counted of the phrases whose parts may be frequent: a part may be if it is known to
+be, or if it has not been counted either and its own parts may be.  As a phrase cannot be more frequent than its
+parts, every frequent phrase that was left out is among these, up to the longest, so this one pass closes the border.
+Whatever the sample was, the result does not depend on it.
 
 The proposal goes to the tasks as a bitmap of fixed size, which lets every true member through; phrases that it lets
 through by mistake are counted in vain, in all passes alike.  Occurrences are added up in the tasks and before the
@@ -50,14 +50,17 @@ LONGEST = 5
 TOP = 2000
 RATE = 10
 UNKNOWN = "und"
-BITMAP_BITS = 26
-MAX_WORDS = 500_000
+BITMAP_BITS = 24
+MAX_WORDS = 200_000
 SLICE_BYTES = 8 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
+# phrases that one batch holds
+BATCH = 50_000
 # parts that the ranking of one language is cut into before its last step
 RANK_PARTS = 64
-COLUMNS = ["lang", "k", "phrase", "n"]
-SCHEMA = "lang string, k int, phrase string, n long"
+# the empty phrase has the number of words of a language
+COLUMNS = ["lang", "phrase", "n"]
+SCHEMA = "lang string, phrase string, n long"
 
 # every end of a piece becomes a byte that no text holds
 END = b"\xff"
@@ -131,46 +134,58 @@ def phrases_of(code: np.ndarray, words: list[bytes], at: np.ndarray, k: int) ->
 def counted(
     lang: str, code: np.ndarray, words: Words, inside: np.ndarray | None, before: np.ndarray | None, longest: int
 ) -> Iterator[pa.RecordBatch]:
-    """Counts of the phrases of a stretch of text whose parts are ``inside``, and not all in ``before``.
+    """Counts of the phrases of a stretch of text.
 
-    Without ``inside`` all phrases are counted, without ``before`` all that are inside; with it no single words.
+    Without ``inside`` all phrases are counted, else those whose parts are inside.  With ``before``, the bitmap of
+    an earlier pass, those that that pass has counted are left out, single words among them, and a part may also be
+    one that it has not counted.
     """
 
     def batch(k: int, at: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        columns = [pa.array([lang] * len(at), pa.string()), pa.array(np.full(len(at), k, dtype=np.int32))]
-        return pa.RecordBatch.from_arrays([*columns, phrases_of(code, words.listed, at, k), pa.array(n)], COLUMNS)
-
-    at = np.flatnonzero(code)
-    # name of the phrase that starts at a place, whether it is inside, and whether it was in all passes before
-    name, new = code, code != 0
-    old = np.zeros(len(code), dtype=bool)
-    for k in range(1, longest + 1):
-        if k > 1:
-            at = np.flatnonzero(new[:-1] & new[1:])
-            key = name[at] * (int(name.max(initial=0)) + 1) + name[at + 1]
-        else:
-            key = code[at]
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), phrases_of(code, words.listed, at, k), pa.array(n)], COLUMNS)
+
+    def marks(k: int, start: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether phrases may be parts of longer ones, and whether they were in the pass before."""
+        hashes = hashes_at(lang, code, words.hashes, start, k)
+        goes_on = holds(inside, hashes) if inside is not None else np.ones(len(start), dtype=bool)
+        if before is None:
+            return goes_on, np.zeros(len(start), dtype=bool)
+        return goes_on | ~known, holds(before, hashes) & known
+
+    # words by number, which needs no sort; number 0 is the end of a piece
+    times = np.bincount(code, minlength=len(words))
+    times[0] = 0
+    found = np.flatnonzero(times)
+    if not len(found):
+        return
+    first = np.zeros(len(words), dtype=np.int64)
+    first[code] = np.arange(len(code))
+    if before is None:
+        yield batch(1, first[found], times[found])
+    new, old = np.zeros(len(words), dtype=bool), np.zeros(len(words), dtype=bool)
+    new[found], old[found] = marks(1, first[found], np.ones(len(found), dtype=bool))
+    # by place: name of the phrase that starts there, whether it may be a part, whether it was in the pass before
+    name, new, old = code, new[code], old[code]
+    for k in range(2, longest + 1):
+        at = np.flatnonzero(new[:-1] & new[1:])
         if not len(at):
             return
+        key = name[at] * (int(name.max()) + 1) + name[at + 1]
         _, first, place, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
         start = at[first]
-        known = old[start] & old[start + 1] if before is not None and k > 1 else np.zeros(len(start), dtype=bool)
-        if before is None or k > 1:
-            send = np.flatnonzero(~known)
-            for i in range(0, len(send), 50_000):
-                yield batch(k, start[send[i : i + 50_000]], n[send[i : i + 50_000]])
-        hashes = hashes_at(lang, code, words.hashes, start, k)
-        is_new = holds(inside, hashes) if inside is not None else np.ones(len(start), dtype=bool)
-        is_old = holds(before, hashes) & (known if k > 1 else True) if before is not None else known
-        # a place holds a phrase of this length only if it was a candidate
+        known = old[start] & old[start + 1]
+        send = np.flatnonzero(~known)
+        for i in range(0, len(send), BATCH):
+            yield batch(k, start[send[i : i + BATCH]], n[send[i : i + BATCH]])
+        goes_on, was = marks(k, start, known)
         name, new, old = np.zeros(len(code), dtype=np.int64), np.zeros(len(code), dtype=bool), np.zeros(len(code), dtype=bool)
-        name[at], new[at], old[at] = place, is_new[place], is_old[place]
+        name[at], new[at], old[at] = place, goes_on[place], was[place]
 
 
 def count_phrases(
     texts: DataFrame, inside: Broadcast | None = None, before: Broadcast | None = None, least: int = 1, longest: int = LONGEST
 ) -> DataFrame:
-    """lang, k, phrase, n of the phrases with n of ``least`` at least; k = 0 has the number of words of the language."""
+    """lang, phrase, n of the phrases with n of ``least`` at least, and of the empty phrase."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
@@ -186,11 +201,11 @@ def count_phrases(
                     code = words.codes(mine.to_pylist())
                     yield from counted(lang, code, words, *bits, longest)
                     if before is None:
-                        total = [[lang], [0], [""], [int(np.count_nonzero(code))]]
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(total, (pa.string(), pa.int32(), pa.string(), pa.int64()))], COLUMNS)
+                        total = pa.array([int(np.count_nonzero(code))], pa.int64())
+                        yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([""]), total], COLUMNS)
 
     rows = texts.mapInArrow(count, SCHEMA)
-    return rows.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n")).where(f"k = 0 or n >= {least}")
+    return rows.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(f"phrase = '' or n >= {least}")
 
 
 def bitmap(phrases: DataFrame) -> np.ndarray:
@@ -223,29 +238,38 @@ def outside(phrases: DataFrame, bits: Broadcast) -> DataFrame:
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, rate: int = RATE) -> DataFrame:
-    """lang, k, phrase, n of all phrases of 1 to ``longest`` words that occur ``least`` times, and k = 0; stored."""
+    """lang, phrase, n of all phrases of 1 to ``longest`` words that occur ``least`` times, and the empty one; stored."""
     spark = docs.sparkSession
     ship_package(spark)
-    texts = docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), text_of().alias("text"))
-    sampled = docs.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text", F.lit("phrases")), F.lit(100)) < rate)
+    lang = F.coalesce("lang", F.lit(UNKNOWN)).alias("lang")
+    texts = docs.select(lang, text_of().alias("text"))
+    place = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text", F.lit("phrases")), F.lit(100))
+    sampled = docs.where(place < rate).select(lang, text_of().alias("text"))
     expected = least * rate / 100
-    lowered = max(1, math.ceil(expected - 2 * math.sqrt(expected)))
-    proposed = count_phrases(sampled.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), text_of().alias("text")), least=lowered, longest=longest - 1)
-    inside = spark.sparkContext.broadcast(bitmap(proposed.where("k > 0")))
+    lowered = max(1, math.ceil(expected - math.sqrt(expected)))
+    proposed = count_phrases(sampled, least=lowered, longest=longest - 1).where("phrase <> ''")
+    inside = spark.sparkContext.broadcast(bitmap(proposed))
     frequent = cut_lineage(count_phrases(texts, inside, None, least, longest))
-    while not (failures := outside(frequent.where(f"k between 1 and {longest - 1}"), inside)).isEmpty():
-        before, inside = inside, spark.sparkContext.broadcast(bitmap(frequent.where("k > 0")))
-        more = count_phrases(texts, inside, before, least, longest)
+    if not outside(frequent.where(f"phrase <> '' and {length('phrase')} < {longest}"), inside).isEmpty():
+        known = spark.sparkContext.broadcast(bitmap(frequent.where("phrase <> ''")))
+        more = count_phrases(texts, known, inside, least, longest)
         frequent = cut_lineage(frequent.unionByName(more).distinct())
-        before.unpersist()
+        known.unpersist()
+    inside.unpersist()
     return frequent
 
 
+def length(phrase: str) -> str:
+    """Words of a phrase."""
+    return f"if({phrase} = '', 0, length({phrase}) - length(replace({phrase}, ' ', '')) + 1)"
+
+
 def collocations(frequent: DataFrame) -> DataFrame:
     """lang, phrase, k, a, l, r, n, score of the frequent phrases of two words or more that no longer one explains."""
-    words = frequent.where("k > 0").select("lang", "phrase", F.col("n").alias("f"))
-    totals = frequent.where("k = 0").select("lang", F.col("n").alias("total"))
-    several = frequent.where("k > 1").selectExpr("lang", "phrase", "k", "n as a", "split(phrase, ' ') as w")
+    sized = frequent.withColumn("k", F.expr(length("phrase")))
+    words = sized.where("k > 0").select("lang", "phrase", F.col("n").alias("f"))
+    totals = sized.where("k = 0").select("lang", F.col("n").alias("total"))
+    several = sized.where("k > 1").selectExpr("lang", "phrase", "k", "n as a", "split(phrase, ' ') as w")
     cuts = several.withColumn("cut", F.explode(F.expr("sequence(1, k - 1)"))).selectExpr(
         "lang", "phrase", "k", "a", "cut", "array_join(slice(w, 1, cut), ' ') as first", "array_join(slice(w, cut + 1, k - cut), ' ') as rest"
     )
