@@ -1,19 +1,24 @@
 """Sharding by a k-d tree over metadata, with leaves of nearly equal bytes.
 
 The tree starts with one node that holds all shards.  A node with k shards is cut into floor(k/2) and
-ceil(k/2) along its widest dimension, at the point that gives each side its share of the bytes (the
-weighted median when the halves are equal), until every node is one shard.
+ceil(k/2) along the dimension in which its rows are spread widest, at the point that gives each side its share of
+the bytes (the weighted median when the halves are equal), until every node is one shard.  A side's share is taken of
+the bytes its node really has, so the error of a cut is shared out among all shards below it.
+
+Equal texts stay together.  They get one position, the least of their values in every dimension, and a cut falls
+beside a position, never into it.  Only a group that weighs more than HEAVY of a shard is laid out as several
+positions of about that weight, next to each other: such a group is cut where a shard is full, and nowhere
+else.  So no cut is further from its point than half of HEAVY of a shard, or half the document that lies there.
 
 All nodes of a level are worked on at once.  Coordinates are 62-bit integers: the value of the
-dimension above, a hash of text and row below, so ties are cut fairly and equal rows with equal metadata
-lie side by side.  A cut is found by radix: histograms of CELLS cells per node over the stored metadata,
-each round inside the cell that holds the cut, until that cell is light or one value wide.  Only the
-histogram cell of each node (at most one per shard) reaches the driver.  The finished tree has one node
-fewer than there are shards and is applied as one expression, so rows are never moved for it.
-
-Size is the UTF-8 bytes of the text (null: none) plus 16.  Null metadata is a value of its own.  Rows that
-agree in everything may still be cut apart by the row's position.  With fewer rows than shards some
-shards stay empty; an empty table gives an empty result.
+dimension above, a hash of the text and the place in its group below.  A cut is found by radix: histograms of
+CELLS cells per node over the stored metadata, each round inside the cell that holds the cut, until that cell
+is light or one value wide.  Only the histogram cell and the bounds of each node (at most one per shard) reach the
+driver.  The finished tree has one node fewer than there are shards and is applied as one expression, so rows are
+never moved for it.
+
+Size is the UTF-8 bytes of the text (null: none) plus 16; null counts as the empty text.  Null metadata is a value of
+its own.  With fewer rows than shards some shards stay empty; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contractflow.llm.common import number_within, text_of
+from contractflow.llm.common import look_up, number_within, text_of
 from contractflow.operators.fence import fenced
 from contractflow.storage import cut_lineage
 
@@ -30,6 +35,11 @@ OVERHEAD = 16
 CELLS = 32768
 # a cut may be off by this part of a shard
 TOLERANCE = 0.0005
+# a group of equal texts that weighs more than this part of a shard may be cut
+HEAVY = 1 / 16
+# coordinates per value of a dimension, and those of one text among them
+TIES = 1 << 31
+PLACES = 1 << 15
 
 # name -> expression of a value in [0, 2^31); numbers by magnitude, names by hash
 DIMENSIONS = {
@@ -40,30 +50,41 @@ DIMENSIONS = {
 }
 
 
-def metadata(docs: DataFrame, dimensions: dict[str, str]) -> DataFrame:
+def metadata(docs: DataFrame, dimensions: dict[str, str], shards: int) -> DataFrame:
     """doc_id, row, size, text_crc32 and one coordinate per dimension; the only pass over the texts, stored."""
+    text = text_of()
     sized = docs.withColumns(
         {
-            "size": (F.octet_length(text_of()) + OVERHEAD).cast("long"),
-            "__crc": F.crc32(text_of().cast("binary")),
+            "size": (F.octet_length(text) + OVERHEAD).cast("long"),
+            "__crc": F.crc32(text.cast("binary")),
+            "__text": F.xxhash64(text),
             "__row": F.monotonically_increasing_id(),
-            # copies of a text side by side, and yet apart from each other
-            "__tie": F.expr("pmod(xxhash64(text), 65536) * 32768 + pmod(xxhash64(monotonically_increasing_id()), 32768)"),
         }
     )
-    axes = [F.expr(f"cast(least({e}, 2147483647) as bigint) * 2147483648 + __tie").alias(f"axis_{n}") for n, e in dimensions.items()]
-    return cut_lineage(
-        sized.select(
-            F.col("doc_id"), F.col("__row").alias("row"), "size", F.col("__crc").alias("text_crc32"), *axes
-        )
-    )
+    values = [F.expr(f"cast(least({e}, 2147483647) as bigint)").alias(f"axis_{n}") for n, e in dimensions.items()]
+    own = cut_lineage(sized.select("doc_id", F.col("__row").alias("row"), "size", F.col("__crc").alias("text_crc32"), F.col("__text").alias("text"), *values))
+    return cut_lineage(with_positions(own, [f"axis_{n}" for n in dimensions], shards))
+
+
+def with_positions(own: DataFrame, axes: list[str], shards: int) -> DataFrame:
+    """Coordinates instead of values: those of a text's copies are the same, or next to each other if they weigh much."""
+    total = own.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
+    heavy = max(1, int(HEAVY * total["bytes"] / shards))
+    groups = own.groupBy("text").agg(F.count(F.lit(1)).alias("copies"), F.sum("size").alias("bytes"), *[F.min(a).alias(f"least_{a}") for a in axes])
+    several = cut_lineage(groups.where("copies > 1"))
+    found = look_up(own, several, "text", "copies", total["rows"])
+    places = f"least({PLACES}, ceil(coalesce(bytes, 0) / {heavy}))"
+    tie = f"(pmod(text, {TIES // PLACES}) * {PLACES} + pmod(xxhash64(row), greatest(1, {places})))"
+    coordinates = [F.expr(f"coalesce(least_{a}, {a}) * {TIES} + {tie}").alias(a) for a in axes]
+    return found.select("doc_id", "row", "size", "text_crc32", *coordinates)
 
 
 class Node:
-    """A node of the tree: its shards, bytes and box; once it is cut, the axis, the first value right of it, two children."""
+    """A node of the tree: its shards and bytes, the box of its rows; once it is cut, the axis, the first value right of it, two children."""
 
-    def __init__(self, first: int, shards: int, n_bytes: int, box: dict[str, tuple[int, int]]):
-        self.first, self.shards, self.n_bytes, self.box = first, shards, n_bytes, box
+    def __init__(self, first: int, shards: int, n_bytes: int):
+        self.first, self.shards, self.n_bytes = first, shards, n_bytes
+        self.box: dict[str, tuple[int, int]] = {}
         self.axis = ""
         self.cut = 0
         self.children: tuple[Node, Node] | None = None
@@ -77,14 +98,21 @@ class Node:
 
     def divide(self, cut: int, left_bytes: int) -> None:
         self.cut, half = cut, self.shards // 2
-        low, high = self.box[self.axis]
-        left, right = self.box | {self.axis: (low, cut - 1)}, self.box | {self.axis: (cut, high)}
         self.children = (
-            Node(self.first, half, left_bytes, left),
-            Node(self.first + half, self.shards - half, self.n_bytes - left_bytes, right),
+            Node(self.first, half, left_bytes),
+            Node(self.first + half, self.shards - half, self.n_bytes - left_bytes),
         )
 
 
+def find_boxes(placed: DataFrame, nodes: list[Node], axes: list[str]) -> None:
+    """Bounds of the rows of every node in each dimension."""
+    bounds = [f(a).alias(f"{f.__name__}_{a}") for a in axes for f in (F.min, F.max)]
+    found = {r["node"]: r for r in placed.groupBy("node").agg(*bounds).collect()}
+    for node in nodes:
+        r = found.get(node.first)
+        node.box = {a: (r[f"min_{a}"], r[f"max_{a}"]) if r else (0, 0) for a in axes}
+
+
 def find_cuts(placed: DataFrame, nodes: list[Node], span: dict[str, int], tolerance: float) -> None:
     """Divide every given node; column ``node`` of ``placed`` is the first shard of a row's node."""
     spark, axes = placed.sparkSession, list(span)
@@ -125,14 +153,13 @@ def find_cuts(placed: DataFrame, nodes: list[Node], span: dict[str, int], tolera
 
 
 def grow_tree(rows: DataFrame, shards: int, axes: list[str]) -> Node:
-    bounds = [f(a).alias(f"{f.__name__}_{a}") for a in axes for f in (F.min, F.max)]
-    r = rows.agg(F.sum("size").alias("bytes"), *bounds).first()
-    box = {a: (r[f"min_{a}"] or 0, r[f"max_{a}"] or 0) for a in axes}
-    span = {a: max(1, high - low) for a, (low, high) in box.items()}
-    root = Node(0, shards, r["bytes"] or 0, box)
+    root = Node(0, shards, rows.agg(F.sum("size")).first()[0] or 0)
+    span: dict[str, int] = {}
     level = [root]
     while level := [n for n in level if n.shards > 1]:
         placed = fenced(rows, {"node": root.expression()})
+        find_boxes(placed, level, axes)
+        span = span or {a: max(1, high - low) for a, (low, high) in root.box.items()}
         find_cuts(placed, level, span, TOLERANCE * root.n_bytes / shards)
         level = [c for n in level for c in n.children]
     return root
@@ -141,7 +168,7 @@ def grow_tree(rows: DataFrame, shards: int, axes: list[str]) -> Node:
 def kd_shards(docs: DataFrame, shards: int = SHARDS, dimensions: dict[str, str] | None = None) -> DataFrame:
     """One row per document: doc_id, row, size, text_crc32, shard, slot (gapless from 0 in each shard)."""
     dimensions = dimensions or DIMENSIONS
-    rows = metadata(docs, dimensions)
+    rows = metadata(docs, dimensions, shards)
     root = grow_tree(rows, shards, [f"axis_{n}" for n in dimensions])
     placed = fenced(rows, {"shard": f"cast({root.expression()} as int)"}).select(
         "doc_id", "row", "size", "text_crc32", "shard"
