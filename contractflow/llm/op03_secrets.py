@@ -1,19 +1,27 @@
 """Secret scan: fixed patterns, and formats learnt from what they find by grammar inference.
 
 The base finds three kinds of span (assign, access, hex) with fixed patterns in every whole text.  The
-credentials found in a bounded sample of documents are the labelled examples.  For each kind half of
-them make a prefix tree; states whose continuations are statistically compatible (Hoeffding bound, taken
-down to all successors) are merged, which gives a probabilistic automaton of the format.  The other half
-sets the threshold: the likelihood per character that QUANTILE of unseen credentials reach.
-
-Then every candidate of every text is scored: a run of credential characters outside all base spans, as short as
-the shortest learnt credential.  Where the run as a whole is none, its pieces between ``=`` are tried, then
+credentials that it finds in all texts are the labelled examples; of each kind the SAMPLE_PER_KIND with the least hash
+are learnt from.
+
+Inference.  The examples of a kind make a prefix tree over classes of characters.  States of the same depth are merged
+first, where nothing speaks against it: where their ends and their moves, and those of all their successors, agree
+within the Hoeffding bound.  That pools the evidence of random characters without losing length or order.
+Then states of different depth are merged, which makes loops, but only where something speaks for it: both have been
+seen LEAST_STATE times and agree all the way down.  So a fixed length stays fixed, a prefix keeps its order, and a
+free length becomes a loop.  Half of the examples are learnt from; a quarter chooses the confidence of the bound by likelihood, and a quarter sets
+the threshold: the likelihood per character that all but QUANTILE of unseen credentials reach.
+
+Every candidate of every text is scored: a run of credential characters outside all base spans, as short as the
+base allows for a kind that was learnt.  Where the run as a whole is none, its pieces between ``=`` are tried, then
 theirs between ``/`` and between ``.`` (``:`` ends a run).  One that reaches the threshold of a kind, and is MARGIN
-bits per character likelier under the automaton than under the one for common words, becomes a span of
+bits per character likelier under its automaton than under one learnt from other runs, becomes a span of
 kind ``like_<kind>``.  Base spans always stay.
 
-Offsets are code points, ends are exclusive.  Null text is empty and has no spans.  Without examples of a
-kind nothing is added for it.  An empty table gives an empty result.
+Offsets are code points, ends are exclusive.  Null text is empty and has no spans.  A candidate that reaches several
+thresholds belongs to the likeliest kind, of equal ones to the first.  Repeated rows get equal spans and do not
+weigh on what is learnt, since values are learnt once; ids play no part.  Kinds of under LEAST_EXAMPLES different values
+add nothing.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,6 +33,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,11 +41,15 @@ from contractflow.llm.common import text_of
 from contractflow.llm.encoding import slices
 from contractflow.storage import ship_package
 
-SAMPLE_DOCS = 10_000
 SAMPLE_PER_KIND = 400
+LONGEST_EXAMPLE = 200
 LEAST_EXAMPLES = 10
-MAX_FORMS = 200_000
-ALPHA = 0.05
+# evidence that a loop needs, and the confidences that are tried for the bound
+LEAST_STATE = 20
+ALPHAS = (0.5, 0.05, 0.005, 0.0005)
+# bits of a character that no example had at its place
+LOST = 12.0
+MAX_KNOWN = 200_000
 QUANTILE = 0.05
 MARGIN = 1.0
 
@@ -49,7 +62,9 @@ ASSIGN_LEAST = 6
 ACCESS = re.compile("AKIA[A-Z0-9]+")
 ACCESS_LEAST = 20
 HEX = re.compile("[0-9a-f]{24,}")
+HEX_LEAST = 24
 KINDS = ("assign", "access", "hex")
+LEASTS = {"assign": ASSIGN_LEAST, "access": ACCESS_LEAST, "hex": HEX_LEAST}
 SEPARATORS = "=/."
 
 Span = tuple[int, int, int]  # start, place in KINDS (added kinds follow), end
@@ -78,52 +93,87 @@ CLASSES |= {c: "z" for c in range(ord("g"), ord("z") + 1)} | {c: "Z" for c in ra
 class Automaton:
     """A probabilistic automaton inferred from examples by merging states of their prefix tree."""
 
-    def __init__(self, examples: list[str], alpha: float = ALPHA):
-        self.next: list[dict[str, int]] = [{}]
-        self.count: list[Counter] = [Counter()]
-        self.ends: list[int] = [0]
+    def __init__(self, examples: list[str], alpha: float = ALPHAS[1], least_state: int = LEAST_STATE):
+        self.next: list[dict[str, int]] = []
+        self.count: list[Counter] = []
+        self.ends: list[int] = []
+        # a state that was merged into another one
+        self.into: dict[int, int] = {}
         self.bound = math.sqrt(0.5 * math.log(2 / alpha))
+        self.least_state = least_state
+        self.grow(examples)
+        self.merge_layers()
+        self.merge_loops()
+
+    def new_state(self) -> int:
+        self.next.append({})
+        self.count.append(Counter())
+        self.ends.append(0)
+        return len(self.ends) - 1
+
+    def grow(self, examples: list[str]) -> None:
+        self.new_state()
         for example in examples:
             state = 0
             for c in example:
                 self.count[state][c] += 1
                 if c not in self.next[state]:
-                    self.next[state][c] = len(self.next)
-                    self.next.append({})
-                    self.count.append(Counter())
-                    self.ends.append(0)
+                    self.next[state][c] = self.new_state()
                 state = self.next[state][c]
             self.ends[state] += 1
-        self.infer()
+
+    def find(self, state: int) -> int:
+        while state in self.into:
+            self.into[state] = self.into.get(self.into[state], self.into[state])
+            state = self.into[state]
+        return state
+
+    def after(self, state: int) -> dict[str, int]:
+        return {c: self.find(s) for c, s in self.next[state].items()}
 
     def total(self, state: int) -> int:
         return self.ends[state] + self.count[state].total()
 
-    def differ(self, k: int, n: int, l: int, m: int) -> bool:
-        return abs(k / n - l / m) > self.bound * (1 / math.sqrt(n) + 1 / math.sqrt(m))
+    def states(self) -> set[int]:
+        """All states that can be reached."""
+        found, todo = {0}, [0]
+        while todo:
+            new = set(self.after(todo.pop()).values()) - found
+            found |= new
+            todo += new
+        return found
+
+    def agree(self, a: int, b: int) -> bool:
+        n, m = self.total(a), self.total(b)
+        if not n or not m:
+            return True
+        allowed = self.bound * (1 / math.sqrt(n) + 1 / math.sqrt(m))
+        moves = self.count[a].keys() | self.count[b].keys()
+        pairs = [(self.ends[a], self.ends[b]), *((self.count[a][c], self.count[b][c]) for c in moves)]
+        return all(abs(k / n - l / m) <= allowed for k, l in pairs)
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether two states, and all pairs of states that their merge would join, go on alike."""
-        todo = [(a, b)]
+        todo, seen = [(a, b)], set()
         while todo:
-            a, b = todo.pop()
-            n, m = self.total(a), self.total(b)
-            if not n or not m:
+            pair = todo.pop()
+            if pair in seen or pair[0] == pair[1]:
                 continue
-            if self.differ(self.ends[a], n, self.ends[b], m):
+            seen.add(pair)
+            if not self.agree(*pair):
                 return False
-            for c in self.next[a].keys() | self.next[b].keys():
-                if self.differ(self.count[a][c], n, self.count[b][c], m):
-                    return False
-                if c in self.next[a] and c in self.next[b]:
-                    todo.append((self.next[a][c], self.next[b][c]))
+            left, right = self.after(pair[0]), self.after(pair[1])
+            todo += [(left[c], right[c]) for c in left.keys() & right.keys()]
         return True
 
-    def fold(self, a: int, b: int) -> None:
-        """Add the tree below ``b`` to ``a``."""
+    def merge(self, a: int, b: int) -> None:
+        """Make two states one, and those that the same moves then lead to."""
         todo = [(a, b)]
         while todo:
-            a, b = todo.pop()
+            a, b = map(self.find, todo.pop())
+            if a == b:
+                continue
+            self.into[b] = a
             self.ends[a] += self.ends[b]
             self.count[a].update(self.count[b])
             for c, child in self.next[b].items():
@@ -132,62 +182,75 @@ class Automaton:
                 else:
                     self.next[a][c] = child
 
-    def infer(self) -> None:
-        kept = [0]
-        while True:
-            fringe = [
-                (self.total(child), s, c, child)
-                for s in kept
-                for c, child in self.next[s].items()
-                if child not in kept
-            ]
-            if not fringe:
-                return
-            _, parent, c, blue = max(fringe, key=lambda x: (x[0], -x[3]))
-            for red in kept:
-                if self.compatible(red, blue):
-                    self.next[parent][c] = red
-                    self.fold(red, blue)
-                    break
+    def merge_layers(self) -> None:
+        layer = [0]
+        while layer:
+            kept: list[int] = []
+            for state in sorted(layer, key=lambda s: (-self.total(s), s)):
+                alike = next((k for k in kept if self.compatible(k, state)), None)
+                if alike is None:
+                    kept.append(state)
+                else:
+                    self.merge(alike, state)
+            layer = sorted({s for k in kept for s in self.after(k).values()})
+
+    def merge_loops(self) -> None:
+        red = [0]
+        while blue := {s for r in red for s in self.after(r).values()} - set(red):
+            state = max(blue, key=lambda s: (self.total(s), -s))
+            seen = self.total(state) >= self.least_state
+            alike = next((r for r in red if seen and self.total(r) >= self.least_state and self.compatible(r, state)), None)
+            if alike is None:
+                red.append(state)
             else:
-                kept.append(blue)
-
-    def bits(self, text: str) -> float:
-        """Mean log2 likelihood of a character, the end included; unseen moves count as one in a thousand."""
-        state, total = 0, 0.0
-        for c in text:
-            n = self.total(state)
-            total += math.log2((self.count[state][c] + 1e-3) / (n + 1e-1)) if n else -10
-            state = self.next[state].get(c, 0)
-        n = self.total(state)
-        total += math.log2((self.ends[state] + 1e-3) / (n + 1e-1)) if n else -10
-        return total / (len(text) + 1)
+                self.merge(alike, state)
+                red = sorted({self.find(r) for r in red})
+
+    def bits(self, form: str, least: float = -math.inf) -> float:
+        """Mean log2 likelihood of a character, the end included; ``-inf`` as soon as it is sure to miss ``least``."""
+        state, total, needed = 0, 0.0, least * (len(form) + 1)
+        for i, c in enumerate(form):
+            seen = self.count[state][c]
+            if not seen:
+                total -= LOST * (len(form) + 1 - i)
+                break
+            total += math.log2(seen / self.total(state))
+            if total < needed:
+                return -math.inf
+            state = self.find(self.next[state][c])
+        else:
+            total += math.log2(self.ends[state] / self.total(state)) if self.ends[state] else -LOST
+        return total / (len(form) + 1) if total >= needed else -math.inf
+
+
+def fitted(examples: list[str], held_out: list[str]) -> Automaton:
+    """The automaton whose confidence makes the held-out examples likeliest."""
+    tried = [Automaton(examples, alpha) for alpha in ALPHAS]
+    return max(tried, key=lambda a: sum(a.bits(x) for x in held_out))
 
 
 class Grammar:
-    """Automata and thresholds by kind, and an automaton of common words to compare with."""
+    """Automata and thresholds by kind, and an automaton of other runs to compare with."""
 
-    def __init__(self, credentials: dict[str, list[str]], words: list[str]):
-        self.words = Automaton([symbols(w) for w in words])
+    def __init__(self, credentials: dict[str, list[str]], others: list[str]):
         self.kinds: dict[str, tuple[Automaton, float]] = {}
-        # kind by form; forgets all when it holds MAX_FORMS
+        # kind by form; forgets all when it holds MAX_KNOWN
         self.known: dict[str, str | None] = {}
-        learnt = [x for found in credentials.values() if len(found) >= LEAST_EXAMPLES for x in found]
-        self.least = min(map(len, learnt), default=ASSIGN_LEAST)
-        self.candidate = re.compile(rf"[A-Za-z0-9+/_.=-]{{{self.least},}}")
         for kind, found in credentials.items():
-            if len(found) < LEAST_EXAMPLES:
-                continue
-            learned, unseen = found[::2], found[1::2]
-            automaton = Automaton([symbols(x) for x in learned])
-            scores = sorted(automaton.bits(symbols(x)) for x in unseen)
-            self.kinds[kind] = (automaton, scores[int(QUANTILE * len(scores))])
+            if len(found) >= LEAST_EXAMPLES:
+                forms = list(map(symbols, found))
+                automaton = fitted(forms[::2], forms[1::4])
+                scores = sorted(automaton.bits(x) for x in forms[3::4])
+                self.kinds[kind] = (automaton, scores[int(QUANTILE * len(scores))])
+        self.others = Automaton(list(map(symbols, others)))
+        self.least = min((LEASTS.get(k, ASSIGN_LEAST) for k in self.kinds), default=ASSIGN_LEAST)
+        self.candidate = re.compile(rf"[A-Za-z0-9+/_.=-]{{{self.least},}}")
 
     def kind_of(self, candidate: str) -> str | None:
         form = symbols(candidate)
         if form in self.known:
             return self.known[form]
-        if len(self.known) >= MAX_FORMS:
+        if len(self.known) >= MAX_KNOWN:
             self.known.clear()
         found = self.decide(form)
         if len(form) <= 64:
@@ -197,10 +260,10 @@ class Grammar:
     def decide(self, form: str) -> str | None:
         best = None
         for kind, (automaton, threshold) in self.kinds.items():
-            bits = automaton.bits(form)
+            bits = automaton.bits(form, threshold)
             if bits >= threshold and (best is None or bits > best[0]):
                 best = (bits, kind)
-        return best[1] if best and best[0] - self.words.bits(form) >= MARGIN else None
+        return best[1] if best and best[0] - self.others.bits(form) >= MARGIN else None
 
 
 def added_spans(text: str, base: list[Span], grammar: Grammar) -> list[Span]:
@@ -234,36 +297,46 @@ def written(spans: list[Span]) -> str:
     return ",".join(f"{names[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def examples(docs: DataFrame) -> DataFrame:
-    """kind, value: credentials of the given documents; common words have kind ``word``."""
+def examples(docs: DataFrame, most: int = SAMPLE_PER_KIND) -> DataFrame:
+    """kind, hash, value: of every kind the credentials with the least hash, ``most`` per task.
+
+    Runs that are no credentials have kind ``other``; one is taken of each text, at a place that its hash chooses.
+    """
+    run = re.compile(rf"[A-Za-z0-9+/_.=-]{{{ASSIGN_LEAST},}}")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, dict[int, str]] = {}
         for batch in batches:
-            kinds, values = [], []
-            for text in batch.column("text").to_pylist():
-                for start, k, end in base_spans(text):
-                    whole = text[start:end]
-                    kinds.append(KINDS[k])
-                    values.append(ASSIGN.match(whole)[2] if k == 0 else whole)
-                some = text.split()[:20]
-                kinds += ["word"] * len(some)
-                values += some
-            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(values, pa.string())], ["kind", "value"])
-
-    return docs.select(text_of().alias("text")).mapInArrow(find, "kind string, value string")
+            for text in batch.column("text"):
+                text = text.as_py()
+                base = base_spans(text)
+                found = [(KINDS[k], ASSIGN.match(text, s, e)[2] if k == 0 else text[s:e]) for s, k, e in base]
+                place = xxhash.xxh3_64_intdigest(text.encode()) % max(1, len(text))
+                if (m := run.search(text, place)) and not any(s < m.end() and m.start() < e for s, _, e in base):
+                    found.append(("other", m[0]))
+                for kind, value in found:
+                    if len(value) <= LONGEST_EXAMPLE:
+                        held.setdefault(kind, {})[xxhash.xxh3_64_intdigest(value.encode()) >> 1] = value
+            for kind, values in held.items():
+                if len(values) > most:
+                    held[kind] = {h: values[h] for h in sorted(values)[:most]}
+        rows = [(kind, h, v) for kind, values in held.items() for h, v in values.items()]
+        columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.string()))] if rows else []
+        if rows:
+            yield pa.RecordBatch.from_arrays(columns, ["kind", "hash", "value"])
+
+    return docs.select(text_of().alias("text")).mapInArrow(find, "kind string, hash long, value string")
 
 
 def learn_grammar(docs: DataFrame) -> Grammar:
-    """Learn from the credentials with the least hash in the SAMPLE_DOCS documents with the least hash, or so."""
-    total = docs.count()
-    share = min(1.0, SAMPLE_DOCS / max(1, total))
-    sample = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("secrets")), F.lit(1_000_000)) < math.ceil(share * 1e6))
-    found = examples(sample).where("octet_length(value) <= 200").groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n"))
-    order = F.expr("row_number() over (partition by kind order by if(kind = 'word', -n, 0), xxhash64(value), value)")
+    """Learn from the different credentials of all texts that have the least hash, SAMPLE_PER_KIND of each kind."""
+    ship_package(docs.sparkSession)
+    order = F.expr("row_number() over (partition by kind order by hash, value)")
+    least = examples(docs).distinct().withColumn("at", order).where(F.col("at") <= SAMPLE_PER_KIND)
     out: dict[str, list[str]] = {}
-    for r in found.withColumn("at", order).where(F.col("at") <= SAMPLE_PER_KIND).orderBy("kind", "at").collect():
+    for r in least.orderBy("kind", "at").collect():
         out.setdefault(r["kind"], []).append(r["value"])
-    return Grammar({k: out.get(k, []) for k in KINDS}, out.get("word", []))
+    return Grammar({k: out.get(k, []) for k in KINDS}, out.get("other", []))
 
 
 def scan(docs: DataFrame, grammar: Grammar) -> DataFrame:
@@ -292,5 +365,4 @@ def scan(docs: DataFrame, grammar: Grammar) -> DataFrame:
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    ship_package(spark)
     return scan(docs, learn_grammar(docs))

@@ -384,3 +384,57 @@ def test_kd_shards(spark, docs, none):
     assert len(small) == len(TEXTS)
     assert {r["size"] for r in small if r["doc_id"] in (5, 6)} == {16}
     assert op10.kd_shards(none).count() == 0
+
+
+def bits_by_hand(automaton, form):
+    """The likelihood of a form as a product of shares, along the states it leads to."""
+    state, total = 0, 0.0
+    for c in form:
+        n = automaton.ends[state] + sum(automaton.count[state].values())
+        total += np.log2(automaton.count[state][c] / n)
+        state = automaton.after(state)[c]
+    return (total + np.log2(automaton.ends[state] / (automaton.ends[state] + sum(automaton.count[state].values())))) / (len(form) + 1)
+
+
+def test_automata_keep_prefix_and_length():
+    rng = np.random.default_rng(5)
+    letters = list("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
+
+    def tail(n):
+        return "".join(rng.choice(letters, n))
+
+    automaton = op3.fitted([op3.symbols("AKIA" + tail(16)) for _ in range(150)], [op3.symbols("AKIA" + tail(16)) for _ in range(60)])
+    # one state per place, as no length but 20 was ever seen
+    assert len(automaton.states()) == 21
+    fresh = [op3.symbols("AKIA" + tail(16)) for _ in range(100)]
+    usual = sorted(automaton.bits(f) for f in fresh)
+    for f in fresh[:20]:
+        assert automaton.bits(f) == pytest.approx(bits_by_hand(automaton, f))
+        assert automaton.bits(f, automaton.bits(f) - 1e-9) == pytest.approx(automaton.bits(f)) and automaton.bits(f, 0.0) == -np.inf
+    for wrong in ["AKIA" + tail(15), "AKIA" + tail(17), "KAIA" + tail(16), "IAKA" + tail(16), tail(4).lower() + tail(16), "7KIA" + tail(16)]:
+        assert automaton.bits(op3.symbols(wrong)) < usual[0]
+
+
+def test_automata_make_loops_of_free_lengths():
+    rng = np.random.default_rng(6)
+    runs = ["k-" + "0" * int(n) for n in rng.geometric(0.2, 600)]
+    automaton = op3.Automaton(runs)
+    assert len(automaton.states()) < 8
+    assert automaton.bits("k-" + "0" * 60) > -3 > automaton.bits("0k-") and automaton.bits("k" + "0" * 9) < -3
+
+
+def test_learnt_formats_from_the_base_of_all_texts(spark):
+    """Look-alikes without a keyword are found, ordinary words and hosts are not; ids play no part."""
+    rng = np.random.default_rng(7)
+
+    def code(n):
+        return "".join(rng.choice(list("0123456789abcdef"), n))
+
+    words = "the meeting of mail3.example.com was moved to section-4.2 because nobody answered in november".split()
+    rows = [(None, " ".join(rng.permutation(words)) + f" secret = {code(18)} " + " ".join(rng.permutation(words))) for _ in range(240)]
+    planted = [code(18) for _ in range(20)]
+    rows += [(1, f"{' '.join(words)} see {p} there") for p in planted] + [(2, " ".join(words)) for _ in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = op3.scan(docs, op3.learn_grammar(docs)).collect()
+    assert sum(r["n_added"] for r in found if r["doc_id"] == 1) >= 17
+    assert sum(r["n_added"] for r in found if r["doc_id"] != 1) == 0
