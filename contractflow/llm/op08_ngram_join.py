@@ -254,8 +254,11 @@ def hub_pairs(members: DataFrame) -> DataFrame:
     return joined.where("node <> hub").select(*ordered_pairs("node", "hub"))
 
 
-def near_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, n: int = N) -> DataFrame:
-    """One row per document: key, row, doc_id, class_id, label, n_links, n_copies."""
+def near_labels(docs: DataFrame, threshold: float, recall: float, n: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, int]:
+    """Signatures, nodes, the label of each linked node, the texts of nodes in buckets, and the number of documents.
+
+    All of them are stored.  No link is counted for this.
+    """
     ship_package(docs.sparkSession)
     bands, rows = bands_for(threshold, recall)
     signed = signatures(docs, bands, rows, n)
@@ -291,7 +294,12 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
         found = units(open_nodes, "cluster", texts).applyInArrow(lambda t: joining_links(t, threshold, n), "a long, b long")
         links = links.unionByName(cut_lineage(found.distinct()))
         labels = components(links)
+    return signed, nodes, labels, texts, total
+
 
+def near_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, n: int = N) -> DataFrame:
+    """One row per document: key, row, doc_id, class_id, label, n_links, n_copies."""
+    signed, nodes, labels, texts, total = near_labels(docs, threshold, recall, n)
     counted = units(labels, "label", texts).applyInArrow(lambda t: link_counts(t, threshold, n), "node long, n_links long")
     degree = counted.groupBy("node").agg(F.sum("n_links").alias("n_links"))
     named = cut_lineage(nodes.join(labels, "node", "left").join(degree, "node", "left").withColumn("label", F.coalesce("label", "node")))
@@ -313,9 +321,18 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
 
 
 def keep_one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents with the smallest id of their class, with all their columns; one row per class."""
-    stay = near_classes(docs, threshold).where("doc_id <=> class_id").groupBy("label").agg(F.min(F.struct("row", *KEY)).alias("k"))
-    keys = stay.select(*(F.col(f"k.{c}").alias(c) for c in KEY))
+    """The documents with the smallest id of their class, with all their columns; one row per class.
+
+    Of rows with equal n-grams the first of the smallest id stands for the others; nulls come last.
+    """
+    signed, _, labels, _, _ = near_labels(docs, threshold, RECALL, N)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row", *KEY)
+    # reduced before the shuffle twice: to one row per set of n-grams, then to one per class
+    of_digest = signed.groupBy(F.coalesce("digest", F.col("row").cast("string").cast("binary")).alias("digest")).agg(
+        F.min("row").alias("node"), F.min(order).alias("k")
+    )
+    of_class = of_digest.join(labels, "node", "left").groupBy(F.coalesce("label", "node").alias("label")).agg(F.min("k").alias("k"))
+    keys = of_class.select(*(F.col(f"k.{c}").alias(c) for c in KEY))
     return with_key(docs).join(keys, KEY, "left_semi").dropDuplicates(KEY).drop(*KEY)
 
 
