@@ -5,8 +5,8 @@ left to right into phrases, each the longest match that the automaton still foll
 text the document's phrases are long needs few of them.  Each phrase costs the logarithm of the training
 text's length, and the language with the least cost per byte wins; ties go to the first name.
 
-Training text is a bounded sample: of each language the different beginnings (SAMPLE_CHARS characters) of
-labelled documents with the least hash, SAMPLE_DOCS at most; ids play no part.  Scoring reads every text to its end.  Texts are
+Training text is a bounded sample: of each language the different excerpts (SAMPLE_CHARS characters, at a place that
+the text's hash chooses) of labelled documents with the least hash, SAMPLE_DOCS at most; ids play no part.  Scoring reads every text to its end.  Texts are
 lower-cased; letters a-z and the bytes of other letters are symbols, everything else is one separator.
 For the sake of bounded memory a phrase ends at every BLOCK bytes, for all languages alike.  There may be any
 number of languages: a worker holds the tables of RESIDENT in memory, those of further languages in an unnamed
@@ -182,7 +182,9 @@ class Parser:
 def training_sample(docs: DataFrame, learn) -> dict[str, list[str]]:
     """Language -> excerpts of its documents with the least hash among those that ``learn`` selects."""
     labelled = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    begins = labelled.select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("t")).withColumn("h", F.xxhash64("t", F.lit("language")))
+    # not the beginning, where a source may open all its documents with the same words
+    place = f"1 + pmod(xxhash64(text, 'excerpt'), greatest(1, length(text) - {SAMPLE_CHARS} + 1))"
+    begins = labelled.selectExpr("lang", f"substring(text, cast({place} as int), {SAMPLE_CHARS}) as t").withColumn("h", F.xxhash64("t", F.lit("language")))
 
     def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
@@ -208,6 +210,14 @@ def training_sample(docs: DataFrame, learn) -> dict[str, list[str]]:
 _parsers: dict[str, Parser] = {}
 
 
+def parser_for(model: str, training: dict[str, list[str]]) -> Parser:
+    """The parser of a worker; a function of the module, as what is sent with a task has its own copy of the cache."""
+    if model not in _parsers:
+        _parsers.clear()
+        _parsers[model] = Parser(training)
+    return _parsers[model]
+
+
 def identify(docs: DataFrame, learn, keep: list[str], names: tuple[str, ...] = ("lang_pred", "score")) -> DataFrame:
     """The columns ``keep`` of the documents with language and score; ``learn`` selects training rows.
 
@@ -223,15 +233,13 @@ def identify(docs: DataFrame, learn, keep: list[str], names: tuple[str, ...] = (
         schema = schema.add(names[2], "boolean")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if training and model not in _parsers:
-            _parsers.clear()
-            _parsers[model] = Parser(training)
+        parser = parser_for(model, training) if training else None
         for batch in batches:
             for first, end in slices(batch.column("__text"), 4 << 20):
                 part = batch.slice(first, end - first)
                 texts = part.column("__text").to_pylist()
-                if training:
-                    languages, scores = _parsers[model].predict(texts)
+                if parser:
+                    languages, scores = parser.predict(texts)
                 else:
                     languages, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
                 columns = [part.column(i) for i in range(len(keep))]
@@ -243,10 +251,18 @@ def identify(docs: DataFrame, learn, keep: list[str], names: tuple[str, ...] = (
     return read.mapInArrow(score, schema)
 
 
-def keep_identified(docs: DataFrame, learn) -> DataFrame:
-    """The documents that are in some language, learnt or not, with all their columns: those with a letter."""
-    found = identify(docs, learn, docs.columns, ("__language", "__score", "__lettered"))
-    return found.where("__lettered").drop("__language", "__score", "__lettered")
+def keep_identified(docs: DataFrame, learn, languages: list[str] | None = None, least_score: float = 0.0) -> DataFrame:
+    """The documents that are in some language, with all their columns; ``lang`` is what they were found to be in.
+
+    Texts without a letter are in none.  With ``languages`` only documents in one of them stay, and with ``least_score``
+    only those that are that sure.  Where nothing could be learnt, ``lang`` stays as it is and is what counts.
+    """
+    names = ("__language", "__score", "__lettered")
+    found = identify(docs, learn, docs.columns, names).where("__lettered")
+    learnt = F.col("__language") != UNKNOWN
+    found = found.where(~learnt | (F.col("__score") >= least_score))
+    found = found.withColumn("lang", F.when(learnt, F.col("__language")).otherwise(F.col("lang"))).drop(*names)
+    return found if languages is None else found.where(F.col("lang").isin(languages))
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:

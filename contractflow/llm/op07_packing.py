@@ -15,6 +15,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,14 +30,21 @@ END_ID = 1
 _units: dict[str, Units] = {}
 
 
+def units_for(path: str) -> Units:
+    """The units that a worker knows; a function of the module, as what is sent with a task has its own copy of the cache."""
+    if path not in _units:
+        _units[path] = Units(path, packed, b"".join, "", WORD_CUT, str.lower)
+    return _units[path]
+
+
 def binary_lengths(n: int, longest: int) -> list[int]:
     """Full sequences, then the powers of two of the rest, longest first."""
     rest = n % longest
     return [longest] * (n // longest) + [1 << b for b in reversed(range(longest.bit_length())) if rest >> b & 1]
 
 
-def split_documents(docs: DataFrame, path: str, longest: int, end_id: int, with_ids: bool) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids (little-endian uint32), ids_crc32, doc_tokens."""
+def split_documents(docs: DataFrame, path: str, longest: int, end_id: int, with_ids: bool, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids (little-endian uint32), ids_crc32, doc_tokens, and the columns ``carry``."""
     if longest & (longest - 1) or longest < 1:
         raise ValueError("the length of a sequence must be a power of two")
     ship_package(docs.sparkSession)
@@ -45,15 +53,14 @@ def split_documents(docs: DataFrame, path: str, longest: int, end_id: int, with_
     names = {"int64": "long", "binary": "binary"}
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _units:
-            _units[path] = Units(path, packed, b"".join, "", WORD_CUT, str.lower)
-        units = _units[path]
+        units = units_for(path)
         end = packed([end_id])
         for batch in batches:
             for first, stop in slices(batch.column("text")):
                 part = batch.slice(first, stop - first)
                 # ASCII white space parts words for this tokenizer, which drops it
                 texts = [t.encode().split() for t in part.column("text").to_pylist()]
+                pieces = []
                 words = set().union(*texts)
                 long = {w: units.encode(w.decode()) for w in words if len(w) > LONGEST_UNIT}
                 units.learn_all(words.difference(long), bytes.decode)
@@ -66,18 +73,28 @@ def split_documents(docs: DataFrame, path: str, longest: int, end_id: int, with_
                         piece = ids[4 * at : 4 * (at + length)]
                         out.append((doc_id, at, length, zlib.crc32(piece), n, piece)[: len(types)])
                         at += length
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*out), types)], [n for n, _ in types])
+                    pieces.append(len(out))
+                columns = [pa.array(c, t) for c, (_, t) in zip(zip(*out), types)]
+                of = pa.array(np.repeat(np.arange(len(texts)), np.diff(pieces, prepend=0)))
+                columns += [part.column(2 + i).take(of) for i in range(len(carry))]
+                yield pa.RecordBatch.from_arrays(columns, [*(n for n, _ in types), *carry])
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    return source.mapInArrow(split, ", ".join(f"{n} {names[str(t)]}" for n, t in types))
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), *carry)
+    schema = ", ".join(f"{n} {names[str(t)]}" for n, t in types)
+    schema += "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in source.schema[2:])
+    return source.mapInArrow(split, schema)
 
 
-def pack(docs: DataFrame, path: str, longest: int = LENGTH, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
+def pack(
+    docs: DataFrame, path: str, longest: int = LENGTH, end_id: int = END_ID, with_ids: bool = True, carry: tuple[str, ...] = ()
+) -> DataFrame:
     """The pieces with sequence_id, and offset in it (always 0); sequence_id has no gaps.
 
+    ``carry`` names columns of the documents that their pieces keep; they must not be called like one of a piece.
+
     The pieces are stored before they are numbered, so every text is encoded once.
     """
-    pieces = cut_lineage(split_documents(docs, path, longest, end_id, with_ids).withColumn("row", F.monotonically_increasing_id()))
+    pieces = cut_lineage(split_documents(docs, path, longest, end_id, with_ids, carry).withColumn("row", F.monotonically_increasing_id()))
     buckets = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     numbered = number_within(pieces, "length", "in_bucket", F.col("row"), sum(buckets.values()), 5_000 if with_ids else 100_000)
     first, cases = 0, []

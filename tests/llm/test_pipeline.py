@@ -1,6 +1,12 @@
 """The pipeline against what its stages must do to planted rows."""
 
+import random
+import zlib
+
+from pyspark.sql import functions as F
+
 import corpus_pipeline
+from contractflow.llm.op04_language import keep_identified
 
 
 def test_stages_keep_columns_and_take_effect(spark, tmp_path):
@@ -23,3 +29,23 @@ def test_stages_keep_columns_and_take_effect(spark, tmp_path):
     assert left == [[1, 2, 3, 4, 7, 8], [2, 3, 4, 7, 8], [2, 3, 7, 8], [2, 3, 8]]
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
     assert {p["doc_id"] for p in pieces} == {2, 3, 8}
+
+
+def test_the_language_found_reaches_the_pieces(spark, tmp_path):
+    """Documents with a missing or wrong language come out with the one they are in, and can be selected by it."""
+    rng = random.Random(4)
+    words = {"en": "the of and that with which from have this".split(), "fr": "le la les dans pour une avec sont cette".split()}
+    rows = [(i, " ".join(rng.choices(words["en" if i % 2 else "fr"], k=40)) + f" {i}x", "en" if i % 2 else "fr") for i in range(400)]
+    held_out = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 == 2]
+    odd = {held_out[0]: None, held_out[1]: "de", held_out[2]: "fr" if held_out[2] % 2 else "en"}
+    rows = [(i, t, odd.get(i, lang), "s", len(t)) for i, t, lang in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {p["doc_id"] for p in pieces} == set(range(400))
+    assert all(p["lang"] == ("en" if p["doc_id"] % 2 else "fr") for p in pieces)
+    learn = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) != 2
+    french = keep_identified(docs, learn, languages=["fr"])
+    assert sorted(r["doc_id"] for r in french.collect()) == list(range(0, 400, 2)) and french.columns == docs.columns
+    assert keep_identified(docs, learn, least_score=1.01).isEmpty()
