@@ -15,7 +15,7 @@ from contractflow.storage import cut_lineage
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no language can be found go: null texts and texts without a letter."""
+    """Documents in no language go: null texts and texts without a letter.  ``lang`` becomes what the others are found to be in."""
     return keep_identified(docs, F.pmod(crc32_of_id(), F.lit(4)) != 2)
 
 
@@ -35,10 +35,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token pieces of all documents, one sequence each."""
+    """The token pieces of all documents, one sequence each, with the language found in the first stage."""
     import public_tokenizers
 
-    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), carry=("lang",))
 
 
 STAGES = [
