@@ -105,17 +105,12 @@ class Contract:
         for role in (self.event, self.owner, self.metric):
             if role and role not in self.names:
                 raise ContractError(f"{role!r} has a role but is no field")
-        classes: dict[str, str] = {}
         for f in self.fields:
-            norm = normalized(f.name)
-            if not norm:
+            if not normalized(f.name):
                 raise ContractError(f"field {f.name!r} has an empty normal form")
-            if norm in classes:
-                raise ContractError(
-                    f"fields {classes[norm]!r} and {f.name!r} share the normal form {norm!r}; "
-                    "a renamed key could not be told apart"
-                )
-            classes[norm] = f.name
+        # fields are members of structs, whose names Spark compares without regard to case
+        if len({n.lower() for n in self.names}) < len(self.names):
+            raise ContractError("field names must differ in more than case")
         for c in self.constraints:
             if c.constraint not in KNOWN_CONSTRAINTS:
                 raise ContractError(f"unknown constraint {c.constraint!r} on {c.shape}.{c.path}")
@@ -135,6 +130,17 @@ class Contract:
         """canonical name -> normal form"""
         return {f.name: normalized(f.name) for f in self.fields}
 
+    @property
+    def shared_forms(self) -> dict[str, list[str]]:
+        """normal form -> its fields, where there are several and one of them is required
+
+        A renamed key of such a form is claimed by the first of these fields that it suits.
+        """
+        fields: dict[str, list[str]] = {}
+        for name, form in self.normal_forms.items():
+            fields.setdefault(form, []).append(name)
+        return {f: n for f, n in fields.items() if len(n) > 1 and set(n) & set(self.required)}
+
     def field(self, name: str) -> Field:
         return next(f for f in self.fields if f.name == name)
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 
 from contractflow.contract import Contract
 from contractflow.functions.text import lit
-from contractflow.operators.extract import resolved_text, slot, with_hits
+from contractflow.operators.extract import resolved_key, resolved_text, slot, with_hits
 from contractflow.operators.registry import Aliases
 
 # Match outcomes.
@@ -25,23 +25,26 @@ def agreeing(others: str) -> str:
     return f"size(array_distinct(transform({others}, o -> if(o.scalar, o.text, null)))) = 1"
 
 
-def alias_match(canonical: str, others: str) -> str:
+def alias_match(canonical: str, others: str, literal: bool = True) -> str:
     """Match a missing field against the event's keys of the same normal form, which are sorted.
 
-    One key is taken without a look at its value, several (the first one) only if they agree.
+    One key is taken without a look at its value, several (the first one) only if they agree.  ``canonical`` is
+    the field's name, or with ``literal`` off an expression for it.
     """
     found = f"coalesce(size({others}), 0)"
     outcome = f"case when {found} <= 0 then '{NONE}' when {agreeing(others)} then '{UNIQUE}' else '{AMBIGUOUS}' end"
     raw_key = f"if({found} > 0 and {agreeing(others)}, {others}[0].key, null)"
     keys = f"coalesce(transform({others}, o -> o.key), array())"
     return (
-        f"cast(named_struct('canonical', {lit(canonical)}, 'outcome', {outcome}, 'raw_key', {raw_key}, "
+        f"cast(named_struct('canonical', {lit(canonical) if literal else canonical}, 'outcome', {outcome}, 'raw_key', {raw_key}, "
         f"'candidates', {keys}) as {CANDIDATE_TYPE})"
     )
 
 
 def missing_matches(contract: Contract, moment: str = "before") -> str:
     """Array of struct<canonical, outcome, raw_key, candidates>, one per missing required field."""
+    if contract.shared_forms:
+        return _matches_in_turn(contract, moment)
     parts = [
         f"if({resolved_text(n, moment)} is null, array({alias_match(n, slot(n, 'others'))}), "
         f"cast(array() as array<{CANDIDATE_TYPE}>))"
@@ -50,6 +53,29 @@ def missing_matches(contract: Contract, moment: str = "before") -> str:
     return f"concat({', '.join(parts)})"
 
 
+def _matches_in_turn(contract: Contract, moment: str) -> str:
+    """The same where fields share a normal form: field by field, in the order of the contract.
+
+    A key that has resolved a field, or that an earlier field of the pass has matched, is claimed and no
+    candidate of the fields after it, whatever the policy then says about the match.
+    """
+    among = [n for fields in contract.shared_forms.values() for n in fields]
+    claimed = f"array_compact(array({', '.join(resolved_key(n, moment) for n in among)}))"
+    turns = ", ".join(
+        f"named_struct('canonical', {lit(n)}, 'missing', {resolved_text(n, moment)} is null, 'others', {slot(n, 'others')})"
+        for n in contract.required
+    )
+    start = f"named_struct('used', cast({claimed} as array<string>), 'found', cast(array() as array<{CANDIDATE_TYPE}>))"
+    # what is left of a field's keys, and the match, are bound to names by transforms over one element
+    left = unclaimed("f.others", "s.used")
+    match = f"transform(array({left}), w -> {alias_match('f.canonical', 'w', literal=False)})"
+    taken = (
+        f"transform({match}, m -> named_struct('used', if(m.raw_key is null, s.used, array_append(s.used, m.raw_key)), "
+        "'found', array_append(s.found, m)))[0]"
+    )
+    return f"aggregate(array({turns}), {start}, (s, f) -> if(f.missing, {taken}, s), s -> s.found)"
+
+
 def rename_candidates(
     events: DataFrame, aliases: Aliases, contract: Contract, timeless: bool = True
 ) -> DataFrame:

@@ -4,7 +4,8 @@ What an event proposes for a field depends on the event alone: the set of its ke
 normal form (kept only if unique or in agreement).  It teaches the first key of that set unless
 some key of the set is known by then.  So of all events with the same key set only the first one
 can teach, and one aggregation ``(field, key set) -> first arrival`` carries everything there is
-to know.  Fields do not influence each other, their normal forms being distinct.
+to know.  Fields whose normal forms are distinct do not influence each other; those that share one do, and
+are replayed together (:mod:`contractflow.operators.shared_forms`).
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ from contractflow.functions.text import lit, string_array
 from contractflow.operators.discover import agreeing
 from contractflow.operators.extract import slot
 from contractflow.operators.policy import Policy, may_teach, with_trust
-from contractflow.operators.registry import Alias, Aliases, as_aliases, position_key
+from contractflow.operators.registry import Alias, Aliases, alias_rows, as_aliases, position_key
+from contractflow.operators.shared_forms import learn_shared
 from contractflow.storage import cut_lineage
 
 # Up to this many distinct key sets are replayed on the driver, more are resolved by joins.
@@ -35,7 +37,8 @@ def lessons(events: DataFrame, aliases: Aliases, policy: Policy | None, contract
     that would have resolved the field had it been known.
     """
     offers = []
-    for n in contract.required:
+    lone = lone_fields(contract)
+    for n in lone:
         others = slot(n, "others")
         keys = (
             f"if(exists({others}, o -> o.scalar), transform({others}, o -> o.key), array({others}[0].key))"
@@ -49,7 +52,7 @@ def lessons(events: DataFrame, aliases: Aliases, policy: Policy | None, contract
             f"array(named_struct('canonical', {lit(n)}, 'keys', {keys})), "
             "cast(array() as array<struct<canonical:string,keys:array<string>>>))"
         )
-    some = " or ".join(f"size({slot(n, 'others')}) > 0" for n in contract.required)
+    some = " or ".join(f"size({slot(n, 'others')}) > 0" for n in lone)
     slim = events.where(some).select("ord", "received_at", "origin", "slots")
     offered = with_trust(slim, policy).selectExpr(
         "named_struct('ord', ord, 'at', received_at) as arrival", f"inline(concat({', '.join(offers)}))"
@@ -70,6 +73,12 @@ def lessons(events: DataFrame, aliases: Aliases, policy: Policy | None, contract
     return first.join(known_sets.distinct(), ["canonical", "keys"], "left_anti")
 
 
+def lone_fields(contract: Contract) -> list[str]:
+    """Required fields that share their normal form with no other."""
+    shared = {n for fields in contract.shared_forms.values() for n in fields}
+    return [n for n in contract.required if n not in shared]
+
+
 def replay(rows: list[tuple[str, list[str], tuple, datetime | None]]) -> list[Alias]:
     """One-by-one processing of a few key sets none of whose keys is known yet."""
     known: set[tuple[str, str]] = set()
@@ -94,17 +103,18 @@ def resolve_by_joins(first: DataFrame) -> DataFrame:
     ]
     learned = cut_lineage(pending.where(F.lit(False)).select(*alias_columns))
     while not pending.isEmpty():
-        member = pending.select("canonical", "ord", F.explode("keys").alias("raw_key"))
+        # a set is found again by its keys: positions may repeat
+        member = pending.select("canonical", "keys", F.explode("keys").alias("raw_key"))
         front = pending.groupBy("canonical", F.col("head").alias("raw_key")).agg(F.min("ord").alias("front"))
         pair = ["canonical", "raw_key"]
         known = lookup_join(member, learned.select(*pair, "learned_pos"), pair)
         state = (
             lookup_join(known, cut_lineage(front), pair)
-            .groupBy("canonical", "ord")
+            .groupBy("canonical", "keys")
             .agg(F.min("learned_pos").alias("known"), F.min("front").alias("front"))
         )
         judged = cut_lineage(
-            pending.join(state, ["canonical", "ord"])
+            pending.join(state, ["canonical", "keys"])
             .withColumn("void", F.coalesce(F.col("known") < F.col("ord"), F.lit(False)))
             .withColumn("teaches", ~F.col("void") & (F.col("front") >= F.col("ord")))
         )
@@ -122,8 +132,17 @@ def learn_aliases(
     replay_limit: int = REPLAY_LIMIT,
 ) -> list[Alias] | DataFrame:
     """Aliases this batch adds to ``registry``, with the position each was learned at."""
-    first = cut_lineage(lessons(events, as_aliases(registry, contract), policy, contract))
-    rows = small_rows(first, replay_limit, REPLAY_BYTES)
-    if rows is not None:
-        return replay([(r["canonical"], r["keys"], tuple(r["ord"]), r["at"]) for r in rows])
-    return resolve_by_joins(first)
+    known = as_aliases(registry, contract)
+    learned: list[Alias] | DataFrame = []
+    if lone_fields(contract):
+        first = cut_lineage(lessons(events, known, policy, contract))
+        rows = small_rows(first, replay_limit, REPLAY_BYTES)
+        if rows is None:
+            learned = resolve_by_joins(first)
+        else:
+            learned = replay([(r["canonical"], r["keys"], tuple(r["ord"]), r["at"]) for r in rows])
+    together = learn_shared(events, known, policy, contract, replay_limit, REPLAY_BYTES) if contract.shared_forms else []
+    if isinstance(learned, list):
+        return learned + together
+    more = alias_rows(events.sparkSession, [(a.canonical, a.raw_key, a.pos, a.at, None) for a in together])
+    return learned.unionByName(more.drop("last_used_at"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from contractflow.functions.crypto import MODULUS, PublicKey, encrypt_metric
 from contractflow.functions.text import event_key, lit
 from contractflow.operators.bounded import over_all_tasks
+from contractflow.operators.segments import FAN, merge_segments, read_segments, write_segment
 from contractflow.sources.identity import ORD_TYPE
 
 # Fixed value: text accepted as a whole number (no blanks, no decimals).
@@ -65,32 +66,24 @@ def encrypt_metrics(metrics: DataFrame, key: PublicKey | None, modulus: int = MO
     )
 
 
-def upsert_metrics(rows: DataFrame, path: str, batch_id: int) -> None:
-    """Write one batch; running the batch again replaces what it wrote."""
-    rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+def upsert_metrics(rows: DataFrame, path: str, batch_id: int, fan: int = FAN) -> None:
+    """Write one batch and merge what it completes; running the batch again replaces what it wrote."""
+    write_segment(rows, path, batch_id)
+    merge_segments(rows.sparkSession, path, METRIC_SCHEMA, batch_id, latest_per_event, fan)
 
 
-def _written(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(METRIC_SCHEMA + ", batch_id bigint").parquet(path).drop("batch_id")
-
-
-def read_metrics(spark: SparkSession, path: str) -> DataFrame:
-    """Current rows of the metric table."""
-    return latest_per_event(_written(spark, path))
+def read_metrics(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+    """Current rows of the metric table (as the batches older than ``before`` left it)."""
+    return latest_per_event(read_segments(spark, path, METRIC_SCHEMA, before))
 
 
 def read_user_metrics(spark: SparkSession, path: str, user_id: str) -> DataFrame:
     """Current rows of one user.  Only events that ever had this user are resolved, so the filter
     reaches the scan and the ciphertexts of other events are not shuffled."""
-    rows = _written(spark, path)
+    rows = read_segments(spark, path, METRIC_SCHEMA)
     ids = rows.where(F.col("user_id") == user_id).select("event_id").distinct()
     return latest_per_event(rows.join(ids, "event_id", "left_semi")).where(F.col("user_id") == user_id)
 
 
-def compact_metrics(spark: SparkSession, path: str, target: str) -> None:
-    """Rewrite the table with one row per event under a new path."""
-    read_metrics(spark, path).write.mode("error").parquet(f"{target}/batch_id=0")
-
-
 def ciphertexts_for_user(metrics: DataFrame, user_id: str) -> DataFrame:
     return metrics.where(F.col("user_id") == user_id).select("event_id", "ciphertext").orderBy("event_id")

@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contractflow.functions.crypto import PublicKey, SecretKey, combine, reveal
-from contractflow.operators.bounded import over_all_tasks
 from contractflow.storage import ship_package
 
 
+# groups whose totals a task holds at once
+HELD = 20_000
+
+
 class EncryptionDisabled(RuntimeError):
     """Totals were asked for without a key."""
 
@@ -22,25 +23,24 @@ class EncryptionDisabled(RuntimeError):
 def encrypted_sum(metrics: DataFrame, by: list[str], key: PublicKey | None, column: str = "ciphertext") -> DataFrame:
     """``by..., ciphertext, n``: the encrypted total and the number of values per group.
 
-    Three folds, each with bounded memory whatever the group sizes: within every Arrow batch
-    before the first shuffle, then per (group, salt) over sorted rows, then per group over one row
-    per salt.  There are as many salts as the square root of the tasks, so both steps add up about alike.
+    A column ``n`` says how many values a row stands for; without one every row is one value.  Two folds with
+    one shuffle between them: every task first folds its rows, holding the totals of HELD groups at most, so a
+    group that fills the table is one row per task; then one row per task and group is folded over sorted rows.
     """
     if key is None:
         raise EncryptionDisabled("cannot total encrypted values: no key is configured")
     ship_package(metrics.sparkSession)
     types = dict(metrics.select(*by).dtypes)
-    schema = ", ".join([*[f"`{b}` {types[b]}" for b in by], "ciphertext binary", "n bigint", "__salt int"])
+    schema = ", ".join([*[f"`{b}` {types[b]}" for b in by], "ciphertext binary", "n bigint"])
 
-    def emit(sums: dict[tuple, tuple[int, int]], like: pa.RecordBatch, salt: int) -> pa.RecordBatch:
+    def emit(sums: dict[tuple, tuple[int, int]], like: pa.RecordBatch) -> pa.RecordBatch:
         groups, totals = list(sums), list(sums.values())
         columns = [pa.array([g[i] for g in groups], like.schema.field(i).type) for i in range(len(by))]
         columns += [
             pa.array([t[0].to_bytes(key.width, "big") for t in totals], pa.binary()),
             pa.array([t[1] for t in totals], pa.int64()),
-            pa.array([salt] * len(groups), pa.int32()),
         ]
-        return pa.RecordBatch.from_arrays(columns, [*by, "ciphertext", "n", "__salt"])
+        return pa.RecordBatch.from_arrays(columns, [*by, "ciphertext", "n"])
 
     def add(sums: dict[tuple, tuple[int, int]], batch: pa.RecordBatch) -> None:
         groups = zip(*[batch.column(i).to_pylist() for i in range(len(by))])
@@ -50,14 +50,16 @@ def encrypted_sum(metrics: DataFrame, by: list[str], key: PublicKey | None, colu
             # popped and put back, so that the group seen last stays last
             sums[group] = (combine(total, ciphertext, key), count + n)
 
-    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # the task number spreads a hot group, and stays the same when the task is run again
-        salt = TaskContext.get().partitionId() % salts
+    def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, tuple[int, int]] = {}
+        batch = None
         for batch in batches:
-            sums: dict[tuple, tuple[int, int]] = {}
             add(sums, batch)
-            if sums:
-                yield emit(sums, batch, salt)
+            if len(sums) > HELD:
+                yield emit(sums, batch)
+                sums = {}
+        if sums:
+            yield emit(sums, batch)
 
     def per_group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # rows arrive sorted by group, so only the last group of a batch can go on in the next
@@ -68,27 +70,24 @@ def encrypted_sum(metrics: DataFrame, by: list[str], key: PublicKey | None, colu
             if len(sums) > 1:
                 last = next(reversed(sums))
                 tail = sums.pop(last)
-                yield emit(sums, batch, 0)
+                yield emit(sums, batch)
                 sums = {last: tail}
         if sums:
-            yield emit(sums, batch, 0)
+            yield emit(sums, batch)
 
-    salts = math.isqrt(int(metrics.sparkSession.conf.get("spark.sql.shuffle.partitions"))) + 1
-    values = metrics.where(F.col(column).isNotNull()).select(
-        *by, F.col(column).alias("ciphertext"), F.lit(1).cast("bigint").alias("n"), F.lit(0).alias("__salt")
-    )
-    partial = values.mapInArrow(per_batch, schema)
-    salted = partial.repartition(*by, "__salt").sortWithinPartitions(*by).mapInArrow(per_group, schema)
-    total = salted.repartition(*by).sortWithinPartitions(*by).mapInArrow(per_group, schema)
-    return total.drop("__salt")
+    n = F.col("n") if "n" in metrics.columns else F.lit(1)
+    values = metrics.where(F.col(column).isNotNull()).select(*by, F.col(column).alias("ciphertext"), n.cast("bigint").alias("n"))
+    # few bytes with much work per row: as many tasks as the session has, not as few as the bytes would fill
+    tasks = int(metrics.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return values.mapInArrow(per_task, schema).repartition(tasks, *by).sortWithinPartitions(*by).mapInArrow(per_group, schema)
 
 
 def user_totals(metrics: DataFrame, key: PublicKey | None, secret: SecretKey | None) -> DataFrame:
-    """``user_id, n, total`` for every user with encrypted metrics."""
-    summed = encrypted_sum(metrics, ["user_id"], key)
+    """``user_id, n, total`` for every user with encrypted metrics; also from totals kept by :mod:`kept_totals`."""
+    summed = encrypted_sum(metrics, ["user_id"], key).where("n > 0")
     if secret is None:
         raise EncryptionDisabled("cannot reveal totals: no secret key is configured")
-    return over_all_tasks(summed, "user_id").select("user_id", "n", reveal(F.col("ciphertext"), secret).alias("total"))
+    return summed.select("user_id", "n", reveal(F.col("ciphertext"), secret).alias("total"))
 
 
 def user_total(metrics: DataFrame, user_id: str, key: PublicKey | None, secret: SecretKey | None) -> DataFrame:

@@ -8,6 +8,8 @@ how many rows each written file has, and an id is the file's first id plus the r
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,11 +30,17 @@ def raw_schema(contract: Contract) -> str:
 
 
 def append_raw(
-    events: DataFrame, root: str, batch_id: int, contract: Contract, arrival_order: bool = True
+    events: DataFrame,
+    root: str,
+    batch_id: int,
+    contract: Contract,
+    arrival_order: bool = True,
+    observed: Callable[[DataFrame], DataFrame] = lambda rows: rows,
 ) -> None:
     """Parse and write one batch; running the batch again replaces what it wrote.
 
-    Without ``arrival_order`` the write needs no shuffle, and ids follow the input's file order.
+    Without ``arrival_order`` the write needs no shuffle, and ids follow the input's file order.  ``observed``
+    may watch the rows, ``malformed`` among their columns, as they are written.
     """
     spark = events.sparkSession
     placed = events.repartitionByRange(F.col("ord")) if arrival_order else events
@@ -40,7 +48,7 @@ def append_raw(
     if arrival_order:
         # partition column first: the writer then keeps this order instead of sorting again
         rows = rows.sortWithinPartitions("malformed", "ord")
-    rows.write.mode("overwrite").partitionBy("malformed").parquet(f"{root}/raw_events/batch_id={batch_id}")
+    observed(rows).write.mode("overwrite").partitionBy("malformed").parquet(f"{root}/raw_events/batch_id={batch_id}")
 
     stored = batch_rows(spark, root, batch_id, contract).select(F.col("_metadata.file_name").alias("file_name"))
     counts = stored.groupBy("file_name").agg(F.count("*").alias("rows"))

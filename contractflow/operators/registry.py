@@ -27,10 +27,10 @@ REGISTRY_SCHEMA = (
 )
 
 # Positions before every event: the canonical names themselves come first, then seeded aliases.
-DEFAULT_POS = (-2, 0, "")
-SEED_POS = (-1, 0, "")
+DEFAULT_POS = (-2, 0, 0, "")
+SEED_POS = (-1, 0, 0, "")
 
-Position = tuple[int, int, str]
+Position = tuple[int, int, int, str]
 
 
 @dataclass(frozen=True)
@@ -45,12 +45,13 @@ Aliases = list[Alias] | DataFrame
 
 
 def position_sql(pos: Position) -> str:
-    return f"named_struct('batch', {pos[0]}L, 'seq', {pos[1]}L, 'tie', {lit(pos[2])})"
+    batch, session, seq, tie = pos
+    return f"named_struct('batch', {batch}L, 'session', {session}L, 'seq', {seq}L, 'tie', {lit(tie)})"
 
 
-def position_key(pos: Position) -> tuple[int, int, bytes]:
+def position_key(pos: Position) -> tuple[int, int, int, bytes]:
     """Driver-side sort key equal to Spark's order of position structs."""
-    return (pos[0], pos[1], pos[2].encode())
+    return (*pos[:3], pos[3].encode())
 
 
 def alias_rows(spark: SparkSession, rows: Iterable[tuple]) -> DataFrame:

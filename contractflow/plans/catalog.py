@@ -14,13 +14,15 @@ from contractflow.contract import Contract, default_contract, load_contract, mak
 from contractflow.functions import json as J
 from contractflow.functions import text as T
 from contractflow.functions.crypto import MODULUS, PublicKey, SecretKey, from_text, generate_keys, reveal, to_text
-from contractflow.operators import checks, decisions, discover, extract, graph, metrics, parse, policy, private_sum
-from contractflow.operators import raw_log, registry, shim
+from contractflow.operators import checks, decisions, discover, extract, graph, kept_totals, metrics, parse, policy
+from contractflow.operators import private_sum, raw_log, registry, shim
 from contractflow.plans.derived_events import derived_events
 from contractflow.plans.heal import Healed, alias_table, heal, used_pairs
 from contractflow.sources.envelope import from_envelope
+from contractflow.sources.files import stream_event_files
+from contractflow.sources.sessions import with_sessions
 from contractflow.storage import checkpoint_dir, cut_lineage, ship_package
-from contractflow.streaming.loop import Store, heal_batch
+from contractflow.streaming.loop import Store, heal_batch, heal_envelopes, run_stream
 
 CONTRACT = default_contract()
 POLICY = policy.Policy()
@@ -246,6 +248,16 @@ def healed_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def indexed_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events found through the index of the log, under canonical and learned spellings; one is broken, one is not there."""
+    store = Store(_folder(spark, "indexed"), policy=POLICY)
+    events = derived_events(spark, sf_dir)
+    for batch in (0, 1):
+        heal_batch(events.where(f"ord.seq % 34 {'<' if batch else '>='} 17"), batch, store)
+    found = [store.lookup(spark, e) for e in ("evt-24", "evt-7", "evt-21", "evt-16", "nobody")]
+    return functools.reduce(DataFrame.unionByName, found).select("event_id", "user_id", "track_id", "event_timestamp", "ms_played")
+
+
 def played_per_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship report: plays and total time per user over the healed view."""
     return (
@@ -404,7 +416,7 @@ def _orders_loop(spark: SparkSession, sf_dir: str) -> Store:
         "'partner-feed' as origin",
         "concat('order-', o_orderkey) as fallback_id",
         f"{payload} as payload",
-        "named_struct('batch', 0L, 'seq', cast(o_orderkey as bigint), 'tie', '') as ord",
+        "named_struct('batch', 0L, 'session', 0L, 'seq', cast(o_orderkey as bigint), 'tie', '') as ord",
         "cast(o_orderdate as timestamp) as received_at",
     )
     store = Store(_folder(spark, "orders-loop"), ORDERS_CONTRACT)
@@ -426,6 +438,137 @@ def orders_loop_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learned.select("canonical", "raw_key", F.col("learned_pos.seq").alias("learned_from"))
 
 
+def orders_loop_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every batch of the loop reported, and whether the log has a duration for each decision."""
+    store = _orders_loop(spark, sf_dir)
+    timed = store.timed_decisions(spark).groupBy("batch_id").agg(F.count_if(F.col("event_ms") > 0).alias("timed"))
+    reports = store.reports(spark).select("batch_id", "rows_in", "malformed", "conforming", "not_conforming", "healed", "decisions")
+    return reports.join(timed, "batch_id")
+
+
+def orders_loop_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest decisions, read from the batches that can hold them."""
+    return _orders_loop(spark, sf_dir).tail(spark, 300).select(_n(), "seq", "stage")
+
+
+# both fields have the normal form orderkey, so a renamed key could be either
+TWIN_CONTRACT = make_contract(
+    (("order_key", True, "order_key", "string", "Order", "a"), ("orderKey", True, "customer", "string", "Order", "b")), (), "Order"
+)
+TWIN_POLICY = policy.Policy(protected=("order_key",))
+
+
+def _twin_orders(spark: SparkSession, sf_dir: str) -> Healed:
+    """Orders in seven forms: keys that suit two fields, agree or not, and are claimed by one of them."""
+    order, customer = "concat('o', o_orderkey)", "concat('c', o_custkey)"
+
+    def form(**members: str) -> str:
+        return "concat('{', " + ", ',', ".join(f"""'"{k.replace('__', '-')}":"', {v}, '"'""" for k, v in members.items()) + ", '}')"
+
+    forms = (
+        form(order_key=order, orderKey=customer),
+        form(ORDERKEY=order),
+        form(**{"ORDERKEY": order, "Order__Key": order}),
+        form(OrderKEY=order, orderkey=customer),
+        form(order_key=order, ORDER_KEY=customer),
+        form(orderKey=customer),
+        form(OrderKEY=order, orderKey=customer),
+    )
+    whens = " ".join(f"when {i} then {f}" for i, f in enumerate(forms))
+    events = table(spark, sf_dir, "orders").selectExpr(
+        "concat('orders/', o_orderkey) as source",
+        "if(o_orderkey div 7 % 3 = 0, 'unknown-app', 'partner-feed') as origin",
+        "concat('order-', o_orderkey) as fallback_id",
+        f"case o_orderkey % 7 {whens} end as payload",
+        "named_struct('batch', 0L, 'session', 0L, 'seq', cast(o_orderkey as bigint), 'tie', '') as ord",
+        "cast(o_orderdate as timestamp) as received_at",
+    )
+    return heal(cut_lineage(parse.parse_events(events, TWIN_CONTRACT).drop("payload")), None, TWIN_POLICY, TWIN_CONTRACT)
+
+
+def claimed_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches where fields share a normal form: a key goes to the first field, and stays claimed if the policy refuses it."""
+    repairs = _twin_orders(spark, sf_dir).judged.select(_n(), F.inline("repairs"))
+    return repairs.select("n", "canonical", "outcome", "raw_key")
+
+
+def claimed_key_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    learned = alias_table(spark, _twin_orders(spark, sf_dir).learned)
+    return learned.select("canonical", "raw_key", F.col("learned_pos.seq").alias("learned_from"))
+
+
+# ---- messages of a broker that reconnects, and files as they come -------------------------------
+
+SESSION = 1000
+
+
+def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as messages of three queues whose delivery tags restart every thousand events."""
+    return derived_events(spark, sf_dir).select(
+        F.col("payload").cast("binary").alias("body"),
+        F.col("origin").alias("app_id"),
+        F.concat(F.lit("q"), F.col("ord.seq") % 3).alias("queue"),
+        (F.col("ord.seq") % SESSION + 1).alias("delivery_tag"),
+        F.timestamp_millis(F.col("ord.seq")).alias("received_at"),
+    )
+
+
+def reconnected_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the loop learns, and from which session and tag; two batches, cut within a session, the second run twice."""
+    messages, store = _messages(spark, sf_dir), Store(_folder(spark, "messages"), policy=POLICY)
+    ends = messages.agg(F.unix_millis(F.min("received_at")).alias("low"), F.unix_millis(F.max("received_at")).alias("high")).first()
+    late = F.col("received_at") > F.timestamp_millis(F.lit(((ends["low"] or 0) + (ends["high"] or 0)) // 2))
+    for batch in (0, 1, 1):
+        heal_envelopes(messages.where(late if batch else ~late), batch, store, "s1")
+    return store.registry(spark).select(
+        "canonical", "raw_key", F.col("learned_pos.session").alias("session"), F.col("learned_pos.seq").alias("tag")
+    )
+
+
+def reconnected_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last write per track in the order of arrival, which is not that of the tags."""
+    numbered, _ = with_sessions(cut_lineage(_messages(spark, sf_dir)))
+    events = cut_lineage(parse.parse_events(from_envelope(numbered), CONTRACT).drop("payload"))
+    rows = metrics.eligible_metrics(heal(events, None, POLICY, CONTRACT).judged, event="trackId").where("not startswith(event_id, 'amqp')")
+    return metrics.latest_per_event(rows).select(
+        "event_id", "user_id", "ms_played", F.col("ord.session").alias("session"), F.col("ord.seq").alias("tag")
+    )
+
+
+def _streamed_suppliers(spark: SparkSession, sf_dir: str) -> Store:
+    """Suppliers as event files, one each: half of them streamed, the query ended, the rest added and streamed by a second start."""
+    root = _folder(spark, "files")
+    suppliers = table(spark, sf_dir, "supplier").selectExpr(
+        "s_suppkey as eventId",
+        "if(s_suppkey % 3 = 0, null, concat('n', s_nationkey)) as userId",
+        "if(s_suppkey % 3 = 0, concat('n', s_nationkey), null) as user_id",
+        "if(s_suppkey % 2 = 0, null, s_name) as trackId",
+        "if(s_suppkey % 2 = 0, s_name, null) as track_id",
+        "'2026-01-01T00:00:00' as timestamp",
+        "cast(s_suppkey * 10 as bigint) as msPlayed",
+    )
+    store = Store(f"{root}/store", policy=POLICY)
+    for part in (0, 1):
+        some = suppliers.where(f"eventId % 4 div 2 = {part}")
+        some.write.mode("append").option("maxRecordsPerFile", 1).json(f"{root}/in")
+        run_stream(stream_event_files(spark, f"{root}/in"), store, f"{root}/checkpoint", available_now=True).awaitTermination()
+    return store
+
+
+def streamed_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The view after both starts: ids go on, rows of the first start are healed by what the second one learned."""
+    view = _streamed_suppliers(spark, sf_dir).view(spark)
+    return view.selectExpr(
+        "event_id", "user_id", "track_id", "ms_played", "id > 0 as numbered",
+        "received_at between current_timestamp() - interval 1 hour and current_timestamp() as just_now",
+    )
+
+
+def streamed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = _streamed_suppliers(spark, sf_dir).decisions(spark)
+    return log.where("stage <> 'breach'").groupBy("stage").agg(F.count("*").alias("n"))
+
+
 # ---- metrics and private totals -----------------------------------------------------------------
 
 
@@ -457,6 +600,29 @@ def encrypted_user_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return private_sum.user_totals(_encrypted(spark, sf_dir), *demo_keys())
 
 
+def _kept_totals(spark: SparkSession, sf_dir: str) -> str:
+    """Where totals are kept over four batches that overwrite the metrics of tracks; the third batch runs twice."""
+    rows = cut_lineage(metrics.eligible_metrics(healed_events(spark, sf_dir).judged, event="trackId"))
+    high = rows.agg(F.coalesce(F.max("ord.seq"), F.lit(0))).first()[0]
+    root = _folder(spark, "totals")
+    for batch in (0, 1, 2, 2, 3):
+        part = rows.where(f"least(ord.seq * 4 div {high + 1}, 3) = {batch}")
+        metrics.upsert_metrics(metrics.encrypt_metrics(metrics.latest_per_event(part), demo_keys()[0]), f"{root}/metrics", batch, fan=2)
+        kept_totals.update_totals(spark, f"{root}/metrics", f"{root}/totals", batch, demo_keys()[0], fan=2)
+    return f"{root}/totals"
+
+
+def kept_user_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals per user from what the batches kept: overwritten metrics are taken out of their owners' totals."""
+    return private_sum.user_totals(kept_totals.read_totals(spark, _kept_totals(spark, sf_dir)), *demo_keys())
+
+
+def kept_one_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One user's total, from that user's kept rows alone."""
+    kept = kept_totals.read_totals(spark, _kept_totals(spark, sf_dir), "u7")
+    return private_sum.user_total(kept, "u7", *demo_keys())
+
+
 def encrypted_one_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     return private_sum.user_total(_encrypted(spark, sf_dir, "u7"), "u7", *demo_keys())
 
@@ -619,11 +785,12 @@ def catalog() -> dict[str, Query]:
         matching_keys, rename_candidates, ambiguous_breaches, policy_decisions, policy_disabled_decisions, policy_from_tables, policy_unreadable_decisions,
         learned_aliases, learned_aliases_without_policy, learned_aliases_by_joins, registry_union,
         alias_audit, stale_aliases,
-        healed_view, healed_view_all_keys, healed_view_from_text, healed_lookup, played_per_user,
+        healed_view, healed_view_all_keys, healed_view_from_text, healed_lookup, indexed_lookup, played_per_user,
         verdicts, violation_report, shape_counts_graph, graph_verdicts, graph_violation_counts, order_graph_violations,
         event_triples, ntriples_lines, orders_reference_check, nested_reference_check, contract_on_orders, contract_from_tables,
-        orders_loop_view, orders_loop_log, orders_loop_registry,
-        metric_latest, metric_latest_per_track, encrypted_user_totals, encrypted_one_user, user_ciphertexts,
+        orders_loop_view, orders_loop_log, orders_loop_registry, orders_loop_reports, orders_loop_tail,
+        claimed_keys, claimed_key_aliases, reconnected_registry, reconnected_latest, streamed_view, streamed_log,
+        metric_latest, metric_latest_per_track, encrypted_user_totals, encrypted_one_user, kept_user_totals, kept_one_user, user_ciphertexts,
         raw_audit_count, raw_log_ids, quarantine, canonical_payload, canonical_properties,
         envelope_identity, file_identity, text_functions, base64_texts, wrapped_totals, number_texts,
         decision_log_counts, stored_decision_counts, decisions_without_encryption, decision_tail, decision_level_filter, parsed_decision_lines,

@@ -64,6 +64,6 @@ def derived_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"element_at(array({names(ORIGINS)}), cast(event_id % 4 + 1 as int)) as origin",
         "concat('evt-file-', event_id) as fallback_id",
         f"{payload_text()} as payload",
-        "named_struct('batch', 0L, 'seq', event_id, 'tie', '') as ord",
+        "named_struct('batch', 0L, 'session', 0L, 'seq', event_id, 'tie', '') as ord",
         "cast(ts as timestamp) as received_at",
     )

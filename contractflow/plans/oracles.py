@@ -163,6 +163,22 @@ metrics AS (
   WHERE user_id IS NOT NULL AND regexp_matches(ms, '^[+-]?[0-9]+$') AND try_cast(ms AS BIGINT) >= 0)"""
 )
 
+KEPT = (
+    METRICS
+    + """,
+kept AS (
+  SELECT user_id, ms_played FROM metrics
+  QUALIFY row_number() OVER (PARTITION BY coalesce(track_id, fallback_id) ORDER BY n DESC) = 1)"""
+)
+
+# the first events that may teach each of the five spellings, in the forms that hold them
+TWINS = """
+f AS (SELECT o_orderkey AS n, o_orderkey % 7 AS form, o_orderkey // 7 % 3 <> 0 AS trusted FROM orders),
+firsts AS (
+  SELECT *, min(n) FILTER (WHERE form IN (1, 2) AND trusted) OVER () AS at_a, min(n) FILTER (WHERE form = 2) OVER () AS at_b,
+    min(n) FILTER (WHERE form = 4) OVER () AS at_c, min(n) FILTER (WHERE form = 6 AND trusted) OVER () AS at_d FROM f),
+o AS (SELECT *, min(n) FILTER (WHERE form = 3 AND n > at_d) OVER () AS at_e FROM firsts)"""
+
 LOG = (
     METRICS
     + FAULTS.removeprefix(HITS)
@@ -309,6 +325,49 @@ def oracles() -> dict[str, str]:
         "UNION ALL SELECT 0, 'INFO', 'healed', 1 FROM orders HAVING count(*) FILTER (WHERE o_orderkey % 6 = 0) > 0",
         "orders_loop_registry": "SELECT 'orderKey' AS canonical, 'order_key' AS raw_key, min(o_orderkey) AS learned_from FROM orders "
         "WHERE o_orderkey % 6 = 0",
+        "orders_loop_reports": "WITH o AS (SELECT o_orderkey % 2 AS batch_id, count(*) AS rows_in, "
+        "count(*) FILTER (WHERE length(o_orderpriority) >= 6) AS conforming, "
+        "CASE WHEN count(*) FILTER (WHERE o_orderkey % 6 = 0) > 0 THEN 1 ELSE 0 END AS healed FROM orders GROUP BY 1) "
+        "SELECT batch_id, rows_in, 0 AS malformed, conforming, rows_in - conforming AS not_conforming, healed, "
+        "rows_in + 2 * healed AS decisions, rows_in + 2 * healed AS timed FROM o",
+        "orders_loop_tail": "WITH o AS (SELECT o_orderkey AS n, o_orderdate AS ts, length(o_orderpriority) >= 6 AS good, "
+        "o_orderkey = min(o_orderkey) FILTER (WHERE o_orderkey % 6 = 0) OVER () AS first FROM orders), "
+        "log AS (SELECT n, ts, CASE WHEN first THEN 2 ELSE 0 END AS seq, CASE WHEN good THEN 'conforms' ELSE 'not_conforming' END AS stage FROM o "
+        "UNION ALL SELECT n, ts, 0, 'breach' FROM o WHERE first UNION ALL SELECT n, ts, 1, 'healed' FROM o WHERE first) "
+        "SELECT n, seq, stage FROM log ORDER BY ts DESC, n % 2 DESC, n DESC, seq DESC LIMIT 300",
+        "claimed_keys": _sql(
+            TWINS,
+            "SELECT n, 'order_key' AS canonical, CASE WHEN n = at_a THEN 'healed' ELSE 'denied' END AS outcome, 'ORDERKEY' AS raw_key "
+            "FROM o WHERE form IN (1, 2) AND n <= coalesce(at_a, n) "
+            "UNION ALL SELECT n, 'orderKey', 'none', NULL FROM o WHERE form = 1 "
+            "UNION ALL SELECT n, 'orderKey', 'healed', 'Order-Key' FROM o WHERE n = at_b "
+            "UNION ALL SELECT n, field, 'ambiguous', NULL FROM o, (VALUES ('order_key'), ('orderKey')) f(field) WHERE form = 3 AND n < coalesce(at_d, n + 1) "
+            "UNION ALL SELECT n, 'orderKey', 'healed', 'orderkey' FROM o WHERE n = at_e "
+            "UNION ALL SELECT n, 'orderKey', 'healed', 'ORDER_KEY' FROM o WHERE n = at_c "
+            "UNION ALL SELECT n, 'order_key', 'none', NULL FROM o WHERE form = 5 "
+            "UNION ALL SELECT n, 'order_key', CASE WHEN n = at_d THEN 'healed' ELSE 'denied' END, 'OrderKEY' FROM o WHERE form = 6 AND n <= coalesce(at_d, n)",
+        ),
+        "claimed_key_aliases": _sql(
+            TWINS,
+            "SELECT canonical, raw_key, learned_from FROM (SELECT 'order_key' AS canonical, 'ORDERKEY' AS raw_key, max(at_a) AS learned_from FROM o "
+            "UNION ALL SELECT 'orderKey', 'Order-Key', max(at_b) FROM o UNION ALL SELECT 'orderKey', 'ORDER_KEY', max(at_c) FROM o "
+            "UNION ALL SELECT 'order_key', 'OrderKEY', max(at_d) FROM o UNION ALL SELECT 'orderKey', 'orderkey', max(at_e) FROM o) WHERE learned_from IS NOT NULL",
+        ),
+        "reconnected_registry": _sql(
+            LEARNED,
+            "SELECT field AS canonical, k AS raw_key, pos // 1000 - (SELECT min(n) // 1000 FROM raw) AS session, pos % 1000 + 1 AS tag FROM learned",
+        ),
+        "reconnected_latest": _sql(
+            METRICS,
+            "SELECT track_id AS event_id, user_id, ms_played, n // 1000 - (SELECT min(n) // 1000 FROM raw) AS session, n % 1000 + 1 AS tag "
+            "FROM metrics WHERE track_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY n DESC) = 1",
+        ),
+        "streamed_view": "SELECT CAST(s_suppkey AS VARCHAR) AS event_id, CASE WHEN s_suppkey % 3 <> 0 THEN 'n' || s_nationkey END AS user_id, "
+        "s_name AS track_id, CAST(s_suppkey * 10 AS BIGINT) AS ms_played, true AS numbered, true AS just_now FROM supplier",
+        "streamed_log": "SELECT 'denied' AS stage, count(*) AS n FROM supplier WHERE s_suppkey % 3 = 0 HAVING count(*) > 0 "
+        "UNION ALL SELECT 'not_conforming', count(*) FROM supplier WHERE s_suppkey % 3 = 0 HAVING count(*) > 0 "
+        "UNION ALL SELECT 'conforms', count(*) FROM supplier WHERE s_suppkey % 3 <> 0 HAVING count(*) > 0 "
+        "UNION ALL SELECT 'healed', 1 FROM supplier HAVING count(*) FILTER (WHERE s_suppkey % 2 = 0) > 0",
         "healed_view": _sql(SAFE_VIEW, VIEW_SELECT),
         "healed_view_all_keys": _sql(FULL_VIEW, VIEW_SELECT),
         "healed_view_from_text": _sql(SAFE_VIEW, VIEW_SELECT),
@@ -316,6 +375,10 @@ def oracles() -> dict[str, str]:
             SAFE_VIEW,
             "SELECT user_id, track_id, event_timestamp, ms_played FROM view_rows WHERE event_id = 'evt-24'",
         ),
+        "indexed_lookup": _sql(
+            SAFE_VIEW,
+            "SELECT event_id, user_id, track_id, event_timestamp, ms_played FROM view_rows WHERE event_id IN ('evt-24', 'evt-7', 'evt-21', 'evt-16', 'nobody')",
+        ),
         "played_per_user": _sql(
             SAFE_VIEW,
             "SELECT user_id, count(*) AS plays, CAST(sum(ms_played) AS BIGINT) AS ms_played FROM view_rows GROUP BY user_id",
@@ -356,6 +419,10 @@ def oracles() -> dict[str, str]:
             METRICS,
             "SELECT user_id, count(*) AS n, CAST(sum(ms_played) % 100000000 AS BIGINT) AS total FROM metrics WHERE ms_played < 100000000 GROUP BY user_id",
         ),
+        "kept_user_totals": _sql(KEPT, "SELECT user_id, count(*) AS n, CAST(sum(ms_played) % 100000000 AS BIGINT) AS total FROM kept GROUP BY user_id"),
+        "kept_one_user": _sql(
+            KEPT, "SELECT user_id, count(*) AS n, CAST(sum(ms_played) % 100000000 AS BIGINT) AS total FROM kept WHERE user_id = 'u7' GROUP BY user_id"
+        ),
         "encrypted_one_user": _sql(
             METRICS,
             "SELECT user_id, count(*) AS n, CAST(sum(ms_played) % 100000000 AS BIGINT) AS total FROM metrics WHERE ms_played < 100000000 AND user_id = 'u7' GROUP BY user_id",

@@ -11,15 +11,20 @@ from contractflow.functions.text import file_stem
 UNKNOWN_ORIGIN = "unknown-app"
 QUEUE_PREFIX = "amqp"
 
-ORD_TYPE = "struct<batch:bigint,seq:bigint,tie:string>"
+ORD_TYPE = "struct<batch:bigint,session:bigint,seq:bigint,tie:string>"
 
 
-def arrival(seq: Column, tie: Column | None = None, batch: Column | int = 0) -> Column:
-    """Arrival position of an event: (batch, sequence number, tie-break), compared in that order."""
-    batch = F.lit(batch) if isinstance(batch, int) else batch
+def arrival(
+    seq: Column, tie: Column | None = None, batch: Column | int = 0, session: Column | int = 0
+) -> Column:
+    """Arrival position of an event: (batch, session, sequence number, tie-break), compared in that order."""
+    batch, session = (F.lit(c) if isinstance(c, int) else c for c in (batch, session))
     tie = F.lit("") if tie is None else tie
     return F.struct(
-        batch.cast("bigint").alias("batch"), seq.cast("bigint").alias("seq"), tie.cast("string").alias("tie")
+        batch.cast("bigint").alias("batch"),
+        session.cast("bigint").alias("session"),
+        seq.cast("bigint").alias("seq"),
+        tie.cast("string").alias("tie"),
     )
 
 
@@ -32,15 +37,16 @@ def with_identity(df: DataFrame, kind: str, stream_id: str | None = None) -> Dat
     """Derive source, origin and fallback id.
 
     ``kind='file'`` reads ``path`` and ``file_name``; ``kind='envelope'`` reads ``queue``,
-    ``delivery_tag`` and ``app_id``.  Delivery tags restart with every connection, so a
-    ``stream_id`` may be worked into the fallback id to keep ids of different runs apart.
+    ``delivery_tag`` and ``app_id``.  Delivery tags restart with every connection, so a ``stream_id`` and,
+    where the rows have one, the ``session`` are worked into the fallback id to keep ids apart.
     """
     if kind == "file":
         stem = F.expr(file_stem("file_name"))
         return df.withColumns({"source": F.col("path"), "origin": stem, "fallback_id": stem})
     if kind == "envelope":
         tag = F.col("delivery_tag").cast("string")
-        parts = [F.lit(QUEUE_PREFIX)] + ([F.lit(stream_id)] if stream_id else []) + [tag]
+        session = [F.col("session").cast("string")] if "session" in df.columns else []
+        parts = [F.lit(QUEUE_PREFIX)] + ([F.lit(stream_id)] if stream_id else []) + session + [tag]
         return df.withColumns(
             {
                 "source": F.concat(F.lit(f"{QUEUE_PREFIX}:"), F.col("queue"), F.lit(":"), tag),

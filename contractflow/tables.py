@@ -20,15 +20,18 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(target, True)
 
 
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of what a folder holds; none if there is no such folder."""
+    fs, target = _path(spark, path)
+    return [status.getPath().getName() for status in fs.listStatus(target)] if fs.exists(target) else []
+
+
 def read_version(spark: SparkSession, path: str, schema: str, before: int | None = None) -> DataFrame | None:
     """The newest complete version (older than ``before``), or None.
 
     The folder is listed once, and only versions newer than the one found are looked into.
     """
-    fs, target = _path(spark, path)
-    if not fs.exists(target):
-        return None
-    names = [status.getPath().getName() for status in fs.listStatus(target)]
+    names = names_in(spark, path)
     written = sorted((int(n.removeprefix("version=")) for n in names if n.startswith("version=")), reverse=True)
     for version in written:
         if (before is None or version < before) and exists(spark, f"{path}/version={version}/_SUCCESS"):

@@ -12,7 +12,7 @@ START = datetime(2026, 1, 1)
 
 EVENT_SCHEMA = (
     "source string, origin string, fallback_id string, payload string, "
-    "ord struct<batch:bigint,seq:bigint,tie:string>, received_at timestamp"
+    "ord struct<batch:bigint,session:bigint,seq:bigint,tie:string>, received_at timestamp"
 )
 
 
@@ -28,15 +28,15 @@ def scalar(value):
     return repr(value) if isinstance(value, float) else None
 
 
-def extract(obj, aliases):
+def extract(obj, aliases, required=REQUIRED):
     values, via = {}, {}
-    for f in FIELDS:
+    for f in aliases:
         for key in aliases[f]:
             text = scalar(obj[key]) if isinstance(obj, dict) and key in obj else None
             if text is not None:
                 values[f], via[f] = text, key
                 break
-    return values, via, [f for f in REQUIRED if f not in values]
+    return values, via, [f for f in required if f not in values]
 
 
 def match(field, obj, used=()):
@@ -52,16 +52,17 @@ def match(field, obj, used=()):
 
 
 class Engine:
-    def __init__(self, policy=True):
-        self.aliases = {f: [f] for f in FIELDS}
+    def __init__(self, policy=True, fields=FIELDS, required=REQUIRED, protected=("userId",)):
+        self.aliases = {f: [f] for f in fields}
+        self.required, self.protected = required, protected
         self.policy = policy
         self.learned = []
 
     def allowed(self, origin, field):
-        return not self.policy or field != "userId" or origin in ("partner-feed", "internal-batch")
+        return not self.policy or field not in self.protected or origin in ("partner-feed", "internal-batch")
 
     def process(self, seq, origin, obj):
-        values, via, before = extract(obj, self.aliases)
+        values, via, before = extract(obj, self.aliases, self.required)
         repairs, used = [], set(via.values())
         for f in before:
             outcome, key, keys = match(f, obj, used)
@@ -75,14 +76,14 @@ class Engine:
                         self.aliases[f].append(key)
                         self.learned.append((f, key, seq))
             repairs.append((f, outcome, key, keys))
-        values, via, after = extract(obj, self.aliases)
+        values, via, after = extract(obj, self.aliases, self.required)
         return values, via, before, repairs, after
 
 
 def frame(spark, rows):
     """Events from (origin, payload text) rows, numbered in order."""
     data = [
-        (f"s{i}", origin, f"fallback-{i}", payload, (0, i, ""), START + timedelta(seconds=i))
+        (f"s{i}", origin, f"fallback-{i}", payload, (0, 0, i, ""), START + timedelta(seconds=i))
         for i, (origin, payload) in enumerate(rows)
     ]
     return spark.createDataFrame(data, EVENT_SCHEMA)

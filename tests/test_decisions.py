@@ -7,7 +7,7 @@ T0 = datetime(2026, 1, 1)
 
 
 def log(spark, levels):
-    rows = [((0, i, ""), 0, T0 + timedelta(seconds=i), level, "stage", f"m{i}", {"source": "s"}) for i, level in enumerate(levels)]
+    rows = [((0, 0, i, ""), 0, T0 + timedelta(seconds=i), level, "stage", f"m{i}", {"source": "s"}) for i, level in enumerate(levels)]
     return spark.createDataFrame(rows, decisions.DECISION_SCHEMA)
 
 

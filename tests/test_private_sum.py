@@ -70,24 +70,18 @@ def test_which_events_carry_a_metric(spark):
     assert all(r["event_id"].startswith("fallback-") for r in rows)
 
 
-def test_last_write_wins_and_compaction(spark, tmp_path):
-    schema = metrics.METRIC_SCHEMA
+def test_last_write_wins(spark, tmp_path):
     now = datetime(2026, 1, 1)
 
     def batch(rows):
-        return spark.createDataFrame([(e, u, bytearray([v]), now, (0, o, "")) for e, u, v, o in rows], schema)
+        return spark.createDataFrame([(e, u, bytearray([v]), now, (0, 0, o, "")) for e, u, v, o in rows], metrics.METRIC_SCHEMA)
 
     path = str(tmp_path / "metrics")
     metrics.upsert_metrics(batch([("a", "u", 1, 1), ("b", "u", 2, 2), ("a", "u", 3, 3)]), path, 0)
     metrics.upsert_metrics(batch([("b", "v", 4, 4)]), path, 1)
     metrics.upsert_metrics(batch([("b", "v", 5, 5)]), path, 1)
-
-    def current(p):
-        return sorted((r["event_id"], r["user_id"], r["ciphertext"][0]) for r in metrics.read_metrics(spark, p).collect())
-
-    assert current(path) == [("a", "u", 3), ("b", "v", 5)]
-    metrics.compact_metrics(spark, path, str(tmp_path / "compact"))
-    assert current(str(tmp_path / "compact")) == current(path)
+    got = sorted((r["event_id"], r["user_id"], r["ciphertext"][0]) for r in metrics.read_metrics(spark, path).collect())
+    assert got == [("a", "u", 3), ("b", "v", 5)]
 
 
 def test_disabled_encryption(spark):

@@ -23,7 +23,7 @@ def test_events_that_share_a_position_keep_their_own_values(spark):
         "body binary, app_id string, queue string, delivery_tag bigint",
     )
     events = parse_events(from_envelope(sent), CONTRACT)
-    learned = spark.createDataFrame([("userId", "user_id", (0, 0, ""))], f"canonical string, raw_key string, learned_pos {ORD_TYPE}")
+    learned = spark.createDataFrame([("userId", "user_id", (0, 0, 0, ""))], f"canonical string, raw_key string, learned_pos {ORD_TYPE}")
     found = []
     for aliases in (as_aliases(learned, CONTRACT), as_aliases(learned, CONTRACT, limit=0)):
         rows = extract_canonical(events, aliases, CONTRACT).collect()
@@ -55,7 +55,7 @@ def test_newest_complete_version_is_read(spark, tmp_path):
     path = str(tmp_path / "registry")
     assert read_version(spark, path, REGISTRY_SCHEMA) is None
     for version, key in ((3, "user_id"), (12, "userID")):
-        write_version(alias_rows(spark, [("userId", key, (0, version, ""), None, None)]), path, version)
+        write_version(alias_rows(spark, [("userId", key, (0, 0, version, ""), None, None)]), path, version)
     (tmp_path / "registry" / "version=40").mkdir()
     assert read_version(spark, path, REGISTRY_SCHEMA).first()["raw_key"] == "userID"
     assert read_version(spark, path, REGISTRY_SCHEMA, before=12).first()["raw_key"] == "user_id"
@@ -68,7 +68,7 @@ def test_one_users_metrics_follow_the_last_write(spark, tmp_path):
     path = str(tmp_path / "metrics")
     writes = [[("e1", "ann", 1), ("e2", "ann", 2), ("e3", "bob", 3)], [("e1", "bob", 4), ("e3", "ann", 5)]]
     for batch, rows in enumerate(writes):
-        table = spark.createDataFrame([(e, u, bytearray([c]), None, (batch, c, "")) for e, u, c in rows], METRIC_SCHEMA)
+        table = spark.createDataFrame([(e, u, bytearray([c]), None, (batch, 0, c, "")) for e, u, c in rows], METRIC_SCHEMA)
         upsert_metrics(table, path, batch)
     got = read_user_metrics(spark, path, "ann").collect()
     assert sorted((r["event_id"], bytes(r["ciphertext"])) for r in got) == [("e2", b"\x02"), ("e3", b"\x05")]
