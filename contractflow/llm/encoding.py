@@ -11,19 +11,36 @@ from __future__ import annotations
 import os
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 # Units kept per worker process, and the longest unit worth keeping.
-MAX_UNITS = 500_000
+MAX_UNITS = 250_000
 LONGEST_UNIT = 64
 # Bytes of text that one step works on.
 STEP_BYTES = 1 << 20
 
 _loaded: dict[str, object] = {}
+_held: dict[tuple, object] = {}
+
+
+def held(key: tuple, make: Callable[[], object]):
+    """What a worker keeps from task to task; one thing at a time, as workers outlive the stages of a pipeline.
+
+    A function of the module: what is sent with a task has its own copy of the variables that it names.
+    """
+    if key not in _held:
+        release()
+        _held[key] = make()
+    return _held[key]
+
+
+def release() -> None:
+    """Forget what earlier tasks have left, before a stage that keeps nothing but needs the memory."""
+    _held.clear()
 
 
 def load(path: str):

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contractflow.llm.common import text_of
-from contractflow.llm.encoding import SpacedCounts, load, slices
+from contractflow.llm.encoding import SpacedCounts, held, load, slices
 from contractflow.storage import cut_lineage, ship_package
 
 LIMIT = 65_536
@@ -34,21 +34,11 @@ WIDEN = 16
 MARGIN = 32
 MAX_TOKENS = 1024
 
-_counters: dict[str, SpacedCounts] = {}
-
-
-def counter_for(path: str) -> SpacedCounts:
-    """The counter of a worker; a function of the module, as what is sent with a task has its own copy of the cache."""
-    if path not in _counters:
-        _counters[path] = SpacedCounts(path)
-    return _counters[path]
-
-
 def whole_counts(docs: DataFrame, path: str) -> DataFrame:
     """row, doc_id, n_bytes, n_tokens for documents that one task encodes as a whole."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = counter_for(path)
+        counter = held(("spaced counts", path), lambda: SpacedCounts(path))
         for batch in batches:
             for start, end in slices(batch.column("text")):
                 part = batch.slice(start, end - start)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contractflow.llm.common import crc32_of_id, text_of
-from contractflow.llm.encoding import slices
+from contractflow.llm.encoding import held, slices
 from contractflow.storage import ship_package
 
 SAMPLE_DOCS = 40
@@ -207,17 +207,6 @@ def training_sample(docs: DataFrame, learn) -> dict[str, list[str]]:
     return out
 
 
-_parsers: dict[str, Parser] = {}
-
-
-def parser_for(model: str, training: dict[str, list[str]]) -> Parser:
-    """The parser of a worker; a function of the module, as what is sent with a task has its own copy of the cache."""
-    if model not in _parsers:
-        _parsers.clear()
-        _parsers[model] = Parser(training)
-    return _parsers[model]
-
-
 def identify(docs: DataFrame, learn, keep: list[str], names: tuple[str, ...] = ("lang_pred", "score")) -> DataFrame:
     """The columns ``keep`` of the documents with language and score; ``learn`` selects training rows.
 
@@ -233,7 +222,7 @@ def identify(docs: DataFrame, learn, keep: list[str], names: tuple[str, ...] = (
         schema = schema.add(names[2], "boolean")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parser = parser_for(model, training) if training else None
+        parser = held(("languages", model), lambda: Parser(training)) if training else None
         for batch in batches:
             for first, end in slices(batch.column("__text"), 4 << 20):
                 part = batch.slice(first, end - first)

@@ -21,22 +21,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contractflow.llm.common import number_within, text_of
-from contractflow.llm.encoding import LONGEST_UNIT, WORD_CUT, Units, packed, slices
+from contractflow.llm.encoding import LONGEST_UNIT, WORD_CUT, Units, held, packed, slices
 from contractflow.storage import cut_lineage, ship_package
 
 LENGTH = 2048
 END_ID = 1
 
-_units: dict[str, Units] = {}
-
-
-def units_for(path: str) -> Units:
-    """The units that a worker knows; a function of the module, as what is sent with a task has its own copy of the cache."""
-    if path not in _units:
-        _units[path] = Units(path, packed, b"".join, "", WORD_CUT, str.lower)
-    return _units[path]
-
-
 def binary_lengths(n: int, longest: int) -> list[int]:
     """Full sequences, then the powers of two of the rest, longest first."""
     rest = n % longest
@@ -53,7 +43,7 @@ def split_documents(docs: DataFrame, path: str, longest: int, end_id: int, with_
     names = {"int64": "long", "binary": "binary"}
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = units_for(path)
+        units = held(("packed units", path), lambda: Units(path, packed, b"".join, "", WORD_CUT, str.lower))
         end = packed([end_id])
         for batch in batches:
             for first, stop in slices(batch.column("text")):

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from contractflow.llm.common import KEY, look_up, text_of, with_key
 from contractflow.llm.components import components
-from contractflow.llm.encoding import slices
+from contractflow.llm.encoding import release, slices
 from contractflow.storage import cut_lineage, ship_package
 
 N = 5
@@ -107,6 +107,7 @@ def signatures(docs: DataFrame, bands: int, rows: int, n: int = N) -> DataFrame:
     )
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         rng = np.random.default_rng(20)
         factors = rng.integers(1, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         offsets = rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64)

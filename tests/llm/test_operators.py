@@ -1,10 +1,12 @@
 """Small tests of the operators: brute force, round trips, and the cases every operator has to stand."""
 
 import hashlib
+import os
 import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -22,6 +24,8 @@ from contractflow.llm import (
     op09_quality as op9,
     op10_kd_sharding as op10,
 )
+from contractflow.llm.encoding import held
+from contractflow.storage import ship_package
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, kept string, row long, label int, start int"
 BASE = " ".join(f"w{i}" for i in range(60))
@@ -438,3 +442,18 @@ def test_learnt_formats_from_the_base_of_all_texts(spark):
     found = op3.scan(docs, op3.learn_grammar(docs)).collect()
     assert sum(r["n_added"] for r in found if r["doc_id"] == 1) >= 17
     assert sum(r["n_added"] for r in found if r["doc_id"] != 1) == 0
+
+
+def test_what_a_worker_holds_outlives_a_task(spark):
+    """Many tasks of few workers: every worker makes the thing once, and makes it again only after something else."""
+
+    def look(batches):
+        for batch in batches:
+            thing = held(("test", "thing"), lambda: object())
+            yield pa.RecordBatch.from_arrays([pa.array([os.getpid()]), pa.array([id(thing)])], ["worker", "thing"])
+
+    ship_package(spark)
+    rows = spark.range(0, 32, 1, 32).mapInArrow(look, "worker long, thing long").collect()
+    assert len({r["worker"] for r in rows}) == len({(r["worker"], r["thing"]) for r in rows}) < len(rows)
+    first = held(("a",), list)
+    assert held(("a",), list) is first and held(("b",), list) is not first and held(("a",), list) is not first
