@@ -4,10 +4,13 @@ score = sigmoid(w0 + sum w_i x_i + sum over pairs <v_i, v_j> x_i x_j); the pairs
 single features, as they are half of the sum over factors of (sum v_if x_i)^2 - sum v_if^2 x_i^2.
 
 Features are log counts of words hashed into BUCKETS buckets, scaled to unit length, and statistics of
-the whole text: length and shares of characters, words and lines.  Labels, language, source and id are
-never features.  The model is fitted on a bounded sample: the SAMPLE_ROWS labelled rows with the least
-hash.  It has a fixed size and travels with the job.  Every text is scored to its end, empty and null
-ones too.  Without any label every score is 0.5; an empty table gives an empty result.
+the whole text: length and shares of characters, words and lines.  Metadata is ``n_chars``, the length that the table
+states, and how far it is from the text's; null or missing counts as not stated.  Labels, language, source and id are
+never features.  The model is fitted on a bounded sample: of the labelled ids that the table holds, the SAMPLE_ROWS
+with the least hash.  An id with several labels counts with the least, one with several texts with that of least
+hash, so the model does not change from run to run.  It has a fixed size and travels with the job.  Every text is
+scored to its end, empty and null ones too; repeated rows get equal scores.  Without any label every score is 0.5; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contractflow.llm.common import crc32_of_id, text_of
@@ -34,6 +37,7 @@ MAX_WORDS = 500_000
 STATISTICS = (
     "log_bytes", "log_words", "upper", "digit", "punctuation", "space", "non_ascii", "word_length",
     "distinct_words", "commonest_word", "repeated_lines", "words_per_line", "symbol_words", "longest_word",
+    "stated_chars", "stated_wrongly",
 )
 
 PUNCTUATION = np.array([33 <= b < 127 and not chr(b).isalnum() for b in range(256)])
@@ -51,8 +55,8 @@ class Buckets(dict):
         return found
 
 
-def features(text: str, buckets: Buckets) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets that occur, their values, and the statistics of a text."""
+def features(text: str, buckets: Buckets, n_chars: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets that occur, their values, and the statistics of a text and of its metadata."""
     raw = text.encode("utf-8", "replace")
     words = raw.split()
     counts = np.bincount(np.fromiter(map(buckets.__getitem__, words), dtype=np.int64, count=len(words)), minlength=1)
@@ -79,6 +83,8 @@ def features(text: str, buckets: Buckets) -> tuple[np.ndarray, np.ndarray, np.nd
         np.log1p(w / max(1, len(lines))),
         symbol_words / w,
         np.log1p(max(map(len, tally), default=0)),
+        np.log1p(max(0, n_chars or 0)),
+        0.0 if n_chars is None else min(1.0, abs(n_chars - len(text)) / max(1, len(text))),
     ]
     return index, value, np.array(statistics)
 
@@ -134,6 +140,10 @@ def fit(rows: list, seed: int = 7) -> Machine | None:
     return Machine(float(p["w0"][0]), p["w"].astype(float), p["v"].astype(float), mean, scale)
 
 
+def stated_chars(docs: DataFrame) -> Column:
+    return (F.col("n_chars") if "n_chars" in docs.columns else F.lit(None)).cast("long").alias("n_chars")
+
+
 def labelled_features(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Features of the labelled documents as bytes; ``labels`` (doc_id, label) is a bounded sample."""
 
@@ -142,12 +152,14 @@ def labelled_features(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for batch in batches:
             for first, end in slices(batch.column("text")):
                 part = batch.slice(first, end - first)
-                found = [features(t, buckets) for t in part.column("text").to_pylist()]
+                found = [features(t, buckets, c) for t, c in zip(part.column("text").to_pylist(), part.column("n_chars").to_pylist())]
                 columns = [pa.array([f[k].tobytes() for f in found], pa.binary()) for k in range(3)]
                 yield pa.RecordBatch.from_arrays([*columns, part.column("label")], ["index", "value", "statistics", "label"])
 
-    rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(labels), "doc_id").select("text", "label")
-    return rows.mapInArrow(extract, "index binary, value binary, statistics binary, label int")
+    rows = docs.select("doc_id", text_of().alias("text"), stated_chars(docs)).join(F.broadcast(labels), "doc_id")
+    # one text per id
+    least = rows.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), "text", "n_chars", "label")).alias("r"))
+    return least.select("r.text", "r.n_chars", "r.label").mapInArrow(extract, "index binary, value binary, statistics binary, label int")
 
 
 def train(docs: DataFrame, labels: DataFrame, column: str = "quality", rows: int = SAMPLE_ROWS) -> Machine | None:
@@ -155,30 +167,32 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "quality", rows: int
     ship_package(docs.sparkSession)
     sample = (
         labels.where(f"{column} is not null and doc_id is not null")
-        .select(F.col("doc_id"), F.col(column).cast("int").alias("label"))
-        .dropDuplicates(["doc_id"])
+        .groupBy("doc_id")
+        .agg(F.min(F.col(column).cast("int")).alias("label"))
+        .join(docs.select("doc_id"), "doc_id", "left_semi")
         .orderBy(F.xxhash64("doc_id", F.lit("quality")), "doc_id")
         .limit(rows)
     )
-    # repeated ids of documents may bring more rows than labels
-    return fit(labelled_features(docs, sample).limit(2 * rows).collect())
+    found = labelled_features(docs, sample).collect()
+    # the order of rows is part of the fit
+    return fit(sorted(found, key=lambda r: (r["statistics"], r["index"], r["value"], r["label"])))
 
 
 def quality_scores(docs: DataFrame, model: Machine | None, keep: list[str]) -> DataFrame:
     """The columns ``keep`` of the documents, and the score."""
     ship_package(docs.sparkSession)
-    read = docs.select(*keep, text_of().alias("__text"))
+    read = docs.select(*keep, text_of().alias("__text"), stated_chars(docs).alias("__chars"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets = Buckets()
         for batch in batches:
             for first, end in slices(batch.column("__text")):
                 part = batch.slice(first, end - first)
-                texts = part.column("__text").to_pylist()
-                scores = [model.score(*features(t, buckets)) if model else 0.5 for t in texts]
+                rows = zip(part.column("__text").to_pylist(), part.column("__chars").to_pylist())
+                scores = [model.score(*features(t, buckets, c)) if model else 0.5 for t, c in rows]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), pa.array(scores, pa.float64())], [*keep, "score"])
 
-    return read.mapInArrow(score, read.drop("__text").schema.add("score", "double"))
+    return read.mapInArrow(score, read.drop("__text", "__chars").schema.add("score", "double"))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
