@@ -11,7 +11,8 @@ from contractflow.llm.op05_exact_dedup import keep_distinct
 from contractflow.llm.op06_decontamination import drop_contaminated
 from contractflow.llm.op07_packing import pack
 from contractflow.llm.op08_ngram_join import keep_one_of_each
-from contractflow.storage import cut_lineage
+from contractflow.storage import cut_lineage, temporary_tables
+from contractflow.tables import delete
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,9 +55,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for position, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if position < len(STAGES) - 1:
-            docs = cut_lineage(docs)
-    return docs
+    """Every stage reads what the one before has written; a stage's own tables go when it is done, its result one stage later."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for _, stage in STAGES[:-1]:
+        with temporary_tables(spark) as written:
+            docs = cut_lineage(stage(spark, docs, sf_dir))
+            own = written.pop()
+        if last:
+            delete(spark, last)
+        last = own
+    return STAGES[-1][1](spark, docs, sf_dir)
