@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contractflow.contract import Contract
 from contractflow.functions.text import lit, string_array
-from contractflow.operators.bounded import lookup_join
+from contractflow.operators.bounded import is_small, lookup_join
 from contractflow.operators.fence import fenced
 from contractflow.operators.registry import Alias, Aliases, position_sql
 from contractflow.sources.identity import ORD_TYPE
+from contractflow.storage import ship_package
 
-HIT_TYPE = f"struct<pos:{ORD_TYPE},key:string,text:string>"
+POSITION = pa.struct([("batch", pa.int64()), ("session", pa.int64()), ("seq", pa.int64()), ("tie", pa.string())])
 
 
 def slot(field: str, part: str) -> str:
@@ -36,28 +38,51 @@ def entry_rows(contract: Contract, condition: str = "true") -> str:
     return f"flatten(array({', '.join(per_field)}))"
 
 
-def with_hits(events: DataFrame, aliases: Aliases, contract: Contract, timeless: bool = False) -> DataFrame:
-    """Add ``hits.<field>.before`` and ``.after``: the alias that resolves a field whose canonical
-    key is no plain scalar, as known just before the event and right after its own lesson.
+def with_places(events: DataFrame, registry: DataFrame, contract: Contract, scalars_only: bool = True) -> DataFrame:
+    """Add ``__at_<field>``: the field's ``others`` as array<struct<pos, key, text>> with the position each key was learned at.
 
-    With ``timeless`` every alias counts for every event and ``ord`` is not needed.
+    The registry, checked to be small, goes to every worker as one lookup table; only the keys of events that lack a
+    canonical one are looked up there, and events do not move.  The position is null for unknown keys and, unless
+    ``scalars_only`` is off, for values that are no scalars.
     """
-    if isinstance(aliases, list):
-        return _hits_inline(events, aliases, contract, timeless)
-    return _hits_joined(events, aliases, contract, timeless)
+    ship_package(events.sparkSession)
+    table: dict[str, dict[str, dict]] = {n: {} for n in contract.names}
+    for r in registry.select("canonical", "raw_key", "learned_pos").collect():
+        table.setdefault(r["canonical"], {})[r["raw_key"]] = r["learned_pos"].asDict()
+    sent = events.sparkSession.sparkContext.broadcast(table)
 
+    def found(field: str) -> Column:
+        @F.arrow_udf(f"array<{ORD_TYPE}>")
+        def look_up(keys: pa.Array) -> pa.Array:
+            known = sent.value[field]
+            return pa.array([None if k is None else [known.get(x) for x in k] for k in keys.to_pylist()], pa.list_(POSITION))
+
+        others = F.col(slot(field, "others"))
+        return look_up(F.when(F.size(others) > 0, F.transform(others, lambda o: o["key"])))
+
+    columns = events.columns
+    looked_up = events.withColumns({f"__pos_{n}": found(n) for n in contract.names})
+    placed = []
+    for n in contract.names:
+        pos = f"get(`__pos_{n}`, i)"
+        pos = f"if(o.scalar, {pos}, null)" if scalars_only else pos
+        placed.append(f"transform({slot(n, 'others')}, (o, i) -> named_struct('pos', {pos}, 'key', o.key, 'text', o.text)) as `__at_{n}`")
+    return looked_up.selectExpr(*[f"`{c}`" for c in columns], *placed)
 
-def _moments(timeless: bool, pos: str) -> dict[str, str]:
-    if timeless:
-        return {"before": f"{pos} is not null", "after": f"{pos} is not null"}
-    return {"before": f"{pos} < ord", "after": f"{pos} <= ord"}
 
+def with_hits(events: DataFrame, aliases: Aliases, contract: Contract, timeless: bool = False) -> DataFrame:
+    """Add ``hits.<field>.before`` and ``.after``: the alias that resolves a field whose canonical
+    key is no plain scalar, as known just before the event and right after its own lesson.
 
-def _hits_inline(events: DataFrame, aliases: list[Alias], contract: Contract, timeless: bool) -> DataFrame:
-    def placed(field: str) -> str:
-        others, known = slot(field, "others"), positions(aliases, field)
-        entry = f"named_struct('pos', if(o.scalar, try_element_at({known}, o.key), null), 'key', o.key, 'text', o.text)"
-        return f"if(size({others}) > 0, transform({others}, o -> {entry}), null) as `__at_{field}`"
+    With ``timeless`` every alias counts for every event and ``ord`` is not needed.  Events do not move for this unless
+    the registry is too large to be sent to every task.
+    """
+    if isinstance(aliases, list):
+        placed = events.selectExpr("*", *[_placed_inline(n, aliases) for n in contract.names])
+    elif is_small(aliases):
+        placed = with_places(events, aliases, contract)
+    else:
+        return _hits_joined(events, aliases, contract, timeless)
 
     def hit(field: str) -> str:
         parts = [
@@ -66,14 +91,24 @@ def _hits_inline(events: DataFrame, aliases: list[Alias], contract: Contract, ti
         ]
         return f"{lit(field)}, named_struct({', '.join(parts)})"
 
-    columns = events.columns
-    ready = events.selectExpr("*", *[placed(n) for n in contract.names])
     hits = f"named_struct({', '.join(hit(n) for n in contract.names)})"
-    return fenced(ready, {"hits": hits}).select(*columns, "hits")
+    return fenced(placed, {"hits": hits}).select(*events.columns, "hits")
+
+
+def _moments(timeless: bool, pos: str) -> dict[str, str]:
+    if timeless:
+        return {"before": f"{pos} is not null", "after": f"{pos} is not null"}
+    return {"before": f"{pos} < ord", "after": f"{pos} <= ord"}
+
+
+def _placed_inline(field: str, aliases: list[Alias]) -> str:
+    others, known = slot(field, "others"), positions(aliases, field)
+    entry = f"named_struct('pos', if(o.scalar, try_element_at({known}, o.key), null), 'key', o.key, 'text', o.text)"
+    return f"if(size({others}) > 0, transform({others}, o -> {entry}), null) as `__at_{field}`"
 
 
 def _hits_joined(events: DataFrame, registry: DataFrame, contract: Contract, timeless: bool) -> DataFrame:
-    """The same through a join, for registries too large to inline.
+    """The same through a join, for registries too large to be sent to every task.
 
     Positions repeat when a broker reconnects, so an event is found again by its position and what it
     holds.  Events that agree in both have the same hits.

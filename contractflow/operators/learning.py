@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,11 +24,14 @@ from contractflow.operators.extract import slot
 from contractflow.operators.policy import Policy, may_teach, with_trust
 from contractflow.operators.registry import Alias, Aliases, alias_rows, as_aliases, position_key
 from contractflow.operators.shared_forms import learn_shared
-from contractflow.storage import cut_lineage
+from contractflow.sources.identity import ORD_TYPE
+from contractflow.storage import cut_lineage, ship_package
 
-# Up to this many distinct key sets are replayed on the driver, more are resolved by joins.
+# Up to this many distinct key sets are replayed on the driver, more in tasks.
 REPLAY_LIMIT = 20_000
 REPLAY_BYTES = 16 * 1024 * 1024
+# Key sets that one task replays together.
+COMPONENT_LIMIT = 100_000
 
 
 def lessons(events: DataFrame, aliases: Aliases, policy: Policy | None, contract: Contract) -> DataFrame:
@@ -90,6 +94,63 @@ def replay(rows: list[tuple[str, list[str], tuple, datetime | None]]) -> list[Al
     return learned
 
 
+def with_component(first: DataFrame) -> DataFrame:
+    """``first`` with ``component``: key sets that share keys, directly or through others, have the same; stored.
+
+    In every round a set takes the least label among the sets that share a key with it, and then the label of
+    the set with that label, so the number of rounds is about the logarithm of the longest chain.
+    """
+    sets = cut_lineage(first.withColumn("set", F.monotonically_increasing_id()))
+    member = cut_lineage(sets.select("canonical", "set", F.explode("keys").alias("raw_key")))
+    labels = cut_lineage(sets.select("set", F.col("set").alias("label")))
+    while True:
+        seen = member.join(labels, "set")
+        least = seen.groupBy("canonical", "raw_key").agg(F.min("label").alias("near"))
+        near = member.join(least, ["canonical", "raw_key"]).groupBy("set").agg(F.min("near").alias("near"))
+        beyond = labels.select(F.col("set").alias("near"), F.col("label").alias("beyond"))
+        moved = cut_lineage(near.join(beyond, "near").join(labels, "set").select("set", F.least("near", "beyond").alias("label"), F.col("label").alias("old")))
+        if moved.where("label < old").isEmpty():
+            return cut_lineage(sets.join(moved.select("set", F.col("label").alias("component")), "set").drop("set"))
+        labels = moved.select("set", "label")
+
+
+def resolve_by_components(first: DataFrame, limit: int = COMPONENT_LIMIT) -> DataFrame:
+    """:func:`replay` for any number of key sets: ``canonical, raw_key, learned_pos, learned_at``.
+
+    Sets of different components have nothing to do with each other, so every component is replayed by itself, in the
+    task that holds it.  A component of more than ``limit`` sets is resolved by joins.
+    """
+    ship_package(first.sparkSession)
+    placed = with_component(first)
+    sizes = placed.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    large = cut_lineage(sizes.where(F.col("n") > limit).select("component"))
+    schema = f"canonical string, raw_key string, learned_pos {ORD_TYPE}, learned_at timestamp"
+    position = pa.struct([("batch", pa.int64()), ("session", pa.int64()), ("seq", pa.int64()), ("tie", pa.string())])
+    types = pa.schema(
+        [("canonical", pa.string()), ("raw_key", pa.string()), ("learned_pos", position), ("learned_at", pa.timestamp("us", "UTC"))]
+    )
+
+    def replayed(table: pa.Table) -> pa.Table:
+        rows = [(r["canonical"], r["keys"], tuple(r["ord"].values()), r["at"]) for r in table.to_pylist()]
+        learned = [
+            {
+                "canonical": a.canonical,
+                "raw_key": a.raw_key,
+                "learned_pos": {f.name: v for f, v in zip(position, a.pos)},
+                "learned_at": a.at,
+            }
+            for a in replay(rows)
+        ]
+        return pa.Table.from_pylist(learned, schema=types)
+
+    small = lookup_join(placed, large.withColumn("large", F.lit(True)), ["component"]).where("large is null")
+    found = small.select("component", *first.columns).groupBy("component").applyInArrow(replayed, schema)
+    if large.isEmpty():
+        return found
+    rest = placed.join(large, "component", "left_semi").select(*first.columns)
+    return found.unionByName(resolve_by_joins(rest))
+
+
 def resolve_by_joins(first: DataFrame) -> DataFrame:
     """The same for any number of key sets: ``canonical, raw_key, learned_pos, learned_at``.
 
@@ -138,7 +199,7 @@ def learn_aliases(
         first = cut_lineage(lessons(events, known, policy, contract))
         rows = small_rows(first, replay_limit, REPLAY_BYTES)
         if rows is None:
-            learned = resolve_by_joins(first)
+            learned = resolve_by_components(first)
         else:
             learned = replay([(r["canonical"], r["keys"], tuple(r["ord"]), r["at"]) for r in rows])
     together = learn_shared(events, known, policy, contract, replay_limit, REPLAY_BYTES) if contract.shared_forms else []

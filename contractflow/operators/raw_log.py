@@ -2,8 +2,10 @@
 
 A batch is written once, under ``batch_id=<n>``; well-formed and quarantined events are kept
 apart by the partition column ``malformed``.  Ids are consecutive numbers in arrival order, yet
-need no global sort in one task: the batch is range-partitioned by arrival, a small table records
-how many rows each written file has, and an id is the file's first id plus the row's index in it.
+need no global sort in one task: every written file holds a range of the arrival order, a small table records
+how many rows each file has, and an id is the file's first id plus the row's index in it.  Input whose
+partitions are ranges already, as files written one after the other and queues read in pieces are, is written
+where it is; other input is range-partitioned first.
 """
 
 from __future__ import annotations
@@ -29,6 +31,16 @@ def raw_schema(contract: Contract) -> str:
     )
 
 
+def in_ranges(events: DataFrame) -> bool:
+    """Whether every partition of the input holds a range of the arrival order of its own.
+
+    One narrow pass, which the sampling for a range partitioning would need as well; one row per partition is compared.
+    """
+    ranges = events.groupBy(F.spark_partition_id().alias("part")).agg(F.min("ord").alias("low"), F.max("ord").alias("high"))
+    following = ranges.withColumn("next", F.lead("low").over(Window.orderBy("low", "high")))
+    return following.where("next <= high").isEmpty()
+
+
 def append_raw(
     events: DataFrame,
     root: str,
@@ -39,21 +51,22 @@ def append_raw(
 ) -> None:
     """Parse and write one batch; running the batch again replaces what it wrote.
 
-    Without ``arrival_order`` the write needs no shuffle, and ids follow the input's file order.  ``observed``
+    Without ``arrival_order`` the write never needs a shuffle, and ids follow the input's file order.  ``observed``
     may watch the rows, ``malformed`` among their columns, as they are written.
     """
     spark = events.sparkSession
-    placed = events.repartitionByRange(F.col("ord")) if arrival_order else events
+    placed = events.repartitionByRange(F.col("ord")) if arrival_order and not in_ranges(events) else events
     rows = parse_events(placed, contract, keep_malformed=True)
     if arrival_order:
         # partition column first: the writer then keeps this order instead of sorting again
         rows = rows.sortWithinPartitions("malformed", "ord")
     observed(rows).write.mode("overwrite").partitionBy("malformed").parquet(f"{root}/raw_events/batch_id={batch_id}")
 
-    stored = batch_rows(spark, root, batch_id, contract).select(F.col("_metadata.file_name").alias("file_name"))
-    counts = stored.groupBy("file_name").agg(F.count("*").alias("rows"))
-    # one row per written file of this batch, ordered by the task that wrote it
-    order = Window.orderBy(F.regexp_extract("file_name", r"^part-(\d+)", 1).cast("int"), "file_name")
+    stored = batch_rows(spark, root, batch_id, contract).select("ord", F.col("_metadata.file_name").alias("file_name"))
+    counts = stored.groupBy("file_name").agg(F.count("*").alias("rows"), F.min("ord").alias("low"))
+    # one row per written file of this batch, ordered by arrival or else by the task that wrote it
+    task = F.regexp_extract("file_name", r"^part-(\d+)", 1).cast("int")
+    order = Window.orderBy("low", "file_name") if arrival_order else Window.orderBy(task, "file_name")
     base = last_id(spark, root, before=batch_id)
     files = counts.withColumn("first_id", F.sum("rows").over(order) - F.col("rows") + F.lit(base + 1))
     files.select("file_name", "rows", "first_id").coalesce(1).write.mode("overwrite").parquet(

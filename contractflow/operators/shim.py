@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from contractflow.contract import Contract, default_contract
 from contractflow.functions.json import json_string, rounded_bigint
 from contractflow.functions.text import is_safe_key, lit
-from contractflow.operators.bounded import lookup_join
-from contractflow.operators.extract import entry_rows, positions, slot
+from contractflow.operators.bounded import is_small, lookup_join
+from contractflow.operators.extract import entry_rows, positions, slot, with_places
 from contractflow.operators.fence import fenced
 from contractflow.operators.parse import parse_events
-from contractflow.operators.registry import Alias, Aliases
+from contractflow.operators.registry import Aliases
 
 VIEW_NAME = "streaming_events"
 VIEW_PREFIX = ("id", "source", "received_at")
@@ -47,6 +47,13 @@ def _first_value(field: str, view_type: str, known: str) -> str:
     return f"if(size({others}) > 0, array_min({usable}).value, null)"
 
 
+def _first_known(field: str, view_type: str) -> str:
+    """The same from entries that carry the position of their key."""
+    entry = f"named_struct('pos', a.pos, 'value', {_typed('a.text', view_type)})"
+    usable = f"filter(transform(`__at_{field}`, a -> {entry}), v -> v.pos is not null and v.value is not null)"
+    return f"array_min({usable}).value"
+
+
 def healed_view(
     raw: DataFrame,
     aliases: Aliases,
@@ -66,6 +73,9 @@ def healed_view(
     if isinstance(aliases, list):
         used = [a for a in aliases if not safe_keys_only or _safe(a.raw_key)]
         hits = {f.name: _first_value(f.name, f.view_type, positions(used, f.name)) for f in contract.fields}
+    elif is_small(aliases):
+        raw = with_places(raw, aliases.where(is_safe_key("raw_key")) if safe_keys_only else aliases, contract, False)
+        hits = {f.name: _first_known(f.name, f.view_type) for f in contract.fields}
     else:
         raw = _view_joined(raw, aliases, contract, safe_keys_only)
         hits = {f.name: f"__hit.`{f.name}`.value" for f in contract.fields}
@@ -80,7 +90,7 @@ def healed_view(
 
 
 def _view_joined(raw: DataFrame, registry: DataFrame, contract: Contract, safe_keys_only: bool) -> DataFrame:
-    """Hits through a join, for registries too large to inline.  ``id`` identifies the row."""
+    """Hits through a join, for registries too large to be sent to every task.  ``id`` identifies the row."""
     known = registry.selectExpr("canonical", "raw_key", "learned_pos as pos")
     if safe_keys_only:
         known = known.where(is_safe_key("raw_key"))
@@ -100,8 +110,3 @@ def _view_joined(raw: DataFrame, registry: DataFrame, contract: Contract, safe_k
 def lookup_event(view: DataFrame, event_id: str) -> DataFrame:
     """At most one row of the view with this event id."""
     return view.where(F.col("event_id") == event_id).limit(1)
-
-
-def register_view(raw: DataFrame, aliases: list[Alias], contract: Contract | None = None) -> DataFrame:
-    """(Re)define the SQL view ``streaming_events`` for the current aliases."""
-    return healed_view(raw, aliases, contract, name=VIEW_NAME)

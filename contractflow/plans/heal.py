@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from contractflow.contract import Contract
 from contractflow.functions.text import lit, string_array
+from contractflow.operators.bounded import INLINE_LIMIT
 from contractflow.operators.checks import VIOLATION_TYPE, conforms, values_in, violation_list
 from contractflow.operators.discover import UNIQUE, missing_matches
 from contractflow.operators.fence import fenced
@@ -16,6 +17,7 @@ from contractflow.operators.extract import any_missing, missing_fields, values_s
 from contractflow.operators.learning import REPLAY_LIMIT, learn_aliases
 from contractflow.operators.policy import Policy, may_teach, with_trust
 from contractflow.operators.registry import Aliases, alias_rows, as_aliases
+from contractflow.storage import cut_lineage
 
 
 REPAIR_TYPE = "array<struct<canonical:string,outcome:string,raw_key:string,candidates:array<string>>>"
@@ -66,11 +68,11 @@ def judge(events: DataFrame, aliases: Aliases, policy: Policy | None, contract:
 
 
 def _widen(aliases: Aliases, learned: Aliases, contract: Contract, events: DataFrame) -> Aliases:
-    if isinstance(aliases, list) and isinstance(learned, list):
+    if isinstance(aliases, list) and isinstance(learned, list) and len(aliases) + len(learned) <= INLINE_LIMIT:
         return as_aliases(aliases + learned, contract)
     spark = events.sparkSession
     tables = [alias_table(spark, a).select("canonical", "raw_key", "learned_pos") for a in (aliases, learned)]
-    return as_aliases(tables[0].unionByName(tables[1]), contract)
+    return as_aliases(cut_lineage(tables[0].unionByName(tables[1])), contract)
 
 
 def alias_table(spark, aliases: Aliases) -> DataFrame:

@@ -31,17 +31,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-# paths written inside the innermost temporary_tables block
-_open_tables: ContextVar[list[str]] = ContextVar("open_tables", default=[])
+# paths written inside the innermost temporary_tables block; none outside of any
+_open_tables: ContextVar[list[str] | None] = ContextVar("open_tables", default=None)
 
 
 @contextmanager
-def temporary_tables(spark: SparkSession) -> Iterator[None]:
-    """Tables written by :func:`cut_lineage` inside the block are deleted at its end."""
+def temporary_tables(spark: SparkSession) -> Iterator[list[str]]:
+    """Tables written by :func:`cut_lineage` inside the block are deleted at its end.
+
+    Yields their paths, the newest last; what is taken off the list stays.
+    """
     written: list[str] = []
     token = _open_tables.set(written)
     try:
-        yield
+        yield written
     finally:
         _open_tables.reset(token)
         for path in written:
@@ -57,7 +60,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _open_tables.get().append(path)
+    written = _open_tables.get()
+    if written is not None:
+        written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

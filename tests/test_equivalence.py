@@ -4,15 +4,17 @@ import json
 import random
 
 import pytest
-from sequential import Engine, frame, random_events
+from sequential import START, Engine, frame, random_events
 
 from contractflow.contract import default_contract
-from contractflow.operators import bounded
-from contractflow.operators.learning import lessons, resolve_by_joins
+from contractflow.operators import bounded, extract, learning
+from contractflow.operators.learning import lessons, replay, resolve_by_components, resolve_by_joins
 from contractflow.operators.parse import parse_events
 from contractflow.operators.policy import Policy, load_policy, save_policy
 from contractflow.operators.registry import REGISTRY_SCHEMA, _checked, as_aliases
+from contractflow.operators.shim import healed_view
 from contractflow.plans.heal import alias_table, heal, judge
+from contractflow.sources.identity import ORD_TYPE
 
 CONTRACT = default_contract()
 
@@ -86,10 +88,55 @@ def test_large_registry_and_large_policy_paths(spark, tmp_path, monkeypatch):
     save_policy(spark, str(tmp_path), ["userId"], ["partner-feed", "internal-batch"])
     policy = load_policy(spark, str(tmp_path), limit=0)
     assert not isinstance(policy.trusted, tuple)
-    monkeypatch.setattr(bounded, "is_small", lambda *args: False)
+    for module in (bounded, extract):
+        monkeypatch.setattr(module, "is_small", lambda *args: False)
     healed = heal(events, None, Policy(), CONTRACT)
     table = _checked(spark.createDataFrame(alias_table(spark, healed.learned).collect(), REGISTRY_SCHEMA), CONTRACT)
     same(judge(events, table, policy, CONTRACT), want)
     known = _checked(alias_table(spark, []), CONTRACT)
     again = lessons(events, known, policy, CONTRACT)
     assert learned_rows(spark, resolve_by_joins(again)) == sorted(engine.learned)
+
+
+@pytest.mark.parametrize("order", ["up", "down", "mixed"])
+def test_a_long_chain_in_few_rounds(spark, monkeypatch, order):
+    """Key sets that share a key each with the next: replayed in tasks, in a number of steps that hardly grows."""
+    rng, n = random.Random(1), 3000
+    place = list(range(n))
+    if order == "down":
+        place.reverse()
+    elif order == "mixed":
+        rng.shuffle(place)
+    rows = [("userId", [f"k{i}", f"k{i + 1}"], (0, 0, p, ""), START) for i, p in enumerate(place)]
+    # sets of another component, at positions that others have too
+    rows += [("trackId", [f"t{i}"], (0, 0, place[i], ""), START) for i in range(50)]
+    first = spark.createDataFrame(rows, f"canonical string, keys array<string>, ord {ORD_TYPE}, at timestamp")
+    tables, real = [], learning.cut_lineage
+    monkeypatch.setattr(learning, "cut_lineage", lambda df: tables.append(1) or real(df))
+    got = sorted((r["canonical"], r["raw_key"], r["learned_pos"]["seq"]) for r in resolve_by_components(first).collect())
+    assert got == sorted((a.canonical, a.raw_key, a.pos[2]) for a in replay(rows))
+    assert len(tables) < 60
+
+
+@pytest.mark.parametrize("seed, limit", [(21, 1000), (22, 1)])
+def test_learning_by_components(spark, seed, limit):
+    """With a limit of one set per component, all larger ones go the way of the joins."""
+    rows = random_events(random.Random(seed), 300)
+    engine, _ = expected(rows)
+    events = parse_events(frame(spark, texts(rows)), CONTRACT)
+    first = lessons(events, as_aliases(None, CONTRACT), Policy(), CONTRACT)
+    assert learned_rows(spark, resolve_by_components(first, limit)) == sorted(engine.learned)
+
+
+def test_registry_sent_to_every_task(spark):
+    """A registry too large to inline: hits, verdicts and the view as with one-by-one processing."""
+    rows = random_events(random.Random(33), 200)
+    engine, want = expected(rows)
+    events = parse_events(frame(spark, texts(rows)), CONTRACT)
+    learned = alias_table(spark, heal(events, None, Policy(), CONTRACT).learned)
+    table = _checked(spark.createDataFrame(learned.collect(), REGISTRY_SCHEMA), CONTRACT)
+    same(judge(events, table, Policy(), CONTRACT), want)
+    raw = events.withColumn("id", events["ord.seq"])
+    for safe in (True, False):
+        views = [sorted(map(tuple, healed_view(raw, a, CONTRACT, safe).collect())) for a in (table, as_aliases(learned, CONTRACT))]
+        assert views[0] == views[1]

@@ -38,8 +38,8 @@ CASES = {
     "A3c": (renamed("USER_ID"), [("userId", "healed", "USER_ID")]),
     "A4a": (renamed("uid"), [("userId", "none", None)]),
     "A4b": (renamed("usr_id"), [("userId", "none", None)]),
-    "B1": ('{"eventId":"e","trackId":"t","timestamp":"x","user_id":"user-42","userID":"user-42"}', [("userId", "healed", "userID")]),
-    "B2": ('{"eventId":"e","trackId":"t","timestamp":"x","user_id":"user-42","userID":"user-99"}', [("userId", "ambiguous", None)]),
+    "B1": ('{"eventId":"e","trackId":"t","timestamp":"x","user_id":"ada","userID":"ada"}', [("userId", "healed", "userID")]),
+    "B2": ('{"eventId":"e","trackId":"t","timestamp":"x","user_id":"ada","userID":"bob"}', [("userId", "ambiguous", None)]),
     "C1": ('{"eventId":"e","user_id":"u","track_id":"t","timestamp":"x"}', [("userId", "healed", "user_id"), ("trackId", "healed", "track_id")]),
     "C2": (
         '{"event_id":"e","user_id":"u","track_id":"t","ts":"x"}',
@@ -65,7 +65,7 @@ def test_each_scenario_on_its_own(spark):
 
 
 def test_canonical_key_beats_learned_decoy(spark):
-    aliases = as_aliases([Alias("userId", "user_id", (0, -1, ""))], CONTRACT)
+    aliases = as_aliases([Alias("userId", "user_id", (0, 0, -1, ""))], CONTRACT)
     events = parse_events(frame(spark, [("x", event(user_id="STALE"))]), CONTRACT)
     row = judge(events, aliases, None, CONTRACT).first()
     assert (row["values"]["userId"], row["resolved_via"]["userId"]) == ("u1", "userId")
@@ -108,12 +108,14 @@ def test_claimed_keys_do_not_take_part(spark):
         f"select size({unclaimed(others, 'array(\"fooid\")')}) as n, {agreeing(others)} as agree"
     ).first()
     assert (row["n"], row["agree"]) == (0, True)
-    with pytest.raises(ContractError):
-        make_contract(
-            [("fooId", True, "a", "string", "E", "a", ""), ("foo_Id", True, "b", "string", "E", "b", "")], [], "E"
-        )
+    twins = make_contract(
+        [("fooId", True, "a", "string", "E", "a", ""), ("foo_Id", True, "b", "string", "E", "b", "")], [], "E"
+    )
+    events = parse_events(frame(spark, [("x", '{"fooid":"shared"}')]), twins)
+    repairs = heal(events, None, None, twins).judged.first()["repairs"]
+    assert [(r["canonical"], r["outcome"], r["raw_key"]) for r in repairs] == [("fooId", "healed", "fooid"), ("foo_Id", "none", None)]
 
 
 def test_foreign_aliases_are_refused(spark):
     with pytest.raises(ContractError):
-        as_aliases([Alias("userId", "uid", (0, 0, ""))], CONTRACT)
+        as_aliases([Alias("userId", "uid", (0, 0, 0, ""))], CONTRACT)

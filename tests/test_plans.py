@@ -42,6 +42,33 @@ def test_stored_events_are_judged_without_payload_parse_shuffle_or_python(spark,
         assert absent not in text
 
 
+def nodes(df) -> list[str]:
+    """Names of the operators that the rows pass; subqueries, which run once, are not among them."""
+    found, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        at = todo.pop()
+        if at.nodeName() == "AdaptiveSparkPlan":
+            at = at.executedPlan()
+        found.append(at.nodeName())
+        todo += [at.children().apply(i) for i in range(at.children().size())]
+    return found
+
+
+def test_events_do_not_move_for_a_large_registry(spark, stored):
+    """50,000 spellings are known: events are judged and read where they are."""
+    spellings = spark.range(50_000).selectExpr(
+        "'userId' as canonical", "concat('user', repeat('_', cast(id + 1 as int) % 1000), 'i', repeat('-', cast(id div 1000 as int)), 'd') as raw_key",
+        "named_struct('batch', 0L, 'session', 0L, 'seq', id, 'tie', '') as learned_pos",
+    )
+    spellings.write.parquet(f"{stored}/spellings")
+    table = as_aliases(spark.read.parquet(f"{stored}/spellings"), CONTRACT)
+    assert not isinstance(table, list)
+    events = spark.read.parquet(f"{stored}/slots")
+    for df in (judge(events, table, Policy(), CONTRACT), healed_view(events.withColumnRenamed("fallback_id", "id"), table, CONTRACT)):
+        df.collect()
+        assert not [n for n in nodes(df) if "Exchange" in n or "Join" in n or "Sort" in n]
+
+
 def test_view_prunes_columns_and_needs_no_shuffle(spark, stored):
     raw = spark.read.parquet(f"{stored}/slots").withColumnRenamed("fallback_id", "id")
     view = healed_view(raw, as_aliases(None, CONTRACT), CONTRACT)

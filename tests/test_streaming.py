@@ -1,10 +1,12 @@
 import json
 import os
 
+from sequential import EVENT_SCHEMA
+
 from contractflow.functions.crypto import generate_keys
 from contractflow.operators.policy import Policy, load_policy, save_policy
 from contractflow.operators.private_sum import user_totals
-from contractflow.operators.raw_log import last_id
+from contractflow.operators.raw_log import in_ranges, last_id
 from contractflow.sources.envelope import from_envelope
 from contractflow.sources.files import read_event_files, stream_event_files
 from contractflow.storage import checkpoint_dir, cut_lineage, temporary_tables
@@ -125,3 +127,19 @@ def test_policy_tables(spark, tmp_path):
     assert load_policy(spark, str(tmp_path / "nowhere")).deny_all
     save_policy(spark, str(tmp_path / "empty"), [], [])
     assert load_policy(spark, str(tmp_path / "empty")).deny_all
+
+
+def test_ordered_input_is_written_where_it_is(spark, tmp_path):
+    """Ids are those of arrival either way; input whose partitions are ranges is not shuffled, in whatever order they come."""
+    rows = [("s", "o", f"f{i}", json.dumps({"eventId": f"e{i}"}) if i % 7 else "{", (0, 0, i, ""), None) for i in range(60)]
+    parts = [spark.createDataFrame(rows[lo:hi], EVENT_SCHEMA).coalesce(1) for lo, hi in ((40, 60), (0, 15), (15, 40))]
+    ordered = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    mixed = spark.createDataFrame(rows, EVENT_SCHEMA).repartition(3)
+    assert in_ranges(ordered) and not in_ranges(mixed) and in_ranges(ordered.where("false"))
+    found = []
+    for name, events in (("a", ordered), ("b", mixed)):
+        store = Store(str(tmp_path / name))
+        heal_batch(events.where("ord.seq < 50"), 0, store)
+        heal_batch(events.where("ord.seq >= 50"), 1, store)
+        found.append([(r["id"], r["fallback_id"]) for r in store.raw(spark).orderBy("id").collect()])
+    assert found[0] == found[1] == [(k, f"f{i}") for k, i in enumerate((i for i in range(60) if i % 7), 1)]

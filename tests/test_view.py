@@ -29,7 +29,7 @@ def test_view_reads_text_of_any_member_through_safe_keys(spark):
     ]
     raw = with_id(frame(spark, [("x", json.dumps(p)) for p in payloads]))
     aliases = as_aliases(
-        [Alias("userId", "user-id", (0, 1, "")), Alias("userId", "user_id", (0, 2, "")), Alias("userId", "USERID", (0, 3, ""))],
+        [Alias("userId", "user-id", (0, 0, 1, "")), Alias("userId", "user_id", (0, 0, 2, "")), Alias("userId", "USERID", (0, 0, 3, ""))],
         CONTRACT,
     )
     rows = shim.healed_view(raw, aliases, name="streaming_events").orderBy("id").collect()
@@ -73,7 +73,7 @@ def test_no_alias_gives_typed_null(spark):
 def test_registry_learn_touch_audit_stale(spark):
     t0 = datetime(2026, 1, 1)
     base = registry.default_registry(spark, CONTRACT)
-    lesson = registry.alias_rows(spark, [("userId", "user_id", (0, 5, ""), t0, t0)])
+    lesson = registry.alias_rows(spark, [("userId", "user_id", (0, 0, 5, ""), t0, t0)])
     once, fresh = registry.learn(base, lesson)
     assert fresh.count() == 1
     twice, again = registry.learn(once, lesson)
