@@ -367,8 +367,8 @@ def test_quality(spark, docs, none):
 def test_squares_identity():
     rng = np.random.default_rng(0)
     size = op9.BUCKETS + len(op9.STATISTICS)
-    model = op9.Machine(0.1, rng.normal(size=size), rng.normal(0, 0.1, (size, 3)), np.zeros(14), np.ones(14))
-    index, value, statistics = np.array([1, 5, 9]), np.array([0.2, 0.5, 0.1]), rng.normal(0, 0.1, 14)
+    model = op9.Machine(0.1, rng.normal(size=size), rng.normal(0, 0.1, (size, 3)), np.zeros(size - op9.BUCKETS), np.ones(size - op9.BUCKETS))
+    index, value, statistics = np.array([1, 5, 9]), np.array([0.2, 0.5, 0.1]), rng.normal(0, 0.1, size - op9.BUCKETS)
     x = np.zeros(size)
     x[index], x[op9.BUCKETS :] = value, statistics
     pairs = sum(model.v[i] @ model.v[j] * x[i] * x[j] for i in range(size) if x[i] for j in range(i + 1, size) if x[j])
