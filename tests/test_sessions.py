@@ -95,3 +95,37 @@ def test_loop_learns_in_order_of_arrival(spark, tmp_path):
     places = {(s, t): i for _, s, t, i in rows}
     got = [(r["canonical"], r["raw_key"], places[r["learned_pos"]["session"], r["learned_pos"]["seq"]]) for r in store.registry(spark).collect()]
     assert sorted(got) == sorted(engine.learned) and got
+
+
+def numbered_one_by_one(rows):
+    """The session of every message, by going through the queue's messages in their order."""
+    known, out = {}, {}
+    for at, tag in sorted({(a, t) for a, t in rows}, key=lambda r: (r[0], -1 if r[1] is None else r[1])):
+        if tag is not None:
+            if "tag" not in known:
+                known = {"session": 0}
+            elif tag < known["tag"] or (tag == known["tag"] and at > known["at"]):
+                known["session"] += 1
+            known |= {"tag": tag, "at": at}
+        out[at, tag] = known.get("session", 0)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_sessions_with_copies_and_without_tags(spark, seed):
+    """Repeated messages, and messages without a tag in between, over several ranges of one queue."""
+    rng = random.Random(seed)
+    rows = [(START + timedelta(seconds=rng.randrange(150)), rng.choice([None, 1, 1, 2, 3, 4])) for _ in range(400)]
+    numbered, state = with_sessions(spark.createDataFrame([(None, None, "q", tag, at) for at, tag in rows], SCHEMA).repartition(4))
+    got = numbered.collect()
+    expected = numbered_one_by_one(rows)
+    assert sorted((r["received_at"], str(r["delivery_tag"]), r["session"]) for r in got) == sorted((at, str(tag), expected[at, tag]) for at, tag in rows)
+    assert [r["session"] for r in state.collect()] == [max(expected.values())]
+
+
+def test_work_per_message_does_not_grow_with_sessions(spark):
+    """No message carries the list of its queue's sessions."""
+    numbered, _ = with_sessions(envelopes(spark, [("q", 0, 1, i) for i in range(50)]))
+    plan = numbered._jdf.queryExecution().optimizedPlan().toString()
+    assert "starts" not in plan and "filter(" not in plan
+    assert sorted(r["session"] for r in numbered.collect()) == list(range(50))
