@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from sequential import frame
 
 from contractflow.contract import default_contract
+from contractflow.functions import crypto
 from contractflow.functions.crypto import MODULUS, encrypt_metric, from_text, generate_keys, reveal, to_text
 from contractflow.operators import metrics, private_sum
 from contractflow.operators.parse import parse_events
@@ -90,3 +91,17 @@ def test_disabled_encryption(spark):
     assert rows.count() == 0
     with pytest.raises(private_sum.EncryptionDisabled):
         private_sum.encrypted_sum(rows, ["user_id"], None)
+
+
+def test_batches_of_ciphertexts():
+    """Many rows at once give what one-by-one arithmetic gives, for keys of several sizes."""
+    for key, secret in ((KEY, SECRET), generate_keys(64, 32)):
+        values = [(i * 7919) % MODULUS for i in range(300)] + [0, MODULUS - 1]
+        ciphertexts = crypto.encryptor(key).encrypt(values)
+        assert len(set(ciphertexts)) == len(values)
+        assert crypto._decrypt(ciphertexts, secret) == values
+        assert crypto._decrypt(ciphertexts[-2:], secret) == values[-2:]
+        square = key.n * key.n
+        numbers = [int.from_bytes(c, "big") for c in ciphertexts]
+        assert all(c * i % square == 1 for c, i in zip(numbers, crypto._inverses(numbers, square)))
+        assert crypto.arithmetic(square).power(numbers[:9], 12345) == [pow(c, 12345, square) for c in numbers[:9]]
