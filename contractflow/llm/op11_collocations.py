@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from contractflow.llm.common import text_of
 from contractflow.llm.encoding import slices
 from contractflow.operators.bounded import lookup_join
-from contractflow.storage import cut_lineage, ship_package
+from contractflow.storage import cut_lineage, ship_package, shuffles_released
 
 LEAST = 100
 LONGEST = 5
@@ -247,13 +247,17 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     sampled = docs.where(place < rate).select(lang, text_of().alias("text"))
     expected = least * rate / 100
     lowered = max(1, math.ceil(expected - math.sqrt(expected)))
-    proposed = count_phrases(sampled, least=lowered, longest=longest - 1).where("phrase <> ''")
-    inside = spark.sparkContext.broadcast(bitmap(proposed))
-    frequent = cut_lineage(count_phrases(texts, inside, None, least, longest))
+    # the shuffle of a pass is the largest thing on disk, and two of them are not needed at once
+    with shuffles_released(spark):
+        proposed = count_phrases(sampled, least=lowered, longest=longest - 1).where("phrase <> ''")
+        inside = spark.sparkContext.broadcast(bitmap(proposed))
+    with shuffles_released(spark):
+        frequent = cut_lineage(count_phrases(texts, inside, None, least, longest))
     if not outside(frequent.where(f"phrase <> '' and {length('phrase')} < {longest}"), inside).isEmpty():
         known = spark.sparkContext.broadcast(bitmap(frequent.where("phrase <> ''")))
-        more = count_phrases(texts, known, inside, least, longest)
-        frequent = cut_lineage(frequent.unionByName(more).distinct())
+        with shuffles_released(spark):
+            more = count_phrases(texts, known, inside, least, longest)
+            frequent = cut_lineage(frequent.unionByName(more).distinct())
         known.unpersist()
     inside.unpersist()
     return frequent

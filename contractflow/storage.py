@@ -66,6 +66,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_released(spark: SparkSession) -> Iterator[None]:
+    """Actions inside the block give up their shuffle files when they end, not when the driver next collects garbage.
+
+    For results that are taken once: a table made inside the block is stored or fetched inside it.
+    """
+    before = spark.conf.get(RELEASE)
+    spark.conf.set(RELEASE, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(RELEASE, before)
+
+
 _shipped: set[str] = set()
 
 
