@@ -16,6 +16,7 @@ from contractflow.functions import text as T
 from contractflow.functions.crypto import MODULUS, PublicKey, SecretKey, from_text, generate_keys, reveal, to_text
 from contractflow.operators import checks, decisions, discover, extract, graph, kept_totals, metrics, parse, policy
 from contractflow.operators import private_sum, raw_log, registry, shim
+from contractflow.operators.bounded import over_all_tasks
 from contractflow.plans.derived_events import derived_events
 from contractflow.plans.heal import Healed, alias_table, heal, used_pairs
 from contractflow.sources.envelope import from_envelope
@@ -549,8 +550,10 @@ def _streamed_suppliers(spark: SparkSession, sf_dir: str) -> Store:
     )
     store = Store(f"{root}/store", policy=POLICY)
     for part in (0, 1):
-        some = suppliers.where(f"eventId % 4 div 2 = {part}")
-        some.write.mode("append").option("maxRecordsPerFile", 1).json(f"{root}/in")
+        # files by all tasks, put in place by the task that wrote them and not one after the other by the driver
+        some = over_all_tasks(suppliers.where(f"eventId % 4 div 2 = {part}"), "eventId")
+        single = some.write.mode("append").option("maxRecordsPerFile", 1)
+        single.option("mapreduce.fileoutputcommitter.algorithm.version", 2).json(f"{root}/in")
         run_stream(stream_event_files(spark, f"{root}/in"), store, f"{root}/checkpoint", available_now=True).awaitTermination()
     return store
 

@@ -157,7 +157,13 @@ def run_stream(
     events: DataFrame, store: Store, checkpoint: str, available_now: bool = False, interval: str = "10 seconds"
 ) -> StreamingQuery:
     """Start the loop over a streaming DataFrame of raw events."""
-    return _start(events, lambda batch, batch_id: heal_batch(batch, batch_id, store), checkpoint, available_now, interval)
+
+    def process(batch: DataFrame, batch_id: int) -> None:
+        # a batch may be many small files, so it is read from its source once
+        with temporary_tables(batch.sparkSession):
+            _heal_batch(cut_lineage(batch), batch_id, store)
+
+    return _start(events, process, checkpoint, available_now, interval)
 
 
 def run_envelope_stream(
