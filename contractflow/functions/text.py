@@ -5,9 +5,10 @@ from __future__ import annotations
 import re
 
 # Character classes and fallbacks.
-NON_ALNUM = "[^A-Za-z0-9]"
+NON_ALNUM = "[^A-Za-z0-9]+"
 SAFE_KEY = r"^[A-Za-z_][A-Za-z0-9_]*\z"
-IRI_UNSAFE = "[^A-Za-z0-9._-]"
+IRI_SAFE = "[A-Za-z0-9._-]"
+IRI_UNSAFE = "[^A-Za-z0-9._-]+"
 UNKNOWN = "unknown"
 
 
@@ -44,8 +45,8 @@ def is_safe_key(key: str) -> str:
 
 def iri_part(text: str) -> str:
     """Keep the characters that are safe in an IRI; ``unknown`` if none is left."""
-    kept = f"regexp_replace({text}, {lit(IRI_UNSAFE)}, '')"
-    return f"if({text} is null, null, coalesce(nullif({kept}, ''), {lit(UNKNOWN)}))"
+    # whether any is left shows at the first of them, so the text is gone through once
+    return f"case when {text} rlike {lit(IRI_SAFE)} then regexp_replace({text}, {lit(IRI_UNSAFE)}, '') when {text} is not null then {lit(UNKNOWN)} end"
 
 
 def escape_literal(text: str) -> str:

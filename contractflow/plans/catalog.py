@@ -692,7 +692,8 @@ def file_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    # a file may be one row group, which one task would read and work on alone
+    docs = over_all_tasks(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
     return docs.select(
         "doc_id",
         F.md5(F.expr(T.normalize_key("text"))).alias("normal_form"),
