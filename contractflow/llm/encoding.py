@@ -20,6 +20,9 @@ import pyarrow.compute as pc
 # Units kept per worker process, and the longest unit worth keeping.
 MAX_UNITS = 250_000
 LONGEST_UNIT = 64
+# Pieces of plain words kept by WordIds, and those that one call of the library merges.
+MAX_PIECES = 250_000
+MERGED_AT_ONCE = 10_000
 # Bytes of text that one step works on.
 STEP_BYTES = 1 << 20
 
@@ -85,11 +88,13 @@ class Units:
         self.known: dict = {}
         self.pieces: dict = {}
 
+    def mapped(self, text: str) -> str:
+        return text.replace(" ", self.alphabet[32]) if text.isascii() else text.encode().decode("latin-1").translate(self.alphabet)
+
     def piece(self, text: str):
         found = self.pieces.get(text)
         if found is None:
-            mapped = text.replace(" ", self.alphabet[32]) if text.isascii() else text.encode().decode("latin-1").translate(self.alphabet)
-            found = self.value([t.id for t in self.merge(mapped)])
+            found = self.value([t.id for t in self.merge(self.mapped(text))])
             if len(self.pieces) >= MAX_UNITS:
                 self.pieces.clear()
             self.pieces[text] = found
@@ -98,18 +103,20 @@ class Units:
     def unit(self, text: str):
         if text.isascii() and text.isalpha():
             return self.piece(self.lead + self.fold(text))
-        if PLAIN.fullmatch(text) and "<|" not in text:
-            return self.join(map(self.piece, self.cut.findall(self.lead + self.fold(text))))
+        folded = self.fold(text)
+        # some plain letters fold to one that the cut does not know
+        if PLAIN.fullmatch(text) and "<|" not in text and (folded is text or PLAIN.fullmatch(folded)):
+            return self.join(map(self.piece, self.cut.findall(self.lead + folded)))
         return self.encode(self.lead + text)
 
-    def learn_all(self, keys: set, text=str) -> None:
-        """Make all ``keys`` known; ``text`` gives the text of a key.  Others may be forgotten."""
+    def learn_all(self, keys: set) -> None:
+        """Make all ``keys`` known.  Others may be forgotten."""
         new = keys.difference(self.known)
         if len(self.known) + len(new) > MAX_UNITS:
             self.known.clear()
             new = keys
         for key in new:
-            self.known[key] = self.unit(text(key))
+            self.known[key] = self.unit(key)
 
     def encode(self, text: str):
         return self.value(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -120,6 +127,82 @@ def packed(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
+class WordIds:
+    """Packed ids of words that ASCII white space parts, for a tokenizer that drops it and folds case.
+
+    Plain words without an apostrophe are cut all at once, on their bytes: a piece begins where the kind of
+    character changes, and at every digit.  Any other word goes to :class:`Units`.
+    """
+
+    # kinds of bytes in a folded plain word; those of two and three bytes are letters
+    OTHER, DIGIT, LETTER = range(3)
+    KINDS = np.full(256, OTHER, np.uint8)
+    KINDS[list(b"abcdefghijklmnopqrstuvwxyz")] = LETTER
+    KINDS[0x80:] = LETTER
+    KINDS[list(b"0123456789")] = DIGIT
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.units = Units(path, packed, b"".join, "", WORD_CUT, str.lower)
+        # the merges alone: pieces are cut and folded before
+        self.merges = Tokenizer(self.units.tokenizer.model)
+        self.known: dict[str, bytes] = {}
+
+    def pieces(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of pieces that differ; without room for the new ones, all but those asked for here are forgotten."""
+        found = list(map(self.known.get, texts))
+        new = [i for i, v in enumerate(found) if v is None]
+        if len(self.known) + len(new) > MAX_PIECES:
+            self.known = {t: v for t, v in zip(texts, found) if v is not None}
+        for at in range(0, len(new), MERGED_AT_ONCE):
+            some = new[at : at + MERGED_AT_ONCE]
+            merged = self.merges.encode([self.units.mapped(texts[i]) for i in some], is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(merged.ids, "<u4").tobytes()
+            ends = np.cumsum(4 * np.bincount(np.array(merged.word_ids, np.int64), minlength=len(some))).tolist()
+            for i, begin, end in zip(some, [0, *ends], ends):
+                found[i] = self.known[texts[i]] = ids[begin:end]
+        return found
+
+    def ids(self, words: pa.Array) -> pa.Array:
+        """Packed ids of each of the ``words``, which should differ, as large binary."""
+        words = words.cast(pa.large_string())
+        cuttable = pc.and_(
+            pc.and_(pc.match_substring_regex(words, f"^[!-&(-~{LETTERS}]*$"), pc.less_equal(pc.binary_length(words), LONGEST_UNIT)),
+            pc.invert(pc.match_substring(words, "<|")),
+        )
+        others = words.filter(pc.invert(cuttable)).to_pylist()
+        if not others:
+            return self.cut(words)
+        short = {w for w in others if len(w) <= LONGEST_UNIT}
+        self.units.learn_all(short)
+        found = [self.units.known[w] if w in short else self.units.encode(w) for w in others]
+        # back in the order of the words
+        mask = cuttable.to_numpy(zero_copy_only=False)
+        at = np.where(mask, np.cumsum(mask) - 1, len(words) - len(others) + np.cumsum(~mask) - 1)
+        return pa.concat_arrays([self.cut(words.filter(cuttable)), pa.array(found, pa.large_binary())]).take(pa.array(at))
+
+    def cut(self, words: pa.Array) -> pa.Array:
+        """Packed ids of plain words without an apostrophe."""
+        if not pc.any(pc.greater(pc.binary_length(words), 0)).as_py():
+            return pa.array([b""] * len(words), pa.large_binary())
+        folded = pc.utf8_lower(words)
+        _, ends, data = folded.buffers()
+        ends = np.frombuffer(ends, np.int64)[folded.offset : folded.offset + len(folded) + 1]
+        kinds = self.KINDS[np.frombuffer(data, np.uint8)[: ends[-1]]]
+        first = kinds == self.DIGIT
+        first[1:] |= kinds[1:] != kinds[:-1]
+        first[ends[:-1][np.diff(ends) > 0]] = True
+        starts = np.append(np.flatnonzero(first), len(kinds))
+        pieces = pa.Array.from_buffers(pa.large_string(), len(starts) - 1, [None, pa.py_buffer(starts), data]).dictionary_encode()
+        values = pa.array(self.pieces(pieces.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary())
+        flat = values.take(pieces.indices)
+        _, bounds, data = flat.buffers()
+        # a word's ids lie between those of its first piece and the next word's
+        bounds = np.frombuffer(bounds, np.int64)[flat.offset :][np.searchsorted(starts, ends)]
+        return pa.Array.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(bounds), data])
+
+
 def slices(column: pa.Array, limit: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of rows with about ``limit`` bytes of text each; a longer text stands alone."""
     sizes = np.zeros(len(column), dtype=np.int64)

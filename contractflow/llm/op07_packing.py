@@ -17,15 +17,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contractflow.llm.common import number_within, text_of
-from contractflow.llm.encoding import LONGEST_UNIT, WORD_CUT, Units, held, packed, slices
+from contractflow.llm.encoding import WordIds, held, packed, slices
 from contractflow.storage import cut_lineage, ship_package
 
 LENGTH = 2048
 END_ID = 1
+# Bytes of text that one step works on; the more, the fewer words are looked up twice.
+SLICE_BYTES = 2 << 20
+
 
 def binary_lengths(n: int, longest: int) -> list[int]:
     """Full sequences, then the powers of two of the rest, longest first."""
@@ -43,29 +47,31 @@ def split_documents(docs: DataFrame, path: str, longest: int, end_id: int, with_
     names = {"int64": "long", "binary": "binary"}
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = held(("packed units", path), lambda: Units(path, packed, b"".join, "", WORD_CUT, str.lower))
-        end = packed([end_id])
+        words = held(("packed words", path), lambda: WordIds(path))
+        end = pa.array([packed([end_id])], pa.large_binary())
         for batch in batches:
-            for first, stop in slices(batch.column("text")):
+            for first, stop in slices(batch.column("text"), SLICE_BYTES):
                 part = batch.slice(first, stop - first)
                 # ASCII white space parts words for this tokenizer, which drops it
-                texts = [t.encode().split() for t in part.column("text").to_pylist()]
-                pieces = []
-                words = set().union(*texts)
-                long = {w: units.encode(w.decode()) for w in words if len(w) > LONGEST_UNIT}
-                units.learn_all(words.difference(long), bytes.decode)
-                known, out = units.known, []
-                look = (lambda w: long[w] if w in long else known[w]) if long else known.__getitem__
-                for doc_id, text in zip(part.column("doc_id").to_pylist(), texts):
-                    ids = b"".join(map(look, text)) + end
-                    n, at = len(ids) // 4, 0
+                texts = pc.ascii_split_whitespace(part.column("text"))
+                own = texts.flatten().dictionary_encode()
+                ends = np.cumsum(texts.value_lengths().to_numpy())
+                # the end's id stands behind the words of each text
+                order = np.insert(own.indices.to_numpy(), ends, len(own.dictionary))
+                ids = pa.concat_arrays([words.ids(own.dictionary), end]).take(pa.array(order))
+                _, bounds, data = ids.buffers()
+                bounds = np.frombuffer(bounds, np.int64)[ids.offset :][ends + np.arange(1, len(ends) + 1)]
+                data, begin, pieces, out = memoryview(data), 0, [], []
+                for doc_id, bound in zip(part.column("doc_id").to_pylist(), bounds.tolist()):
+                    n, at = (bound - begin) // 4, 0
                     for length in binary_lengths(n, longest):
-                        piece = ids[4 * at : 4 * (at + length)]
+                        piece = data[begin + 4 * at : begin + 4 * (at + length)]
                         out.append((doc_id, at, length, zlib.crc32(piece), n, piece)[: len(types)])
                         at += length
+                    begin = bound
                     pieces.append(len(out))
                 columns = [pa.array(c, t) for c, (_, t) in zip(zip(*out), types)]
-                of = pa.array(np.repeat(np.arange(len(texts)), np.diff(pieces, prepend=0)))
+                of = pa.array(np.repeat(np.arange(len(part)), np.diff(pieces, prepend=0)))
                 columns += [part.column(2 + i).take(of) for i in range(len(carry))]
                 yield pa.RecordBatch.from_arrays(columns, [*(n for n, _ in types), *carry])
 

@@ -24,7 +24,8 @@ from contractflow.llm import (
     op09_quality as op9,
     op10_kd_sharding as op10,
 )
-from contractflow.llm.encoding import held
+from contractflow.llm import encoding
+from contractflow.llm.encoding import PLAIN, WordIds, held
 from contractflow.storage import ship_package
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, kept string, row long, label int, start int"
@@ -312,6 +313,42 @@ def test_packing_round_trip(docs, none):
         op7.pack(docs, path, longest=100)
 
 
+def test_packing_ids_of_all_kinds_of_words(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    letters = [chr(c) for c in range(0x21, 0x250) if PLAIN.fullmatch(chr(c))]
+    texts = [" ".join(f"a{c}b" for c in letters), " ".join(f"{c}'s x'{c}" for c in letters), " ".join(letters), "".join(letters)]
+    rng = np.random.default_rng(4)
+    parts = [*"aBz\u00c9\u00df\u01c5\u0187'.,-<|&7\u00bd\u0661\u4e2d\u00a0\u0301", "'s", "'LL", "<|endoftext|>", "12", " ", "  ", "\t", "\n"]
+    texts += ["".join(rng.choice(parts, rng.integers(0, 200))) for _ in range(300)] + ["x" * 70 + "'s", "", " ", None]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    found = {}
+    for p in sorted(op7.pack(table, path).collect(), key=lambda p: p["start"]):
+        found[p["doc_id"]] = found.get(p["doc_id"], b"") + bytes(p["ids"])
+    for d, text in enumerate(texts):
+        assert np.frombuffer(found[d], "<u4").tolist() == library.encode(text or "", add_special_tokens=False).ids + [1], text
+
+
+def test_packing_merges_a_piece_once(monkeypatch):
+    """Case and punctuation make no new piece, and what a step uses is kept when the rest is forgotten."""
+    words = WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    library, asked = words.merges, []
+
+    class Counted:
+        def encode(self, pieces, **options):
+            asked.extend(pieces)
+            return library.encode(pieces, **options)
+
+    words.merges = Counted()
+    monkeypatch.setattr(encoding, "MAX_PIECES", 60)
+    common = [f"common{c}" for c in "abcdefghijklmnopqrstuvwxyz"]
+    for step in range(8):
+        own = [f"rare{chr(97 + step)}{c}" for c in "abcdefghij"]
+        words.ids(pa.array([*common, *(w.upper() for w in common), *(f"{w}," for w in common), *own]))
+    assert sorted(asked) == sorted([*common, ",", *(f"rare{a}{b}" for a in "abcdefgh" for b in "abcdefghij")])
+    assert words.ids(pa.array([], pa.string())).to_pylist() == [] and words.ids(pa.array(["", "'"])).to_pylist()[0] == b""
+
+
 def test_near_classes_brute_force(spark, none):
     rng = np.random.default_rng(5)
     base = [f"b{i}" for i in range(120)]
