@@ -8,6 +8,7 @@ cut it into, and only its merges are asked for; any other goes to the tokenizer
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import struct
@@ -44,6 +45,16 @@ def held(key: tuple, make: Callable[[], object]):
 def release() -> None:
     """Forget what earlier tasks have left, before a stage that keeps nothing but needs the memory."""
     _held.clear()
+    _loaded.clear()
+    give_back()
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system: an idle worker's counts against its executor, and the next stage's adds to it."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
 
 
 def load(path: str):

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contractflow.llm.common import crc32_of_id, text_of
-from contractflow.llm.encoding import held, slices
+from contractflow.llm.encoding import give_back, held, slices
 from contractflow.storage import ship_package
 
 SAMPLE_DOCS = 40
@@ -103,21 +103,26 @@ class Parser:
         for n in self.names:
             columns = self.columns[texts[n]]
             nexts = suffix_automaton(columns.tolist())
-            table = np.zeros((len(nexts), self.width), dtype=np.int64)
+            table = np.zeros((len(nexts), self.width), dtype=np.int32)
             for state, moves in enumerate(nexts):
                 if moves:
                     table[state, list(moves)] = list(moves.values())
+            del nexts
             # no move: the next phrase begins with this symbol, or is just it; at the start one always begins
             begins = table == 0
             begins[0] = True
-            moved = np.where(table == 0, table[0], table)
-            table = ((moved * self.width) << 1 | begins).astype(np.int32).ravel()
+            # in place, as every copy of a table is as large as what stays of it
+            np.copyto(table, table[0].copy(), where=begins)
+            table *= 2 * self.width
+            table |= begins
+            table = table.ravel()
             if len(self.resident) < RESIDENT:
                 self.resident.append(table)
             else:
                 self.spilled.append((self.file.tell(), len(table)))
                 table.tofile(self.file)
             self.cost.append(math.log2(len(columns) + 1))
+        give_back()
 
     def tables(self) -> Iterator[np.ndarray]:
         """The tables in the order of the names."""
@@ -216,17 +221,19 @@ def identify(docs: DataFrame, learn, keep: list[str], names: tuple[str, ...] = (
     ship_package(docs.sparkSession)
     training = training_sample(docs, learn)
     model = hashlib.sha256(repr(sorted(training.items())).encode("utf-8", "replace")).hexdigest()
-    read = docs.select(*keep, text_of().alias("__text"))
-    schema = read.drop("__text").schema.add(names[0], "string").add(names[1], "double")
+    # a text that is kept is sent once; a null one is read as empty here or there
+    column = "text" if "text" in keep else "__text"
+    read = docs.select(*keep) if column in keep else docs.select(*keep, text_of().alias(column))
+    schema = docs.select(*keep).schema.add(names[0], "string").add(names[1], "double")
     if len(names) > 2:
         schema = schema.add(names[2], "boolean")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = held(("languages", model), lambda: Parser(training)) if training else None
         for batch in batches:
-            for first, end in slices(batch.column("__text"), 4 << 20):
+            for first, end in slices(batch.column(column), 4 << 20):
                 part = batch.slice(first, end - first)
-                texts = part.column("__text").to_pylist()
+                texts = [t or "" for t in part.column(column).to_pylist()]
                 if parser:
                     languages, scores = parser.predict(texts)
                 else:
@@ -236,6 +243,9 @@ def identify(docs: DataFrame, learn, keep: list[str], names: tuple[str, ...] = (
                 if len(names) > 2:
                     columns.append(pa.array(lettered(texts), pa.bool_()))
                 yield pa.RecordBatch.from_arrays(columns, [*keep, *names])
+            # before the next one comes
+            batch = part = columns = texts = None
+        give_back()
 
     return read.mapInArrow(score, schema)
 

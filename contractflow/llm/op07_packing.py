@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contractflow.llm.common import number_within, text_of
-from contractflow.llm.encoding import WordIds, held, packed, slices
+from contractflow.llm.encoding import WordIds, give_back, held, packed, slices
 from contractflow.storage import cut_lineage, ship_package
 
 LENGTH = 2048
@@ -43,8 +43,7 @@ def split_documents(docs: DataFrame, path: str, longest: int, end_id: int, with_
         raise ValueError("the length of a sequence must be a power of two")
     ship_package(docs.sparkSession)
     types = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())]
-    types += [("ids", pa.binary())] * with_ids
-    names = {"int64": "long", "binary": "binary"}
+    names = [n for n, _ in types] + ["ids"] * with_ids
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = held(("packed words", path), lambda: WordIds(path))
@@ -61,22 +60,26 @@ def split_documents(docs: DataFrame, path: str, longest: int, end_id: int, with_
                 ids = pa.concat_arrays([words.ids(own.dictionary), end]).take(pa.array(order))
                 _, bounds, data = ids.buffers()
                 bounds = np.frombuffer(bounds, np.int64)[ids.offset :][ends + np.arange(1, len(ends) + 1)]
-                data, begin, pieces, out = memoryview(data), 0, [], []
+                view, begin, pieces, out = memoryview(data), 0, [], []
                 for doc_id, bound in zip(part.column("doc_id").to_pylist(), bounds.tolist()):
                     n, at = (bound - begin) // 4, 0
                     for length in binary_lengths(n, longest):
-                        piece = data[begin + 4 * at : begin + 4 * (at + length)]
-                        out.append((doc_id, at, length, zlib.crc32(piece), n, piece)[: len(types)])
+                        out.append((doc_id, at, length, zlib.crc32(view[begin + 4 * at : begin + 4 * (at + length)]), n))
                         at += length
                     begin = bound
                     pieces.append(len(out))
                 columns = [pa.array(c, t) for c, (_, t) in zip(zip(*out), types)]
+                if with_ids:
+                    # the pieces lie one behind the other; an array made of views of them would never give up what they show
+                    cuts = pa.array(np.cumsum([0, *(4 * p[2] for p in out)])).cast(pa.int32())
+                    columns.append(pa.Array.from_buffers(pa.binary(), len(out), [None, cuts.buffers()[1], data]))
                 of = pa.array(np.repeat(np.arange(len(part)), np.diff(pieces, prepend=0)))
                 columns += [part.column(2 + i).take(of) for i in range(len(carry))]
-                yield pa.RecordBatch.from_arrays(columns, [*(n for n, _ in types), *carry])
+                yield pa.RecordBatch.from_arrays(columns, [*names, *carry])
+        give_back()
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), *carry)
-    schema = ", ".join(f"{n} {names[str(t)]}" for n, t in types)
+    schema = ", ".join(f"{n} long" for n, _ in types) + ", ids binary" * with_ids
     schema += "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in source.schema[2:])
     return source.mapInArrow(split, schema)
 
