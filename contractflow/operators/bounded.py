@@ -55,3 +55,9 @@ def over_all_tasks(df: DataFrame, *keys: str) -> DataFrame:
     """
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(tasks, F.xxhash64(*keys))
+
+
+def in_ranges_over_all_tasks(df: DataFrame, *keys: str) -> DataFrame:
+    """As :func:`over_all_tasks`, with rows that are neighbours in the order of the keys in the same task and sorted."""
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(tasks, *keys).sortWithinPartitions(*keys)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from contractflow.functions.crypto import MODULUS, PublicKey, encrypt_metric
 from contractflow.functions.text import event_key, lit
-from contractflow.operators.bounded import over_all_tasks
+from contractflow.operators.bounded import in_ranges_over_all_tasks
 from contractflow.operators.segments import FAN, merge_segments, read_segments, write_segment
 from contractflow.sources.identity import ORD_TYPE
 
@@ -54,10 +54,12 @@ def latest_per_event(metrics: DataFrame) -> DataFrame:
 def encrypt_metrics(metrics: DataFrame, key: PublicKey | None, modulus: int = MODULUS) -> DataFrame:
     """Rows of the metric table; values out of range are left out before the UDF sees them.
 
-    The rows are small but each costs an encryption, so they are laid out over many tasks first.
+    The rows are small but each costs an encryption, so they are laid out over many tasks first, in ranges of users and
+    events: a user's rows lie together and are folded before ciphertexts move, and a user with most of the rows is
+    still cut over many tasks.
     """
     rows = encryptable(metrics, modulus) if key is not None else metrics.where(F.lit(False))
-    return over_all_tasks(rows, "event_id").select(
+    return in_ranges_over_all_tasks(rows, "user_id", "event_id", "ord").select(
         "event_id",
         "user_id",
         encrypt_metric(F.col("ms_played"), key, modulus).alias("ciphertext"),

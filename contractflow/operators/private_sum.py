@@ -33,6 +33,8 @@ def encrypted_sum(metrics: DataFrame, by: list[str], key: PublicKey | None, colu
     types = dict(metrics.select(*by).dtypes)
     schema = ", ".join([*[f"`{b}` {types[b]}" for b in by], "ciphertext binary", "n bigint"])
 
+    square = key.n * key.n
+
     def emit(sums: dict[tuple, tuple[int, int]], like: pa.RecordBatch) -> pa.RecordBatch:
         groups, totals = list(sums), list(sums.values())
         columns = [pa.array([g[i] for g in groups], like.schema.field(i).type) for i in range(len(by))]
@@ -44,11 +46,15 @@ def encrypted_sum(metrics: DataFrame, by: list[str], key: PublicKey | None, colu
 
     def add(sums: dict[tuple, tuple[int, int]], batch: pa.RecordBatch) -> None:
         groups = zip(*[batch.column(i).to_pylist() for i in range(len(by))])
-        rows = zip(groups, batch.column("ciphertext").to_pylist(), batch.column("n").to_pylist())
-        for group, ciphertext, n in rows:
-            total, count = sums.pop(group, (1, 0))
+        rows: dict[tuple, tuple[list[bytes], list[int]]] = {}
+        for group, ciphertext, n in zip(groups, batch.column("ciphertext").to_pylist(), batch.column("n").to_pylist()):
+            ciphertexts, counts = rows.setdefault(group, ([], []))
+            ciphertexts.append(ciphertext)
+            counts.append(n)
+        for (group, (_, counts)), product in zip(rows.items(), combine([ciphertexts for ciphertexts, _ in rows.values()], key)):
             # popped and put back, so that the group seen last stays last
-            sums[group] = (combine(total, ciphertext, key), count + n)
+            total, count = sums.pop(group, (None, 0))
+            sums[group] = (product if total is None else total * product % square, count + sum(counts))
 
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple, tuple[int, int]] = {}

@@ -105,3 +105,63 @@ def test_batches_of_ciphertexts():
         numbers = [int.from_bytes(c, "big") for c in ciphertexts]
         assert all(c * i % square == 1 for c, i in zip(numbers, crypto._inverses(numbers, square)))
         assert crypto.arithmetic(square).power(numbers[:9], 12345) == [pow(c, 12345, square) for c in numbers[:9]]
+
+
+WIDE, WIDE_SECRET = generate_keys(1024)
+
+
+def _product(ciphertexts, key):
+    x = 1
+    for c in ciphertexts:
+        x = x * int.from_bytes(c, "big") % (key.n * key.n)
+    return x
+
+
+def test_totals_are_decrypted_together(monkeypatch):
+    """Three totals share an exponentiation; negative ones and bytes that are no total do not disturb their neighbours."""
+    values = [(i * 7919) % MODULUS for i in range(40)]
+    ciphertexts = crypto.encryptor(WIDE).encrypt(values + [2**63 - 1, 0])
+    negative = [x.to_bytes(WIDE.width, "big") for x in crypto._inverses([int.from_bytes(c, "big") for c in ciphertexts[-2:-1]], WIDE.n**2)]
+    mixed = [*ciphertexts, b"\xff" * WIDE.width, *negative, bytes(WIDE.width), *ciphertexts[:5]]
+    assert crypto._decrypt(mixed, WIDE_SECRET) == crypto._decrypt_whole(mixed, WIDE_SECRET)
+    assert crypto._decrypt(mixed[:2], WIDE_SECRET) == values[:2] and crypto._decrypt([], WIDE_SECRET) == []
+    rows = []
+    powered = crypto.arithmetic(WIDE_SECRET.p**2).powered
+    monkeypatch.setattr(crypto.arithmetic(WIDE_SECRET.p**2), "powered", lambda x, *args: rows.append(x[0].shape[1]) or powered(x, *args))
+    assert crypto._decrypt(ciphertexts[:36], WIDE_SECRET) == values[:36] and sum(rows) == 12
+
+
+def test_groups_are_multiplied_at_once(monkeypatch):
+    """Runs of all lengths, also ones cut by the step, one ciphertext without its leading zeros and one beyond the modulus."""
+    monkeypatch.setattr(crypto, "STEP", 16)
+    for key, secret in ((KEY, SECRET), generate_keys(66, 32)):
+        ciphertexts = crypto.encryptor(key).encrypt([(i * 104729) % 1000 for i in range(150)])
+        odd = [b"\x07", b"\x00" + b"\xff" * (key.width + 3)]
+        cuts = [0, 1, 2, 4, 7, 12, 12, 45, 46, 150]
+        groups = [ciphertexts[a:b] for a, b in zip(cuts, cuts[1:])] + [[ciphertexts[0], *odd, *ciphertexts[:6]], odd[:1], odd]
+        assert crypto.combine(groups, key) == [_product(g, key) for g in groups]
+
+
+def test_a_users_rows_are_encrypted_together_and_a_hot_user_is_cut(spark):
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = spark.range(0, 1200, 1, 6).selectExpr(
+        "concat('e', id * 7919 % 1200) as event_id", "if(id % 2 = 0, 'hot', concat('u', id % 60)) as user_id", "id as ms_played",
+        "named_struct('batch', 0L, 'session', 0L, 'seq', id, 'tie', '') as ord", "timestamp'2026-01-01' as received_at",
+    )
+    made = metrics.encrypt_metrics(rows, KEY).select("user_id", F.spark_partition_id().alias("part")).groupBy("user_id").agg(F.countDistinct("part").alias("parts"))
+    parts = {r["user_id"]: r["parts"] for r in made.collect()}
+    # neighbours in the order of users share at most the task in which one range ends
+    assert parts.pop("hot") >= tasks / 2 and sum(parts.values()) <= len(parts) + tasks
+    got = {r["user_id"]: (r["n"], r["total"]) for r in private_sum.user_totals(metrics.encrypt_metrics(rows, KEY), KEY, SECRET).collect()}
+    want = rows.groupBy("user_id").agg(F.count("*").alias("n"), F.sum("ms_played").alias("total")).collect()
+    assert got == {r["user_id"]: (r["n"], r["total"]) for r in want}
+
+
+def test_products_of_pairs_stay_exact_over_long_chains():
+    """Extreme numbers, many products in a row, for moduli of several sizes."""
+    for n in ((1 << 2048) - 1942289, (1 << 61) - 1, 3**700, (1 << 3072) - 1103717):
+        m = n * n
+        numbers = crypto.arithmetic(m)
+        some = [0, 1, 2, m - 1, m - 2, n, n + 1, n - 1, m - n, m // 3]
+        assert numbers.numbers(numbers.left(some)) == some
+        assert numbers.power(some, (1 << 200) - 1) == [pow(x, (1 << 200) - 1, m) for x in some]
